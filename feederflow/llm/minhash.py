@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from feederflow.llm.shared import Words, mix, shingles, stored, texts
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Bits of the parity sketch of a set.
+PARITY = 2048
 
 
 def distinct_shingles(batch: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,6 +54,17 @@ def signatures(h: np.ndarray, bounds: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
+def parities(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Odd sketches as (texts, PARITY / 64) words: bit i says whether an odd number of shingles hash to i.
+
+    Two sketches differ in at most as many bits as the sets have elements that they don't share.
+    """
+    n = len(bounds) - 1
+    place = np.repeat(np.arange(n), np.diff(bounds)) * PARITY + (mix(h ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(PARITY)).astype(np.int64)
+    odd = (np.bincount(place, minlength=n * PARITY) & 1).astype(bool)
+    return np.packbits(odd).view(np.int64).reshape(n, PARITY // 64)
+
+
 def _sketch(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,8 +78,8 @@ def _sketch(width: int, bands: int, rows: int):
                 n = np.diff(bounds)
                 data = h.view(np.uint8)
                 marks = [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64)))], ["doc_id", "n_shingles", "mark", "keys"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel().view(np.int64))) for x in (keys, parities(h, bounds))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(marks, pa.binary()), *lists], ["doc_id", "n_shingles", "mark", "keys", "parity"])
 
     return run
 
@@ -116,17 +129,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     probability (1 - 0.8**6)**42 = 3e-6). In a bucket every class is a candidate with the
     smallest id only: a star, not all pairs. Full sets confirm. Where a bucket then spans several
     components, the classes outside its largest are compared with those of the others, so no
-    pair of a bucket that the star misses goes unseen unless it is linked already.
+    pair of a bucket that the star misses goes unseen unless it is linked already. Size and
+    parity sketch, which bound the overlap from above, let hardly any unlinked pair out of that join.
 
     Empty or null texts have no shingles and are linked with nothing. A null id is in no
     component but its own and kept, with null ``component_id``. Repeated rows of an id get a row each, and
     are linked as one. Other columns are not read. An empty table gives an empty table.
     """
     given = texts(df, id_col, text_col)
-    sketch = stored(given.mapInArrow(_sketch(width, bands, rows), "doc_id long, n_shingles long, mark binary, keys array<bigint>"), "near-sketch")
+    sketch = stored(given.mapInArrow(_sketch(width, bands, rows), "doc_id long, n_shingles long, mark binary, keys array<bigint>, parity array<bigint>"), "near-sketch")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     # a class of equal sets goes by its smallest id
-    classes = stored(full.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "near-classes")
+    classes = stored(full.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("parity").alias("parity")), "near-classes")
     in_band = classes.select("rep", "n", F.explode("keys").alias("key"))
     stars = in_band.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stored(in_band.join(stars, "key").select("key", "hub", "rep", "n"), "near-members")
@@ -139,10 +153,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = members.join(roots, members["rep"] == roots["id"], "left").select("key", "hub", "rep", "n", F.coalesce("root", "rep").alias("root"))
     parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("in_part"))
     largest = parts.groupBy("key").agg(F.max(F.struct("in_part", "root")).alias("top"), F.count(F.lit(1)).alias("n_parts")).where("n_parts > 1")
-    placed = stored(placed.join(largest.select("key", F.col("top.root").alias("top")), "key"), "near-open")
+    placed = placed.join(largest.select("key", F.col("top.root").alias("top")), "key")
+    placed = stored(placed.join(classes.select("rep", "parity"), "rep"), "near-open")
     x, y = placed.where("root <> top").alias("x"), placed.alias("y")
     apart = (F.col("x.root") != F.col("y.root")) & (F.col("x.rep") != F.col("x.hub")) & (F.col("y.rep") != F.col("y.hub")) & ((F.col("y.root") == F.col("y.top")) | (F.col("x.rep") < F.col("y.rep")))
-    alike = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    # sets at the threshold differ in (100 - percent) / (100 + percent) of their summed sizes at most, and no parity sketch in more
+    bits = sum((F.bit_count(F.get("x.parity", F.lit(k)).bitwiseXOR(F.get("y.parity", F.lit(k)))) for k in range(PARITY // 64)), F.lit(0))
+    alike = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ((100 + percent) * bits <= (100 - percent) * (F.col("x.n") + F.col("y.n")))
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & alike).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     extra = stored(confirmed(more, sets, percent), "near-more")
     if not extra.isEmpty():
