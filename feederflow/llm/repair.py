@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feederflow.llm.shared import texts
+from feederflow.llm.shared import slices, texts
 from feederflow.llm.tokens import crc, encoder, gather
 
 MAGIC, HEADER = b"RPG1", "<4sIQIIQI"  # magic, first nonterminal, ids, documents, rules, symbols, bytes a symbol
@@ -162,7 +162,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
                 x.clear()
             return out
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids, bounds = encode(batch.column("text"))
             n = np.diff(bounds)
             # the end id after each document
