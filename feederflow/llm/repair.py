@@ -15,8 +15,8 @@ from feederflow.llm.shared import slices, texts
 from feederflow.llm.tokens import crc, encoder, gather
 
 MAGIC, HEADER = b"RPG1", "<4sIQIIQI"  # magic, first nonterminal, ids, documents, rules, symbols, bytes a symbol
-#: Symbols between the noted positions of a shard.
-STRIDE, TABLE = 1024, 20
+#: Symbols between the noted positions of a shard; bits of the pair table.
+STRIDE, TABLE = 1024, 18
 
 
 def compress(ids: np.ndarray, first: int, rounds: int, pairs: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:

@@ -63,10 +63,12 @@ class Encoder:
                 self._each(part)
 
     def _places(self, pieces: list[str], letters: bool) -> np.ndarray:
-        new = list(dict.fromkeys(p for p in pieces if p not in self.known))
-        if new:
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            new = list(dict.fromkeys(p for p, at in zip(pieces, found, strict=True) if at is None))
             (self._letters if letters else self._each)(new)
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            found = [self.known[p] if at is None else at for p, at in zip(pieces, found, strict=True)]
+        return np.array(found, np.int64)
 
     def __call__(self, batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and their bounds by text."""
