@@ -89,14 +89,15 @@ def test_published_temperatures(spark):
 def test_stream_equals_batch(spark):
     import os
 
-    from feederflow.plans.queries import TX, thermal_series_of_intervals
+    from feederflow.plans import queries as q
     from feederflow.streaming.thermal import run_over_events
 
     d = "/root/testdata/sf0.001"
     if not os.path.isdir(d):
         pytest.skip("no test tables")
-    batch = {(r.tx_id, r.t): r for r in thermal_series_of_intervals(spark, d).collect()}
-    stream = run_over_events(spark, d, TX).collect()
+    rise = thermal.ultimate_rise(thermal.load_factor(q.tx_currents(spark, d), q.params(spark)), q.params(spark))
+    batch = {(r.tx_id, r.t): r for r in thermal.thermal_series(rise, q.hourly_ambient(spark, d), q.params(spark)).collect()}
+    stream = run_over_events(spark, d, q.TX).collect()
     assert len(stream) > 0.9 * len(batch)
     for r in stream:
         assert r.delta_theta_TO == pytest.approx(batch[r.tx_id, r.t].delta_theta_TO, abs=1e-9)
