@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feederflow.llm.quality import covered
-from feederflow.llm.shared import Words, texts
+from feederflow.llm.shared import Words, slices, texts
 
 #: What is counted in each word of a line; five times its share of the characters, 1 at most.
 CLASSES = {"symbols": "[#*$%&<>]", "pipes": r"\|", "shouts": "!", "capitals": "[A-Z]", "digits": "[0-9]", "stops": "[.,;:?]"}
@@ -150,8 +150,7 @@ def score_quality(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: s
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 2_000):
-                part = batch.slice(k, 2_000)
+            for part in slices(batch, rows=2_000):
                 x, weight, bounds = line_features(part.column("text"))
                 good, _, _ = model.run(with_neighbours(x, bounds), bounds)
                 share = np.add.reduceat(good * weight, bounds[:-1]) / np.add.reduceat(weight, bounds[:-1])

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feederflow.llm.shared import Words, mix, shingles, stored, texts
+from feederflow.llm.shared import Words, mix, shingles, slices, stored, texts
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Bits of the parity sketch of a set.
@@ -68,8 +68,7 @@ def parities(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def _sketch(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 2_000):
-                part = batch.slice(k, 2_000)
+            for part in slices(batch, rows=2_000):
                 h, bounds = distinct_shingles(part.column("text"), width)
                 signed = signatures(h, bounds, bands * rows).reshape(-1, bands, rows)
                 keys = np.full(signed.shape[:2], 0, np.uint64) + np.arange(bands, dtype=np.uint64)
@@ -87,8 +86,7 @@ def _sketch(width: int, bands: int, rows: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 2_000):
-                part = batch.slice(k, 2_000)
+            for part in slices(batch, rows=2_000):
                 h, bounds = distinct_shingles(part.column("text"), width)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))], ["doc_id", "items"])
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feederflow.llm.shared import SPACE, Words, shingles, stored
+from feederflow.llm.shared import SPACE, Words, shingles, slices, stored
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -42,7 +42,7 @@ RULES = (
 
 def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The counts of each whole text, a batch at a time."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         text = batch.column("text")
         words = Words(text)
         owners, n = words.owners(), len(text)

@@ -54,13 +54,13 @@ def renamed(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about ``size`` bytes of text, which bounds what a step over a part takes."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = 6 << 20, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``size`` bytes of text and ``rows`` rows, which bounds what a step over a part takes."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
     at = 0
     while at < batch.num_rows:
         before = int(ends[at - 1]) if at else 0
-        end = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
         yield batch.slice(at, end - at)
         at = end
 

@@ -13,7 +13,7 @@ from feederflow.llm.shared import Words
 #: Punctuation that the vocabulary's own rule splits from letters before it.
 TAIL = ".,;:!?#*$%&"
 #: Pieces that a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 class Encoder:
