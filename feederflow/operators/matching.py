@@ -57,7 +57,7 @@ def ambient_at(times: DataFrame, ambient: DataFrame) -> DataFrame:
     edge = ambient.agg(F.min("t").alias("t_min"), F.max("t").alias("t_max"), F.min_by("theta_a", "t").alias("th_min"), F.max_by("theta_a", "t").alias("th_max"))
     s = slots.select(F.col("hour").cast("timestamp_ntz").alias("hour"), F.col("t").alias("t1"), F.col("theta_a").alias("th1"), "t2", "th2")
     j = times.select("t").distinct().withColumn("hour", F.date_trunc("hour", F.col("t")).cast("timestamp_ntz")).join(s, "hour", "left").join(F.broadcast(edge), F.lit(True))  # one row
-    sec = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    sec = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     line = F.when(F.col("t2").isNull(), F.col("th1")).otherwise(F.col("th1") + (F.col("th2") - F.col("th1")) * (sec("t") - sec("t1")) / (sec("t2") - sec("t1")))
     theta = F.when(F.col("t") <= F.col("t_min"), F.col("th_min")).when(F.col("t") >= F.col("t_max"), F.col("th_max")).otherwise(line)
     return j.select("t", theta.alias("theta_a"), ((F.col("t") < F.col("t_min")) | (F.col("t") > F.col("t_max"))).alias("extrapolated"))
