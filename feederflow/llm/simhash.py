@@ -150,7 +150,9 @@ def count_near(docs: DataFrame, radius: int = 3, every: int = 20) -> DataFrame:
     ``docs`` has (doc_id, fingerprint) and more columns.
     """
     docs = stored(docs, "simhash-docs")
-    asked = docs.where(F.col("doc_id") % every == 0)
+    is_asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    asked = docs.where(is_asked)
     found = within_radius(asked, docs, radius).where("distance > 0").groupBy("query").agg(F.count(F.lit(1)).alias("_n"))
-    joined = docs.join(found.withColumnRenamed("query", "_q"), F.when(F.col("doc_id") % every == 0, F.col("fingerprint")) == F.col("_q"), "left").drop("_q")
-    return joined.withColumn("n_near", F.when(F.col("doc_id") % every == 0, F.coalesce("_n", F.lit(0)))).drop("_n")
+    # rows that are not asked take no part in the join, where their null keys would meet in one task
+    counted = asked.join(found, asked["fingerprint"] == found["query"], "left").select(*[asked[c] for c in docs.columns], F.coalesce("_n", F.lit(0).cast("long")).alias("n_near"))
+    return counted.unionByName(docs.where(~is_asked).withColumn("n_near", F.lit(None).cast("long")))
