@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feederflow.functions.units import ENVELOPE_CAP_KW, INTERVAL_H, WIDTH_WEIGHT
-from feederflow.operators.flow import first_tier, limit_violations, power_flow
+from feederflow.operators import thermal as th
+from feederflow.operators.flow import first_tier, limit_violations, power_flow, voltage_current_results
 from feederflow.operators.matching import nodal_allocation
 from feederflow.sources.tables import stored
 
@@ -96,6 +97,49 @@ def envelope_search(closure: DataFrame, branch: DataFrame, bus: DataFrame, load:
     return best.groupBy("n", "t", "load_id").agg((-side("oel")).alias("lb_kw"), side("oer").alias("ub_kw"), F.min("ok").alias("feasible"))
 
 
+def multistep_envelopes(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, people: DataFrame, ambient: DataFrame, params: DataFrame | None = None, rule: str = "uniform", prices: DataFrame | None = None, cap_kw: float = ENVELOPE_CAP_KW, grid: int = 16, rounds: int = 3, passes: int = 10) -> dict[str, DataFrame]:
+    """Envelopes of all networks and times, and what follows from them: ``envelope``, ``bus``, ``branch``, ``violations``, ``thermal``.
+
+    With ``params`` the transformers' hot spots limit the envelopes. Temperatures follow the import
+    side, so they are worked out in two passes, both over all times at once: envelopes without
+    the limit give import currents, and these the temperatures that each step starts from; the
+    current that they allow then limits the envelopes of the second pass. The first pass's import
+    is no less than the second's, so where import heats the transformer the start is at least as
+    warm as the true one, and the limit on the safe side. ``thermal`` holds the temperatures at the
+    final envelopes' import currents, or no rows without ``params``. ``ambient`` has a row for each time.
+    """
+
+    def search(limits: DataFrame | None) -> DataFrame:
+        return stored(envelope_search(closure, branch, bus, load, readings, people, rule, prices, limits, cap_kw, grid, rounds, passes), "multistep-envelope")
+
+    def flows(envelope: DataFrame):
+        sides = F.explode(F.array(F.struct(F.lit("oel").alias("oe"), F.col("lb_kw").alias("kw")), F.struct(F.lit("oer").alias("oe"), F.col("ub_kw").alias("kw"))))
+        e = envelope.select("n", "t", "load_id", sides.alias("s")).select("n", "t", "load_id", "s.*")
+        f, v, _ = power_flow(closure, branch, bus, nodal_allocation(load, readings, e), passes)
+        return stored(f, "multistep-flow"), stored(v, "multistep-voltage")
+
+    def temperatures(flow: DataFrame) -> DataFrame:
+        amps = flow.where("oe = 'oel'").join(tx, ["n", "branch_id"]).select("tx_id", "t", (F.sqrt("l_pu") * F.col("i_base_a")).alias("current_a"))
+        return stored(th.thermal_series(th.ultimate_rise(th.load_factor(amps, params), params), ambient, params), "multistep-thermal")
+
+    # branch ids need only be unique in their network
+    tx = branch.where("kind = 'transformer'").select("n", "branch_id", "i_base_a", F.to_json(F.struct("n", "branch_id")).alias("tx_id"))
+    envelope = search(None)
+    flow, volt = flows(envelope)
+    if params is None:
+        warm = tx.select("n", F.lit(None).cast("timestamp_ntz").alias("t"), "branch_id", *[F.lit(None).cast("double").alias(c) for c in ("delta_theta_TO", "delta_theta_HS", "theta_HS")]).where(F.lit(False))
+    else:
+        before = Window.partitionBy("tx_id").orderBy("t")
+        start = temperatures(flow).select("tx_id", "t", *[F.coalesce(F.lag(c).over(before), F.lit(0.0)).alias(c) for c in ("delta_theta_TO", "delta_theta_HS")])
+        allowed = th.max_current_for_hotspot(start, ambient, params)
+        limits = stored(allowed.join(tx, "tx_id").select("n", "t", "branch_id", (F.col("i_max_a") / F.col("i_base_a")).alias("i_max_pu")), "multistep-limits")
+        envelope = search(limits)
+        flow, volt = flows(envelope)
+        warm = temperatures(flow).join(tx, "tx_id").select("n", "t", "branch_id", "delta_theta_TO", "delta_theta_HS", "theta_HS")
+    buses, branches = voltage_current_results(flow, volt, branch)
+    return {"envelope": envelope, "bus": buses, "branch": branches, "violations": limit_violations(flow, volt, branch, bus), "thermal": warm}
+
+
 def offer_cap_check(dispatch: DataFrame, offers: DataFrame) -> DataFrame:
     """(load_id, ci, dispatch_kw, cap_kw, ok) for (load_id, ci, kw)."""
     cap = F.when(F.col("ci") == "inj", first_tier("injection", 0)).otherwise(first_tier("consumption", 0))

@@ -468,6 +468,15 @@ def envelope_thermal(spark, d):
     return env.envelope_search(closure, branch, bus, load, small(spark, d), third(load), limits=limits, rounds=2, passes=PASSES, grid=8).drop("t")
 
 
+@query
+def multistep_envelopes(spark, d):
+    """Three hours of rising load, temperatures carried from one to the next."""
+    bus, load, branch, closure = grid(spark, d)
+    hour = F.explode(F.sequence(F.lit(0), F.lit(2)))
+    steps = small(spark, d).withColumn("k", hour).select("load_id", (F.col("t") + F.make_dt_interval(hours=F.col("k"))).alias("t"), (F.col("real_power_w") * (1 + F.col("k") / 4)).alias("real_power_w"), "reactive_power_var")
+    return env.multistep_envelopes(closure, branch, bus, load, steps, third(load), hourly_ambient(spark, d), params(spark), rounds=2, passes=PASSES, grid=8)["envelope"]
+
+
 @query
 def required_shed(spark, d):
     bus, load, branch, closure = grid(spark, d)

@@ -86,6 +86,25 @@ def test_published_temperatures(spark):
     assert late.theta_HS == pytest.approx(rows[1].theta_HS, abs=1e-9)
 
 
+def test_multistep_envelopes_keep_hot_spots_below_the_limit(spark, net, readings):
+    bus, load, branch, closure = net
+    hours = F.explode(F.array(*[F.lit(f"2026-06-29 0{h}:00:00").cast("timestamp_ntz") for h in (7, 8)]))
+    steps = readings.withColumn("t", hours)
+    air = steps.select("t", F.lit(30.0).alias("theta_a")).distinct()
+    params = spark.createDataFrame([(60.0, 7.0, 55.0, 23.0, 6.0, 0.8, 0.8, 20.0, 90.0, 60.0)], tables.TX_PARAMS)
+    people = load.select("n", "load_id")
+    out = envelope.multistep_envelopes(closure, branch, bus, load, steps, people, air, params, rounds=1)
+    free = envelope.envelope_search(closure, branch, bus, load, steps, people, rounds=1)
+    got, without = ({(r.t, r.load_id): (r.lb_kw, r.ub_kw) for r in x.collect()} for x in (out["envelope"], free))
+    assert got.keys() == without.keys() and len(got) == 8
+    loose = {k: (v, without[k]) for k, v in got.items() if not without[k][0] <= v[0] <= 0 <= v[1] <= without[k][1]}
+    assert not loose
+    assert any(v[0] > without[k][0] for k, v in got.items()), (got, without)  # the limit binds
+    warm = out["thermal"].collect()
+    assert len(warm) == 2 and all(r.theta_HS <= 90 for r in warm), warm
+    assert (out["violations"].count(), out["bus"].count(), out["branch"].count()) == (0, 6, 6)
+
+
 def test_stream_equals_batch(spark):
     import os
 
