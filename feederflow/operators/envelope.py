@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feederflow.functions.units import ENVELOPE_CAP_KW, INTERVAL_H, WIDTH_WEIGHT
+from feederflow.operators import matching
 from feederflow.operators import thermal as th
 from feederflow.operators.flow import first_tier, limit_violations, power_flow, voltage_current_results
-from feederflow.operators.matching import nodal_allocation
 from feederflow.sources.tables import stored
 
 
@@ -39,49 +39,49 @@ def envelope_linear(closure: DataFrame, branch: DataFrame, bus: DataFrame, load:
     return v.groupBy("n", "t").agg((-clip(down)).alias("lb_kw"), clip(up).alias("ub_kw"))
 
 
-def _allocate(people: DataFrame, total: Column, rule: str, cap_kw: float) -> Column:
-    """A participant's kW of a candidate total: the same for all, or nearest first by ``rank_before``."""
-    if rule == "uniform":
-        return F.least(total / F.col("n_people"), F.lit(cap_kw))
-    group = F.greatest(F.lit(0.0), F.least(total - F.col("before") * cap_kw, F.col("at_bus") * cap_kw))
-    return group / F.col("at_bus")
+def _filled(total: Column) -> Column:
+    """A segment's kW of a candidate total: its group takes what is left after those before it, its loads share by size."""
+    group = F.greatest(F.lit(0.0), F.least(total - F.col("before"), F.col("group_kw")))
+    return F.when(F.col("group_kw") > 0, group * F.col("size_kw") / F.col("group_kw")).otherwise(0.0)
 
 
-def envelope_search(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, people: DataFrame, rule: str = "uniform", prices: DataFrame | None = None, limits: DataFrame | None = None, cap_kw: float = ENVELOPE_CAP_KW, grid: int = 16, rounds: int = 3, passes: int = 10) -> DataFrame:
-    """Largest feasible import (lb, negative) and export (ub) of each participant: (n, t, load_id, lb_kw, ub_kw, feasible).
+def _sensitivity(closure: DataFrame, branch: DataFrame) -> DataFrame:
+    """(n, bus_id, s): resistance of each bus's path to the infeeder."""
+    on = closure.select("n", "branch_id", "bus_id").join(branch.select("n", "branch_id", "r_pu"), ["n", "branch_id"])
+    return on.groupBy("n", "bus_id").agg(F.greatest(F.sum("r_pu"), F.lit(1e-12)).alias("s"))
 
-    A round evaluates ``grid`` totals in the cell left for each network, time and side, all as rows
-    of one power flow, keeps the largest total below which all are feasible, and narrows the cell
-    to it. ``uniform`` gives all participants the same; ``nearest`` fills them by value per
-    sensitivity, (export price x 5/60 + 0.001) / path resistance (prices count on the export side
-    only), in groups by bus. ``limits`` (n, t, branch_id, i_max_pu) tightens branch ratings by time.
-    If 0 kW is infeasible the envelope is 0 and ``feasible`` false.
+
+def _ordered(segments: DataFrame, by: list[str]) -> DataFrame:
+    """Segments (``by``, bus_id, load_id, rank, size_kw) with their group's size and the kW filled before it: lowest rank first, then by bus."""
+    same = [*by, "rank", "bus_id"]
+    groups = segments.groupBy(*same).agg(F.sum("size_kw").alias("group_kw"))
+    order = Window.partitionBy(*by).orderBy("rank", "bus_id").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("before", F.coalesce(F.sum("group_kw").over(order), F.lit(0.0)))
+    return segments.join(groups, same).select(*by, "bus_id", "load_id", "size_kw", "group_kw", "before")
+
+
+def _fill_search(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, segments: DataFrame, by: list[str], limits: DataFrame | None, grid: int, rounds: int, passes: int) -> DataFrame:
+    """Largest feasible total of each network, time and side, filled into ordered segments: (n, t, load_id, lb_kw, ub_kw, feasible).
+
+    ``by`` holds n and oe, and t where segments differ by time. Loads with segments give up their
+    forecast active power for what they are filled with, also at times at which they have none.
     """
-    near = closure.select("n", "branch_id", "bus_id").join(branch.select("n", "branch_id", "r_pu"), ["n", "branch_id"]).groupBy("n", "bus_id").agg(F.sum("r_pu").alias("s"))
-    p = load.select("n", "load_id", "bus_id").join(people.select("n", "load_id"), ["n", "load_id"]).join(near, ["n", "bus_id"])
-    if prices is not None:
-        p = p.join(prices.select("load_id", "export_price_kwh"), "load_id", "left")
-    else:
-        p = p.withColumn("export_price_kwh", F.lit(0.0))
-    p = p.withColumn("oe", F.explode(F.array(F.lit("oel"), F.lit("oer"))))
-    price = F.when(F.col("oe") == "oer", F.coalesce("export_price_kwh", F.lit(0.0))).otherwise(0.0)
-    p = p.withColumn("value", (price * INTERVAL_H + WIDTH_WEIGHT) / F.greatest(F.col("s"), F.lit(1e-12)))
-    same = ["n", "oe", "bus_id", "value"]
-    buses = p.groupBy(*same).agg(F.count(F.lit(1)).alias("at_bus"))
-    order = Window.partitionBy("n", "oe").orderBy(F.desc("value"), "bus_id")
-    buses = buses.withColumn("before", F.coalesce(F.sum("at_bus").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n_people", F.sum("at_bus").over(Window.partitionBy("n", "oe")))
-    p = stored(p.select(*same, "load_id").join(buses, same), "envelope-people")
-    r = stored(load.select("n", "load_id", "bus_id").join(readings, "load_id"), "envelope-readings")
-    cell = r.select("n", "t").distinct().join(p.groupBy("n", "oe").agg((F.first("n_people") * cap_kw).cast("double").alias("hi")), "n").withColumn("lo", F.lit(0.0)).withColumn("ok", F.lit(True))
+    p = stored(segments, "envelope-people")
+    own = p.select("n", "load_id").distinct().withColumn("_in", F.lit(True))
+    r = load.select("n", "load_id", "bus_id").join(readings, "load_id").join(own, ["n", "load_id"], "left")
+    kept = F.when(F.col("_in").isNull(), F.col("real_power_w")).otherwise(0.0)
+    r = stored(r.groupBy("n", "t", "bus_id").agg((F.sum(kept) / 1e6).alias("p_pu"), (F.sum("reactive_power_var") / 1e6).alias("q_pu")), "envelope-readings")
+    most = p.groupBy(*by).agg(F.sum("size_kw").cast("double").alias("hi"))
+    cell = r.select("n", "t").distinct().join(most, [c for c in by if c != "oe"]).select("n", "t", "oe", F.lit(0.0).alias("lo"), "hi", F.lit(True).alias("ok"))
     keys = ("n", "t", "oe", "c")
     for _ in range(rounds):
         cell = stored(cell, "envelope-cell")
         tried = cell.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(grid)))).withColumn("total", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("c") / grid)
         tried = stored(tried.select(*keys, "total"), "envelope-tried")
         sign = F.when(F.col("oe") == "oel", 1.0).otherwise(-1.0)
-        given = p.join(tried, ["n", "oe"]).select(*keys, "bus_id", "load_id", (sign * _allocate(p, F.col("total"), rule, cap_kw) / 1e3).alias("own"))
-        base = r.join(tried.select(*keys), ["n", "t"]).join(given, [*keys, "bus_id", "load_id"], "left")
-        nodal = base.groupBy(*keys, "bus_id").agg(F.sum(F.coalesce("own", F.col("real_power_w") / 1e6)).alias("p_pu"), F.sum(F.col("reactive_power_var") / 1e6).alias("q_pu"))
+        given = p.join(tried, by).select(*keys, "bus_id", (sign * _filled(F.col("total")) / 1e3).alias("p_pu"), F.lit(0.0).alias("q_pu"))
+        base = r.join(tried.select(*keys), ["n", "t"]).select(*keys, "bus_id", "p_pu", "q_pu")
+        nodal = base.unionByName(given).groupBy(*keys, "bus_id").agg(F.sum("p_pu").alias("p_pu"), F.sum("q_pu").alias("q_pu"))
         flow, volt, done = power_flow(closure, branch, bus, nodal, passes, keys)
         bad = limit_violations(flow, volt, branch, bus, keys).select(*keys)
         if limits is not None:
@@ -92,11 +92,70 @@ def envelope_search(closure: DataFrame, branch: DataFrame, bus: DataFrame, load:
         step = (F.col("hi") - F.col("lo")) / grid
         k = F.coalesce("stop", F.lit(grid + 1)) - 1
         cell = cell.join(first_bad, ["n", "t", "oe"]).select("n", "t", "oe", (F.col("lo") + step * F.greatest(k, F.lit(0))).alias("lo"), F.least(F.col("hi"), F.col("lo") + step * (F.greatest(k, F.lit(0)) + 1)).alias("hi"), (F.col("ok") & (k >= 0)).alias("ok"))
-    best = p.join(cell, ["n", "oe"]).select("n", "t", "load_id", "oe", _allocate(p, F.col("lo"), rule, cap_kw).alias("kw"), "ok")
-    side = lambda s: F.max(F.when(F.col("oe") == s, F.col("kw")))
+    best = p.join(cell, by).select("n", "t", "load_id", "oe", _filled(F.col("lo")).alias("kw"), "ok")
+    side = lambda s: F.sum(F.when(F.col("oe") == s, F.col("kw")))
     return best.groupBy("n", "t", "load_id").agg((-side("oel")).alias("lb_kw"), side("oer").alias("ub_kw"), F.min("ok").alias("feasible"))
 
 
+def envelope_search(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, people: DataFrame, rule: str = "uniform", prices: DataFrame | None = None, limits: DataFrame | None = None, cap_kw: float = ENVELOPE_CAP_KW, grid: int = 16, rounds: int = 3, passes: int = 10) -> DataFrame:
+    """Largest feasible import (lb, negative) and export (ub) of each participant: (n, t, load_id, lb_kw, ub_kw, feasible).
+
+    A round evaluates ``grid`` totals in the cell left for each network, time and side, all as rows
+    of one power flow, keeps the largest total below which all are feasible, and narrows the cell
+    to it. ``uniform`` gives all participants the same; ``nearest`` fills them by value per
+    sensitivity, (export price x 5/60 + 0.001) / path resistance (prices count on the export side
+    only), in groups by bus. ``limits`` (n, t, branch_id, i_max_pu) tightens branch ratings by time.
+    If 0 kW is infeasible the envelope is 0 and ``feasible`` false.
+    """
+    p = load.select("n", "load_id", "bus_id").join(people.select("n", "load_id"), ["n", "load_id"])
+    p = matching.index_product(p.join(_sensitivity(closure, branch), ["n", "bus_id"])).withColumn("size_kw", F.lit(float(cap_kw)))
+    if rule == "uniform":
+        groups = p.groupBy("n", "oe").agg(F.sum("size_kw").alias("group_kw"))
+        p = p.join(groups, ["n", "oe"]).select("n", "oe", "bus_id", "load_id", "size_kw", "group_kw", F.lit(0.0).alias("before"))
+    else:
+        p = p.join(prices.select("load_id", "export_price_kwh"), "load_id", "left") if prices is not None else p.withColumn("export_price_kwh", F.lit(0.0))
+        p = _ordered(p.withColumn("rank", F.struct((-_width_value(F.col("export_price_kwh"))).alias("less_value"))), ["n", "oe"])
+    return _fill_search(closure, branch, bus, load, readings, p, ["n", "oe"], limits, grid, rounds, passes)
+
+
+def _width_value(price: Column) -> Column:
+    """What a kW of envelope is worth per unit of sensitivity; prices count on the export side."""
+    paid = F.when(F.col("oe") == "oer", F.coalesce(price, F.lit(0.0))).otherwise(0.0)
+    return (paid * INTERVAL_H + WIDTH_WEIGHT) / F.col("s")
+
+
+def envelope_reserved(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, offers: DataFrame, cap_kw: float = ENVELOPE_CAP_KW, grid: int = 16, rounds: int = 3, passes: int = 10) -> DataFrame:
+    """Shared envelopes of the loads with offers: (n, t, load_id, lb_kw, ub_kw, feasible, dispatch_kw, payment_dlr, shortfall_kw).
+
+    On each side a load has three segments, filled in this order: the part of its reservation that
+    no dispatch could stand in for, the rest of it (dearest dispatch per unit of sensitivity first),
+    and what is left up to the cap, nearest first. What the first search leaves of a reservation is
+    dispatched, which moves what the other side has to hold; the second search fills with these
+    needs. Dispatch and shortfall are those of the second envelopes. Null reservations count as 0.
+    """
+    o = offers.select("load_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("reservation_l", "reservation_u")], "injection", "consumption")
+    p = load.select("n", "load_id", "bus_id").join(o, "load_id").join(_sensitivity(closure, branch), ["n", "bus_id"])
+
+    def search(p: DataFrame, by: list[str]) -> DataFrame:
+        """``d`` is the net dispatch settled so far."""
+        up = F.col("oe") == "oer"
+        held = F.when(up, F.col("reservation_u") + F.col("d")).otherwise(-F.col("reservation_l") - F.col("d"))
+        # import that is short is made up by injection, export that is short by consumption
+        offered = F.when(up, first_tier("consumption", 0) + F.least(F.col("d"), F.lit(0.0))).otherwise(first_tier("injection", 0) - F.greatest(F.col("d"), F.lit(0.0)))
+        price = F.when(up, first_tier("consumption", 1)).otherwise(first_tier("injection", 1))
+        p = matching.index_product(p).withColumn("held", F.greatest(F.lit(0.0), F.least(F.lit(float(cap_kw)), held))).withColumn("free", F.least(F.col("held"), F.greatest(F.lit(0.0), offered)))
+        part = lambda tier, value, kw: F.struct(F.struct(F.lit(tier).alias("tier"), (-value).alias("less_value")).alias("rank"), kw.alias("size_kw"))
+        dear, wide = price * INTERVAL_H / F.col("s"), _width_value(F.lit(0.0))
+        parts = F.array(part(0, dear, F.col("held") - F.col("free")), part(1, dear, F.col("free")), part(2, wide, F.lit(float(cap_kw)) - F.col("held")))
+        segments = p.select(*by, "bus_id", "load_id", F.explode(parts).alias("s")).select(*by, "bus_id", "load_id", "s.*")
+        return stored(_fill_search(closure, branch, bus, load, readings, _ordered(segments, by), by, None, grid, rounds, passes), "reserved-envelope")
+
+    first = search(p.withColumn("d", F.lit(0.0)), ["n", "oe"])
+    settled = reservation_dispatch(first, o).select("n", "t", "load_id", F.col("dispatch_kw").alias("d"))
+    second = search(p.join(settled, ["n", "load_id"]), ["n", "t", "oe"])
+    return second.join(reservation_dispatch(second, o), ["n", "t", "load_id"])
+
+
 def multistep_envelopes(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, people: DataFrame, ambient: DataFrame, params: DataFrame | None = None, rule: str = "uniform", prices: DataFrame | None = None, cap_kw: float = ENVELOPE_CAP_KW, grid: int = 16, rounds: int = 3, passes: int = 10) -> dict[str, DataFrame]:
     """Envelopes of all networks and times, and what follows from them: ``envelope``, ``bus``, ``branch``, ``violations``, ``thermal``.
 
@@ -115,7 +174,7 @@ def multistep_envelopes(closure: DataFrame, branch: DataFrame, bus: DataFrame, l
     def flows(envelope: DataFrame):
         sides = F.explode(F.array(F.struct(F.lit("oel").alias("oe"), F.col("lb_kw").alias("kw")), F.struct(F.lit("oer").alias("oe"), F.col("ub_kw").alias("kw"))))
         e = envelope.select("n", "t", "load_id", sides.alias("s")).select("n", "t", "load_id", "s.*")
-        f, v, _ = power_flow(closure, branch, bus, nodal_allocation(load, readings, e), passes)
+        f, v, _ = power_flow(closure, branch, bus, matching.nodal_allocation(load, readings, e), passes)
         return stored(f, "multistep-flow"), stored(v, "multistep-voltage")
 
     def temperatures(flow: DataFrame) -> DataFrame:
@@ -154,7 +213,7 @@ def reservation_check(envelope: DataFrame, offers: DataFrame, dispatch: DataFram
 
 
 def reservation_dispatch(envelope: DataFrame, offers: DataFrame, hours: float = INTERVAL_H) -> DataFrame:
-    """(n, load_id, dispatch_kw, payment_dlr, shortfall_kw): the net dispatch nearest 0 that honours both reservations.
+    """(n, t if given, load_id, dispatch_kw, payment_dlr, shortfall_kw): the net dispatch nearest 0 that honours both reservations.
 
     It lies in [lb - reservation_l, ub - reservation_u]; clipped to the first tiers' quantities. What an
     empty interval or the clip leaves open is the shortfall.
@@ -165,7 +224,8 @@ def reservation_dispatch(envelope: DataFrame, offers: DataFrame, hours: float =
     got = F.greatest(-first_tier("consumption", 0), F.least(first_tier("injection", 0), want))
     price = F.when(got >= 0, first_tier("injection", 1)).otherwise(first_tier("consumption", 1))
     short = F.greatest(F.lit(0.0), lo - got) + F.greatest(F.lit(0.0), got - hi)
-    return j.select("n", "load_id", F.round(got, 6).alias("dispatch_kw"), F.round(F.abs(got) * price * hours, 6).alias("payment_dlr"), F.round(short, 6).alias("shortfall_kw"))
+    keys = [c for c in ("n", "t") if c in envelope.columns]
+    return j.select(*keys, "load_id", F.round(got, 6).alias("dispatch_kw"), F.round(F.abs(got) * price * hours, 6).alias("payment_dlr"), F.round(short, 6).alias("shortfall_kw"))
 
 
 def required_shed(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, passes: int = 10, grid: int = 16, rounds: int = 3) -> DataFrame:
@@ -175,7 +235,7 @@ def required_shed(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: D
     """
     near = closure.select("n", "branch_id", "bus_id").join(branch.select("n", "branch_id", "r_pu"), ["n", "branch_id"]).groupBy("n", "bus_id").agg(F.sum("r_pu").alias("s"))
     worst = load.select("n", "bus_id").distinct().join(near, ["n", "bus_id"]).groupBy("n").agg(F.max_by("bus_id", F.struct("s", "bus_id")).alias("bus_id"))
-    nodal = stored(nodal_allocation(load, readings, None).where("oe = 'oel'"), "shed-nodal")
+    nodal = stored(matching.nodal_allocation(load, readings, None).where("oe = 'oel'"), "shed-nodal")
     most = nodal.groupBy("n", "t").agg(F.sum(F.abs("p_pu")).alias("hi")).withColumn("lo", F.lit(0.0))
     keys = ("n", "t", "c")
     cell = most

@@ -477,6 +477,12 @@ def multistep_envelopes(spark, d):
     return env.multistep_envelopes(closure, branch, bus, load, steps, third(load), hourly_ambient(spark, d), params(spark), rounds=2, passes=PASSES, grid=8)["envelope"]
 
 
+@query
+def envelope_reserved(spark, d):
+    bus, load, branch, closure = grid(spark, d)
+    return env.envelope_reserved(closure, branch, bus, load, small(spark, d), dr.offers(spark, d), rounds=2, passes=PASSES, grid=8).drop("t")
+
+
 @query
 def required_shed(spark, d):
     bus, load, branch, closure = grid(spark, d)

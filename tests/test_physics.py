@@ -64,6 +64,22 @@ def test_uniform_envelope_is_the_largest_feasible(net, readings):
     assert bad(got[0].ub_kw) == 0 and bad(got[0].ub_kw + 50 / 16**2 + 1e-6) > 0
 
 
+def test_reservations_come_first(spark, net, readings):
+    """The published shared envelopes: import of 1003 falls short, is dispatched, and moves its export bound."""
+    bus, load, branch, closure = net
+    bids = "array<array<double>>"
+    offers = spark.createDataFrame([("1002", [[5.0, 0.08]], [[2.0, 0.05]], -5.0, 5.0), ("1003", [[4.0, 0.10]], [], -5.0, 4.0)], f"load_id string, injection {bids}, consumption {bids}, reservation_l double, reservation_u double")
+    rows = envelope.envelope_reserved(closure, branch, bus, load, readings, offers, grid=64, rounds=2, passes=9).collect()
+    got = {r.load_id: r for r in rows}
+    # a total is known to its search's last cell; the export of 1002 also loses what 1003's dispatch is too large, twice as sensitive
+    near = {"abs": 100 / 64**2 + 2e-3}
+    assert got.keys() == {"1002", "1003"} and all(r.feasible and r.shortfall_kw == 0 for r in rows)
+    assert (got["1002"].lb_kw, got["1002"].ub_kw) == (pytest.approx(-4.999999, **near), pytest.approx(28.846636, abs=3 * near["abs"]))
+    assert (got["1003"].lb_kw, got["1003"].ub_kw) == (pytest.approx(-2.292915, **near), pytest.approx(6.707112, **near))
+    assert got["1003"].dispatch_kw == pytest.approx(2.707088, **near) and got["1002"].dispatch_kw == pytest.approx(0, abs=1e-5)
+    assert got["1003"].payment_dlr == pytest.approx(0.022559, abs=3e-4)
+
+
 def test_thermal_current_limit_is_where_the_step_meets_it(spark):
     params = spark.createDataFrame([(60.0, 7.0, 55.0, 23.0, 6.0, 0.8, 0.8, 50.0, 120.0, 30.0)], tables.TX_PARAMS)
     state = spark.createDataFrame([("tx1", 42.662, 28.463)], "tx_id string, delta_theta_TO double, delta_theta_HS double")
