@@ -74,3 +74,35 @@ def test_shard_ranges():
     assert (shard.all() == ids).all() and len(shard.rules) and shard.doc_ids == [1, None]
     for start, n in ((0, 1), (9_999, 2_000), (29_000, 1_000), (5, 0), (0, 30_000)):
         assert (shard.range(start, n) == ids[start : start + n]).all()
+
+
+def test_near_links(spark):
+    """Every pair within the radius, equal fingerprints too, against all pairs."""
+    import random
+
+    rng, prints = random.Random(3), []
+    for _ in range(40):
+        own = rng.getrandbits(128)
+        prints += [own, own] + [own ^ sum(1 << b for b in rng.sample(range(128), n)) for n in (1, 3, 4, 8, 14, 15, 16, 20)]
+    prints += [0, (1 << 128) - 1, (1 << 15) - 1]
+    docs = spark.createDataFrame([(k, f"{p:032x}") for k, p in enumerate(prints)] + [(None, f"{prints[0]:032x}"), (1000, None)], "doc_id long, fingerprint string")
+    links, members = simhash.near_links(docs, every=5)
+    apart = lambda a, b: (a ^ b).bit_count()
+    asked = range(0, len(prints), 5)
+    want = sorted((k, f"{p:032x}", apart(prints[k], p)) for k in asked for p in set(prints) if apart(prints[k], p) <= 15)
+    assert sorted(map(tuple, links.collect())) == want
+    assert members.count() == docs.count()
+    got = {r.doc_id: (r.n_near, r.n_links) for r in simhash.count_near(docs, every=5).collect() if r.doc_id is not None}
+    for k, p in enumerate(prints):
+        near = sum(0 < apart(p, x) <= 3 for x in set(prints))
+        links = sum(apart(p, x) <= 15 for x in [*prints, prints[0]]) - 1
+        assert got[k] == ((near, links) if k % 5 == 0 else (None, None))
+    assert got[1000] == (0, 0)
+
+
+def test_texts_that_differ_in_case_or_by_a_word_are_linked(spark):
+    words = [f"w{k % 97}x{k * k % 61}" for k in range(300)]
+    other = ["new" if k == 150 else w for k, w in enumerate(words)]
+    rows = [(0, " ".join(words)), (1, " ".join(words).upper()), (2, " ".join(other)), (3, " ".join(f"z{k}" for k in range(300)))]
+    got = simhash.count_near(simhash.neighbour_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert {r.doc_id: r.n_links for r in got} == {0: 2, 1: None, 2: None, 3: None}
