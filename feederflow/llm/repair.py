@@ -14,52 +14,56 @@ from pyspark.sql import functions as F
 from feederflow.llm.shared import slices, texts
 from feederflow.llm.tokens import crc, encoder, gather
 
-MAGIC, HEADER = b"RPG1", "<4sIQIIQI"  # magic, first nonterminal, ids, documents, rules, symbols, bytes a symbol
-#: Symbols between the noted positions of a shard; bits of the pair table.
-STRIDE, TABLE = 1024, 18
+MAGIC, HEADER = b"RPG2", "<4sIQIIQII"  # magic, first nonterminal, ids, documents, rules, symbols, bits a symbol, bits a length
+#: Symbols between the noted positions of a shard; bits of the table that sets rare pairs aside.
+STRIDE, TABLE = 1024, 22
 
 
-def compress(ids: np.ndarray, first: int, rounds: int, pairs: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, first: int, rounds: int | None, pairs: int, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """The symbols left, and the rules (left, right) of nonterminals ``first``, ``first + 1``, ...
 
-    Each round counts all neighbouring pairs in a hash table, makes a nonterminal of the most
-    frequent ones (one for each slot of the table; the pairs themselves are compared when they
-    are replaced) and replaces them from left to right, without overlap.
+    Each round counts neighbouring pairs exactly (a hash table only sets aside those that cannot
+    occur ``least`` times), and replaces the most frequent ones: ``pairs`` of them at first, twice
+    as many each round. Where two overlap, the more frequent one is replaced. The rounds end when
+    no pair occurs ``least`` times without overlap, or after ``rounds`` if that is given.
     """
-    seq, rules = ids.astype(np.uint32), []
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    seq, rules, n_rules, most = ids.astype(np.uint32), [], 0, pairs
+    while len(seq) > 1 and (rounds is None or len(rules) < rounds):
         a, b = seq[:-1], seq[1:]
         h = (a * np.uint32(0x9E3779B1) ^ (b * np.uint32(0x85EBCA77) + (a >> np.uint32(7)))) >> np.uint32(32 - TABLE)
-        seen = np.bincount(h, minlength=1 << TABLE)
-        bar = max(least, int(np.partition(seen, -pairs)[-pairs]))
-        at = np.flatnonzero(seen[h] >= bar)
-        if not len(at):
+        open_ = np.bincount(h, minlength=1 << TABLE)[h] >= least
+        same = np.flatnonzero(a == b)
+        if len(same):
+            # of a run of one symbol, every other pair
+            fresh = np.ones(len(same), bool)
+            fresh[1:] = same[1:] != same[:-1] + 1
+            begin = np.maximum.accumulate(np.where(fresh, np.arange(len(same)), 0))
+            open_[same[(np.arange(len(same)) - begin) % 2 == 1]] = False
+        at = np.flatnonzero(open_)
+        codes, own, seen = np.unique((a[at].astype(np.uint64) << np.uint64(32)) | b[at], return_inverse=True, return_counts=True)
+        if not len(codes) or seen.max() < least:
             break
-        slot = h[at]
-        code = (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
-        own = np.zeros(1 << TABLE, np.uint64)
-        own[slot] = code  # one pair of each slot
-        true = own[slot] == code
-        at, slot = at[true], slot[true]
-        # of touching matches, every other one
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = at[1:] != at[:-1] + 1
-        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        keep = (np.arange(len(at)) - begin) % 2 == 0
-        at, slot = at[keep], slot[keep]
-        times = np.bincount(slot, minlength=1 << TABLE)
+        bar = max(least, int(np.partition(seen, -most)[-most])) if most < len(seen) else least
+        most *= 2
+        # the place in order of frequency, so that the most frequent pair always wins
+        rank = np.empty(len(codes), np.int64)
+        rank[np.argsort(seen, kind="stable")] = np.arange(1, len(codes) + 1)
+        good = seen[own] >= bar
+        at, own = at[good], own[good]
+        weight = np.zeros(len(seq) + 1, np.int64)
+        weight[at + 1] = rank[own]
+        keep = (weight[at + 1] >= weight[at]) & (weight[at + 1] >= weight[at + 2 - (at + 2 > len(seq))])
+        at, own = at[keep], own[keep]
+        times = np.bincount(own, minlength=len(codes))
         used = np.flatnonzero(times >= least)
-        if not len(used):
-            break
-        number = np.full(1 << TABLE, -1, np.int64)
-        number[used] = first + sum(map(len, rules)) + np.arange(len(used))
-        good = number[slot] >= 0
-        at, slot = at[good], slot[good]
-        rules.append(np.stack((own[used] >> np.uint64(32), own[used] & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
+        number = np.full(len(codes), -1, np.int64)
+        number[used] = first + n_rules + np.arange(len(used))
+        good = number[own] >= 0
+        at, own = at[good], own[good]
+        rules.append(np.stack((codes[used] >> np.uint64(32), codes[used] & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
+        n_rules += len(used)
         seq = seq.copy()
-        seq[at] = number[slot]
+        seq[at] = number[own]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq = seq[stay]
@@ -67,26 +71,54 @@ def compress(ids: np.ndarray, first: int, rounds: int, pairs: int, least: int =
 
 
 def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of every nonterminal in a row, and their bounds."""
-    out: list[np.ndarray] = []
-    one = lambda s: out[s - first] if s >= first else np.array([s], np.uint32)
-    for a, b in rules.tolist():
-        out.append(np.concatenate((one(a), one(b))))
-    return np.concatenate(out) if out else np.zeros(0, np.uint32), np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int64)
-
-
-def write_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, rounds: int, pairs: int) -> bytes:
+    """The ids of every nonterminal in a row, and their bounds; a level at a time, those of finished parts."""
+    n = len(rules)
+    part = rules.astype(np.int64) - first
+    lengths, levels, left = np.zeros(n, np.int64), [], np.arange(n)
+    while len(left):
+        size = np.where(part[left] < 0, 1, lengths[np.maximum(part[left], 0)])
+        done = (size > 0).all(1)
+        lengths[left[done]] = size[done].sum(1)
+        levels.append(left[done])
+        left = left[~done]
+    bounds = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+    out = np.zeros(int(bounds[-1]), np.uint32)
+    for level in levels:
+        to = bounds[level]
+        for side in (0, 1):
+            k = part[level, side]
+            one = k < 0
+            out[to[one]] = rules[level[one], side]
+            size = np.where(one, 1, lengths[np.maximum(k, 0)])
+            out[gather(to[~one], size[~one])] = out[gather(bounds[k[~one]], size[~one])]
+            to = to + size
+    return out, bounds
+
+
+def write_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, rounds: int | None, pairs: int) -> bytes:
     """A shard: header, document ids and lengths, rules and their expansion lengths, noted positions, symbols."""
     first = int(ids.max()) + 1
     seq, rules = compress(ids, first, rounds, pairs)
     _, bounds = expansions(rules, first)
     spans = symbol_lengths(seq, first, np.diff(bounds))
     noted = np.concatenate(([0], np.cumsum(spans)))[:-1:STRIDE]
-    kind = "<u2" if first + len(rules) <= 1 << 16 else "<u4"
+    width, wide = (first + len(rules) - 1).bit_length(), int(np.diff(bounds).max(initial=0)).bit_length()
     null = np.array([d is None for d in doc_ids], np.uint8)
     own = np.array([d or 0 for d in doc_ids], "<i8")
-    parts = (own, null, lengths.astype("<u4"), rules.astype("<u4"), np.diff(bounds).astype("<u4"), noted.astype("<u8"), seq.astype(kind))
-    return struct.pack(HEADER, MAGIC, first, len(ids), len(own), len(rules), len(seq), np.dtype(kind).itemsize) + b"".join(x.tobytes() for x in parts)
+    parts = (own, null, lengths.astype("<u4"), packed(rules.ravel(), width), packed(np.diff(bounds), wide), noted.astype("<u8"), packed(seq, width))
+    return struct.pack(HEADER, MAGIC, first, len(ids), len(own), len(rules), len(seq), width, wide) + b"".join(x.tobytes() for x in parts)
+
+
+def packed(values: np.ndarray, width: int) -> np.ndarray:
+    """The numbers' lowest ``width`` bits (up to 32) in a row, as bytes."""
+    bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    return np.packbits(bits[:, :width].ravel(), bitorder="little")
+
+
+def unpacked(data: np.ndarray, width: int, n: int) -> np.ndarray:
+    bits = np.zeros((n, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(data, count=n * width, bitorder="little").reshape(n, width)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
 
 
 def symbol_lengths(seq: np.ndarray, first: int, rule_lengths: np.ndarray) -> np.ndarray:
@@ -100,7 +132,7 @@ class Shard:
     """A shard as written, for decoding whole or in part."""
 
     def __init__(self, data: bytes):
-        magic, self.first, self.n_ids, docs, rules, symbols, width = struct.unpack_from(HEADER, data)
+        magic, self.first, self.n_ids, docs, rules, symbols, width, wide = struct.unpack_from(HEADER, data)
         if magic != MAGIC:
             raise ValueError("not a Re-Pair shard")
         at = struct.calcsize(HEADER)
@@ -111,11 +143,12 @@ class Shard:
             at += out.nbytes
             return out
 
+        bits = lambda width, n: unpacked(take("u1", -(-n * width // 8)), width, n)
         own, null, self.lengths = take("<i8", docs), take("u1", docs), take("<u4", docs).astype(np.int64)
         self.doc_ids = [None if z else d for d, z in zip(own.tolist(), null.tolist(), strict=True)]
-        self.rules, self.rule_lengths = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules).astype(np.int64)
+        self.rules, self.rule_lengths = bits(width, 2 * rules).reshape(-1, 2), bits(wide, rules).astype(np.int64)
         self.noted = take("<u8", -(-symbols // STRIDE)).astype(np.int64)
-        self.seq = take(f"<u{width}", symbols).astype(np.int64)
+        self.seq = bits(width, symbols).astype(np.int64)
         flat, bounds = expansions(self.rules, self.first)
         self.table = np.concatenate((np.arange(self.first, dtype=np.uint32), flat))
         self.begins = np.concatenate((np.arange(self.first), self.first + bounds[:-1]))
@@ -133,7 +166,7 @@ class Shard:
         return self._expand(self.seq[low * STRIDE : high * STRIDE])[start - self.noted[low] :][:n] if n else np.zeros(0, np.uint32)
 
 
-def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_ids: int = 1 << 20, rounds: int = 4, pairs: int = 1024, rows_per_part: int = 10_000) -> None:
+def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_ids: int = 1 << 20, rounds: int | None = None, pairs: int = 1024, rows_per_part: int = 10_000) -> None:
     """Write all documents' ids (each with ``end_id`` after it) in ascending id order as compressed shards.
 
     Documents are dealt out by ranges of their id and sorted; each task encodes its own and cuts

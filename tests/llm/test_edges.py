@@ -106,3 +106,23 @@ def test_texts_that_differ_in_case_or_by_a_word_are_linked(spark):
     rows = [(0, " ".join(words)), (1, " ".join(words).upper()), (2, " ".join(other)), (3, " ".join(f"z{k}" for k in range(300)))]
     got = simhash.count_near(simhash.neighbour_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
     assert {r.doc_id: r.n_links for r in got} == {0: 2, 1: None, 2: None, 3: None}
+
+
+def test_repair_replaces_all_frequent_pairs():
+    """A copied passage ends as one symbol a copy, and no pair is left that occurs three times."""
+    from collections import Counter
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    passage = rng.permutation(2_000)[:500]
+    ids = np.concatenate([np.concatenate((passage, [3_000 + k])) for k in range(1_000)]).astype(np.uint32)
+    shard = repair.Shard(repair.write_shard(ids, [1], np.array([len(ids)]), None, 1024))
+    assert (shard.all() == ids).all() and len(shard.seq) <= 2_000
+    ids = np.concatenate((rng.integers(0, 300, 50_000), [5] * 1_001, [7])).astype(np.uint32)
+    data = repair.write_shard(ids, [1], np.array([len(ids)]), None, 1024)
+    shard = repair.Shard(data)
+    assert (shard.all() == ids).all() and len(data) < 2 * len(ids)
+    assert (shard.range(49_990, 1_012) == ids[49_990:]).all()
+    pairs = Counter((a, b) for a, b in zip(shard.seq[:-1].tolist(), shard.seq[1:].tolist(), strict=True) if a != b)
+    assert max(pairs.values()) < 3
