@@ -158,17 +158,13 @@ def _pieces(content: bytes, size: int = 1 << 20) -> Iterator[bytes]:
         yield piece
 
 
-FIELDS = "origin string, segment int, total long, kind string, page_id long, url string, digest string, refers_to long, payload_bytes long, part binary"
+FIELDS = "origin string, segment int, total long, kind string, page_id long, url string, digest string, refers_to long, payload_bytes long, part binary, payload binary"
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The segments of all records in a folder's archives; unsegmented ones are whole already and carry no bytes."""
+def read_records(spark: SparkSession, path: str, cut: bool) -> DataFrame:
+    """The records in a folder's archives: the segments with their blocks, or those that were never cut with their payloads."""
     files = spark.read.format("binaryFile").load(path).where(F.col("length") > 0).select("content")
 
-    def whole(block: bytes) -> tuple[int, str]:
-        payload = payload_of(block)
-        return len(payload), hashlib.sha256(payload).hexdigest()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in FIELDS.split(", ")]
         kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]] for f in FIELDS.split(", ")]
@@ -180,16 +176,19 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     number = lambda k, f=f: int(f[k]) if k in f else None
                     kind, segment = f["warc-type"], number("warc-segment-number")
                     origin = f.get("warc-segment-origin-id", f["warc-record-id"])
-                    size, part, digest = None, None, f.get("warc-payload-digest", "").removeprefix("sha256:") or None
+                    if (segment is not None) != cut:
+                        continue
+                    size, part, payload, digest = None, None, None, f.get("warc-payload-digest", "").removeprefix("sha256:") or None
                     if kind == "revisit":
                         size = int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", block)[1])
                     elif segment is None:
-                        size, found = whole(block)
-                        if found != digest:
+                        payload = payload_of(block)
+                        size = len(payload)
+                        if hashlib.sha256(payload).hexdigest() != digest:
                             raise ValueError(f"digest of {origin} differs")
                     else:
                         part = block
-                    rows.append((origin, segment or 1, number("warc-segment-total-length"), kind, number("x-page-id"), f.get("warc-target-uri"), digest, number("x-refers-to-page-id"), size, part))
+                    rows.append((origin, segment or 1, number("warc-segment-total-length"), kind, number("x-page-id"), f.get("warc-target-uri"), digest, number("x-refers-to-page-id"), size, part, payload))
                     if len(rows) >= 500:
                         yield batch_of(rows)
                         rows = []
@@ -210,22 +209,21 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     Segments are grouped by their origin's record id and put in order by number; their summed
     length must be the total that the last one states, and the payload, out of its chunked
-    framing, must have the stated digest. ``payload`` is null for records that were never cut.
-    Repeated records, with equal ids, give equal rows.
+    framing, must have the stated digest. Records that were never cut are whole
+    where they are read, and are not shuffled. ``payload`` is null for revisits alone, which hold
+    none; ``refers_to`` has the page with it. Repeated records, with equal ids, give equal rows.
     """
-    rows = read_records(spark, path)
+    whole = read_records(spark, path, False).select("page_id", "url", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", "payload")
+    rows = read_records(spark, path, True)
     parts = rows.groupBy("origin").agg(
         F.max("total").alias("total"),
         F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("segment", "part")))).alias("parts"),
-        F.collect_list(F.when(F.col("kind") != "continuation", F.struct("kind", "page_id", "url", "digest", "refers_to", "payload_bytes"))).alias("heads"),
+        F.collect_list(F.when(F.col("kind") != "continuation", F.struct("kind", "page_id", "url", "digest", "refers_to"))).alias("heads"),
     )
 
     def join(total: pd.Series, digest: pd.Series, segments: pd.Series, blocks: pd.Series, n_heads: pd.Series) -> pd.DataFrame:
         out = []
         for t, d, numbers, held, n in zip(total, digest, segments, blocks, n_heads, strict=True):
-            if not len(held):
-                out.append((None, None))
-                continue
             once = dict(zip(map(int, numbers), held, strict=True))
             block = b"".join(once[k] for k in sorted(once))
             if sorted(once) != list(range(1, len(once) + 1)) or len(held) != n * len(once) or len(block) != t:
@@ -238,6 +236,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     put = F.pandas_udf(join, "n long, payload binary")
     field = lambda k: F.transform("parts", lambda p: p[k])
-    whole = parts.withColumn("w", put("total", F.get("heads", F.lit(0))["digest"], field("segment"), field("part"), F.size("heads")))
-    one = whole.select(F.explode("heads").alias("h"), "w")
-    return one.select("h.page_id", "h.url", F.coalesce("h.payload_bytes", "w.n").alias("payload_bytes"), F.col("h.digest").alias("payload_digest"), F.col("h.kind").alias("record_type"), "h.refers_to", "w.payload")
+    joined = parts.withColumn("w", put("total", F.get("heads", F.lit(0))["digest"], field("segment"), field("part"), F.size("heads")))
+    one = joined.select(F.explode("heads").alias("h"), "w")
+    one = one.select("h.page_id", "h.url", F.col("w.n").alias("payload_bytes"), F.col("h.digest").alias("payload_digest"), F.col("h.kind").alias("record_type"), "h.refers_to", "w.payload")
+    return whole.unionByName(one)

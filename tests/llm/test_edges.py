@@ -126,3 +126,12 @@ def test_repair_replaces_all_frequent_pairs():
     assert (shard.range(49_990, 1_012) == ids[49_990:]).all()
     pairs = Counter((a, b) for a, b in zip(shard.seq[:-1].tolist(), shard.seq[1:].tolist(), strict=True) if a != b)
     assert max(pairs.values()) < 3
+
+
+def test_warc_payloads(spark):
+    """Whole, cut and empty pages come back with their bytes; only revisits hold none."""
+    html = {1: "<p>short</p>", 2: "é" * 30_000, 3: "", 4: "x" * 200, 5: "x" * 200}
+    path = shared_path(spark, "edge-warc")
+    warc.write_warc(spark.createDataFrame([(k, f"http://{k}", h) for k, h in html.items()], "page_id long, url string, html string"), path)
+    got = {r.page_id: None if r.payload is None else bytes(r.payload) for r in warc.read_warc(spark, path).collect()}
+    assert got == {k: None if k == 5 else h.encode() for k, h in html.items()}
