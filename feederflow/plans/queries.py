@@ -434,6 +434,10 @@ def third(load):
     return load.where("i % 3 = 0").select("n", "load_id")
 
 
+def everyone(load):
+    return load.select("n", "load_id")
+
+
 def small(spark, d):
     """A tenth of the forecast, which keeps every network within its limits."""
     return snapshot(spark, d).withColumns({c: F.col(c) * 0.1 for c in ("real_power_w", "reactive_power_var")})
@@ -448,13 +452,13 @@ def envelope_linear(spark, d):
 @query
 def envelope_uniform(spark, d):
     bus, load, branch, closure = grid(spark, d)
-    return env.envelope_search(closure, branch, bus, load, small(spark, d), third(load)).drop("t")
+    return env.envelope_search(closure, branch, bus, load, small(spark, d), everyone(load)).drop("t")
 
 
 @query
 def envelope_nearest_first(spark, d):
     bus, load, branch, closure = grid(spark, d)
-    return env.envelope_search(closure, branch, bus, load, small(spark, d), third(load), "nearest", prices(spark, d)).drop("t")
+    return env.envelope_search(closure, branch, bus, load, small(spark, d), everyone(load), "nearest", prices(spark, d)).drop("t")
 
 
 @query
@@ -465,7 +469,7 @@ def envelope_thermal(spark, d):
     calm = spark.range(1).select(F.lit(SNAPSHOT).cast("timestamp_ntz").alias("t"), F.lit(20.0).alias("theta_a"))
     allowed = th.max_current_for_hotspot(hot, calm, params(spark)).withColumnRenamed("tx_id", "branch_id")
     limits = allowed.join(branch.select("n", "branch_id", "i_base_a"), "branch_id").select("n", "t", "branch_id", (F.col("i_max_a") / F.col("i_base_a")).alias("i_max_pu"))
-    return env.envelope_search(closure, branch, bus, load, small(spark, d), third(load), limits=limits).drop("t")
+    return env.envelope_search(closure, branch, bus, load, small(spark, d), everyone(load), limits=limits).drop("t")
 
 
 @query
@@ -474,7 +478,7 @@ def multistep_envelopes(spark, d):
     bus, load, branch, closure = grid(spark, d)
     hour = F.explode(F.sequence(F.lit(0), F.lit(2)))
     steps = small(spark, d).withColumn("k", hour).select("load_id", (F.col("t") + F.make_dt_interval(hours=F.col("k"))).alias("t"), (F.col("real_power_w") * (1 + F.col("k") / 4)).alias("real_power_w"), "reactive_power_var")
-    return env.multistep_envelopes(closure, branch, bus, load, steps, third(load), hourly_ambient(spark, d), params(spark))["envelope"]
+    return env.multistep_envelopes(closure, branch, bus, load, steps, everyone(load), hourly_ambient(spark, d), params(spark))["envelope"]
 
 
 @query

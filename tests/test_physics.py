@@ -171,7 +171,7 @@ def largest_uniform(bus, load, branch, given, people, cap=50.0):
                     b = to[x]
                     lost[x] = (p[x] ** 2 + q[x] ** 2) / v[b.from_bus]
                     v[x] = v[b.from_bus] - 2 * (b.r_pu * p[x] + b.x_pu * q[x]) + (b.r_pu**2 + b.x_pu**2) * lost[x]
-                if min(v.values()) <= 0:
+                if min(v.values()) <= 0 or max(lost.values()) > 1e6:
                     return False
             inside = all(limits[x].v_min_pu**2 <= v[x] <= limits[x].v_max_pu**2 for x in order[1:])
             return inside and all(lost[x] <= to[x].i_max_pu**2 for x in order[1:] if to[x].i_max_pu is not None)
@@ -199,7 +199,7 @@ def test_registered_envelope_is_the_largest_feasible(spark):
     bus, load, branch = bus.collect(), load.collect(), branch.collect()
     given = {r.load_id: (r.real_power_w, r.reactive_power_var) for r in q.small(spark, d).collect()}
     want = largest_uniform(bus, load, branch, given, {r.load_id for r in got})
-    assert got and all(r.feasible for r in got)
+    assert all(r.feasible for r in got) and sorted(r.load_id for r in got) == sorted(given)
     found = {r.n: (-r.lb_kw, r.ub_kw) for r in got}
     for n, sides in want.items():
         for kw, most in zip(found[n], sides):
