@@ -415,7 +415,7 @@ def hotspot_check(spark, d):
 
 @query
 def max_current_for_hotspot(spark, d):
-    at = hourly_ambient(spark, d).where("hour(t) = 12")
+    at = hourly_ambient(spark, d)
     s = states(spark, d).withColumn("_k", F.lit(1)).join(at.select("t", F.lit(1).alias("_k")), "_k").drop("_k")
     return th.max_current_for_hotspot(s, at, params(spark))
 

@@ -204,3 +204,16 @@ def test_registered_envelope_is_the_largest_feasible(spark):
     for n, sides in want.items():
         for kw, most in zip(found[n], sides):
             assert most - 50 / 16**3 - 1e-4 <= kw <= most + 1e-4, (n, found[n], sides)
+
+
+def test_allowed_currents_of_all_hours(spark):
+    import os
+
+    from feederflow.plans import queries as q
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    got = {(r.tx_id, r.t) for r in q.QUERIES["max_current_for_hotspot"](spark, d).collect()}
+    hours = [r.t for r in q.hourly_ambient(spark, d).collect()]
+    assert got == {(s.tx_id, t) for s in q.states(spark, d).collect() for t in hours}
