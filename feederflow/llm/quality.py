@@ -19,24 +19,37 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 @dataclass(frozen=True)
 class Rule:
-    """A measure (SQL over the counts) and how far from a group's median it may lie.
+    """A measure, ``count / per``, and where a group's fences lie.
 
-    ``reach`` counts distances from the median to the upper (lower) quartile; ``least`` is the
-    smallest such distance, so that a group without spread does not reject its ordinary rows.
+    The upper fence is ``reach`` spreads above the quantile ``at``. The spread is that quantile's
+    distance from the median, or, for a two-sided rule, half the distance between the quantiles
+    1 - ``at`` and ``at``, with fences ``reach`` spreads to both sides of the median. ``at`` says
+    how large a share of a group may be junk: beyond it junk sets the fence. ``unit`` counts are allowed
+    beyond the fence, so that a group without spread does not reject a text for one symbol.
     """
 
     name: str
-    measure: str
-    least: float
-    reach: float = 6.0
-    low: bool = False
+    count: str
+    per: str
+    at: float
+    reach: float
+    unit: int = 0
+    two_sided: bool = False
+
+    @property
+    def quantiles(self) -> tuple[float, ...]:
+        return (1 - self.at, 0.5, self.at) if self.two_sided else (0.5, self.at)
+
+    @property
+    def measure(self) -> str:
+        return f"cast({self.count} as double) / {self.per}"
 
 
 RULES = (
-    Rule("symbols", "n_symbols / n_words", 0.025),
-    Rule("repeats", "n_repeat_words / n_words", 0.08),
-    Rule("dup_lines", "n_dup_lines / n_lines", 0.1),
-    Rule("word_length", "word_chars / n_words", 0.25, low=True),
+    Rule("symbols", "n_symbols", "n_words", at=0.75, reach=1.0, unit=1),
+    Rule("repeats", "n_repeat_words", "n_words", at=0.99, reach=2.0, unit=1),
+    Rule("dup_lines", "n_dup_lines", "n_lines", at=0.99, reach=1.5, unit=1),
+    Rule("word_length", "word_chars", "n_words", at=0.9, reach=6.0, two_sided=True),
 )
 
 
@@ -80,39 +93,45 @@ def repeated(words: Words, width: int = 3) -> np.ndarray:
     return total[words.offsets[1:]] - total[words.offsets[:-1]]
 
 
-def fences(measured: DataFrame, rules: tuple[Rule, ...], least_rows: int) -> DataFrame:
-    """Bounds for each language and source, from KLL sketches of the rows that pass the base rules.
+def fences(measured: DataFrame, rules: tuple[Rule, ...], prior_rows: float) -> DataFrame:
+    """(lang, source, n, fence): bounds of each group, from KLL sketches of the rows that pass the base rules.
 
-    Sketches merge: those of small groups (under ``least_rows``) give way to their language's,
-    and that to all rows', both merged from the groups' without reading rows again.
+    Sketches merge: a language's and that of all rows are merged from the groups', without reading
+    rows again. A group's quantiles are averaged with its language's, which counts like ``prior_rows``
+    rows, and a language's likewise with all rows': a small group follows the wider sketch, a large one its own.
     """
-    sketch = [F.kll_sketch_agg_double(F.expr(f"cast({r.measure} as double)")).alias(r.name) for r in rules]
+    names = [r.name for r in rules]
+    sketch = [F.kll_sketch_agg_double(F.expr(r.measure)).alias(r.name) for r in rules]
     own = stored(measured.where("not base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *sketch), "quality-sketches")
-    merged = [F.kll_merge_agg_double(r.name).alias(r.name) for r in rules]
-    up = own.groupBy("lang").agg(F.sum("n").alias("n"), *merged).select(F.lit(1).alias("level"), "lang", F.lit(None).cast("string").alias("source"), "n", *[r.name for r in rules])
-    top = own.agg(F.sum("n").alias("n"), *merged).select(F.lit(2).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), "n", *[r.name for r in rules])
-    levels = own.select(F.lit(0).alias("level"), "lang", "source", "n", *[r.name for r in rules]).unionByName(up).unionByName(top)
-    bounds = []
+    merged = [F.kll_merge_agg_double(x).alias(x) for x in names]
+
+    def at(df: DataFrame, *keys: str) -> DataFrame:
+        quantiles = [F.kll_sketch_get_quantile_double(r.name, F.lit(q)) for r in rules for q in r.quantiles]
+        return df.where("n > 0").select(*keys, "n", F.array(*quantiles).alias("q"))
+
+    every = at(own.agg(F.sum("n").alias("n"), *merged)).select(F.col("q").alias("all_q"))
+    langs = at(own.groupBy("lang").agg(F.sum("n").alias("n"), *merged), "lang").select(F.col("lang").alias("_lang"), F.col("n").alias("lang_n"), F.col("q").alias("lang_q"))
+    near = lambda n, q, wide: F.zip_with(q, wide, lambda x, y: (F.col(n) * x + prior_rows * y) / (F.col(n) + prior_rows))
+    joined = at(own, "lang", "source").join(langs, F.col("lang").eqNullSafe(F.col("_lang"))).join(F.broadcast(every), F.lit(True))  # one row
+    shrunk = joined.select("lang", "source", "n", near("n", F.col("q"), near("lang_n", F.col("lang_q"), F.col("all_q"))).alias("q"))
+    bounds, k = [], 0
     for r in rules:
-        q1, q2, q3 = (F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(r.name, F.lit(q))) for q in (0.25, 0.5, 0.75))
-        bounds.append((q2 + r.reach * F.greatest(q3 - q2, F.lit(r.least))).alias(f"{r.name}_max"))
-        if r.low:
-            bounds.append((q2 - r.reach * F.greatest(q2 - q1, F.lit(r.least))).alias(f"{r.name}_min"))
-    found = levels.select("level", "lang", "source", "n", F.struct(*bounds).alias("fence"))
-    groups = measured.select("lang", "source").distinct()
-    a, b, c = (found.where(F.col("level") == k).alias(f"l{k}") for k in range(3))
-    same = lambda x, y, k: F.col(f"{x}.{k}").eqNullSafe(F.col(f"{y}.{k}"))
-    out = groups.alias("g").join(a, same("g", "l0", "lang") & same("g", "l0", "source"), "left").join(b, same("g", "l1", "lang"), "left").join(F.broadcast(c), F.lit(True), "left")  # one row
-    enough = lambda k: F.when(F.col(f"l{k}.n") >= least_rows, F.col(f"l{k}.fence"))
-    return out.select("g.lang", "g.source", F.coalesce(enough(0), enough(1), F.col("l2.fence")).alias("fence"))
-
-
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", rules: tuple[Rule, ...] = RULES, least_words: int = 50, most_repeats: float = 0.5, least_rows: int = 100) -> DataFrame:
-    """Counts and a verdict for each document: (id, counts, ``base_failed``, ``kept``).
+        q = [F.get("q", F.lit(k + j)) for j in range(len(r.quantiles))]
+        k += len(q)
+        if r.two_sided:
+            spread = r.reach * (q[2] - q[0]) / 2
+            bounds += [(q[1] + spread).alias(f"{r.name}_max"), (q[1] - spread).alias(f"{r.name}_min")]
+        else:
+            bounds.append((q[1] + r.reach * (q[1] - q[0])).alias(f"{r.name}_max"))
+    return shrunk.select("lang", "source", "n", F.struct(*bounds).alias("fence"))
+
+
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", rules: tuple[Rule, ...] = RULES, least_words: int = 50, most_repeats: float = 0.5, prior_rows: float = 200.0) -> DataFrame:
+    """Counts and a verdict for each document: (id, counts, ``base_failed``, ``kept``, ``broken``).
 
     ``base_failed``: fewer than ``least_words`` words, or over ``most_repeats`` of them in
     repeated 3-word windows. Others are kept if every measure lies within the fences of their
-    language and source (see ``fences``).
+    language and source (see ``fences``); ``broken`` names the rules whose fences they are beyond.
 
     Null or empty text has no words and fails; null languages or sources are groups of their
     own; a null id stays null; repeated rows get a row each, with equal verdicts. Other columns
@@ -123,13 +142,14 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted = rows.mapInArrow(measure, f"_row {row}, " + ", ".join(f"{c} long" for c in COUNTS))
     failed = F.expr(f"n_words < {least_words} or n_repeat_words > {most_repeats} * n_words")
     measured = stored(counted.select("_row.*", *COUNTS).withColumn("base_failed", failed), "quality-counts")
-    bounds = fences(measured, rules, least_rows)
+    bounds = fences(measured, rules, prior_rows).drop("n")
     joined = measured.alias("m").join(bounds.alias("f"), F.col("m.lang").eqNullSafe(F.col("f.lang")) & F.col("m.source").eqNullSafe(F.col("f.source")), "left")
-    inside = F.lit(True)
+    broken = []
     for r in rules:
-        value = F.expr(f"cast({r.measure} as double)")
-        inside = inside & (value <= F.col(f"f.fence.{r.name}_max"))
-        if r.low:
-            inside = inside & (value >= F.col(f"f.fence.{r.name}_min"))
-    verdict = F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(inside, F.lit(True)))
-    return joined.select(F.col("m.id").alias(id_col), *[F.col(f"m.{c}") for c in COUNTS[:-1]], "base_failed", verdict.alias("kept"))
+        count, per = F.col(f"m.{r.count}"), F.col(f"m.{r.per}")
+        out = count > F.col(f"f.fence.{r.name}_max") * per + r.unit
+        if r.two_sided:
+            out = out | (count < F.col(f"f.fence.{r.name}_min") * per - r.unit)
+        broken.append(F.when(out & ~F.col("base_failed"), F.lit(r.name)))
+    found = joined.withColumn("broken", F.array_compact(F.array(*broken)))
+    return found.select(F.col("m.id").alias(id_col), *[F.col(f"m.{c}") for c in COUNTS[:-1]], "base_failed", (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"), "broken")
