@@ -8,11 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from feederflow.llm.shared import slices, texts
+from feederflow.llm.shared import slices, stored, texts
 from feederflow.llm.tokens import crc, encoder
 
-SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+SCHEMA = f"{PIECES}, sequence_id long, offset long"
 
 
 class Bins:
@@ -46,11 +48,12 @@ class Bins:
 def pack_lengths(lengths: np.ndarray, size: int, max_docs: int, max_cost: float, weights=(1.0, 0.05, 0.05), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each item of at most ``size`` tokens, the longest placed first.
 
-    An item demands its tokens, one document and its squared length, the cost of attention.
+    An item demands its tokens, one document and its squared length, the cost of attention. One
+    that takes all tokens, or as much as the whole cost or more, has a bin of its own.
     """
     capacity = np.array([size, max_docs, max_cost], float)
     bin_of, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    full = lengths == size
+    full = (lengths == size) | (lengths.astype(float) ** 2 >= max_cost)
     bin_of[full] = np.arange(full.sum())
     bins, base = Bins(capacity, np.array(weights, float), rule), int(full.sum())
     rest = np.flatnonzero(~full)
@@ -61,47 +64,64 @@ def pack_lengths(lengths: np.ndarray, size: int, max_docs: int, max_cost: float,
     return bin_of, offset
 
 
-def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, end_id: int = 1, max_docs: int = 4096, max_cost: float | None = None, rule: str = "norm", group: int = 20_000) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, end_id: int = 1, max_docs: int = 4096, max_cost: float | None = None, rule: str = "norm", group: int = 20_000, max_parts: int = 20_000) -> DataFrame:
     """Pack documents (their ids, then ``end_id``) into sequences of at most ``size`` tokens.
 
     Only longer documents are cut, into pieces of ``size``; the last may be shorter. A
     sequence holds at most ``max_docs`` pieces and a summed squared length of ``max_cost``
-    (null: ``size`` squared, which never binds before the tokens do). Each task packs its own
-    rows in groups of about ``group`` pieces, so nothing is shuffled and memory does not grow
-    with the input; a group leaves a sequence or two partly filled.
+    (null: ``size`` squared, which never binds before the tokens do); a piece that costs more by itself is
+    alone. Tasks encode their rows and deal the pieces (numbers, no texts or ids) out evenly to groups of about
+    ``group``, whatever the rows' partitions; each group is packed by itself and leaves a
+    sequence or two partly filled. Beyond ``max_parts`` groups a task packs several, one after the other.
 
     Null or empty text is the end id alone; a null id stays null. Repeated rows are packed once
     each. Other columns are not read. An empty table gives an empty table.
     """
     cost = float(size) ** 2 if max_cost is None else float(max_cost)
-    if cost < float(size) ** 2 or max_docs < 1:
-        raise ValueError("a full piece must fit a sequence: max_cost >= size ** 2, max_docs >= 1")
+    if cost < 1 or max_docs < 1:
+        raise ValueError("max_cost and max_docs: 1 or more")
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, base = encoder(tokenizer), TaskContext.get().partitionId() << 40
-        held: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, slot = encoder(tokenizer), TaskContext.get().partitionId() * 7_919
+        for batch in (part for whole in batches for part in slices(whole)):
+            ids, bounds = encode(batch.column("text"))
+            # the end id after each document
+            ids, bounds = np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
+            n = np.diff(bounds)
+            pieces = -(-n // size)
+            own = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * size
+            length = np.minimum(size, n[own] - start)
+            begin = bounds[own] + start
+            sums = [crc(ids[a:b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(own)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(slot + np.arange(len(own)))], [*names[:5], "slot"])
+            slot += len(own)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 40
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal base
-            columns = list(zip(*held, strict=True))
-            lengths = np.array(columns[3], np.int64)
-            bin_of, offset = pack_lengths(lengths, size, max_docs, cost, rule=rule)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            out = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)] + [pa.array(bin_of + base), pa.array(offset)]
+            bin_of, offset = pack_lengths(np.concatenate([b.column("length").to_numpy() for b in held]), size, max_docs, cost, rule=rule)
+            at = 0
+            for b in held:
+                to = slice(at, at + b.num_rows)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bin_of[to] + base), pa.array(offset[to])], names)
+                at += b.num_rows
             base += int(bin_of.max()) + 1
             held.clear()
-            return pa.RecordBatch.from_arrays(out, [c.split()[0] for c in SCHEMA.split(", ")])
 
-        for batch in (part for whole in batches for part in slices(whole)):
-            ids, bounds = encode(batch.column("text"))
-            for doc, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                own = np.append(ids[a:b], np.uint32(end_id))
-                for piece, at in enumerate(range(0, len(own), size)):
-                    part = own[at : at + size]
-                    held.append((doc, piece, at, len(part), crc(part)))
-                if len(held) >= group:
-                    yield flush()
-        if held:
-            yield flush()
-
-    return texts(df, id_col, text_col).mapInArrow(run, SCHEMA)
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= 2 * group:
+                yield from flush()
+        if any(b.num_rows for b in held):
+            yield from flush()
+
+    pieces = stored(texts(df, id_col, text_col).mapInArrow(cut, f"{PIECES}, slot long"), "packing-pieces")
+    parts = max(1, min(max_parts, -(-pieces.count() // group)))
+    dealt = pieces.repartitionById(parts, F.pmod("slot", F.lit(parts)).cast("int"))
+    return dealt.select(*names[:5]).mapInArrow(fill, SCHEMA)
