@@ -12,11 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feederflow.llm.shared import SPACE, renamed, stored, texts
+from feederflow.llm.shared import SPACE, fresh, renamed, stored, texts
 
 _STRIP = SPACE.encode()
 #: Slots of a filter that travel as one row, and probes of a key.
 SEGMENT, PROBES = 1 << 20, 2
+#: Parts that the marks of one line are dealt to where they are joined.
+SALTS = 16
 
 
 def _key(line: bytes, least: int) -> bytes | None:
@@ -96,7 +98,7 @@ def repeat_filter(rows: DataFrame, min_chars: int, max_slots: int) -> tuple[np.n
     return out, size
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, keep: str = "max", max_slots: int = 1 << 26) -> DataFrame:
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, keep: str = "max", max_slots: int = 1 << 26, max_keys: int = 1 << 18) -> DataFrame:
     r"""Drop lines that many documents share, but for one document each.
 
     A line's key is the line stripped of blanks and tab to carriage return, A-Z lower-cased.
@@ -104,6 +106,9 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     their lines only in the holder with the largest (``keep="max"``) or smallest
     (``"min"``) id. Adds ``n_lines``, ``n_dropped`` (long) and ``kept_text``.
 
+    Suspected lines alone are shuffled. Up to ``max_keys`` confirmed keys (24 bytes each) are sent to all tasks, which
+    cut their own rows in place; beyond that each document meets the marks of its lines in a join.
+
     Null or empty text: one empty line. A null id: the row stays as it is and does not count.
     Repeated rows of an id are one document, and all of them get the same lines dropped. Columns
     named like the added ones are replaced. An empty table gives an empty table.
@@ -130,30 +135,54 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     held = stored(rows.mapInArrow(suspects, "doc_id long, key binary, mark binary"), "line-suspects")
     pick = F.max if keep == "max" else F.min
     # the keys themselves confirm; equal marks of different keys are not to be expected in 2**64 keys
-    shared_keys = held.groupBy("key").agg(F.count_distinct("doc_id").alias("n_docs"), pick("doc_id").alias("keeper"), F.first("mark").alias("mark")).where(F.col("n_docs") >= min_docs)
-    gone = held.select("doc_id", "mark").join(shared_keys.select("mark", "keeper"), "mark").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("mark").alias("_gone"))
-    joined = df.withColumn("_key", F.col(f"`{id_col}`").cast("long")).join(gone.withColumnRenamed("doc_id", "_key"), "_key", "left").drop("_key")
-    added = F.pandas_udf(_without(min_chars), "n_lines long, n_dropped long, kept_text string")
-    return joined.withColumn("_cut", added(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "_gone")).select(*[F.col(f"`{c}`") for c in df.columns], "_cut.n_lines", "_cut.n_dropped", "_cut.kept_text")
-
-
-def _without(min_chars: int):
-    def cut(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
-        n_lines, n_dropped, kept = [], [], []
-        for t, marks in zip(text, gone, strict=True):
-            if marks is None:
-                n_lines.append(t.count("\n") + 1)
-                n_dropped.append(0)
-                kept.append(t)
-                continue
-            marks = {bytes(m) for m in marks}
-            lines = t.split("\n")
-            keys = [_key(x, min_chars) for x in t.encode().lower().split(b"\n")]
-            stay = [x for x, k in zip(lines, keys, strict=True) if k is None or xxhash.xxh3_128_digest(k) not in marks]
-            n_lines.append(len(lines))
-            n_dropped.append(len(lines) - len(stay))
-            kept.append("\n".join(stay))
-        return pd.DataFrame({"n_lines": n_lines, "n_dropped": n_dropped, "kept_text": kept})
-
-    cut.__annotations__ = {"text": pd.Series, "gone": pd.Series, "return": pd.DataFrame}
+    confirmed = held.groupBy("key").agg(F.count_distinct("doc_id").alias("n_docs"), pick("doc_id").alias("keeper"), F.first("mark").alias("mark")).where(F.col("n_docs") >= min_docs)
+    confirmed = stored(confirmed.select("mark", "keeper"), "line-confirmed")
+    text, doc = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.col(f"`{id_col}`").cast("long")
+    if confirmed.count() <= max_keys:
+        found = confirmed.toArrow()
+        keepers = spark.sparkContext.broadcast(dict(zip(found["mark"].to_pylist(), found["keeper"].to_pylist(), strict=True)))
+        added = F.arrow_udf(_without_kept(min_chars, keepers), ADDED)
+        joined, cut = df, added(text, doc)
+    else:
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+        marked = held.select("doc_id", "mark", salt.alias("salt"))
+        every = confirmed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        key, marks = fresh(df, "key", "marks")
+        gone = marked.join(every, ["mark", "salt"]).where("doc_id <> keeper").groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("mark").alias(marks))
+        joined = df.join(gone, doc == F.col(key), "left")
+        cut = F.arrow_udf(_without_marks(min_chars), ADDED)(text, F.col(marks))
+    (one,) = fresh(joined, "cut")
+    return joined.withColumn(one, cut).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(one)[c].alias(c) for c in ("n_lines", "n_dropped", "kept_text")])
+
+
+ADDED = "n_lines long, n_dropped long, kept_text string"
+
+
+def _cut(text: pa.Array, min_chars: int, dropped) -> pa.Array:
+    """The texts without the lines whose marks ``dropped(row, mark)`` tells to drop."""
+    n_lines, n_dropped, kept = [], [], []
+    for row, t in enumerate(text.to_pylist()):
+        lines = t.split("\n")
+        keys = [_key(x, min_chars) for x in t.encode().lower().split(b"\n")]
+        stay = [x for x, k in zip(lines, keys, strict=True) if k is None or not dropped(row, xxhash.xxh3_128_digest(k))]
+        n_lines.append(len(lines))
+        n_dropped.append(len(lines) - len(stay))
+        kept.append(t if len(stay) == len(lines) else "\n".join(stay))
+    return pa.StructArray.from_arrays([pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], ["n_lines", "n_dropped", "kept_text"])
+
+
+def _without_kept(min_chars: int, keepers):
+    def cut(text: pa.Array, doc: pa.Array) -> pa.Array:
+        own, of = doc.to_pylist(), keepers.value.get
+        # a row without an id keeps its lines
+        return _cut(text, min_chars, lambda row, mark: own[row] is not None and of(mark, own[row]) != own[row])
+
+    return cut
+
+
+def _without_marks(min_chars: int):
+    def cut(text: pa.Array, marks: pa.Array) -> pa.Array:
+        gone = [frozenset(x or ()) for x in marks.to_pylist()]
+        return _cut(text, min_chars, lambda row, mark: mark in gone[row])
+
     return cut
