@@ -56,7 +56,7 @@ def apportion(parties: DataFrame) -> DataFrame:
     return won.groupBy("shard", "source").agg((F.first("_low") + F.sum("_won")).alias("quota"))
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 64, rows_per_shard: int = 50_000, seed: int = 42) -> DataFrame:
+def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 64, rows_per_shard: int = 10_000, seed: int = 42) -> DataFrame:
     """How many words of each document a mix with target weights takes.
 
     A document belongs to a shard by its id's hash. In a shard, each source's documents lie end
