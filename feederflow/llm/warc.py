@@ -13,7 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feederflow.llm.shared import stored
+
 VERSION, END = b"WARC/1.1\r\n", b"\r\n\r\n"
+#: Parts that pages of one digest are dealt to.
+SALTS = 16
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # for URLs, RFC 4122
 
 
@@ -75,13 +79,14 @@ def records(page_id: int | None, url: str, payload: bytes, digest: str, kind: st
     return out
 
 
-def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, segment: int = 16_384, chunk: int = 4_096, records_per_file: int = 50_000) -> None:
+def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, segment: int = 16_384, chunk: int = 4_096, file_bytes: int = 64 << 20) -> None:
     """A record for each page, in gzip-compressed WARC files in the folder ``path``.
 
     The payload is the html in UTF-8. Of the records with equal payloads of ``least`` bytes or
     more, the one with the smallest id is a response and the others are revisits; smaller ones are
     all responses. Responses have chunked framing and are cut into segments of about ``segment``
-    bytes; the records of a page follow each other in a file.
+    bytes; the records of a page follow each other in a file. Files end after as many records as
+    hold ``file_bytes`` at the table's mean page size.
 
     Null html or url is empty. A null id is written without its field: such a page is never the one
     that others refer to, unless it alone holds the payload. Repeated rows are written each:
@@ -90,9 +95,16 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     """
     pages = df.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
     pages = pages.withColumn("digest", F.sha2(F.col("html"), 256))
-    copies = pages.where(F.octet_length("html") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1").select("digest", "first")
+    # the digests without the pages, so that many copies of one page are counted and not gathered
+    marks = stored(pages.select("page_id", "digest", F.octet_length("html").alias("size")), "warc-digests")
+    n, total = marks.agg(F.count(F.lit(1)), F.sum("size")).head()
+    records_per_file = max(1, file_bytes * n // max(1, total or 0)) if n else 1
+    copies = marks.where(F.col("size") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1").select("digest", "first")
+    # pages of one digest are dealt to several tasks
+    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pages = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    rows = pages.join(copies, "digest", "left").select("page_id", "url", "html", "digest", revisit.alias("again"), F.when(revisit, F.col("first")).alias("refers"))
+    rows = pages.join(copies, ["digest", "salt"], "left").select("page_id", "url", "html", "digest", revisit.alias("again"), F.when(revisit, F.col("first")).alias("refers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +115,7 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()).cast(pa.string())], ["record"])
 
     # every record ends in two line breaks, which the text writer sets after each row
-    rows.mapInArrow(run, "record string").write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    rows.mapInArrow(run, "record string").write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", min(records_per_file, (1 << 31) - 1)).text(path)
 
 
 def parse(data: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
