@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feederflow.llm.shared import Words, mix, shingles, stored, texts
+from feederflow.llm.shared import Words, mix, shingles, slices, stored, texts
 
 WORDS = 2  # of 64 bits each in a fingerprint
 
@@ -51,67 +53,82 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - np.bitwise_count(a ^ b).sum(1) / (64.0 * WORDS)
 
 
-def neighbour_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_part: int = 10_000) -> DataFrame:
+PAIRED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Rows of a part that also wait for, or serve, a neighbouring part.
+INNER, LAST, HEAD = 0, 1, 2
+
+
+def paired(docs: list[int | None], own: list[str], after: list[str]) -> pa.RecordBatch:
+    """The ``PAIRED`` columns of texts and the texts that follow them."""
+    cut = [len(x) - len(x) // 4 for x in own]
+    changed = [x[:k] + y[: len(x) - k] for x, y, k in zip(own, after, cut, strict=True)]
+    # in order, a text's follower is the next text
+    chain = all(x is y for x, y in zip(own[1:], after[:-1], strict=True))
+    prints = fingerprints(pa.array([*own, after[-1]] if chain else own + after, pa.string()))
+    ours, theirs = prints[: len(own)], prints[1:] if chain else prints[len(own) :]
+    other = fingerprints(pa.array(changed, pa.string()))
+    fields = [pa.array(docs, pa.int64()), pa.array([len(x) for x in own], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in changed]), pa.array(hexed(ours)), pa.array(hexed(other)), pa.array(likeness(ours, other)), pa.array(likeness(ours, theirs))]
+    return pa.RecordBatch.from_arrays(fields, [f.split()[0] for f in PAIRED.split(", ")])
+
+
+def neighbour_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_part: int = 10_000, part_bytes: int = 32 << 20) -> DataFrame:
     """Fingerprints of each text, of its edited form and of the next text.
 
     The edited text has its last quarter (floor) of code points replaced by as many from the start
     of the next document (by ascending id; after the last comes the first), or all of them if it
-    has fewer. Documents are dealt out by ranges of their id, with each range's first document
-    sent also to the range before it, so that texts move once. Returns (id, ``n_chars``,
-    ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``).
+    has fewer. Documents are sorted by ranges of their id, of about ``rows_per_part`` rows or
+    ``part_bytes`` bytes, so texts move once. A range's last document meets the first of the next
+    range in a join over these two texts a range. Returns (id, ``n_chars``, ``edited_sha256``,
+    ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``).
 
-    Null text is empty; null ids come first; equal ids follow each other by text, and equal rows
-    get a row each. Other columns are not read. An empty table gives an empty table.
+    Null text is empty; null ids come first; rows with equal ids follow each other as the table
+    has them, and get a row each. Other columns are not read. An empty table gives an empty table.
     """
-    rows = texts(df, id_col, text_col).withColumn("place", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    spark = df.sparkSession
-    n = rows.select("place").count()
-    parts = max(1, -(-n // rows_per_part))
-    # as many numbers as there are parts
-    cuts = sorted(set(rows.agg(F.percentile_approx("place", [k / parts for k in range(1, parts)], 100_000)).head()[0] or [])) if parts > 1 else []
-    part_of = F.lit(0)
-    if cuts:
-        part_of = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= F.col("place")))
-    rows = rows.withColumn("part", part_of.cast("int"))
-    firsts = sorted((r.part, r.first) for r in rows.groupBy("part").agg(F.min("place").alias("first")).collect())  # one row a part
-    if not firsts:
-        goes_to = F.lit(None).cast("int")
-    else:
-        pairs = [(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]
-        goes_to = F.element_at(F.create_map(*[F.lit(x).cast(t) for p in pairs for x, t in zip(p, ("bigint", "int"), strict=True)]), F.col("place"))
-    own = F.struct(F.col("part"), F.lit(False).alias("guest"))
-    guest = F.struct(goes_to.alias("part"), F.lit(True).alias("guest"))
-    dealt = rows.withColumn("to", F.explode(F.when(goes_to.isNull(), F.array(own)).otherwise(F.array(own, guest)))).select("to.part", "to.guest", "place", "doc_id", "text")
-    dealt = dealt.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("guest", "place", "text").select("doc_id", "guest", "text")
-
-    def edited(text: str, after: str) -> str:
-        k = len(text) // 4
-        return text[: len(text) - k] + after[:k]
-
-    def emit(docs: list[int], own: list[str], after: list[str]) -> pa.RecordBatch:
-        changed = [edited(a, b) for a, b in zip(own, after, strict=True)]
-        prints = fingerprints(pa.array([*own, after[-1]], pa.string()))
-        other = fingerprints(pa.array(changed, pa.string()))
-        fields = [pa.array(docs, pa.int64()), pa.array([len(x) for x in own], pa.int64()), pa.array(changed, pa.string()), pa.array(hexed(prints[:-1])), pa.array(hexed(other)), pa.array(likeness(prints[:-1], other)), pa.array(likeness(prints[:-1], prints[1:]))]
-        return pa.RecordBatch.from_arrays(fields, ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+    rows = texts(df, id_col, text_col)
+    n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).head()
+    parts = max(1, -(-n // rows_per_part), -(-(size or 0) // part_bytes))
+    # the row's place in the table parts even an id that a third of all rows have
+    ordered = [F.col("doc_id").asc_nulls_first(), F.col("row")]
+    dealt = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *ordered).sortWithinPartitions(*ordered)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, held, ended = [], [], False
+        part, first = TaskContext.get().partitionId(), None
+        docs: list[int | None] = []
+        held: list[str] = []
+
+        def edge(kind: int, doc: int | None, text: str) -> pa.RecordBatch:
+            columns = [pa.array([doc], pa.int64()), *(pa.nulls(1, k) for k in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([text], pa.string())], names)
+
+        names = [f.split()[0] for f in f"{PAIRED}, part int, edge int, edge_text string".split(", ")]
+        for batch in (x for whole in batches for x in slices(whole, rows=1_000)):
+            docs += batch.column("doc_id").to_pylist()
+            held += batch.column("text").to_pylist()
+            if first is None:
+                first = held[0]
+                yield edge(HEAD, docs[0], first)
+            if len(held) > 1:
+                got = paired(docs[:-1], held[:-1], held[1:])
+                k = got.num_rows
+                yield pa.RecordBatch.from_arrays([*got.columns, pa.array([part] * k, pa.int32()), pa.array([INNER] * k, pa.int32()), pa.nulls(k, pa.string())], names)
+                docs, held = docs[-1:], held[-1:]
+        if held:
+            yield edge(LAST, docs[0], held[0])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1_000):
-                part = batch.slice(k, 1_000)
-                for doc, is_guest, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if is_guest and ended:
-                        continue
-                    ended = is_guest
-                    docs.append(doc)
-                    held.append(text)
-                if len(held) > 1:
-                    yield emit(docs[:-1], held[:-1], held[1:])
-                    docs, held = docs[-1:], held[-1:]
-
-    out = dealt.mapInArrow(run, "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return out.select(F.col("doc_id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+            if batch.num_rows:
+                yield paired(*(c.to_pylist() for c in batch.columns))
+
+    made = stored(dealt.select("doc_id", "text").mapInArrow(run, f"{PAIRED}, part int, edge int, edge_text string"), "simhash-pairs")
+    heads = made.where(F.col("edge") == HEAD).select("part", "edge_text")
+    # one number for each part
+    order = Window.orderBy("part")
+    nexts = heads.select("part", F.coalesce(F.lead("part").over(order), F.min("part").over(Window.partitionBy())).alias("next"))
+    lasts = made.where(F.col("edge") == LAST).select("part", "doc_id", F.col("edge_text").alias("text")).join(nexts, "part")
+    ends = lasts.join(heads.select(F.col("part").alias("next"), F.col("edge_text").alias("after")), "next").select("doc_id", "text", "after").mapInArrow(meet, PAIRED)
+    inner = made.where(F.col("edge") == INNER).select(*ends.columns)
+    return inner.unionByName(ends).withColumnRenamed("doc_id", id_col)
 
 
 def halves(fingerprint: Column) -> list[Column]:
@@ -177,11 +194,10 @@ def count_near(docs: DataFrame, radius: int = 15, every: int = 20, close: int =
     fingerprint too, by the classes that ``near_links`` leads to; ``n_near`` that of distinct other
     fingerprints within ``close``. Of words replaced in a text of 200 to 400 words, 15 bits hold
     nearly all fingerprints of one or two and 9 in 10 of five. ``docs`` has (doc_id, fingerprint)
-    and more columns.
+    and more columns, and is read several times.
     """
     if close > radius:
         raise ValueError("close: at most radius")
-    docs = stored(docs, "simhash-docs")
     is_asked = asked_of(docs, every)
     asked = docs.where(is_asked)
     sizes = docs.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("size"))
