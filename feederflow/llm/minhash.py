@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feederflow.llm.shared import Words, mix, shingles, slices, stored, texts
+from feederflow.llm.shared import Words, discard, mix, shingles, slices, stored, texts
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Bits of the parity sketch of a set.
@@ -93,26 +93,34 @@ def _sets(width: int):
     return run
 
 
-def components(links: DataFrame, name: str) -> DataFrame:
+def components(links: DataFrame, name: str, hot: int = 1_000) -> DataFrame:
     """The smallest id that each linked id reaches: ``(id, root)``, by alternating large and small stars.
 
     Every round is a few grouped minima over the links, and its result is written to the
-    shared folder; the number of rounds grows with the logarithm of a component's size.
+    shared folder; the number of rounds grows with the logarithm of a component's size. Ids with
+    at least ``hot`` links and a 1,000th of all (2,000 ids at most) get their minimum by broadcast,
+    so that no id's links gather in one task.
     """
+    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).head())
     edges = stored(links.selectExpr("greatest(a, b) as u", "least(a, b) as v").where("u <> v").distinct(), name)
+    seen = mark(edges)
     while True:
         both = edges.union(edges.selectExpr("v as u", "u as v"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("c"))
+        many = F.col("c") >= max(hot, seen[0] // 1_000)
+        up = both.where("v > u").join(F.broadcast(least.where(many).select("u", F.col("m").alias("of_hot"))), "u", "left")
         # large star: larger neighbours of u hang on the least of u and all its neighbours
-        large = both.where("v > u").join(least, "u").selectExpr("v as u", "m as v").where("u <> v").distinct()
+        large = up.where("of_hot is not null").selectExpr("v as u", "of_hot as v").union(up.where("of_hot is null").join(least.where(~many), "u").selectExpr("v as u", "m as v"))
+        large = large.where("u <> v").distinct()
         # small star: smaller neighbours of u, and u, hang on the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         after = large.join(low, "u").selectExpr("explode(array(named_struct('u', u, 'v', m), named_struct('u', v, 'v', m))) as e").select("e.*").where("u <> v").distinct()
         after = stored(after, name)
-        mark = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).head()
-        if tuple(mark(after)) == tuple(mark(edges)):
+        now = mark(after)
+        if now == seen:
             return after.selectExpr("u as id", "v as root")
-        edges = after
+        discard(edges)
+        edges, seen = after, now
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 42, rows: int = 6) -> DataFrame:
