@@ -19,40 +19,47 @@ MAGIC, HEADER = b"RPG2", "<4sIQIIQII"  # magic, first nonterminal, ids, document
 STRIDE, TABLE = 1024, 22
 
 
-def compress(ids: np.ndarray, first: int, rounds: int | None, pairs: int, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, first: int, rounds: int | None = None, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """The symbols left, and the rules (left, right) of nonterminals ``first``, ``first + 1``, ...
 
-    Each round counts neighbouring pairs exactly (a hash table only sets aside those that cannot
-    occur ``least`` times), and replaces the most frequent ones: ``pairs`` of them at first, twice
-    as many each round. Where two overlap, the more frequent one is replaced. The rounds end when
-    no pair occurs ``least`` times without overlap, or after ``rounds`` if that is given.
+    Neighbouring pairs are replaced in classes of frequency, each half of the one before: a round counts the
+    pairs of its class exactly and replaces them all; where two overlap, the more frequent one
+    is replaced. The rounds end when no pair occurs ``least`` times without overlap, or after ``rounds`` if that is given.
+
+    Every place has a bound of its pair's count, first from a hash table. A pair gains no occurrence after
+    the round that made its newer symbol, so bounds hold, and a round looks at the places in its class alone.
     """
-    seq, rules, n_rules, most = ids.astype(np.uint32), [], 0, pairs
+    seq, rules, n_rules = ids.astype(np.uint32), [], 0
+    bound = bounded(seq, np.arange(max(0, len(seq) - 1)))
+    bound = np.append(bound, np.zeros(len(seq) - len(bound), np.int32))
+    floor = max(least, int(bound.max(initial=0)))
     while len(seq) > 1 and (rounds is None or len(rules) < rounds):
-        a, b = seq[:-1], seq[1:]
-        h = (a * np.uint32(0x9E3779B1) ^ (b * np.uint32(0x85EBCA77) + (a >> np.uint32(7)))) >> np.uint32(32 - TABLE)
-        open_ = np.bincount(h, minlength=1 << TABLE)[h] >= least
-        same = np.flatnonzero(a == b)
-        if len(same):
-            # of a run of one symbol, every other pair
-            fresh = np.ones(len(same), bool)
-            fresh[1:] = same[1:] != same[:-1] + 1
-            begin = np.maximum.accumulate(np.where(fresh, np.arange(len(same)), 0))
-            open_[same[(np.arange(len(same)) - begin) % 2 == 1]] = False
-        at = np.flatnonzero(open_)
-        codes, own, seen = np.unique((a[at].astype(np.uint64) << np.uint64(32)) | b[at], return_inverse=True, return_counts=True)
-        if not len(codes) or seen.max() < least:
-            break
-        bar = max(least, int(np.partition(seen, -most)[-most])) if most < len(seen) else least
-        most *= 2
+        at = np.flatnonzero(bound >= floor)
+        if not len(at):
+            if floor == least:
+                break
+            # the next class that has places
+            floor = max(least, min(floor // 2, int(bound.max())))
+            continue
+        code = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        counted = alternating(at, code)
+        codes, own, seen = np.unique(code[counted], return_inverse=True, return_counts=True)
+        bound[at[counted]] = seen[own]
+        if not counted.all():
+            bound[at[~counted]] = seen[np.searchsorted(codes, code[~counted])]
+        at = at[counted]
         # the place in order of frequency, so that the most frequent pair always wins
         rank = np.empty(len(codes), np.int64)
-        rank[np.argsort(seen, kind="stable")] = np.arange(1, len(codes) + 1)
-        good = seen[own] >= bar
+        rank[np.argsort(seen, kind="stable")] = np.arange(len(codes))
+        good = seen[own] >= floor
         at, own = at[good], own[good]
-        weight = np.zeros(len(seq) + 1, np.int64)
-        weight[at + 1] = rank[own]
-        keep = (weight[at + 1] >= weight[at]) & (weight[at + 1] >= weight[at + 2 - (at + 2 > len(seq))])
+        if not len(at):
+            continue
+        near = at[1:] == at[:-1] + 1
+        r = rank[own]
+        keep = np.ones(len(at), bool)
+        keep[1:] &= ~near | (r[1:] >= r[:-1])
+        keep[:-1] &= ~near | (r[:-1] >= r[1:])
         at, own = at[keep], own[keep]
         times = np.bincount(own, minlength=len(codes))
         used = np.flatnonzero(times >= least)
@@ -62,14 +69,40 @@ def compress(ids: np.ndarray, first: int, rounds: int | None, pairs: int, least:
         at, own = at[good], own[good]
         rules.append(np.stack((codes[used] >> np.uint64(32), codes[used] & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
         n_rules += len(used)
-        seq = seq.copy()
         seq[at] = number[own]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        seq = seq[stay]
+        seq, bound = seq[stay], bound[stay]
+        # where the new symbols are now: their pairs, and those with what is before them
+        at -= np.arange(len(at))
+        new = np.concatenate((at, at[(at > 0) & np.append(True, at[1:] != at[:-1] + 1)] - 1))
+        new = new[new < len(seq) - 1]
+        bound[new] = bounded(seq, new)
+        bound[-1] = 0
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
+def bounded(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bounds of how often the pairs at the places occur there: the places in their slot of a hash table."""
+    a, b = seq[at], seq[at + 1]
+    bits = min(TABLE, max(10, (2 * len(at)).bit_length()))
+    h = (a * np.uint32(0x9E3779B1) ^ (b * np.uint32(0x85EBCA77) + (a >> np.uint32(7)))) >> np.uint32(32 - bits)
+    return np.bincount(h, minlength=1 << bits).astype(np.int32)[h]
+
+
+def alternating(at: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Which places to count: all, but of a run of one symbol every other."""
+    counted = np.ones(len(at), bool)
+    same = np.flatnonzero((code >> np.uint64(32)) == (code & np.uint64(0xFFFFFFFF)))
+    if len(same):
+        place = at[same]
+        begins = np.ones(len(same), bool)
+        begins[1:] = place[1:] != place[:-1] + 1
+        begin = np.maximum.accumulate(np.where(begins, np.arange(len(same)), 0))
+        counted[same[(np.arange(len(same)) - begin) % 2 == 1]] = False
+    return counted
+
+
 def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of every nonterminal in a row, and their bounds; a level at a time, those of finished parts."""
     n = len(rules)
@@ -95,10 +128,10 @@ def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def write_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, rounds: int | None, pairs: int) -> bytes:
+def write_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, rounds: int | None = None) -> bytes:
     """A shard: header, document ids and lengths, rules and their expansion lengths, noted positions, symbols."""
     first = int(ids.max()) + 1
-    seq, rules = compress(ids, first, rounds, pairs)
+    seq, rules = compress(ids, first, rounds)
     _, bounds = expansions(rules, first)
     spans = symbol_lengths(seq, first, np.diff(bounds))
     noted = np.concatenate(([0], np.cumsum(spans)))[:-1:STRIDE]
@@ -166,19 +199,21 @@ class Shard:
         return self._expand(self.seq[low * STRIDE : high * STRIDE])[start - self.noted[low] :][:n] if n else np.zeros(0, np.uint32)
 
 
-def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_ids: int = 1 << 20, rounds: int | None = None, pairs: int = 1024, rows_per_part: int = 10_000) -> None:
+def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_ids: int = 1 << 20, rounds: int | None = None, rows_per_part: int = 10_000, part_bytes: int = 64 << 20) -> None:
     """Write all documents' ids (each with ``end_id`` after it) in ascending id order as compressed shards.
 
-    Documents are dealt out by ranges of their id and sorted; each task encodes its own and cuts
-    shards of about ``shard_ids`` ids between documents. A row of the Parquet table at ``path`` is a
+    Documents are dealt out by ranges of their id, of about ``rows_per_part`` rows or ``part_bytes``
+    bytes, and sorted; each task encodes its own and cuts shards of about ``shard_ids`` ids between documents. A row of the Parquet table at ``path`` is a
     shard: ``part`` and ``shard`` give its place, ``n_ids`` its ids, ``data`` its bytes.
 
-    Null ids come first, ids of equal rows lie beside each other; null or empty text is the end
+    Null ids come first, rows with equal ids lie beside each other as the table has them; null or empty text is the end
     id alone. Other columns are not read. An empty table writes an empty table.
     """
     rows = texts(df, id_col, text_col)
-    n = rows.select("doc_id").count()
-    parts = max(1, -(-n // rows_per_part))
+    n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).head()
+    parts = max(1, -(-n // rows_per_part), -(-(size or 0) // part_bytes))
+    # the row's place in the table parts even an id that a third of all rows have
+    ordered = [F.col("doc_id").asc_nulls_first(), F.col("row")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, shard = encoder(tokenizer), TaskContext.get().partitionId(), 0
@@ -188,7 +223,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
         def flush() -> pa.RecordBatch:
             nonlocal shard, size
             ids = np.concatenate(held)
-            data = write_shard(ids, docs, np.concatenate(lengths), rounds, pairs)
+            data = write_shard(ids, docs, np.concatenate(lengths), rounds)
             out = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "n_ids": pa.array([len(ids)], pa.int64()), "data": pa.array([data], pa.binary())})
             shard, size = shard + 1, 0
             for x in (docs, held, lengths):
@@ -213,7 +248,8 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
         if docs:
             yield flush()
 
-    rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "part int, shard int, n_ids long, data binary").write.parquet(path)
+    dealt = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *ordered).sortWithinPartitions(*ordered)
+    dealt.select("doc_id", "text").mapInArrow(run, "part int, shard int, n_ids long, data binary").write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -31,12 +31,14 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        # words of letters, and the other pieces: far fewer, and looked up apart
+        self.known = {True: pa.array([], pa.string()), False: pa.array([], pa.string())}
+        self.at = {True: np.zeros(0, np.int64), False: np.zeros(0, np.int64)}
+        self.flat, self.used, self.pieces = np.zeros(1 << 16, np.uint32), 0, 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _add(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n, at = len(pieces), len(self.known)
+    def _add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, at = len(lengths), self.pieces
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         while at + n > len(self.start):
@@ -45,11 +47,11 @@ class Encoder:
         self.start[at : at + n] = self.used + np.cumsum(lengths) - lengths
         self.length[at : at + n] = lengths
         self.used += len(ids)
-        self.known.update(zip(pieces, range(at, at + n), strict=True))
+        self.pieces += n
 
     def _each(self, pieces: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        self._add(pieces, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
+        self._add(np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
 
     def _letters(self, pieces: list[str]) -> None:
         """Words of letters only, encoded as a text of many words."""
@@ -58,21 +60,25 @@ class Encoder:
             e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             of = np.array(e.word_ids, np.int64)
             if len(of) and of[-1] + 1 == len(part):
-                self._add(part, np.array(e.ids, np.uint32), np.bincount(of, minlength=len(part)))
+                self._add(np.array(e.ids, np.uint32), np.bincount(of, minlength=len(part)))
             else:  # a letter that normalisation takes apart
                 self._each(part)
 
-    def _places(self, pieces: list[str], letters: bool) -> np.ndarray:
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            new = list(dict.fromkeys(p for p, at in zip(pieces, found, strict=True) if at is None))
-            (self._letters if letters else self._each)(new)
-            found = [self.known[p] if at is None else at for p, at in zip(pieces, found, strict=True)]
-        return np.array(found, np.int64)
+    def _places(self, pieces: pa.Array, letters: bool) -> np.ndarray:
+        """Where each of the distinct pieces is remembered; new ones are encoded first."""
+        found = pc.index_in(pieces, value_set=self.known[letters])
+        missing = found.is_null()
+        if found.null_count:
+            new, at = pieces.filter(missing), self.pieces
+            (self._letters if letters else self._each)(new.to_pylist())
+            found = pc.replace_with_mask(found, missing, pa.array(np.arange(len(new), dtype=np.int32) + len(self.known[letters])))
+            self.known[letters] = pa.concat_arrays((self.known[letters], new))
+            self.at[letters] = np.concatenate((self.at[letters], np.arange(at, self.pieces)))
+        return self.at[letters][found.to_numpy()]
 
     def __call__(self, batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and their bounds by text."""
-        if len(self.known) > REMEMBERED:
+        if self.pieces > REMEMBERED:
             self.forget()
         words = Words(batch)
         if not len(words.codes):
@@ -84,16 +90,15 @@ class Encoder:
         where = np.flatnonzero(plain)
         kept = pc.ascii_lower(stems.take(pa.array(where)))
         coded = kept.dictionary_encode()
-        first[where] = self._places(coded.dictionary.to_pylist(), True)[coded.indices.to_numpy()]
+        first[where] = self._places(coded.dictionary, True)[coded.indices.to_numpy()]
         cut = pc.binary_length(own).to_numpy() > pc.binary_length(stems).to_numpy()
         tailed = np.flatnonzero(plain & cut)
         if len(tailed):
-            at = pa.array(tailed)
-            tails = [w[len(s) :] for w, s in zip(own.take(at).to_pylist(), stems.take(at).to_pylist(), strict=True)]
-            second[tailed] = self._places(tails, False)
+            tails = pc.extract_regex(own.take(pa.array(tailed)), f"(?P<tail>[{TAIL}]+)$").field("tail").dictionary_encode()
+            second[tailed] = self._places(tails.dictionary, False)[tails.indices.to_numpy()]
         other = np.flatnonzero(~plain)
         if len(other):
-            first[other] = self._places(own.take(pa.array(other)).to_pylist(), False)
+            first[other] = self._places(own.take(pa.array(other)), False)
         # two pieces a word at most: ids of each word of the vocabulary, then of the texts
         pairs = np.stack((first, second), 1).ravel()
         lengths = np.where(pairs >= 0, self.length[pairs], 0)
@@ -109,7 +114,11 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions starts[i], starts[i] + 1, ... of ``lengths[i]`` each, in a row."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
+    # half the memory traffic where places fit 32 bits
+    kind = np.int32 if max(total, int(starts.max(initial=0))) < 1 << 31 else np.int64
+    out = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 _encoders: dict[str, Encoder] = {}

@@ -70,7 +70,7 @@ def test_shard_ranges():
     import numpy as np
 
     ids = np.random.default_rng(1).integers(0, 50, 30_000).astype(np.uint32)
-    shard = repair.Shard(repair.write_shard(ids, [1, None], np.array([10_000, 20_000]), 4, 64))
+    shard = repair.Shard(repair.write_shard(ids, [1, None], np.array([10_000, 20_000]), 4))
     assert (shard.all() == ids).all() and len(shard.rules) and shard.doc_ids == [1, None]
     for start, n in ((0, 1), (9_999, 2_000), (29_000, 1_000), (5, 0), (0, 30_000)):
         assert (shard.range(start, n) == ids[start : start + n]).all()
@@ -117,10 +117,10 @@ def test_repair_replaces_all_frequent_pairs():
     rng = np.random.default_rng(2)
     passage = rng.permutation(2_000)[:500]
     ids = np.concatenate([np.concatenate((passage, [3_000 + k])) for k in range(1_000)]).astype(np.uint32)
-    shard = repair.Shard(repair.write_shard(ids, [1], np.array([len(ids)]), None, 1024))
+    shard = repair.Shard(repair.write_shard(ids, [1], np.array([len(ids)])))
     assert (shard.all() == ids).all() and len(shard.seq) <= 2_000
     ids = np.concatenate((rng.integers(0, 300, 50_000), [5] * 1_001, [7])).astype(np.uint32)
-    data = repair.write_shard(ids, [1], np.array([len(ids)]), None, 1024)
+    data = repair.write_shard(ids, [1], np.array([len(ids)]))
     shard = repair.Shard(data)
     assert (shard.all() == ids).all() and len(data) < 2 * len(ids)
     assert (shard.range(49_990, 1_012) == ids[49_990:]).all()
