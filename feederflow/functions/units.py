@@ -19,14 +19,14 @@ def pu_of_w(w: Column) -> Column:
     return w / BASE_VA
 
 
-def w_of_pu(pu: Column) -> Column:
-    return F.round(pu * BASE_VA, 6)
+def w_of_pu(pu: Column, digits: int = 6) -> Column:
+    return F.round(pu * BASE_VA, digits)
 
 
-def amps(l_pu: Column, i_base: Column) -> Column:
+def amps(l_pu: Column, i_base: Column, digits: int = 6) -> Column:
     """Current from its per-unit square."""
-    return F.round(F.sqrt(F.abs(l_pu)) * i_base, 6)
+    return F.round(F.sqrt(F.abs(l_pu)) * i_base, digits)
 
 
-def volts_pu(v2: Column) -> Column:
-    return F.round(F.sqrt(F.abs(v2)), 6)
+def volts_pu(v2: Column, digits: int = 6) -> Column:
+    return F.round(F.sqrt(F.abs(v2)), digits)

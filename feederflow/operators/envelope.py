@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feederflow.functions.keys import shared_keys
 from feederflow.functions.units import ENVELOPE_CAP_KW, INTERVAL_H, WIDTH_WEIGHT
 from feederflow.operators import matching
 from feederflow.operators import thermal as th
@@ -12,13 +13,6 @@ from feederflow.operators.flow import first_tier, limit_violations, power_flow,
 from feederflow.sources.tables import stored
 
 
-def shared_paths(closure: DataFrame, branch: DataFrame) -> DataFrame:
-    """(n, bus_a, bus_b, r_pu, x_pu): impedance of the path from the infeeder that two buses share."""
-    on = closure.select("n", "branch_id", "bus_id").join(branch.select("n", "branch_id", "r_pu", "x_pu"), ["n", "branch_id"])
-    other = closure.select("n", "branch_id", F.col("bus_id").alias("bus_b"))
-    return on.join(other, ["n", "branch_id"]).groupBy("n", F.col("bus_id").alias("bus_a"), "bus_b").agg(F.sum("r_pu").alias("r_pu"), F.sum("x_pu").alias("x_pu"))
-
-
 def envelope_linear(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, people: DataFrame, cap_kw: float = ENVELOPE_CAP_KW) -> DataFrame:
     """A lossless estimate, the same kW for each participant of a network and time: (n, t, lb_kw, ub_kw).
 
@@ -26,7 +20,7 @@ def envelope_linear(closure: DataFrame, branch: DataFrame, bus: DataFrame, load:
     quotient is the envelope. Readings of participants are replaced, the others stay. Sensitivities
     are sums over paths, so nothing is paired bus by bus.
     """
-    r = load.select("n", "load_id", "bus_id").join(readings, "load_id").join(people.select("n", "load_id", F.lit(1.0).alias("_in")), ["n", "load_id"], "left")
+    r = load.select("n", "load_id", "bus_id").join(readings, shared_keys(load, readings)).join(people.select("n", "load_id", F.lit(1.0).alias("_in")), ["n", "load_id"], "left")
     by_bus = r.groupBy("n", "t", "bus_id").agg(F.sum(F.when(F.col("_in").isNull(), F.col("real_power_w")).otherwise(0.0) / 1e6).alias("p"), F.sum(F.col("reactive_power_var") / 1e6).alias("q"), F.sum(F.coalesce("_in", F.lit(0.0))).alias("k"))
     flow = closure.select("n", "branch_id", "bus_id").join(by_bus, ["n", "bus_id"]).groupBy("n", "t", "branch_id").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum("k").alias("k"))
     drop = flow.join(branch.select("n", "branch_id", "r_pu", "x_pu"), ["n", "branch_id"]).withColumns({"d": 2 * (F.col("r_pu") * F.col("p") + F.col("x_pu") * F.col("q")), "s": 2 * F.col("r_pu") * F.col("k") / 1e3})
@@ -48,7 +42,8 @@ def _filled(total: Column) -> Column:
 def _sensitivity(closure: DataFrame, branch: DataFrame) -> DataFrame:
     """(n, bus_id, s): resistance of each bus's path to the infeeder."""
     on = closure.select("n", "branch_id", "bus_id").join(branch.select("n", "branch_id", "r_pu"), ["n", "branch_id"])
-    return on.groupBy("n", "bus_id").agg(F.greatest(F.sum("r_pu"), F.lit(1e-12)).alias("s"))
+    # rounded, so that paths of equal resistance rank as equals
+    return on.groupBy("n", "bus_id").agg(F.greatest(F.round(F.sum("r_pu"), 12), F.lit(1e-12)).alias("s"))
 
 
 def _ordered(segments: DataFrame, by: list[str]) -> DataFrame:
@@ -68,7 +63,7 @@ def _fill_search(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: Da
     """
     p = stored(segments, "envelope-people")
     own = p.select("n", "load_id").distinct().withColumn("_in", F.lit(True))
-    r = load.select("n", "load_id", "bus_id").join(readings, "load_id").join(own, ["n", "load_id"], "left")
+    r = load.select("n", "load_id", "bus_id").join(readings, shared_keys(load, readings)).join(own, ["n", "load_id"], "left")
     kept = F.when(F.col("_in").isNull(), F.col("real_power_w")).otherwise(0.0)
     r = stored(r.groupBy("n", "t", "bus_id").agg((F.sum(kept) / 1e6).alias("p_pu"), (F.sum("reactive_power_var") / 1e6).alias("q_pu")), "envelope-readings")
     most = p.groupBy(*by).agg(F.sum("size_kw").cast("double").alias("hi"))
@@ -97,7 +92,7 @@ def _fill_search(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: Da
     return best.groupBy("n", "t", "load_id").agg((-side("oel")).alias("lb_kw"), side("oer").alias("ub_kw"), F.min("ok").alias("feasible"))
 
 
-def envelope_search(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, people: DataFrame, rule: str = "uniform", prices: DataFrame | None = None, limits: DataFrame | None = None, cap_kw: float = ENVELOPE_CAP_KW, grid: int = 16, rounds: int = 3, passes: int = 10) -> DataFrame:
+def envelope_search(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, people: DataFrame, rule: str = "uniform", prices: DataFrame | None = None, limits: DataFrame | None = None, cap_kw: float = ENVELOPE_CAP_KW, grid: int = 16, rounds: int = 3, passes: int = 60) -> DataFrame:
     """Largest feasible import (lb, negative) and export (ub) of each participant: (n, t, load_id, lb_kw, ub_kw, feasible).
 
     A round evaluates ``grid`` totals in the cell left for each network, time and side, all as rows
@@ -113,7 +108,8 @@ def envelope_search(closure: DataFrame, branch: DataFrame, bus: DataFrame, load:
         groups = p.groupBy("n", "oe").agg(F.sum("size_kw").alias("group_kw"))
         p = p.join(groups, ["n", "oe"]).select("n", "oe", "bus_id", "load_id", "size_kw", "group_kw", F.lit(0.0).alias("before"))
     else:
-        p = p.join(prices.select("load_id", "export_price_kwh"), "load_id", "left") if prices is not None else p.withColumn("export_price_kwh", F.lit(0.0))
+        on = shared_keys(p, prices) if prices is not None else []
+        p = p.join(prices.select(*on, "export_price_kwh"), on, "left") if on else p.withColumn("export_price_kwh", F.lit(0.0))
         p = _ordered(p.withColumn("rank", F.struct((-_width_value(F.col("export_price_kwh"))).alias("less_value"))), ["n", "oe"])
     return _fill_search(closure, branch, bus, load, readings, p, ["n", "oe"], limits, grid, rounds, passes)
 
@@ -124,7 +120,7 @@ def _width_value(price: Column) -> Column:
     return (paid * INTERVAL_H + WIDTH_WEIGHT) / F.col("s")
 
 
-def envelope_reserved(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, offers: DataFrame, cap_kw: float = ENVELOPE_CAP_KW, grid: int = 16, rounds: int = 3, passes: int = 10) -> DataFrame:
+def envelope_reserved(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, offers: DataFrame, cap_kw: float = ENVELOPE_CAP_KW, grid: int = 16, rounds: int = 3, passes: int = 60) -> DataFrame:
     """Shared envelopes of the loads with offers: (n, t, load_id, lb_kw, ub_kw, feasible, dispatch_kw, payment_dlr, shortfall_kw).
 
     On each side a load has three segments, filled in this order: the part of its reservation that
@@ -133,8 +129,9 @@ def envelope_reserved(closure: DataFrame, branch: DataFrame, bus: DataFrame, loa
     dispatched, which moves what the other side has to hold; the second search fills with these
     needs. Dispatch and shortfall are those of the second envelopes. Null reservations count as 0.
     """
-    o = offers.select("load_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("reservation_l", "reservation_u")], "injection", "consumption")
-    p = load.select("n", "load_id", "bus_id").join(o, "load_id").join(_sensitivity(closure, branch), ["n", "bus_id"])
+    on = shared_keys(load, offers)
+    o = offers.select(*on, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("reservation_l", "reservation_u")], "injection", "consumption")
+    p = load.select("n", "load_id", "bus_id").join(o, on).join(_sensitivity(closure, branch), ["n", "bus_id"])
 
     def search(p: DataFrame, by: list[str]) -> DataFrame:
         """``d`` is the net dispatch settled so far."""
@@ -156,7 +153,7 @@ def envelope_reserved(closure: DataFrame, branch: DataFrame, bus: DataFrame, loa
     return second.join(reservation_dispatch(second, o), ["n", "t", "load_id"])
 
 
-def multistep_envelopes(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, people: DataFrame, ambient: DataFrame, params: DataFrame | None = None, rule: str = "uniform", prices: DataFrame | None = None, cap_kw: float = ENVELOPE_CAP_KW, grid: int = 16, rounds: int = 3, passes: int = 10) -> dict[str, DataFrame]:
+def multistep_envelopes(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, people: DataFrame, ambient: DataFrame, params: DataFrame | None = None, rule: str = "uniform", prices: DataFrame | None = None, cap_kw: float = ENVELOPE_CAP_KW, grid: int = 16, rounds: int = 3, passes: int = 60) -> dict[str, DataFrame]:
     """Envelopes of all networks and times, and what follows from them: ``envelope``, ``bus``, ``branch``, ``violations``, ``thermal``.
 
     With ``params`` the transformers' hot spots limit the envelopes. Temperatures follow the import
@@ -202,12 +199,14 @@ def multistep_envelopes(closure: DataFrame, branch: DataFrame, bus: DataFrame, l
 def offer_cap_check(dispatch: DataFrame, offers: DataFrame) -> DataFrame:
     """(load_id, ci, dispatch_kw, cap_kw, ok) for (load_id, ci, kw)."""
     cap = F.when(F.col("ci") == "inj", first_tier("injection", 0)).otherwise(first_tier("consumption", 0))
-    return dispatch.join(offers, "load_id", "left").select("load_id", "ci", F.col("kw").alias("dispatch_kw"), cap.alias("cap_kw"), (F.col("kw") <= cap).alias("ok"))
+    on = shared_keys(dispatch, offers)
+    return dispatch.join(offers.select(*on, "injection", "consumption"), on, "left").select(*on, "ci", F.col("kw").alias("dispatch_kw"), cap.alias("cap_kw"), (F.col("kw") <= cap).alias("ok"))
 
 
 def reservation_check(envelope: DataFrame, offers: DataFrame, dispatch: DataFrame) -> DataFrame:
     """(n, load_id, short_l_kw, short_u_kw): what the envelope lacks of the reservation around the net dispatch."""
-    j = envelope.join(offers.select("load_id", "reservation_l", "reservation_u"), "load_id").join(dispatch.select("load_id", F.col("dispatch_kw").alias("_d")), "load_id", "left")
+    on, to = shared_keys(envelope, offers), shared_keys(envelope, dispatch)
+    j = envelope.join(offers.select(*on, "reservation_l", "reservation_u"), on).join(dispatch.select(*to, F.col("dispatch_kw").alias("_d")), to, "left")
     d = F.coalesce("_d", F.lit(0.0))
     return j.select("n", "load_id", F.greatest(F.lit(0.0), F.col("lb_kw") - (F.col("reservation_l") + d)).alias("short_l_kw"), F.greatest(F.lit(0.0), F.col("reservation_u") + d - F.col("ub_kw")).alias("short_u_kw"))
 
@@ -218,27 +217,27 @@ def reservation_dispatch(envelope: DataFrame, offers: DataFrame, hours: float =
     It lies in [lb - reservation_l, ub - reservation_u]; clipped to the first tiers' quantities. What an
     empty interval or the clip leaves open is the shortfall.
     """
-    j = envelope.join(offers, "load_id")
+    j = envelope.join(offers, shared_keys(envelope, offers))
     lo, hi = F.col("lb_kw") - F.col("reservation_l"), F.col("ub_kw") - F.col("reservation_u")
     want = F.greatest(lo, F.least(F.lit(0.0), hi))
     got = F.greatest(-first_tier("consumption", 0), F.least(first_tier("injection", 0), want))
     price = F.when(got >= 0, first_tier("injection", 1)).otherwise(first_tier("consumption", 1))
     short = F.greatest(F.lit(0.0), lo - got) + F.greatest(F.lit(0.0), got - hi)
     keys = [c for c in ("n", "t") if c in envelope.columns]
-    return j.select(*keys, "load_id", F.round(got, 6).alias("dispatch_kw"), F.round(F.abs(got) * price * hours, 6).alias("payment_dlr"), F.round(short, 6).alias("shortfall_kw"))
+    return j.select(*keys, "load_id", F.round(got, 9).alias("dispatch_kw"), F.round(F.abs(got) * price * hours, 9).alias("payment_dlr"), F.round(short, 9).alias("shortfall_kw"))
 
 
-def required_shed(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, passes: int = 10, grid: int = 16, rounds: int = 3) -> DataFrame:
-    """(n, t, bus_id, shed_kw): the least relief at each network's most sensitive load bus that restores the limits.
+def required_shed(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, passes: int = 60, grid: int = 16, rounds: int = 3) -> DataFrame:
+    """(n, t, bus_id, shed_kw, restored): the least relief at each network's most sensitive load bus that restores the limits.
 
-    Networks and times within their limits have 0. The relief is searched like an envelope.
+    Networks and times within their limits have 0. The relief is searched like an envelope, up to all
+    loads' summed size; where no relief of that bus helps, ``shed_kw`` is null and ``restored`` false.
     """
-    near = closure.select("n", "branch_id", "bus_id").join(branch.select("n", "branch_id", "r_pu"), ["n", "branch_id"]).groupBy("n", "bus_id").agg(F.sum("r_pu").alias("s"))
+    near = _sensitivity(closure, branch)
     worst = load.select("n", "bus_id").distinct().join(near, ["n", "bus_id"]).groupBy("n").agg(F.max_by("bus_id", F.struct("s", "bus_id")).alias("bus_id"))
     nodal = stored(matching.nodal_allocation(load, readings, None).where("oe = 'oel'"), "shed-nodal")
-    most = nodal.groupBy("n", "t").agg(F.sum(F.abs("p_pu")).alias("hi")).withColumn("lo", F.lit(0.0))
     keys = ("n", "t", "c")
-    cell = most
+    cell = nodal.groupBy("n", "t").agg(F.sum(F.abs("p_pu")).alias("hi")).select("n", "t", F.lit(0.0).alias("lo"), "hi", F.lit(True).alias("restored"))
     for _ in range(rounds):
         cell = stored(cell, "shed-cell")
         tried = stored(cell.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(grid)))).withColumn("kw", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("c") / grid).select(*keys, "kw"), "shed-tried")
@@ -249,5 +248,5 @@ def required_shed(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: D
         good = tried.join(bad, list(keys), "left").where("bad is null").groupBy("n", "t").agg(F.min("c").alias("k"))
         step = (F.col("hi") - F.col("lo")) / grid
         k = F.coalesce("k", F.lit(grid))
-        cell = cell.join(good, ["n", "t"], "left").select("n", "t", (F.col("lo") + step * F.greatest(k - 1, F.lit(0))).alias("lo"), (F.col("lo") + step * k).alias("hi"))
-    return cell.join(worst, "n").select("n", "t", "bus_id", (F.col("hi") * 1e3).alias("shed_kw"))
+        cell = cell.join(good, ["n", "t"], "left").select("n", "t", (F.col("lo") + step * F.greatest(k - 1, F.lit(0))).alias("lo"), (F.col("lo") + step * k).alias("hi"), (F.col("restored") & F.col("k").isNotNull()).alias("restored"))
+    return cell.join(worst, "n").select("n", "t", "bus_id", F.when(F.col("restored"), F.col("hi") * 1e3).alias("shed_kw"), "restored")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feederflow.functions.keys import shared_keys
 from feederflow.functions.units import INTERVAL_H, VIOLATION_WEIGHT, WIDTH_WEIGHT, amps, volts_pu, w_of_pu
 from feederflow.sources.tables import stored
 
@@ -23,13 +26,13 @@ def path_factors(closure: DataFrame, branch: DataFrame) -> DataFrame:
     return closure.select("n", "branch_id", "bus_id").join(sq, ["n", "branch_id"]).groupBy("n", "bus_id").agg(F.product("r2").alias("rho"))
 
 
-def path_voltage(closure: DataFrame, branch: DataFrame, bus: DataFrame, flow: DataFrame, keys: tuple[str, ...] = ("n", "t", "oe")) -> DataFrame:
+def path_voltage(closure: DataFrame, branch: DataFrame, bus: DataFrame, flow: DataFrame, keys: tuple[str, ...] = ("n", "t", "oe"), rho: DataFrame | None = None) -> DataFrame:
     """Squared voltages: (setpoint squared less all drops along the path, each times the ratios above it) / the path's ratios.
 
     ``flow`` may hold the squared current ``l_pu``; without it the drop is the lossless one.
     Buses on no path (infeeders) are not listed.
     """
-    rho = path_factors(closure, branch)
+    rho = path_factors(closure, branch) if rho is None else rho
     sets = bus.where("v_set_pu is not null").select("n", (F.col("v_set_pu") ** 2).alias("v0"))
     b = branch.select("n", "branch_id", "from_bus", "r_pu", "x_pu").join(rho.withColumnsRenamed({"bus_id": "from_bus", "rho": "rho_from"}), ["n", "from_bus"], "left")
     loss = (F.col("r_pu") ** 2 + F.col("x_pu") ** 2) * F.col("l_pu") if "l_pu" in flow.columns else F.lit(0.0)
@@ -39,39 +42,179 @@ def path_voltage(closure: DataFrame, branch: DataFrame, bus: DataFrame, flow: Da
     return along.join(sets, "n").join(rho, ["n", "bus_id"]).select(*keys, "bus_id", ((F.col("v0") - F.col("drop")) / F.col("rho")).alias("v2_pu"))
 
 
-def power_flow(closure: DataFrame, branch: DataFrame, bus: DataFrame, nodal: DataFrame, passes: int = 14, keys: tuple[str, ...] = ("n", "t", "oe"), cut: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Flows (p_pu, q_pu at the sending end, squared current l_pu), squared voltages, and convergence by case.
+def power_flow(closure: DataFrame, branch: DataFrame, bus: DataFrame, nodal: DataFrame, passes: int = 60, keys: tuple[str, ...] = ("n", "t", "oe"), within: float = 1e-12, most_branches: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Flows (p_pu, q_pu at the sending end, squared current l_pu), squared voltages, and (keys, converged, passes).
 
-    A pass adds the losses of all branches at or below to the loads below, takes currents from
-    the last voltages, and sums drops along paths. Lineage is cut every ``cut`` passes. A case whose
-    last change exceeds 1e-9, or whose voltage falls to 0, has not converged.
+    A pass adds the losses of all branches at or below to the loads below, takes currents from the
+    last voltages, and drops along paths. A case is done when no squared voltage changes by more than ``within``;
+    it has not converged if a voltage falls to 0 or ``passes`` do not suffice.
+
+    Networks of at most ``most_branches`` branches are swept by level, some cases of one network in
+    a task; larger ones by joins with the closure, whose lineage is cut at every third pass.
+    """
+    sizes = branch.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
+    cases = nodal.select(*keys).distinct().groupBy("n").agg(F.count(F.lit(1)).alias("cases"))
+    # one row: what decides the form of the job
+    large, cells = sizes.join(cases, "n").agg(F.coalesce(F.max(F.col("m") > most_branches), F.lit(False)), F.max(F.when(F.col("m") <= most_branches, F.col("m") * F.col("cases")))).head()
+    out = None
+    if cells is not None or not large:
+        some = nodal if not large else nodal.join(sizes.where(F.col("m") <= most_branches).select("n"), "n", "left_semi")
+        out = stored(_swept(branch, bus, some, passes, keys, within, max(1, -(-(cells or 1) // CELLS))), "flow")
+    if large:
+        big = sizes.where(F.col("m") > most_branches).select("n")
+        joined = stored(_joined(*(x.join(big, "n", "left_semi") for x in (closure, branch, bus, nodal)), passes, keys, within), "flow")
+        out = joined if out is None else out.unionByName(joined)
+    flow = out.select(*keys, "branch_id", "p_pu", "q_pu", "l_pu")
+    return flow, out.select(*keys, "bus_id", "v2_pu"), out.groupBy(*keys).agg(F.min("converged").alias("converged"), F.max("passes").alias("passes"))
+
+
+#: Cases times branches that a task sweeps at once.
+CELLS = 500_000
+
+
+def _swept(branch: DataFrame, bus: DataFrame, nodal: DataFrame, passes: int, keys: tuple[str, ...], within: float, parts: int) -> DataFrame:
+    """All results by branch, with sweeps over the tree of each network; its cases are dealt to ``parts`` tasks."""
+    tree = branch.select("n", "branch_id", "from_bus", F.col("to_bus").alias("bus_id"), "r_pu", "x_pu", F.coalesce("ratio_pu", F.lit(1.0)).alias("ratio"))
+    sets = bus.where("v_set_pu is not null").select("n", F.col("bus_id").alias("from_bus"), (F.col("v_set_pu") ** 2).alias("v0"))
+    tree = tree.join(sets, ["n", "from_bus"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    given = nodal.select(*keys, "bus_id", "p_pu", "q_pu").withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+    kinds = dict(nodal.select(*keys).dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", branch_id string, bus_id string, p_pu double, q_pu double, l_pu double, v2_pu double, converged boolean, passes int"
+
+    def run(loads: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        if loads.empty or tree.empty:
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        order, levels = by_level(tree["from_bus"].to_numpy(), tree["bus_id"].to_numpy())
+        tree = tree.iloc[order]
+        place = pd.Index(tree["bus_id"]).get_indexer(loads["bus_id"])
+        case, which = loads.groupby(list(keys), sort=False, dropna=False).ngroup().to_numpy(), ~loads.duplicated(list(keys)).to_numpy()
+        n_cases = int(case.max()) + 1
+        load = np.zeros((2, n_cases, len(tree)))
+        inside = place >= 0
+        for k, c in enumerate(("p_pu", "q_pu")):
+            np.add.at(load[k], (case[inside], place[inside]), loads[c].to_numpy(float)[inside])
+        r, x, ratio, v0 = (tree[c].to_numpy(float) for c in ("r_pu", "x_pu", "ratio", "v0"))
+        p, q, l, v, converged, used = sweep(load, levels, r, x, ratio**2, v0, passes, within)
+        out = loads.loc[which, list(keys)].reset_index(drop=True)
+        out = out.loc[np.repeat(np.arange(n_cases), len(tree))].reset_index(drop=True)
+        flat = {"p_pu": p, "q_pu": q, "l_pu": l, "v2_pu": v}
+        return out.assign(branch_id=np.tile(tree["branch_id"].to_numpy(), n_cases), bus_id=np.tile(tree["bus_id"].to_numpy(), n_cases), **{k: pd.array(a.ravel(), "Float64") if np.isnan(a).any() else a.ravel() for k, a in flat.items()}, converged=np.repeat(converged, len(tree)), passes=np.repeat(used, len(tree)))
+
+    return given.groupBy("n", "part").cogroup(tree.groupBy("n", "part")).applyInPandas(run, schema)
+
+
+def by_level(above: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, np.ndarray, np.ndarray]]]:
+    """Branches in order of depth, those of one bus beside each other, and for each depth: its places, the parents' places, and where each parent's begin.
+
+    Branches from a bus that no branch leads to are the first level, with parents -1.
+    """
+    at = {b: k for k, b in enumerate(below.tolist())}
+    parent = np.array([at.get(b, -1) for b in above.tolist()], np.int64)
+    depth, up = np.zeros(len(parent), np.int64), parent.copy()
+    while (up >= 0).any():
+        depth[up >= 0] += 1
+        if depth.max() > len(parent):
+            raise ValueError("the network has a cycle")
+        up = np.where(up >= 0, parent[np.maximum(up, 0)], -1)
+    order = np.lexsort((parent, depth))
+    # within a depth by the parents' own places
+    place = np.full(len(parent) + 1, -1)
+    levels, start = [], 0
+    for d in range(int(depth.max()) + 1):
+        n = int((depth == d).sum())
+        own = order[start : start + n]
+        own = own[np.argsort(place[parent[own]], kind="stable")]
+        order[start : start + n] = own
+        place[own] = np.arange(start, start + n)
+        parents = place[parent[own]]
+        levels.append((slice(start, start + n), parents, np.flatnonzero(np.append(True, parents[1:] != parents[:-1]))))
+        start += n
+    return order, levels
+
+
+def sweep(load: np.ndarray, levels: list[tuple[slice, np.ndarray, np.ndarray]], r: np.ndarray, x: np.ndarray, ratio2: np.ndarray, v0: np.ndarray, passes: int, within: float) -> tuple[np.ndarray, ...]:
+    """(p, q, squared current, squared voltage at the end) as cases x branches, (converged, passes) by case.
+
+    ``load`` is (2, cases, branches): active and reactive power at the branches' ends.
     """
+    n_cases, m = load.shape[1:]
+    out = [np.full((n_cases, m), np.nan) for _ in range(4)]
+    converged, used = np.zeros(n_cases, bool), np.full(n_cases, passes, np.int32)
+    active = np.arange(n_cases)
+
+    def collect(a: np.ndarray) -> np.ndarray:
+        for at, parents, begins in reversed(levels[1:]):
+            a[:, parents[begins]] += np.add.reduceat(a[:, at], begins, axis=1)
+        return a
+
+    p, q = collect(load[0].copy()), collect(load[1].copy())
+    v, first = np.ones((n_cases, m)), levels[0][0]
+    with np.errstate(all="ignore"):
+        for k in range(1, passes + 1):
+            sent = np.empty_like(v)
+            sent[:, first] = v0[first]
+            for at, parents, _ in levels[1:]:
+                sent[:, at] = v[:, parents]
+            l = np.where(sent > 0, (p * p + q * q) / sent, np.nan)  # noqa: E741
+            p, q = collect(load[0][active] + r * l), collect(load[1][active] + x * l)
+            drop = 2 * (r * p + x * q) - (r * r + x * x) * l
+            after = np.empty_like(v)
+            after[:, first] = (v0[first] - drop[:, first]) / ratio2[first]
+            for at, parents, _ in levels[1:]:
+                after[:, at] = (after[:, parents] - drop[:, at]) / ratio2[at]
+            change = np.abs(after - v).max(1)
+            v = after
+            sound = (np.isfinite(v) & (v > 0) & np.isfinite(l)).all(1)
+            done = sound & (change <= within)
+            leave = done | ~sound | (k == passes)
+            for a, b in zip(out, (p, q, l, v), strict=True):
+                a[active[leave]] = b[leave]
+            converged[active[done]], used[active[leave]] = True, k
+            stay = ~leave
+            active = active[stay]
+            if not len(active):
+                break
+            p, q, v = p[stay], q[stay], v[stay]
+    for a in out:
+        a[~np.isfinite(a)] = np.nan
+    return *out, converged, used
+
+
+def _joined(closure: DataFrame, branch: DataFrame, bus: DataFrame, nodal: DataFrame, passes: int, keys: tuple[str, ...], within: float, cut: int = 3) -> DataFrame:
+    """The same by sums over the closure."""
     loads = stored(subtree_flow(closure, nodal, keys).withColumnsRenamed({"p_pu": "p0", "q_pu": "q0"}), "flow-loads")
+    # branches without a load below carry nothing
+    every = loads.select(*keys).distinct().join(branch.select("n", "branch_id"), "n")
+    loads = stored(every.join(loads, [*keys, "branch_id"], "left").fillna(0.0, ["p0", "q0"]), "flow-loads")
     ends = branch.select("n", "branch_id", "from_bus", "r_pu", "x_pu", F.col("to_bus").alias("bus_id"))
     sets = bus.where("v_set_pu is not null").select("n", F.col("bus_id").alias("from_bus"), (F.col("v_set_pu") ** 2).alias("v0"))
+    rho = stored(path_factors(closure, branch), "flow-factors")
     # losses of the branch that ends in a bus count for all branches above it and itself
     own = closure.select("n", F.col("branch_id").alias("above"), "bus_id").join(ends.select("n", "bus_id", "branch_id", "r_pu", "x_pu"), ["n", "bus_id"]).select("n", "above", "branch_id", "r_pu", "x_pu")
-    flow, volt, last = loads.select(*keys, "branch_id", F.col("p0").alias("p_pu"), F.col("q0").alias("q_pu")), None, None
-    for k in range(passes):
+    own = stored(own, "flow-own")
+    flow, volt = loads.select(*keys, "branch_id", F.col("p0").alias("p_pu"), F.col("q0").alias("q_pu")), None
+    for k in range(1, passes + 1):
         f = flow.join(ends.select("n", "branch_id", "from_bus"), ["n", "branch_id"]).join(sets, ["n", "from_bus"], "left")
         if volt is not None:
             f = f.join(volt.withColumnsRenamed({"bus_id": "from_bus"}), [*keys, "from_bus"], "left")
         v_from = F.coalesce("v0", "v2_pu") if volt is not None else F.coalesce("v0", F.lit(1.0))
-        if k:
-            # the flow holds the losses of the last pass
-            f = f.drop("l_pu")
-        current = f.withColumn("l_pu", F.when(v_from > 0, (F.col("p_pu") ** 2 + F.col("q_pu") ** 2) / v_from)).select(*keys, "branch_id", "p_pu", "q_pu", "l_pu")
-        lost = own.join(current.select(*keys, "branch_id", "l_pu"), ["n", "branch_id"]).groupBy(*keys, F.col("above").alias("branch_id")).agg(F.sum(F.col("r_pu") * F.col("l_pu")).alias("dp"), F.sum(F.col("x_pu") * F.col("l_pu")).alias("dq"))
-        flow = loads.join(lost, [*keys, "branch_id"]).join(current.select(*keys, "branch_id", "l_pu"), [*keys, "branch_id"]).select(*keys, "branch_id", (F.col("p0") + F.col("dp")).alias("p_pu"), (F.col("q0") + F.col("dq")).alias("q_pu"), "l_pu")
-        if k % cut == cut - 1 or k >= passes - 2:
+        current = f.withColumn("_l", F.when(v_from > 0, (F.col("p_pu") ** 2 + F.col("q_pu") ** 2) / v_from)).select(*keys, "branch_id", F.col("_l").alias("l_pu"))
+        lost = own.join(current, ["n", "branch_id"]).groupBy(*keys, F.col("above").alias("branch_id")).agg(F.sum(F.col("r_pu") * F.col("l_pu")).alias("dp"), F.sum(F.col("x_pu") * F.col("l_pu")).alias("dq"))
+        flow = loads.join(lost, [*keys, "branch_id"]).join(current, [*keys, "branch_id"]).select(*keys, "branch_id", (F.col("p0") + F.col("dp")).alias("p_pu"), (F.col("q0") + F.col("dq")).alias("q_pu"), "l_pu")
+        look = k % cut == 0 or k == passes
+        if look:
             flow = stored(flow, "flow-pass")
-        last, volt = volt, path_voltage(closure, branch, bus, flow, keys)
-        if k % cut == cut - 1 or k >= passes - 2:
+        last, volt = volt, path_voltage(closure, branch, bus, flow, keys, rho)
+        if look:
             volt = stored(volt, "flow-volt")
-    change = F.max(F.abs(F.col("v2_pu") - F.col("before"))) if last is not None else F.lit(None)
-    both = volt if last is None else volt.join(last.withColumnRenamed("v2_pu", "before"), [*keys, "bus_id"])
-    done = both.groupBy(*keys).agg(F.coalesce((change < 1e-9) & (F.min("v2_pu") > 0), F.lit(False)).alias("converged"))
-    return flow, volt, done
+            change = F.max(F.abs(F.col("v2_pu") - F.col("before")))
+            sound = (F.min("v2_pu") > 0) & (F.count("v2_pu") == F.count(F.lit(1)))
+            before = last.withColumnRenamed("v2_pu", "before") if last is not None else volt.withColumn("before", F.lit(None).cast("double")).drop("v2_pu")
+            done = stored(volt.join(before, [*keys, "bus_id"]).groupBy(*keys).agg(F.coalesce((change <= within) & sound, F.lit(False)).alias("converged"), F.coalesce(~sound, F.lit(True)).alias("lost")), "flow-done")
+            if k == passes or done.where("not converged and not lost").isEmpty():
+                break
+    out = flow.join(ends.select("n", "branch_id", "bus_id"), ["n", "branch_id"]).join(volt, [*keys, "bus_id"], "left").join(done.drop("lost"), list(keys))
+    return out.select(*keys, "branch_id", "bus_id", "p_pu", "q_pu", "l_pu", "v2_pu", "converged", F.lit(k).cast("int").alias("passes"))
 
 
 def limit_violations(flow: DataFrame, volt: DataFrame, branch: DataFrame, bus: DataFrame, keys: tuple[str, ...] = ("n", "t", "oe")) -> DataFrame:
@@ -96,24 +239,26 @@ def first_tier(tiers: str, k: int):
 
 def dispatch_payment(dispatch: DataFrame, offers: DataFrame, hours: float = INTERVAL_H) -> DataFrame:
     """Payment for (load_id, inj_kw, con_kw): each direction's kW at its first tier's price for the interval."""
-    o = offers.select("load_id", first_tier("injection", 1).alias("_pi"), first_tier("consumption", 1).alias("_pc"))
-    d = dispatch.join(o, "load_id", "left")
+    on = shared_keys(dispatch, offers)
+    o = offers.select(*on, first_tier("injection", 1).alias("_pi"), first_tier("consumption", 1).alias("_pc"))
+    d = dispatch.join(o, on, "left")
     pay = (F.col("inj_kw") * F.coalesce("_pi", F.lit(0.0)) + F.col("con_kw") * F.coalesce("_pc", F.lit(0.0))) * hours
-    return d.withColumn("dispatch_kw", F.round(F.col("inj_kw") - F.col("con_kw"), 6)).withColumn("payment_dlr", F.round(pay, 6)).drop("_pi", "_pc", "inj_kw", "con_kw")
+    return d.withColumn("dispatch_kw", F.round(F.col("inj_kw") - F.col("con_kw"), 9)).withColumn("payment_dlr", F.round(pay, 9)).drop("_pi", "_pc", "inj_kw", "con_kw")
 
 
 def objective_value(payments: DataFrame, prices: DataFrame, envelope: DataFrame, slack: DataFrame, hours: float = INTERVAL_H) -> DataFrame:
     """(n, cost, benefit, width, penalty, total) from payments (n, load_id, payment_dlr), envelopes (n, load_id, lb_kw, ub_kw) and slack (n, kw)."""
     cost = payments.groupBy("n").agg(F.sum("payment_dlr").alias("cost"))
-    e = envelope.join(prices.select("load_id", "export_price_kwh"), "load_id", "left").groupBy("n").agg(F.sum(F.coalesce("export_price_kwh", F.lit(0.0)) * F.col("ub_kw") * hours).alias("benefit"), F.sum(WIDTH_WEIGHT * (F.col("ub_kw") - F.col("lb_kw"))).alias("width"))
+    on = shared_keys(envelope, prices)
+    e = envelope.join(prices.select(*on, "export_price_kwh"), on, "left").groupBy("n").agg(F.sum(F.coalesce("export_price_kwh", F.lit(0.0)) * F.col("ub_kw") * hours).alias("benefit"), F.sum(WIDTH_WEIGHT * (F.col("ub_kw") - F.col("lb_kw"))).alias("width"))
     v = slack.groupBy("n").agg(F.sum(VIOLATION_WEIGHT * F.abs("kw")).alias("penalty"))
     out = e.join(cost, "n", "left").join(v, "n", "left").fillna(0.0)
     return out.withColumn("total", F.col("cost") - F.col("benefit") - F.col("width") + F.col("penalty"))
 
 
-def voltage_current_results(flow: DataFrame, volt: DataFrame, branch: DataFrame, keys: tuple[str, ...] = ("n", "t")) -> tuple[DataFrame, DataFrame]:
-    """Result tables with a column for each side."""
+def voltage_current_results(flow: DataFrame, volt: DataFrame, branch: DataFrame, keys: tuple[str, ...] = ("n", "t"), digits: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Result tables with a column for each side; currents and powers have ``digits`` digits."""
     side = lambda c, s: F.max(F.when(F.col("oe") == s, F.col(c)))
     b = volt.withColumn("v", volts_pu(F.col("v2_pu"))).groupBy(*keys, "bus_id").agg(*[side("v", s).alias(f"voltage_pu_{s}") for s in ("oel", "oer")])
-    f = flow.join(branch.select("n", "branch_id", "i_base_a"), ["n", "branch_id"]).withColumns({"current_a": amps(F.col("l_pu"), F.col("i_base_a")), "p_w": w_of_pu(F.col("p_pu")), "q_va": w_of_pu(F.col("q_pu"))})
+    f = flow.join(branch.select("n", "branch_id", "i_base_a"), ["n", "branch_id"]).withColumns({"current_a": amps(F.col("l_pu"), F.col("i_base_a"), digits), "p_w": w_of_pu(F.col("p_pu"), digits), "q_va": w_of_pu(F.col("q_pu"), digits)})
     return b, f.groupBy(*keys, "branch_id").agg(*[side(c, s).alias(f"{c}_{s}") for c in ("current_a", "p_w", "q_va") for s in ("oel", "oer")])

@@ -5,37 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from feederflow.functions.keys import shared_keys
 from feederflow.functions.units import pu_of_kw, pu_of_w
 
 SIDES, DIRECTIONS = ("oel", "oer"), ("con", "inj")
 
 
 def match_forecasts(readings: DataFrame, load: DataFrame) -> DataFrame:
-    return readings.join(load.select("load_id"), "load_id", "left_semi")
+    return of_loads(readings, load)
 
 
 def match_offers(offers: DataFrame, load: DataFrame) -> DataFrame:
-    return offers.join(load.select("load_id"), "load_id", "left_semi")
+    return of_loads(offers, load)
+
+
+def of_loads(table: DataFrame, load: DataFrame) -> DataFrame:
+    on = shared_keys(table, load)
+    return table.join(load.select(*on), on, "left_semi")
 
 
 def unmatched_ids(readings: DataFrame, offers: DataFrame, load: DataFrame) -> DataFrame:
-    """Ids on one side only: (source, load_id)."""
-    known = load.select("load_id")
-    out = readings.select("load_id").distinct().join(known, "load_id", "left_anti").select(F.lit("forecast").alias("source"), "load_id")
-    out = out.unionByName(offers.select("load_id").distinct().join(known, "load_id", "left_anti").select(F.lit("offer").alias("source"), "load_id"))
-    return out.unionByName(known.join(readings.select("load_id"), "load_id", "left_anti").select(F.lit("network").alias("source"), "load_id"))
+    """Ids on one side only: (source, load_id), with their network where both sides name it."""
+    on, bids = shared_keys(readings, load), shared_keys(offers, load)
+    ids = lambda df, source, keys: df.select(*keys).distinct().select(F.lit(source).alias("source"), *keys)
+    out = ids(readings.join(load.select(*on), on, "left_anti"), "forecast", on)
+    out = out.unionByName(ids(offers.join(load.select(*bids), bids, "left_anti"), "offer", bids), allowMissingColumns=True)
+    return out.unionByName(ids(load.join(readings.select(*on), on, "left_anti"), "network", on), allowMissingColumns=True)
 
 
 def participants(load: DataFrame, readings: DataFrame, ids: DataFrame | None = None, mode: str = "doe") -> DataFrame:
     """Shared envelopes: loads with offers (``ids``). Dynamic ones: all forecast loads, or those of ``ids`` that are forecast."""
     out = load.select("n", "load_id")
     if mode == "doe":
-        out = out.join(readings.select("load_id"), "load_id", "left_semi")
-    return out if ids is None else out.join(ids.select("load_id"), "load_id", "left_semi")
+        out = of_loads(out, readings)
+    return out if ids is None else of_loads(out, ids)
 
 
 def prices_default_zero(people: DataFrame, prices: DataFrame) -> DataFrame:
-    return people.join(prices.select("load_id", "export_price_kwh"), "load_id", "left").select("n", "load_id", F.coalesce("export_price_kwh", F.lit(0.0)).alias("export_price_kwh"))
+    on = shared_keys(people, prices)
+    return people.join(prices.select(*on, "export_price_kwh"), on, "left").select("n", "load_id", F.coalesce("export_price_kwh", F.lit(0.0)).alias("export_price_kwh"))
 
 
 def index_product(df: DataFrame, directions: bool = False) -> DataFrame:
@@ -66,7 +74,7 @@ def ambient_at(times: DataFrame, ambient: DataFrame) -> DataFrame:
 def nodal_allocation(load: DataFrame, readings: DataFrame, envelope: DataFrame | None) -> DataFrame:
     """(n, t, oe, bus_id, p_pu, q_pu): the envelope (n, t, load_id, oe, kw, injection positive) of those who
     have one, negated; the forecast of the others; reactive power always as forecast."""
-    r = index_product(load.select("n", "load_id", "bus_id").join(readings, "load_id"))
+    r = index_product(load.select("n", "load_id", "bus_id").join(readings, shared_keys(load, readings)))
     p = pu_of_w(F.col("real_power_w"))
     if envelope is not None:
         r = r.join(envelope.select("n", "t", "load_id", "oe", "kw"), ["n", "t", "load_id", "oe"], "left")
@@ -76,7 +84,7 @@ def nodal_allocation(load: DataFrame, readings: DataFrame, envelope: DataFrame |
 
 def bus_background_load(bus: DataFrame, load: DataFrame, readings: DataFrame, people: DataFrame, mode: str = "soe") -> DataFrame:
     """(n, bus_id, p_kw, q_kw): active power of non-participants and reactive power of all; buses without loads have 0."""
-    r = load.select("n", "load_id", "bus_id").join(readings, "load_id").join(people.select("n", "load_id", F.lit(True).alias("_in")), ["n", "load_id"], "left")
+    r = load.select("n", "load_id", "bus_id").join(readings, shared_keys(load, readings)).join(people.select("n", "load_id", F.lit(True).alias("_in")), ["n", "load_id"], "left")
     p = F.when(F.col("_in").isNull(), F.col("real_power_w")).otherwise(0.0) if mode == "soe" else F.lit(0.0)
     by_bus = r.groupBy("n", "bus_id").agg((F.sum(p) / 1e3).alias("p_kw"), (F.sum("reactive_power_var") / 1e3).alias("q_kw"))
     return bus.select("n", "bus_id").join(by_bus, ["n", "bus_id"], "left").fillna(0.0, ["p_kw", "q_kw"])

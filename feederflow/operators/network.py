@@ -86,7 +86,7 @@ def split_lines_transformers(branch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def network_quality(components: DataFrame) -> DataFrame:
-    """Failed rules as (n, rule, cid, detail)."""
+    """Failed rules as (n, rule, cid, detail): unequal vector groups, ends at unknown nodes, buses with several feeds, with none, and with no path to an infeeder."""
     ends = components.where("ctype <> 'Node'").select("n", "cid", "ctype", F.posexplode("body.cons").alias("k", "con")).select("n", "cid", "ctype", "k", F.col("con.node").alias("bus_id"))
     nodes = components_of_type(components, "Node").select("n", F.col("cid").alias("bus_id"))
     vector = components_of_type(components, "Transformer").where(~F.get("body.vector_group", F.lit(0)).eqNullSafe(F.get("body.vector_group", F.lit(1)))).select("n", F.lit("vector_group").alias("rule"), "cid", F.array_join("body.vector_group", "/").alias("detail"))
@@ -94,7 +94,8 @@ def network_quality(components: DataFrame) -> DataFrame:
     feeds = ends.where("ctype in ('Line', 'Transformer') and k = 1").groupBy("n", "bus_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("n", F.lit("several_feeds").alias("rule"), F.col("bus_id").alias("cid"), F.col("c").cast("string").alias("detail"))
     fed = ends.where("(ctype in ('Line', 'Transformer') and k = 1) or ctype = 'Infeeder'").select("n", "bus_id").distinct()
     unfed = nodes.join(fed, ["n", "bus_id"], "left_anti").select("n", F.lit("not_fed").alias("rule"), F.col("bus_id").alias("cid"), F.lit("").alias("detail"))
-    return vector.unionByName(dangling).unionByName(feeds).unionByName(unfed)
+    lost = no_path_to_infeeder(components).select("n", F.lit("no_path").alias("rule"), F.col("bus_id").alias("cid"), F.lit("").alias("detail"))
+    return vector.unionByName(dangling).unionByName(feeds).unionByName(unfed).unionByName(lost)
 
 
 def tables(components: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -113,9 +114,11 @@ def downstream_branches(branch: DataFrame) -> DataFrame:
 def tree_closure(branch: DataFrame) -> DataFrame:
     """(n, branch_id, bus_id, depth): each bus below each branch; depth 0 is the branch's own end.
 
-    Paths double in length each round, so a tree of depth d takes about log2(d) joins.
+    Paths double in length each round, so a tree of depth d takes about log2(d) joins. A path as long
+    as its network has branches means a cycle, which is an error (``network_quality`` lists its buses).
     """
     paths = stored(branch.select("n", F.col("to_bus").alias("bus_id"), "branch_id", F.lit(0).alias("depth"), F.col("from_bus").alias("up")), "paths")
+    most = paths.groupBy("n").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).head()[0] or 0
     jump, step = paths.select("n", "bus_id", "up"), 1
     while True:
         hop = jump.select("n", F.col("bus_id").alias("b"), F.col("up").alias("mid"))
@@ -123,6 +126,26 @@ def tree_closure(branch: DataFrame) -> DataFrame:
         more = stored(hop.join(far, ["n", "mid"]).select("n", F.col("b").alias("bus_id"), "branch_id", (F.col("depth") + step).alias("depth"), "up"), "paths")
         if more.isEmpty():
             return paths.select("n", "branch_id", "bus_id", "depth")
+        if step >= most:
+            raise ValueError(f"networks with a cycle, or several feeds of a bus: {[r.n for r in more.select('n').distinct().orderBy('n').limit(10).collect()]}")
         paths = paths.unionByName(more)
         step *= 2
         jump = paths.where(F.col("depth") == step - 1).select("n", "bus_id", "up")
+
+
+def no_path_to_infeeder(components: DataFrame) -> DataFrame:
+    """(n, bus_id): buses that a branch feeds, but over no path from an infeeder: below an unfed bus, or on or below a cycle.
+
+    Every bus points to the bus above it (of several, the first by id), an infeeder's to itself; pointers double in
+    length each round until each ends at an infeeder or is as long as the network has buses.
+    """
+    ends = components.where("ctype in ('Line', 'Transformer')").select("n", _node(0).alias("up"), _node(1).alias("bus_id")).where("up is not null and bus_id is not null")
+    feeds = components_of_type(components, "Infeeder").select("n", _node(0).alias("bus_id")).distinct().withColumn("fed", F.lit(True))
+    at = ends.groupBy("n", "bus_id").agg(F.min("up").alias("up")).join(feeds, ["n", "bus_id"], "left_anti")
+    at = stored(at.join(feeds.withColumnRenamed("bus_id", "up"), ["n", "up"], "left").select("n", "bus_id", "up", F.coalesce("fed", F.lit(False)).alias("fed")), "pointers")
+    most, step = at.groupBy("n").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).head()[0] or 0, 1
+    while step <= most and not at.where("not fed").isEmpty():
+        above = at.select("n", F.col("bus_id").alias("up"), F.col("up").alias("_up"), F.col("fed").alias("_fed"))
+        jumped = at.join(above, ["n", "up"], "left").select("n", "bus_id", F.when(F.col("fed"), F.col("up")).otherwise(F.coalesce("_up", "up")).alias("up"), (F.col("fed") | F.coalesce("_fed", F.lit(False))).alias("fed"))
+        at, step = stored(jumped, "pointers"), 2 * step
+    return at.where("not fed").select("n", "bus_id")

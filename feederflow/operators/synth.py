@@ -40,13 +40,13 @@ def _normal(x: Column, seed: int) -> Column:
     return F.sqrt(-2 * F.log(_uniform(x, seed))) * F.cos(2 * math.pi * _uniform(x, seed + 7919))
 
 
-def customer_weights(roster: DataFrame, times: DataFrame, size_sigma: float, noise_sigma: float, seed: int) -> DataFrame:
+def customer_weights(roster: DataFrame, times: DataFrame, size_sigma: float, noise_sigma: float, seed: int, parts: int = 64) -> DataFrame:
     """(idx, load_id, t, weight): log-normal size times normal noise, both functions of keys alone.
 
-    Every customer meets every time by definition; both tables are partitioned by what they hold.
+    Every customer meets every time by definition: times are dealt to ``parts`` parts, and each part has all customers.
     """
-    slots = times.select("t").distinct().withColumn("_k", F.lit(1))
-    each = roster.withColumn("_k", F.lit(1)).join(slots, "_k").drop("_k")
+    slots = times.select("t").distinct().withColumn("_part", F.pmod(F.xxhash64("t"), F.lit(parts)).cast("int"))
+    each = roster.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(slots, "_part").drop("_part")
     minute = F.floor(F.unix_seconds(F.col("t").cast("timestamp")) / 60)
     size = F.exp(size_sigma * _normal(F.col("idx") * 1009, seed))
     noise = 1 + noise_sigma * _normal(F.pmod(F.col("idx") * 65537 + minute * 31, F.lit(LCG_M)), seed + 1)

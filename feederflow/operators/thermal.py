@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 PARAMS = ("tau_TO", "tau_W", "delta_theta_TO_R", "delta_theta_HS_R", "R", "n_exp", "m_exp", "I_rated", "theta_HS_max", "dt")
 
 
-def params_row(params: DataFrame) -> DataFrame:
-    """The parameters (one set for all transformers) with exponents n and m renamed."""
-    return params.withColumnsRenamed({"n": "n_exp", "m": "m_exp"})
-
-
 def with_params(df: DataFrame, params: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(params_row(params).limit(1)), F.lit(True))  # one row
+    """Rows with their transformer's parameters, by ``n`` and ``tx_id`` as far as ``params`` has them, exponents n and m renamed.
+
+    Without keys there is one set for all transformers; a second row is an error. The exponent ``n`` is
+    the network's key no more once there is an ``n_exp``.
+    """
+    if "n_exp" not in params.columns:
+        params = params.withColumnsRenamed({"n": "n_exp", "m": "m_exp"})
+    keys = [c for c in ("n", "tx_id") if c in params.columns and c in df.columns]
+    if keys:
+        return df.join(params.select(*keys, *PARAMS), keys)
+    several = F.raise_error(F.lit("one set of transformer parameters, or sets by tx_id"))
+    one = params.agg(F.count(F.lit(1)).alias("_sets"), *[F.first(c).alias(c) for c in PARAMS]).select(*[F.when(F.col("_sets") > 1, several.cast("double")).otherwise(F.col(c)).alias(c) for c in PARAMS])
+    return df.join(F.broadcast(one), F.lit(True))  # one row
 
 
 def load_factor(currents: DataFrame, params: DataFrame) -> DataFrame:
@@ -50,9 +57,9 @@ def thermal_step(rise: DataFrame, state: DataFrame, ambient: DataFrame, params:
 def thermal_series(rise: DataFrame, ambient: DataFrame, params: DataFrame, init: DataFrame | None = None) -> DataFrame:
     """The step chained over time for each transformer; rows with null rises keep the state.
 
-    A step is an affine map x -> a x + b, so the steps of a transformer's day fold to one map, days
-    chain by a window over these maps' fold, and each day then unfolds from its first state. Arrays
-    hold a day's steps, and a transformer's days, never its whole series.
+    A step is an affine map x -> a x + b, so the steps of a transformer's day fold to one map, the days of
+    a span of 32 to another, spans chain by a window, days within their span, and each day then unfolds from its
+    first state. Arrays hold a day's steps, a span's days, or a transformer's spans, never its whole series.
     """
     r = with_params(rise, params).withColumn("day", F.to_date("t"))
     maps = r.select("tx_id", "t", "day", F.when(F.col("to_u").isNull(), 1.0).otherwise(decay("tau_TO")).alias("a1"), F.when(F.col("to_u").isNull(), 0.0).otherwise((1 - decay("tau_TO")) * F.col("to_u")).alias("b1"), F.when(F.col("hs_u").isNull(), 1.0).otherwise(decay("tau_W")).alias("a2"), F.when(F.col("hs_u").isNull(), 0.0).otherwise((1 - decay("tau_W")) * F.col("hs_u")).alias("b2"))
@@ -61,8 +68,13 @@ def thermal_series(rise: DataFrame, ambient: DataFrame, params: DataFrame, init:
     then = lambda m, s: one(s["a1"] * m["a1"], s["a1"] * m["b1"] + s["b1"], s["a2"] * m["a2"], s["a2"] * m["b2"] + s["b2"])
     same = one(F.lit(1.0), F.lit(0.0), F.lit(1.0), F.lit(0.0))
     days = days.withColumn("whole", F.aggregate("steps", same, then))
-    before = Window.partitionBy("tx_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("start", F.aggregate(F.collect_list("whole").over(before), same, then))
+    days = days.withColumn("span", F.floor(F.unix_date("day") / 32))
+    spans = days.groupBy("tx_id", "span").agg(F.array_sort(F.collect_list(F.struct("day", "whole"))).alias("days"))
+    spans = spans.select("tx_id", "span", F.aggregate("days", same, lambda m, d: then(m, d["whole"])).alias("whole"))
+    chained = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("tx_id", "span", F.collect_list("whole").over(chained("tx_id", "span")).alias("earlier"))
+    within = days.select("*", F.collect_list("whole").over(chained("tx_id", "span", "day")).alias("before"))
+    days = within.join(spans, ["tx_id", "span"]).withColumn("start", F.aggregate("before", F.aggregate("earlier", same, then), then))
     if init is not None:
         days = days.join(init.select("tx_id", F.col("delta_theta_TO").alias("i1"), F.col("delta_theta_HS").alias("i2")), "tx_id", "left")
     else:
@@ -82,19 +94,22 @@ def hotspot_check(thermal: DataFrame, params: DataFrame) -> DataFrame:
     return j.groupBy("tx_id").agg(F.max("theta_HS").alias("peak"), (F.sum((F.col("theta_HS") > F.col("theta_HS_max")).cast("int")) * F.first("dt") / 60).alias("hours_over"))
 
 
-def max_current_for_hotspot(state: DataFrame, ambient: DataFrame, params: DataFrame, steps: int = 40, k2_most: float = 16.0) -> DataFrame:
+def max_current_for_hotspot(state: DataFrame, ambient: DataFrame, params: DataFrame, steps: int = 50) -> DataFrame:
     """(tx_id, t, k2_max, i_max_a): the largest squared load factor that keeps the coming step within the limit.
 
-    The hot spot rises with the load, so a fixed number of bisections finds it; 0 if no load is allowed.
+    The hot spot rises with the load, and by no less than the winding's own step, which bounds the load
+    from above; bisections of that range find it; 0 if no load is allowed.
     """
     j = with_params(state.join(ambient.select("t", "theta_a"), "t"), params)
     hot = lambda k2: F.col("theta_a") + (to_rise(k2) - F.col("delta_theta_TO")) * (1 - decay("tau_TO")) + F.col("delta_theta_TO") + (hs_rise(k2) - F.col("delta_theta_HS")) * (1 - decay("tau_W")) + F.col("delta_theta_HS")
     pair = lambda a, b: F.struct(a.alias("lo"), b.alias("hi"))
+    left = F.col("theta_HS_max") - F.col("theta_a") - F.col("delta_theta_TO") * decay("tau_TO") - F.col("delta_theta_HS") * decay("tau_W")
+    most = F.when(left > 0, F.pow(left / (F.col("delta_theta_HS_R") * (1 - decay("tau_W"))), 1 / F.col("m_exp"))).otherwise(0.0)
 
     def halve(s: Column, _: Column) -> Column:
         mid = (s["lo"] + s["hi"]) / 2
         return F.when(hot(mid) <= F.col("theta_HS_max"), pair(mid, s["hi"])).otherwise(pair(s["lo"], mid))
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), pair(F.lit(0.0), F.lit(k2_most)), halve)
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), pair(F.lit(0.0), most), halve)
     j = j.withColumn("k2_max", found["lo"])
-    return j.select("tx_id", "t", "k2_max", (F.sqrt("k2_max") * F.col("I_rated")).alias("i_max_a"))
+    return j.select(*[c for c in ("n",) if c in state.columns], "tx_id", "t", "k2_max", (F.sqrt("k2_max") * F.col("I_rated")).alias("i_max_a"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feederflow.plans.queries import PASSES, TX
+from feederflow.plans.queries import SNAPSHOT, TX
 
 BASE = """
 c AS (SELECT n_regionkey AS n, c_nationkey AS nation, c_custkey AS cust, c_acctbal AS bal,
@@ -30,7 +30,8 @@ series AS (SELECT date_trunc('hour', t) AS t, sum(p) / 1000 - 60 AS total_kw FRO
 price AS (SELECT 'D' || c_custkey AS load_id, c_custkey % 10 / 100.0 AS export_price_kwh FROM customer WHERE c_custkey % 4 = 0),
 disp AS (SELECT 'D' || c_custkey AS load_id, greatest(c_acctbal / 1000, 0) AS inj, greatest(-c_acctbal / 1000, 0) AS con FROM customer),
 env AS (SELECT n, load_id, -abs(bal) / 1000 AS lb, abs(bal) / 500 AS ub FROM load),
-meter AS (SELECT 'D' || user_id AS "Nmi", ts::DATE AS "IntervalDay", hour(ts) AS h, round(sum(value), 6) AS energy FROM events WHERE event_type = 'view' GROUP BY 1, 2, 3),
+wide AS (SELECT 'D' || user_id AS "Nmi", CASE event_type WHEN 'view' THEN 'E1' ELSE 'B1' END AS suffix, ts::DATE AS "IntervalDay", hour(ts) AS h, round(sum(value), 6) AS energy FROM events GROUP BY 1, 2, 3, 4),
+meter AS (SELECT * FROM wide WHERE suffix = 'E1'),
 closure AS (SELECT n, branch_id, to_bus AS bus_id, 0 AS depth FROM branch
       UNION ALL SELECT u.n, u.branch_id, b.to_bus, u.depth + 1 FROM closure u JOIN branch b ON b.n = u.n AND b.from_bus = u.bus_id)
 """
@@ -51,18 +52,86 @@ STEPS = (
 HOT = "hot AS (SELECT tx_id, t, x1, x2, theta_a + x1 + x2 AS theta FROM temp JOIN ambient USING (t))"
 
 
-def passes(n: int) -> list[str]:
-    """The sweep unrolled: flows with losses, currents, voltages."""
-    out = ["f0 AS (SELECT u.n, branch_id, sum(bal) / 1e6 AS p0, 0.4 * sum(bal) / 1e6 AS q0 FROM closure u JOIN load USING (n, bus_id) GROUP BY 1, 2)", "w0 AS (SELECT n, branch_id, p0 AS p, q0 AS q, 0.0::DOUBLE AS l FROM f0)", "v0 AS (SELECT n, bus_id, 1.0::DOUBLE AS v FROM bus)"]
-    for k in range(1, n + 1):
+#: Passes of the unrolled sweep: the last ones change nothing that is printed.
+PASSES = 20
+
+
+def passes(nodal: str, pre: str = "", n: int = PASSES) -> list[str]:
+    """The sweep unrolled for every case ``k`` of ``nodal`` (k, n, bus_id, p, q): flows with losses, currents, voltages."""
+    w, v = pre + "w", pre + "v"
+    out = [
+        f"{pre}f0 AS MATERIALIZED (SELECT k, u.n, branch_id, sum(p) AS p0, sum(q) AS q0 FROM closure u JOIN {nodal} USING (n, bus_id) GROUP BY 1, 2, 3)",
+        f"{w}0 AS (SELECT k, n, branch_id, p0 AS p, q0 AS q, 0.0::DOUBLE AS l FROM {pre}f0)",
+        f"{v}0 AS (SELECT DISTINCT k, n, bus_id, 1.0::DOUBLE AS v FROM (SELECT DISTINCT k, n FROM {pre}f0) JOIN bus USING (n))",
+    ]
+    for j in range(1, n + 1):
+        i = f"{pre}i{j}"
         out += [
-            f"i{k} AS MATERIALIZED (SELECT w.n, w.branch_id, b.to_bus, b.r_pu, b.x_pu, (p * p + q * q) / v.v AS l FROM w{k - 1} w JOIN branch b USING (n, branch_id) JOIN v{k - 1} v ON v.n = b.n AND v.bus_id = b.from_bus)",
-            f"w{k} AS MATERIALIZED (SELECT n, branch_id, p0 + dp AS p, q0 + dq AS q, l FROM f0 JOIN (SELECT u.n, u.branch_id, sum(r_pu * l) AS dp, sum(x_pu * l) AS dq FROM closure u JOIN i{k} i ON i.n = u.n AND i.to_bus = u.bus_id GROUP BY 1, 2) USING (n, branch_id) JOIN (SELECT n, branch_id, l FROM i{k}) USING (n, branch_id))",
-            f"v{k} AS MATERIALIZED (SELECT u.n, u.bus_id, 1 - sum(2 * (r_pu * p + x_pu * q) - (r_pu * r_pu + x_pu * x_pu) * l) AS v FROM closure u JOIN w{k} USING (n, branch_id) JOIN branch b USING (n, branch_id) GROUP BY 1, 2 UNION ALL SELECT n, bus_id, 1.0 FROM bus WHERE bus_id LIKE 'R%')",
+            f"{i} AS MATERIALIZED (SELECT w.k, w.n, w.branch_id, b.to_bus, b.r_pu, b.x_pu, CASE WHEN v.v > 0 THEN (p * p + q * q) / v.v ELSE 'nan'::DOUBLE END AS l FROM {w}{j - 1} w JOIN branch b USING (n, branch_id) JOIN {v}{j - 1} v ON v.k = w.k AND v.n = b.n AND v.bus_id = b.from_bus)",
+            f"{w}{j} AS MATERIALIZED (SELECT k, n, branch_id, p0 + dp AS p, q0 + dq AS q, l FROM {pre}f0 JOIN (SELECT k, u.n, u.branch_id, sum(r_pu * l) AS dp, sum(x_pu * l) AS dq FROM closure u JOIN {i} i ON i.n = u.n AND i.to_bus = u.bus_id GROUP BY 1, 2, 3) USING (k, n, branch_id) JOIN (SELECT k, n, branch_id, l FROM {i}) USING (k, n, branch_id))",
+            f"{v}{j} AS MATERIALIZED (SELECT k, u.n, u.bus_id, 1 - sum(2 * (r_pu * p + x_pu * q) - (r_pu * r_pu + x_pu * x_pu) * l) AS v FROM closure u JOIN {w}{j} USING (n, branch_id) JOIN branch b USING (n, branch_id) GROUP BY 1, 2, 3 UNION ALL SELECT k, n, bus_id, 1.0 FROM {v}0 WHERE bus_id LIKE 'R%')",
         ]
     return out
 
 
+def broken(pre: str, name: str, limits: str | None = None) -> str:
+    """Cases (k, n) with a voltage or current beyond its limit, or none at all; not a number is above everything."""
+    over = "" if limits is None else f" UNION SELECT w.k, w.n FROM {pre}w{PASSES} w JOIN {limits} USING (n, branch_id) WHERE w.l > most * most"
+    return f"{name} AS MATERIALIZED (SELECT k, n FROM {pre}v{PASSES} WHERE NOT v BETWEEN 0.94 * 0.94 AND 1.06 * 1.06 UNION SELECT w.k, w.n FROM {pre}w{PASSES} w JOIN branch USING (n, branch_id) WHERE l > i_max_pu * i_max_pu{over})"
+
+
+def filled(total: str) -> str:
+    return f"CASE WHEN group_kw > 0 THEN greatest(0, least({total} - before, group_kw)) * size_kw / group_kw ELSE 0 END"
+
+
+def search(pre: str, segment: str, given: str, rounds: int = 3, limits: str | None = None) -> list[str]:
+    """{pre}best (n, load_id, oe, kw, ok): 16 steps of the cell left, ``rounds`` times, from segments (n, oe, load_id, bus_id, size_kw, group_kw, before).
+
+    ``given`` has what stays at each bus (n, bus_id, p, q).
+    """
+    out = [f"{pre}s0 AS (SELECT n, oe, 0.0::DOUBLE AS lo, sum(size_kw)::DOUBLE AS hi, true AS ok FROM {segment} GROUP BY 1, 2)"]
+    for r in range(1, rounds + 1):
+        here = f"{pre}{r}"
+        out += [
+            f"{here}t AS MATERIALIZED (SELECT n, oe, c, oe || c AS k, lo + (hi - lo) * c / 16 AS total FROM {pre}s{r - 1}, range(17) g(c))",
+            f"{here}m AS MATERIALIZED (SELECT k, n, bus_id, sum(p) AS p, sum(q) AS q FROM (SELECT k, n, bus_id, p, q FROM {given} JOIN {here}t USING (n) UNION ALL SELECT k, n, bus_id, CASE oe WHEN 'oel' THEN 1 ELSE -1 END * ({filled('total')}) / 1000, 0.0 FROM {segment} JOIN {here}t USING (n, oe)) GROUP BY 1, 2, 3)",
+            *passes(f"{here}m", here),
+            broken(here, f"{here}bad", limits),
+            f"{here}stop AS (SELECT n, oe, coalesce(min(c) FILTER (WHERE (k, n) IN (SELECT (k, n) FROM {here}bad)), 17) - 1 AS last FROM {here}t GROUP BY 1, 2)",
+            f"{pre}s{r} AS MATERIALIZED (SELECT n, oe, lo + (hi - lo) / 16 * greatest(last, 0) AS lo, least(hi, lo + (hi - lo) / 16 * (greatest(last, 0) + 1)) AS hi, ok AND last >= 0 AS ok FROM {pre}s{r - 1} JOIN {here}stop USING (n, oe))",
+        ]
+    out.append(f"{pre}best AS (SELECT n, load_id, oe, sum({filled('lo')}) AS kw, bool_and(ok) AS ok FROM {segment} JOIN {pre}s{rounds} USING (n, oe) GROUP BY 1, 2, 3)")
+    out.append(f"{pre}env AS (SELECT n, load_id, -sum(kw) FILTER (WHERE oe = 'oel') AS lb, sum(kw) FILTER (WHERE oe = 'oer') AS ub, bool_and(ok) AS ok FROM {pre}best GROUP BY 1, 2)")
+    return out
+
+
+SIDES = "(VALUES ('oel'), ('oer')) a(oe)"
+ENVELOPE = "SELECT n, load_id, round(lb, 6) AS lb_kw, round(ub, 6) AS ub_kw, ok AS feasible FROM {}env"
+SMALL = "small AS (SELECT n, bus_id, 0.0::DOUBLE AS p, 0.04 * bal / 1e6 AS q FROM load)"
+UNIFORM = f"seg AS (SELECT n, oe, load_id, bus_id, 50.0::DOUBLE AS size_kw, count(*) OVER (PARTITION BY n, oe) * 50.0::DOUBLE AS group_kw, 0.0::DOUBLE AS before FROM load, {SIDES})"
+PATH = "path AS (SELECT u.n, bus_id, greatest(round(sum(r_pu), 12), 1e-12) AS s FROM closure u JOIN branch USING (n, branch_id) GROUP BY 1, 2)"
+
+
+def ordered(name: str, source: str) -> str:
+    """Segments (n, oe, tier, less, bus_id, load_id, size_kw) with their groups, in order."""
+    return f"{name} AS MATERIALIZED (SELECT r.n, r.oe, load_id, r.bus_id, size_kw, group_kw, before FROM {source} r JOIN (SELECT *, coalesce(sum(group_kw) OVER (PARTITION BY n, oe ORDER BY tier, less, bus_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT n, oe, tier, less, bus_id, sum(size_kw) AS group_kw FROM {source} GROUP BY ALL)) g ON g.n = r.n AND g.oe = r.oe AND g.tier = r.tier AND g.less = r.less AND g.bus_id = r.bus_id)"
+
+
+NEAREST = (PATH, f"rank AS (SELECT n, oe, 0 AS tier, -(CASE oe WHEN 'oer' THEN coalesce(export_price_kwh, 0) ELSE 0 END * (5 / 60) + 0.001) / s AS less, bus_id, load_id, 50.0::DOUBLE AS size_kw FROM load JOIN path USING (n, bus_id) LEFT JOIN price USING (load_id), {SIDES})", ordered("seg", "rank"))
+
+
+def allowed(state: str) -> tuple[str, str]:
+    """Bisections of the squared load factor between 0 and what the winding alone allows, from (tx_id, t, theta_a, x1, x2)."""
+    up = lambda k2: f"{TX['delta_theta_TO_R']} * power(({k2} * {TX['R']} + 1) / ({TX['R']} + 1), {TX['n']})"
+    mid = "((lo + hi) / 2)"
+    hot = f"theta_a + ({up(mid)} - x1) * (1 - {D1}) + x1 + ({TX['delta_theta_HS_R']} * power({mid}, {TX['m']}) - x2) * (1 - {D2}) + x2 <= {TX['theta_HS_max']}"
+    left = f"({TX['theta_HS_max']} - theta_a - x1 * {D1} - x2 * {D2})"
+    return (
+        f"half AS (SELECT tx_id, t, theta_a, x1, x2, 0 AS i, 0.0::DOUBLE AS lo, CASE WHEN {left} > 0 THEN power({left} / ({TX['delta_theta_HS_R']} * (1 - {D2})), 1 / {TX['m']}) ELSE 0 END::DOUBLE AS hi FROM {state} UNION ALL SELECT tx_id, t, theta_a, x1, x2, i + 1, CASE WHEN {hot} THEN {mid} ELSE lo END, CASE WHEN {hot} THEN hi ELSE {mid} END FROM half WHERE i < 50)",
+        "allowed AS (SELECT tx_id, t, lo AS k2_max FROM half WHERE i = 50)",
+    )
+
+
 def lcg(x: str, seed: int) -> str:
     s = f"(({x}) + {seed}) % 2147483648"
     for _ in range(3):
@@ -84,17 +153,54 @@ def profile(name: str, seed: int, total: str, where: str) -> tuple[str, str, str
     )
 
 
-ROSTER = "roster AS (SELECT i AS idx, printf('NMI_%03d', i + 1) AS load_id, CASE WHEN i < 13 THEN 'bus_a' WHEN i < 26 THEN 'bus_b' ELSE 'bus_c' END AS bus_id, i < 12 AS is_solar FROM range(40) g(i))"
+ROSTER = "roster AS (SELECT idx, printf('NMI_%03d', idx + 1) AS load_id, CASE WHEN idx < round_even(nn * 0.33, 0) THEN 'bus_a' WHEN idx < 2 * round_even(nn * 0.33, 0) THEN 'bus_b' ELSE 'bus_c' END AS bus_id, idx < round_even(nn * 0.3, 0) AS is_solar FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS idx, count(*) OVER () AS nn FROM customer))"
 NET = (ROSTER, *profile("pb", 42, "greatest(total_kw, 0)", "true"), *profile("ps", 142, "greatest(-total_kw, 0)", "is_solar"), "net AS (SELECT load_id, t, pb.kw - coalesce(ps.kw, 0) AS net_kw FROM pb LEFT JOIN ps USING (load_id, t))")
-FLOW = passes(PASSES)
-P = PASSES
-OUT = f"flow AS (SELECT w.n, w.branch_id, b.to_bus AS bus_id, p, q, l, v, i_max_pu FROM w{P} w JOIN branch b USING (n, branch_id) JOIN v{P} v ON v.n = b.n AND v.bus_id = b.to_bus)"
-SLACK = "slack AS (SELECT 0 AS n, date_trunc('day', t) AS t, load_id AS bus_id, p > 0 AS load, p / 1000 AS kw FROM reading WHERE abs(p) > 200000)"
+CASES = f"nodal AS (SELECT oe AS k, n, bus_id, bal / 1e6 AS p, 0.4 * bal / 1e6 AS q FROM load, {SIDES})"
+FLOW = [CASES, *passes("nodal")]
+OUT = f"flow AS (SELECT w.k AS oe, w.n, w.branch_id, b.to_bus AS bus_id, p, q, l, v, i_max_pu FROM w{PASSES} w JOIN branch b USING (n, branch_id) JOIN v{PASSES} v ON v.k = w.k AND v.n = b.n AND v.bus_id = b.to_bus)"
+SLACK = "slack AS (SELECT n, date_trunc('day', t) AS t, load_id AS bus_id, p > 0 AS load, p / 1000 AS kw FROM reading JOIN load USING (load_id))"
+SHED = [PATH, "worst AS (SELECT n, max_by(bus_id, (s, bus_id)) AS bus_id FROM load JOIN path USING (n, bus_id) GROUP BY 1)", "given AS (SELECT n, bus_id, bal / 1e6 AS p, 0.4 * bal / 1e6 AS q FROM load)", "s0 AS (SELECT n, 0.0::DOUBLE AS lo, sum(abs(p)) AS hi, true AS ok FROM given GROUP BY 1)"]
+for _r in range(1, 4):
+    SHED += [
+        f"t{_r} AS MATERIALIZED (SELECT n, c, c AS k, lo + (hi - lo) * c / 16 AS kw FROM s{_r - 1}, range(17) g(c))",
+        f"m{_r} AS MATERIALIZED (SELECT k, n, bus_id, sum(p) AS p, sum(q) AS q FROM (SELECT k, n, bus_id, p, q FROM given JOIN t{_r} USING (n) UNION ALL SELECT k, n, bus_id, -kw, 0.0 FROM worst JOIN t{_r} USING (n)) GROUP BY 1, 2, 3)",
+        *passes(f"m{_r}", f"r{_r}"),
+        broken(f"r{_r}", f"bad{_r}"),
+        f"good{_r} AS (SELECT n, min(c) AS c FROM t{_r} WHERE (k, n) NOT IN (SELECT (k, n) FROM bad{_r}) GROUP BY 1)",
+        f"s{_r} AS MATERIALIZED (SELECT n, lo + (hi - lo) / 16 * greatest(coalesce(c, 16) - 1, 0) AS lo, lo + (hi - lo) / 16 * coalesce(c, 16) AS hi, ok AND c IS NOT NULL AS ok FROM s{_r - 1} LEFT JOIN good{_r} USING (n))",
+    ]
+
+
+def reserved() -> str:
+    """Two searches: the dispatch that the first leaves moves what the second has to hold."""
+    def parts(name: str, settled: str) -> tuple[str, ...]:
+        side = lambda c, a, b: f"CASE oe WHEN 'oer' THEN {a} ELSE {b} END AS {c}"
+        need = f"{name}n AS (SELECT n, oe, bus_id, load_id, s, {side('want', '5 + d', '5 - d')}, {side('bid', 'con_kw + least(d, 0)', 'inj_kw - greatest(d, 0)')}, {side('price', 'con_price', 'inj_price')} FROM load JOIN offer USING (load_id) JOIN path USING (n, bus_id) JOIN {settled} USING (n, load_id), {SIDES})"
+        held = f"{name}h AS (SELECT *, greatest(0, least(50, want))::DOUBLE AS held, least(greatest(0, least(50, want)), greatest(0, bid))::DOUBLE AS free FROM {name}n)"
+        less = "-(price * (5 / 60) / s)"
+        rank = f"{name}r AS (SELECT n, oe, 0 AS tier, {less} AS less, bus_id, load_id, held - free AS size_kw FROM {name}h UNION ALL SELECT n, oe, 1, {less}, bus_id, load_id, free FROM {name}h UNION ALL SELECT n, oe, 2, -(0.001 / s), bus_id, load_id, 50.0 - held FROM {name}h)"
+        return need, held, rank, ordered(f"{name}seg", f"{name}r")
+
+    got = lambda pre, name: f"{name} AS (SELECT e.*, inj_kw, inj_price, con_kw, con_price, greatest(-con_kw, least(inj_kw, greatest(lb + 5, least(0, ub - 5)))) AS got FROM {pre}env e JOIN offer USING (load_id))"
+    given = "stay AS (SELECT n, bus_id, CASE WHEN load_id IN (SELECT load_id FROM offer) THEN 0 ELSE 0.1 * bal / 1e6 END::DOUBLE AS p, 0.04 * bal / 1e6 AS q FROM load)"
+    zero = "zero AS (SELECT n, load_id, 0.0::DOUBLE AS d FROM load)"
+    settled = "settled AS (SELECT n, load_id, round(got, 9) AS d FROM g1)"
+    select = "SELECT n, load_id, round(lb, 6) AS lb_kw, round(ub, 6) AS ub_kw, ok AS feasible, round(got, 6) AS dispatch_kw, round(abs(got) * CASE WHEN got >= 0 THEN inj_price ELSE con_price END * 5 / 60, 6) AS payment_dlr, round(greatest(0, lb + 5 - got) + greatest(0, got - (ub - 5)), 6) AS shortfall_kw FROM g2"
+    return sql(select, PATH, given, zero, *parts("a", "zero"), *search("a", "aseg", "stay"), got("a", "g1"), settled, *parts("b", "settled"), *search("b", "bseg", "stay"), got("b", "g2"))
+
 
 _ORACLES: dict[str, str] = {
     "net_components": sql("SELECT n, 'I' || r_regionkey AS cid, 'Infeeder' AS ctype, 'R' || r_regionkey AS node FROM (SELECT r_regionkey AS n, r_regionkey FROM region) UNION ALL SELECT n, bus_id, 'Node', NULL FROM bus UNION ALL SELECT n, branch_id, CASE kind WHEN 'line' THEN 'Line' ELSE 'Transformer' END, from_bus FROM branch UNION ALL SELECT n, load_id, 'Load', bus_id FROM load"),
-    "write_network": sql("SELECT 'Infeeder' AS ctype, count(*) AS components FROM region UNION ALL SELECT 'Node', count(*) FROM bus UNION ALL SELECT CASE kind WHEN 'line' THEN 'Line' ELSE 'Transformer' END, count(*) FROM branch GROUP BY 1 UNION ALL SELECT 'Load', count(*) FROM load WHERE i % 2 = 0"),
-    "read_offers": sql("SELECT load_id, inj_kw, inj_price, con_kw, n_inj FROM offer"),
+    "write_network": sql("SELECT 'I' || r_regionkey AS cid, 'Infeeder' AS ctype, 'R' || r_regionkey AS node, NULL::DOUBLE AS v_base, NULL::DOUBLE AS i_max FROM region UNION ALL SELECT bus_id, 'Node', NULL, 1.0, NULL FROM bus UNION ALL SELECT branch_id, CASE kind WHEN 'line' THEN 'Line' ELSE 'Transformer' END, from_bus, NULL, CASE WHEN kind = 'line' AND i_max_pu < 1 THEN 40.0 END FROM branch UNION ALL SELECT 'S' || load_id, 'Load', bus_id, NULL, NULL FROM load"),
+    "read_offers": sql("SELECT load_id, inj_kw, inj_price, con_kw, n_inj, -5.0::DOUBLE AS reservation_l, 5.0::DOUBLE AS reservation_u FROM offer"),
+    "read_forecast": sql("SELECT load_id, bal AS real_power_w, round(0.4 * bal, 6) AS reactive_power_var FROM load"),
+    "read_forecast_ts": sql("SELECT t, load_id, round(p, 6) AS real_power_w, round(0.4 * p, 6) AS reactive_power_var FROM reading"),
+    "read_tx_params": f"SELECT 'T' || n_nationkey AS tx_id, 180.0::DOUBLE + n_nationkey AS \"tau_TO\", {', '.join(f'{v}::DOUBLE AS "{c}"' for c, v in TX.items() if c not in ('tau_TO', 'I_rated'))}, 150.0::DOUBLE + 5 * n_nationkey AS \"I_rated\" FROM nation",
+    "read_wide_meter": sql("SELECT \"Nmi\", suffix AS \"NmiSuffix\", \"IntervalDay\", max(energy) FILTER (WHERE h = 7) AS \"Data_07_00\", max(energy) FILTER (WHERE h = 23) AS \"Data_23_00\" FROM wide GROUP BY 1, 2, 3"),
+    "read_tx_series": sql("SELECT t, round(total_kw, 6) AS total_kw, round(total_kw / 2, 6) AS estimated_kw FROM series"),
+    "read_ambient": sql("SELECT t, round(theta_a, 6) AS theta_a FROM ambient"),
+    "read_prices": sql("SELECT load_id, export_price_kwh::DOUBLE AS export_price_kwh FROM price"),
+    "write_results": sql("SELECT n, load_id, round(lb, 6) AS lb_kw, round(ub, 6) AS ub_kw, round(inj - con, 6) AS dispatch_kw FROM env JOIN disp USING (load_id)"),
     "components_of_type": sql("SELECT n, branch_id AS cid FROM line"),
     "ordinal_ids": sql("SELECT n, load_id AS cid, i FROM load"),
     "scale_loads": sql("SELECT load_id, factor::DOUBLE AS factor, round(bal * factor::DOUBLE, 6) AS real_power_w, round(0.4 * bal * factor::DOUBLE, 6) AS reactive_power_var FROM load, (VALUES (1.0), (2.2), (2.5)) f(factor)"),
@@ -115,29 +221,36 @@ _ORACLES: dict[str, str] = {
       UNION ALL SELECT n, 'dangling_node', load_id, bus_id FROM load WHERE bus_id IN (SELECT bus_id FROM gone)""", "gone AS (SELECT 'C' || cust AS bus_id FROM c WHERE cust % 50 = 7)"),
     "downstream_branches": sql("SELECT a.n, a.branch_id, b.branch_id AS child_branch_id FROM branch a JOIN branch b ON a.n = b.n AND a.to_bus = b.from_bus"),
     "tree_closure": sql("SELECT n, branch_id, bus_id, depth FROM closure"),
-    "match_forecasts": sql("SELECT load_id, bal AS real_power_w, round(0.4 * bal, 6) AS reactive_power_var FROM load WHERE i % 3 = 0"),
-    "match_offers": sql("SELECT load_id, -5.0::DOUBLE AS reservation_l, 5.0::DOUBLE AS reservation_u FROM offer JOIN load USING (load_id) WHERE i % 3 = 0"),
-    "unmatched_ids": sql("SELECT DISTINCT 'forecast' AS source, load_id FROM reading WHERE load_id NOT IN (SELECT load_id FROM load WHERE i % 3 = 0) UNION ALL SELECT 'offer', load_id FROM offer WHERE load_id NOT IN (SELECT load_id FROM load WHERE i % 3 = 0) UNION ALL SELECT 'network', load_id FROM load WHERE i % 3 = 0 AND load_id NOT IN (SELECT load_id FROM reading)"),
+    "match_forecasts": sql("SELECT t, load_id, round(p, 6) AS real_power_w, round(0.4 * p, 6) AS reactive_power_var FROM reading WHERE load_id IN (SELECT load_id FROM load)"),
+    "match_offers": sql("SELECT load_id, -5.0::DOUBLE AS reservation_l, 5.0::DOUBLE AS reservation_u FROM offer JOIN load USING (load_id)"),
+    "unmatched_ids": sql("SELECT DISTINCT 'forecast' AS source, load_id FROM reading WHERE load_id NOT IN (SELECT load_id FROM load) UNION ALL SELECT 'offer', load_id FROM offer WHERE load_id NOT IN (SELECT load_id FROM load) UNION ALL SELECT 'network', load_id FROM load WHERE load_id NOT IN (SELECT load_id FROM reading)"),
     "participants": sql("SELECT n, load_id, 'doe' AS mode FROM load WHERE load_id IN (SELECT load_id FROM reading) UNION ALL SELECT n, load_id, 'soe' FROM load WHERE load_id IN (SELECT load_id FROM offer)"),
     "prices_default_zero": sql("SELECT n, load_id, coalesce(export_price_kwh, 0)::DOUBLE AS export_price_kwh FROM load LEFT JOIN price USING (load_id)"),
     "index_product": sql("SELECT n, load_id, oe, ci FROM load, (VALUES ('oel'), ('oer')) a(oe), (VALUES ('con'), ('inj')) b(ci)"),
     "ambient_at": sql("""SELECT e.t, CASE WHEN e.t <= lo THEN th_lo WHEN e.t >= hi THEN th_hi ELSE round(a.theta_a + (a.th2 - a.theta_a) * (epoch_us(e.t) - epoch_us(a.t))::DOUBLE / (epoch_us(a.t2) - epoch_us(a.t)), 9) END AS theta_a, e.t < lo OR e.t > hi AS extrapolated
       FROM (SELECT DISTINCT ts AS t FROM events) e LEFT JOIN a ON e.t >= a.t AND e.t < a.t2, (SELECT min(t) AS lo, max(t) AS hi, round(arg_min(theta_a, t), 9) AS th_lo, round(arg_max(theta_a, t), 9) AS th_hi FROM ambient WHERE hour(t) <> 5)""", "a AS (SELECT t, theta_a, lead(t) OVER (ORDER BY t) AS t2, lead(theta_a) OVER (ORDER BY t) AS th2 FROM ambient WHERE hour(t) <> 5)"),
-    "bus_background_load": sql("SELECT b.n, b.bus_id, round(coalesce(sum(CASE WHEN i % 3 <> 0 THEN bal ELSE 0 END), 0) / 1000, 6) AS p_kw, round(coalesce(sum(0.4 * bal), 0) / 1000, 6) AS q_kw FROM bus b LEFT JOIN load USING (n, bus_id) GROUP BY 1, 2"),
-    "nodal_allocation": sql("SELECT n, oe, bus_id, round(CASE WHEN i % 3 = 0 THEN CASE oe WHEN 'oel' THEN 0.002 ELSE -0.002 END ELSE bal / 1e6 END * 1e3, 6) AS p_pu, round(0.4 * bal / 1e6 * 1e3, 6) AS q_pu FROM load, (VALUES ('oel'), ('oer')) s(oe)"),
-    "subtree_flow": sql("SELECT n, branch_id, round(p0, 6) AS p_pu, round(q0, 6) AS q_pu FROM f0", FLOW[0]),
-    "path_voltage": sql("SELECT u.n, u.bus_id, round(1 - sum(2 * (r_pu * p0 + x_pu * q0)), 6) AS v2_pu FROM closure u JOIN f0 USING (n, branch_id) JOIN branch USING (n, branch_id) GROUP BY 1, 2", FLOW[0]),
-    "power_flow": sql("SELECT n, branch_id, round(p, 6) AS p_pu, round(q, 6) AS q_pu, round(l, 6) AS l_pu, round(v, 6) AS v2_pu FROM flow", *FLOW, OUT),
-    "unit_conversions": sql("SELECT n, branch_id, round(round(sqrt(abs(l)) * 1000, 6), 4) AS current_a, round(round(p * 1e6, 6), 3) AS p_w, round(sqrt(abs(v)), 6) AS voltage_pu FROM flow", *FLOW, OUT),
-    "limit_violations": sql("SELECT n, 'v_min' AS kind, bus_id AS id, round(sqrt(abs(v)), 6) AS value, 0.94::DOUBLE AS \"limit\", round(0.94 - sqrt(abs(v)), 6) AS excess FROM flow WHERE sqrt(abs(v)) < 0.94 UNION ALL SELECT n, 'v_max', bus_id, round(sqrt(abs(v)), 6), 1.06, round(sqrt(abs(v)) - 1.06, 6) FROM flow WHERE sqrt(abs(v)) > 1.06 UNION ALL SELECT n, 'i_max', branch_id, round(sqrt(l), 6), i_max_pu, round(sqrt(l) - i_max_pu, 6) FROM flow WHERE sqrt(l) > i_max_pu", *FLOW, OUT),
-    "voltage_current_results": sql("SELECT n, bus_id, round(sqrt(abs(v)), 6) AS voltage_pu_oel, NULL::DOUBLE AS voltage_pu_oer FROM flow", *FLOW, OUT),
+    "bus_background_load": sql("SELECT b.n, b.bus_id, round(coalesce(sum(CASE WHEN load_id NOT IN (SELECT load_id FROM reading) THEN bal ELSE 0 END), 0) / 1000, 6) AS p_kw, round(coalesce(sum(0.4 * bal), 0) / 1000, 6) AS q_kw FROM bus b LEFT JOIN load USING (n, bus_id) GROUP BY 1, 2"),
+    "nodal_allocation": sql("SELECT n, oe, bus_id, round(CASE WHEN load_id IN (SELECT load_id FROM reading) THEN CASE oe WHEN 'oel' THEN 0.002 ELSE -0.002 END ELSE bal / 1e6 END * 1e3, 6) AS p_pu, round(0.4 * bal / 1e6 * 1e3, 6) AS q_pu FROM load, (VALUES ('oel'), ('oer')) s(oe)"),
+    "subtree_flow": sql("SELECT n, branch_id, round(p0, 9) AS p_pu, round(q0, 9) AS q_pu FROM f0 WHERE k = 'oel'", *FLOW[:2]),
+    "path_voltage": sql("SELECT u.n, u.bus_id, round(1 - sum(2 * (r_pu * p0 + x_pu * q0)), 6) AS v2_pu FROM closure u JOIN f0 USING (n, branch_id) JOIN branch USING (n, branch_id) WHERE k = 'oel' GROUP BY 1, 2", *FLOW[:2]),
+    "power_flow": sql("SELECT n, oe, branch_id, round(p, 6) AS p_pu, round(q, 6) AS q_pu, round(l, 6) AS l_pu, round(v, 6) AS v2_pu, true AS converged FROM flow", *FLOW, OUT),
+    "unit_conversions": sql("SELECT n, oe, branch_id, round(sqrt(abs(l)) * 1000, 4) AS current_a, round(p * 1e6, 3) AS p_w, round(sqrt(abs(v)), 6) AS voltage_pu FROM flow", *FLOW, OUT),
+    "limit_violations": sql("SELECT n, oe, 'v_min' AS kind, bus_id AS id, round(sqrt(abs(v)), 6) AS value, 0.94::DOUBLE AS \"limit\", round(0.94 - sqrt(abs(v)), 6) AS excess FROM flow WHERE sqrt(abs(v)) < 0.94 UNION ALL SELECT n, oe, 'v_max', bus_id, round(sqrt(abs(v)), 6), 1.06, round(sqrt(abs(v)) - 1.06, 6) FROM flow WHERE sqrt(abs(v)) > 1.06 UNION ALL SELECT n, oe, 'i_max', branch_id, round(sqrt(l), 6), i_max_pu, round(sqrt(l) - i_max_pu, 6) FROM flow WHERE sqrt(l) > i_max_pu", *FLOW, OUT),
+    "voltage_current_results": sql("SELECT n, bus_id, round(sqrt(abs(v)), 6) AS voltage_pu_oel, round(sqrt(abs(v)), 6) AS voltage_pu_oer, branch_id, round(sqrt(abs(l)) * 1000, 3) AS current_a_oel, round(p * 1e6, 3) AS p_w_oel, round(q * 1e6, 3) AS q_va_oer FROM flow WHERE oe = 'oel'", *FLOW, OUT),
     "viol_report": sql("SELECT n, t, bus_id, round(coalesce(sum(kw) FILTER (WHERE load), 0), 6) AS viol_a_kw_oel, round(coalesce(sum(kw) FILTER (WHERE NOT load), 0), 6) AS viol_a_kw_oer, 0.0::DOUBLE AS viol_r_kw_oel, 0.0::DOUBLE AS viol_r_kw_oer FROM slack GROUP BY 1, 2, 3", SLACK),
-    "dispatch_payment": sql("SELECT load_id, round(inj - con, 6) AS dispatch_kw, round((inj * coalesce(inj_price, 0) + con * coalesce(con_price, 0)) * 5 / 60, 6) AS payment_dlr FROM disp LEFT JOIN offer USING (load_id)"),
-    "objective_value": sql("SELECT n, round(cost, 3) AS cost, round(benefit, 3) AS benefit, round(width, 3) AS width, round(coalesce(penalty, 0), 3) AS penalty, round(cost - benefit - width + coalesce(penalty, 0), 3) AS total FROM pay JOIN ben USING (n) LEFT JOIN pen USING (n)", SLACK, "pay AS (SELECT n, sum(round((inj * coalesce(inj_price, 0) + con * coalesce(con_price, 0)) * 5 / 60, 6)) AS cost FROM disp JOIN load USING (load_id) LEFT JOIN offer USING (load_id) GROUP BY 1)", "ben AS (SELECT n, sum(coalesce(export_price_kwh, 0) * ub * 5 / 60) AS benefit, sum(0.001 * (ub - lb)) AS width FROM env LEFT JOIN price USING (load_id) GROUP BY 1)", "pen AS (SELECT n, sum(1000 * abs(kw)) AS penalty FROM slack GROUP BY 1)"),
+    "dispatch_payment": sql("SELECT load_id, round(inj - con, 9) AS dispatch_kw, round((inj * coalesce(inj_price, 0) + con * coalesce(con_price, 0)) * 5 / 60, 9) AS payment_dlr FROM disp LEFT JOIN offer USING (load_id)"),
+    "objective_value": sql("SELECT n, round(cost, 3) AS cost, round(benefit, 3) AS benefit, round(width, 3) AS width, round(coalesce(penalty, 0), 3) AS penalty, round(cost - benefit - width + coalesce(penalty, 0), 3) AS total FROM pay JOIN ben USING (n) LEFT JOIN pen USING (n)", SLACK, "pay AS (SELECT n, sum(round((inj * coalesce(inj_price, 0) + con * coalesce(con_price, 0)) * 5 / 60, 9)) AS cost FROM disp JOIN load USING (load_id) LEFT JOIN offer USING (load_id) GROUP BY 1)", "ben AS (SELECT n, sum(coalesce(export_price_kwh, 0) * ub * 5 / 60) AS benefit, sum(0.001 * (ub - lb)) AS width FROM env LEFT JOIN price USING (load_id) GROUP BY 1)", "pen AS (SELECT n, sum(1000 * abs(kw)) AS penalty FROM slack GROUP BY 1)"),
     "offer_cap_check": sql("SELECT load_id, 'inj' AS ci, round(inj, 6) AS dispatch_kw, coalesce(inj_kw, 0)::DOUBLE AS cap_kw, inj <= coalesce(inj_kw, 0) AS ok FROM disp LEFT JOIN offer USING (load_id) UNION ALL SELECT load_id, 'con', round(con, 6), coalesce(con_kw, 0), con <= coalesce(con_kw, 0) FROM disp LEFT JOIN offer USING (load_id)"),
     "reservation_check": sql("SELECT n, load_id, round(greatest(0, lb - (-5 + inj - con)), 6) AS short_l_kw, round(greatest(0, 5 + inj - con - ub), 6) AS short_u_kw FROM env JOIN offer USING (load_id) JOIN disp USING (load_id)"),
-    "reservation_dispatch": sql("SELECT n, load_id, round(got, 6) AS dispatch_kw, round(abs(got) * CASE WHEN got >= 0 THEN inj_price ELSE con_price END * 5 / 60, 6) AS payment_dlr, round(greatest(0, lb + 5 - got) + greatest(0, got - (ub - 5)), 6) AS shortfall_kw FROM g", "g AS (SELECT *, greatest(-con_kw, least(inj_kw, greatest(lb + 5, least(0, ub - 5)))) AS got FROM env JOIN offer USING (load_id))"),
-    "load_factor": sql(f"SELECT tx_id, t, round(current_a, 6) AS current_a, round({K2}, 6) AS k2 FROM current"),
+    "reservation_dispatch": sql("SELECT n, load_id, round(got, 9) AS dispatch_kw, round(abs(got) * CASE WHEN got >= 0 THEN inj_price ELSE con_price END * 5 / 60, 9) AS payment_dlr, round(greatest(0, lb + 5 - got) + greatest(0, got - (ub - 5)), 9) AS shortfall_kw FROM g", "g AS (SELECT *, greatest(-con_kw, least(inj_kw, greatest(lb + 5, least(0, ub - 5)))) AS got FROM env JOIN offer USING (load_id))"),
+    "load_factor": sql("SELECT tx_id, t, round(current_a, 6) AS current_a, round(power(current_a / (150 + 5 * nation), 2), 6) AS k2 FROM current JOIN tx ON tx_id = branch_id"),
+    "max_current_for_hotspot": sql(f"SELECT tx_id, t, round(k2_max, 6) AS k2_max, round(sqrt(k2_max) * {TX['I_rated']}, 6) AS i_max_a FROM allowed", "state AS (SELECT branch_id AS tx_id, t, theta_a, (nation + 10)::DOUBLE AS x1, nation / 2.0::DOUBLE AS x2 FROM tx, ambient)", *allowed("state")),
+    "thermal_stream": sql('SELECT tx_id, t, round(x1, 6) AS "delta_theta_TO", round(x2, 6) AS "delta_theta_HS" FROM temp WHERE t + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events JOIN customer ON user_id = c_custkey) - INTERVAL 1 HOUR', *STEPS),
+    "envelope_uniform": sql(ENVELOPE.format("u"), SMALL, UNIFORM, *search("u", "seg", "small")),
+    "envelope_nearest_first": sql(ENVELOPE.format("u"), SMALL, *NEAREST, *search("u", "seg", "small")),
+    "envelope_thermal": sql(ENVELOPE.format("u"), SMALL, UNIFORM, f"state AS (SELECT branch_id AS tx_id, TIMESTAMP '{SNAPSHOT}' AS t, 20.0::DOUBLE AS theta_a, (nation + 10)::DOUBLE AS x1, nation / 2.0::DOUBLE AS x2 FROM tx)", *allowed("state"), f"cool AS (SELECT n, branch_id, sqrt(k2_max) * {TX['I_rated']} / 1000 AS most FROM allowed JOIN tx ON tx_id = branch_id)", *search("u", "seg", "small", limits="cool")),
+    "envelope_reserved": reserved(),
+    "required_shed": sql("SELECT n, bus_id, CASE WHEN ok THEN round(hi * 1e3, 6) END AS shed_kw, ok AS restored FROM s3 JOIN worst USING (n)", *SHED),
     "ultimate_rise": sql(f"SELECT tx_id, t, round({K2}, 6) AS k2, round({TO_U}, 6) AS to_u, round({HS_U}, 6) AS hs_u FROM current"),
     "thermal_step": sql(f"SELECT tx_id, t, round(x1, 6) AS \"delta_theta_TO\", round(x2, 6) AS \"delta_theta_HS\", round(theta_a + x1 + x2, 6) AS \"theta_HS\" FROM s JOIN ambient USING (t)", f"s AS (SELECT tx_id, t, ({TO_U} - (nation + 10)) * (1 - {D1}) + nation + 10 AS x1, ({HS_U} - nation / 2.0) * (1 - {D2}) + nation / 2.0 AS x2 FROM current JOIN tx ON tx_id = branch_id)"),
     "thermal_series": sql('SELECT tx_id, t, round(x1, 6) AS "delta_theta_TO", round(x2, 6) AS "delta_theta_HS", round(theta, 6) AS "theta_HS" FROM hot', *STEPS, HOT),
@@ -164,7 +277,7 @@ _ORACLES: dict[str, str] = {
     "customer_summary": sql("SELECT bus_id, count(*) AS customers, round(avg(m), 6) AS mean_kw, round(min(m), 6) AS min_mean_kw, round(max(m), 6) AS max_mean_kw, round(avg(e), 6) AS export_share FROM (SELECT load_id, avg(net_kw) AS m, avg((net_kw < 0)::INT) AS e FROM net GROUP BY 1) JOIN roster USING (load_id) GROUP BY 1", *NET),
     "reactive_from_pf": sql("SELECT t, load_id, round(p, 2) AS real_power_w, round(p * tan(acos(0.95)), 2) AS reactive_power_var FROM reading"),
     "envelope_linear": sql("""SELECT n, round(-greatest(0, least(50, min((1 - d - 0.94 * 0.94) / s))), 6) AS lb_kw, round(greatest(0, least(50, min((1.06 * 1.06 - 1 + d) / s))), 6) AS ub_kw
-      FROM (SELECT u.n, u.bus_id, sum(2 * (r_pu * p + x_pu * q)) AS d, sum(2 * r_pu * k / 1000) AS s FROM closure u JOIN fl USING (n, branch_id) JOIN branch USING (n, branch_id) GROUP BY 1, 2) WHERE s > 0 GROUP BY 1""", "fl AS (SELECT u.n, branch_id, sum(CASE WHEN i % 3 = 0 THEN 0 ELSE bal * 0.1 / 1e6 END) AS p, sum(0.4 * bal * 0.1 / 1e6) AS q, sum(CASE WHEN i % 3 = 0 THEN 1.0 ELSE 0 END) AS k FROM closure u JOIN load USING (n, bus_id) GROUP BY 1, 2)"),
+      FROM (SELECT u.n, u.bus_id, sum(2 * (r_pu * p + x_pu * q)) AS d, sum(2 * r_pu * k / 1000) AS s FROM closure u JOIN fl USING (n, branch_id) JOIN branch USING (n, branch_id) GROUP BY 1, 2) WHERE s > 0 GROUP BY 1""", "fl AS (SELECT u.n, branch_id, sum(CASE WHEN load_id IN (SELECT load_id FROM reading) THEN 0 ELSE bal * 0.1 / 1e6 END) AS p, sum(0.4 * bal * 0.1 / 1e6) AS q, sum(CASE WHEN load_id IN (SELECT load_id FROM reading) THEN 1.0 ELSE 0 END) AS k FROM closure u JOIN load USING (n, bus_id) GROUP BY 1, 2)"),
     "pu_conversion": sql("SELECT load_id, round(bal / 1e6 * 1e3, 6) AS p_mpu FROM load"),
 }
 

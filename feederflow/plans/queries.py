@@ -20,12 +20,11 @@ from feederflow.sources import tables as tb
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-PASSES = 4
-#: Parameters of the reference's transformer, with an hour between steps and a rating for these tables.
+#: A transformer's parameters, with an hour between steps and a rating for these tables.
 TX = {"tau_TO": 180.0, "tau_W": 10.0, "delta_theta_TO_R": 55.0, "delta_theta_HS_R": 23.0, "R": 6.0, "n": 0.8, "m": 0.8, "I_rated": 150.0, "theta_HS_max": 120.0, "dt": 60.0}
 SNAPSHOT = "2024-01-01 00:00:00"
 #: Digits that a query's doubles are rounded to, where 6 would often end on a tie.
-DIGITS = {"ambient_at": 9, "resample_interpolate": 9}
+DIGITS = {"ambient_at": 9, "resample_interpolate": 9, "subtree_flow": 9, "dispatch_payment": 9, "reservation_dispatch": 9}
 
 
 def query(f: Query) -> Query:
@@ -72,8 +71,8 @@ def tx_series(spark, d) -> DataFrame:
 
 
 def wide_meter(spark, d) -> DataFrame:
-    """A wide meter file from events: a column for each hour; clicks are another register."""
-    e = dr.table(spark, d, "events").where("event_type in ('view', 'click')")
+    """A wide meter file from events: a column for each hour; views are one register, all else another."""
+    e = dr.table(spark, d, "events")
     e = e.select(F.concat(F.lit("D"), "user_id").alias("Nmi"), F.when(F.col("event_type") == "view", "E1").otherwise("B1").alias("NmiSuffix"), F.to_date("ts").alias("IntervalDay"), F.date_format("ts", "HH").alias("h"), "value")
     wide = e.groupBy("Nmi", "NmiSuffix", "IntervalDay").pivot("h", [f"{h:02d}" for h in range(24)]).agg(F.round(F.sum("value"), 6))
     return wide.withColumnsRenamed({f"{h:02d}": f"Data_{h:02d}_00" for h in range(24)})
@@ -81,33 +80,97 @@ def wide_meter(spark, d) -> DataFrame:
 
 # ---- sources
 
-@query
-def net_components(spark, d):
-    docs = nw_docs(spark, d)
-    return tb.components_of(docs).select("n", "cid", "ctype", F.get("body.cons", F.lit(0))["node"].alias("node"))
+def written(df: DataFrame, kind: str, *by: str, **options) -> str:
+    """The rows as files of a kind in the shared folder."""
+    path = tb.shared_path(df.sparkSession, kind)
+    df.write.partitionBy(*by).format(kind).options(**options).save(path)
+    return path
 
 
-def nw_docs(spark, d):
-    return tb.network_documents(dr.components(spark, d))
+@query
+def net_components(spark, d):
+    """Networks as document files, one each, and back."""
+    docs = tb.network_documents(dr.components(spark, d))
+    back = tb.net_components(spark, f"{written(docs, 'text', 'n')}/*/*")
+    return back.select(F.regexp_extract("n", r"/n=(\d+)/", 1).cast("int").alias("n"), "cid", "ctype", F.get("body.cons", F.lit(0))["node"].alias("node"))
 
 
 @query
 def write_network(spark, d):
-    """A network written with new loads and read back: components by type."""
+    """Networks written with new loads and read back."""
     comps = dr.components(spark, d)
-    roster = nw.load_table(comps).where("i % 2 = 0").select("n", F.concat(F.lit("S"), "load_id").alias("load_id"), "bus_id")
+    roster = nw.load_table(comps).select("n", F.concat(F.lit("S"), "load_id").alias("load_id"), "bus_id")
     path = tb.shared_path(spark, "networks")
     tb.write_network(comps, roster, path)
     back = tb.components_of(spark.read.text(path).select(F.lit(0).alias("n"), F.col("value").alias("doc")))
-    return back.groupBy("ctype").agg(F.count(F.lit(1)).alias("components"))
+    return back.select("cid", "ctype", F.get("body.cons", F.lit(0))["node"].alias("node"), "body.v_base", "body.i_max")
+
+
+@query
+def read_forecast(spark, d):
+    return tb.read_forecast(spark, written(dr.forecast(spark, d), "csv", header=True))
+
+
+@query
+def read_forecast_ts(spark, d):
+    text = dr.readings(spark, d).select(F.date_format("t", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"), "load_id", "real_power_w", "reactive_power_var")
+    return tb.read_forecast_ts(spark, written(text, "csv", header=True))
 
 
 @query
 def read_offers(spark, d):
-    """Offers written as JSON text and parsed again."""
+    """Offers with bids as JSON text."""
     text = dr.offers(spark, d).withColumns({c: F.to_json(c) for c in ("injection", "consumption")})
-    back = text.withColumns({c: F.from_json(c, "array<array<double>>") for c in ("injection", "consumption")})
-    return back.select("load_id", fl.first_tier("injection", 0).alias("inj_kw"), fl.first_tier("injection", 1).alias("inj_price"), fl.first_tier("consumption", 0).alias("con_kw"), F.size("injection").cast("int").alias("n_inj"))
+    back = tb.read_offers(spark, written(text, "csv", header=True, escape='"'))
+    return back.select("load_id", fl.first_tier("injection", 0).alias("inj_kw"), fl.first_tier("injection", 1).alias("inj_price"), fl.first_tier("consumption", 0).alias("con_kw"), F.size("injection").cast("int").alias("n_inj"), "reservation_l", "reservation_u")
+
+
+def params_of(spark, d) -> DataFrame:
+    """A set of parameters for each nation's transformer."""
+    k = F.col("n_nationkey")
+    own = {"tau_TO": 180.0 + k, "I_rated": 150.0 + 5 * k, "dt": F.lit(60.0)}
+    return dr.table(spark, d, "nation").select(F.concat(F.lit("T"), k).alias("tx_id"), *[own.get(c, F.lit(v)).cast("double").alias(c) for c, v in TX.items()])
+
+
+@query
+def read_tx_params(spark, d):
+    """A parameter document for each nation's transformer."""
+    return tb.read_tx_params(spark, written(params_of(spark, d), "json", "tx_id"))
+
+
+@query
+def read_wide_meter(spark, d):
+    return tb.read_wide_meter(spark, written(wide_meter(spark, d), "csv", sep="\t", header=True)).select("Nmi", "NmiSuffix", "IntervalDay", "Data_07_00", "Data_23_00")
+
+
+@query
+def read_tx_series(spark, d):
+    """Day-first dates under padded headers."""
+    s = tx_series(spark, d)
+    text = s.select(F.date_format("t", "d/M/yyyy H:mm:ss").alias("date "), F.col("total_kw").alias(" METER_SUMMATION (kW) "), (F.col("total_kw") / 2).alias("ESTIMATION (kW)"))
+    path = written(text, "csv", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    half = tb.read_tx_series(spark, path, measured=False).withColumnRenamed("total_kw", "estimated_kw")
+    return tb.read_tx_series(spark, path).join(half, "t")
+
+
+@query
+def read_ambient(spark, d):
+    return tb.read_ambient(spark, written(hourly_ambient(spark, d), "csv", header=True))
+
+
+@query
+def read_prices(spark, d):
+    return tb.read_prices(spark, written(prices(spark, d), "csv", header=True))
+
+
+@query
+def write_results(spark, d):
+    """Two result tables written, by network and as text, and read back."""
+    path = tb.shared_path(spark, "results")
+    tb.write_results({"envelope": envelopes(spark, d)}, path)
+    tb.write_results({"dispatch": fl.dispatch_payment(dispatches(spark, d), dr.offers(spark, d))}, path, "csv")
+    paid = spark.read.csv(f"{path}/dispatch", header=True, schema="load_id string, dispatch_kw double, payment_dlr double")
+    return spark.read.parquet(f"{path}/envelope").select(F.col("n").cast("int").alias("n"), "load_id", "lb_kw", "ub_kw").join(paid.select("load_id", "dispatch_kw"), "load_id")
 
 
 # ---- network tables
@@ -215,17 +278,17 @@ def tree_closure(spark, d):
 
 @query
 def match_forecasts(spark, d):
-    return mt.match_forecasts(dr.forecast(spark, d), nw.load_table(dr.components(spark, d)).where("i % 3 = 0"))
+    return mt.match_forecasts(dr.readings(spark, d), nw.load_table(dr.components(spark, d)))
 
 
 @query
 def match_offers(spark, d):
-    return mt.match_offers(dr.offers(spark, d), nw.load_table(dr.components(spark, d)).where("i % 3 = 0")).select("load_id", "reservation_l", "reservation_u")
+    return mt.match_offers(dr.offers(spark, d), nw.load_table(dr.components(spark, d))).select("load_id", "reservation_l", "reservation_u")
 
 
 @query
 def unmatched_ids(spark, d):
-    return mt.unmatched_ids(dr.readings(spark, d), dr.offers(spark, d), nw.load_table(dr.components(spark, d)).where("i % 3 = 0"))
+    return mt.unmatched_ids(dr.readings(spark, d), dr.offers(spark, d), nw.load_table(dr.components(spark, d)))
 
 
 @query
@@ -260,20 +323,25 @@ def ambient_at(spark, d):
 def bus_background_load(spark, d):
     c = dr.components(spark, d)
     load = nw.load_table(c)
-    people = load.where("i % 3 = 0").select("n", "load_id")
+    people = metered(spark, d, load)
     return mt.bus_background_load(nw.bus_table(c), load, dr.forecast(spark, d), people)
 
 
-def tenth(spark, d, load):
-    """Envelopes of 2 kW for every third load, import on one side and export on the other."""
-    e = mt.index_product(load.where("i % 3 = 0").select("n", "load_id")).withColumn("t", F.lit(SNAPSHOT).cast("timestamp_ntz"))
+def metered(spark, d, load):
+    """Loads with readings."""
+    return mt.participants(load, dr.readings(spark, d))
+
+
+def two_kw(spark, d, load):
+    """Envelopes of 2 kW for loads with readings, import on one side and export on the other."""
+    e = mt.index_product(metered(spark, d, load)).withColumn("t", F.lit(SNAPSHOT).cast("timestamp_ntz"))
     return e.withColumn("kw", F.when(F.col("oe") == "oel", -2.0).otherwise(2.0))
 
 
 @query
 def nodal_allocation(spark, d):
     load = nw.load_table(dr.components(spark, d))
-    return mt.nodal_allocation(load, snapshot(spark, d), tenth(spark, d, load)).drop("t").withColumns({"p_pu": F.col("p_pu") * 1e3, "q_pu": F.col("q_pu") * 1e3})
+    return mt.nodal_allocation(load, snapshot(spark, d), two_kw(spark, d, load)).drop("t").withColumns({"p_pu": F.col("p_pu") * 1e3, "q_pu": F.col("q_pu") * 1e3})
 
 
 # ---- flow
@@ -296,40 +364,43 @@ def path_voltage(spark, d):
 
 def flow_case(spark, d):
     bus, load, branch, closure = grid(spark, d)
-    flow, volt, done = fl.power_flow(closure, branch, bus, nodal_of(spark, d, load).where("oe = 'oel'"), PASSES)
+    flow, volt, done = fl.power_flow(closure, branch, bus, nodal_of(spark, d, load))
     return bus, load, branch, flow, volt, done
 
 
 @query
 def power_flow(spark, d):
-    _, _, branch, flow, volt, _ = flow_case(spark, d)
+    _, _, branch, flow, volt, done = flow_case(spark, d)
     ends = branch.select("n", "branch_id", F.col("to_bus").alias("bus_id"))
-    return flow.join(ends, ["n", "branch_id"]).join(volt.drop("t", "oe"), ["n", "bus_id"]).select("n", "branch_id", "p_pu", "q_pu", "l_pu", "v2_pu")
+    return flow.join(ends, ["n", "branch_id"]).join(volt, ["n", "t", "oe", "bus_id"]).join(done, ["n", "t", "oe"]).select("n", "oe", "branch_id", "p_pu", "q_pu", "l_pu", "v2_pu", "converged")
 
 
 @query
 def unit_conversions(spark, d):
     _, _, branch, flow, volt, _ = flow_case(spark, d)
-    f = flow.join(branch.select("n", "branch_id", "i_base_a", F.col("to_bus").alias("bus_id")), ["n", "branch_id"]).join(volt.drop("t", "oe"), ["n", "bus_id"])
-    return f.select("n", "branch_id", F.round(amps(F.col("l_pu"), F.col("i_base_a")), 4).alias("current_a"), F.round(w_of_pu(F.col("p_pu")), 3).alias("p_w"), volts_pu(F.col("v2_pu")).alias("voltage_pu"))
+    f = flow.join(branch.select("n", "branch_id", "i_base_a", F.col("to_bus").alias("bus_id")), ["n", "branch_id"]).join(volt, ["n", "t", "oe", "bus_id"])
+    return f.select("n", "oe", "branch_id", amps(F.col("l_pu"), F.col("i_base_a"), 4).alias("current_a"), w_of_pu(F.col("p_pu"), 3).alias("p_w"), volts_pu(F.col("v2_pu")).alias("voltage_pu"))
 
 
 @query
 def limit_violations(spark, d):
     bus, _, branch, flow, volt, _ = flow_case(spark, d)
-    return fl.limit_violations(flow, volt, branch, bus).select("n", "kind", "id", "value", "limit", "excess")
+    return fl.limit_violations(flow, volt, branch, bus).select("n", "oe", "kind", "id", "value", "limit", "excess")
 
 
 @query
 def voltage_current_results(spark, d):
     _, _, branch, flow, volt, _ = flow_case(spark, d)
-    return fl.voltage_current_results(flow, volt, branch)[0].select("n", "bus_id", "voltage_pu_oel", "voltage_pu_oer")
+    buses, branches = fl.voltage_current_results(flow, volt, branch, digits=3)
+    ends = branch.select("n", "branch_id", F.col("to_bus").alias("bus_id"))
+    out = buses.drop("t").join(branches.drop("t").join(ends, ["n", "branch_id"]), ["n", "bus_id"])
+    return out.select("n", "bus_id", "voltage_pu_oel", "voltage_pu_oer", "branch_id", "current_a_oel", "p_w_oel", "q_va_oer")
 
 
 def slack_of(spark, d):
-    r = dr.readings(spark, d).where("abs(real_power_w) > 200000").withColumn("n", F.lit(0))
-    s = r.select("n", F.date_trunc("day", F.col("t")).cast("timestamp_ntz").alias("t"), F.col("load_id").alias("bus_id"), F.when(F.col("real_power_w") > 0, "oel").otherwise("oer").alias("oe"), (F.col("real_power_w") / 1e3).alias("a_kw"), F.lit(0.0).alias("r_kw"))
-    return s
+    """All readings of loads as slack, by the day."""
+    r = dr.readings(spark, d).join(nw.load_table(dr.components(spark, d)).select("n", "load_id"), "load_id")
+    return r.select("n", F.date_trunc("day", F.col("t")).cast("timestamp_ntz").alias("t"), F.col("load_id").alias("bus_id"), F.when(F.col("real_power_w") > 0, "oel").otherwise("oer").alias("oe"), (F.col("real_power_w") / 1e3).alias("a_kw"), F.lit(0.0).alias("r_kw"))
 
 
 @query
@@ -383,7 +454,7 @@ def reservation_dispatch(spark, d):
 
 @query
 def load_factor(spark, d):
-    return th.load_factor(tx_currents(spark, d), params(spark))
+    return th.load_factor(tx_currents(spark, d), params_of(spark, d))
 
 
 @query
@@ -430,10 +501,6 @@ def thermal_stream(spark, d):
 
 # ---- envelopes
 
-def third(load):
-    return load.where("i % 3 = 0").select("n", "load_id")
-
-
 def everyone(load):
     return load.select("n", "load_id")
 
@@ -446,7 +513,7 @@ def small(spark, d):
 @query
 def envelope_linear(spark, d):
     bus, load, branch, closure = grid(spark, d)
-    return env.envelope_linear(closure, branch, bus, load, small(spark, d), third(load)).drop("t")
+    return env.envelope_linear(closure, branch, bus, load, small(spark, d), metered(spark, d, load)).drop("t")
 
 
 @query
@@ -472,13 +539,28 @@ def envelope_thermal(spark, d):
     return env.envelope_search(closure, branch, bus, load, small(spark, d), everyone(load), limits=limits).drop("t")
 
 
+def multistep(spark, d) -> dict[str, DataFrame]:
+    """All days of the readings (a thousandth of each day's sum), temperatures carried from one to the next."""
+    bus, load, branch, closure = grid(spark, d)
+    day = lambda df: df.withColumn("t", F.date_trunc("day", F.col("t")).cast("timestamp_ntz")).groupBy("t")
+    r = dr.readings(spark, d).withColumn("t", F.date_trunc("day", F.col("t")).cast("timestamp_ntz"))
+    steps = r.groupBy("load_id", "t").agg(*[(F.sum(c) / 1e3).alias(c) for c in ("real_power_w", "reactive_power_var")])
+    air = day(hourly_ambient(spark, d)).agg(F.avg("theta_a").alias("theta_a"))
+    return env.multistep_envelopes(closure, branch, bus, load, tb.stored(steps, "steps"), everyone(load), tb.stored(air, "air"), params(spark), rounds=2)
+
+
 @query
 def multistep_envelopes(spark, d):
-    """Three hours of rising load, temperatures carried from one to the next."""
-    bus, load, branch, closure = grid(spark, d)
-    hour = F.explode(F.sequence(F.lit(0), F.lit(2)))
-    steps = small(spark, d).withColumn("k", hour).select("load_id", (F.col("t") + F.make_dt_interval(hours=F.col("k"))).alias("t"), (F.col("real_power_w") * (1 + F.col("k") / 4)).alias("real_power_w"), "reactive_power_var")
-    return env.multistep_envelopes(closure, branch, bus, load, steps, everyone(load), hourly_ambient(spark, d), params(spark))["envelope"]
+    return multistep(spark, d)["envelope"]
+
+
+@query
+def multistep_results(spark, d):
+    """What follows from the envelopes of all days: voltages, currents, temperatures and violations, one row each."""
+    out = multistep(spark, d)
+    row = lambda df, kind, key, a, b: df.select("n", "t", F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(a).alias("first"), F.col(b).alias("second"))
+    parts = [row(out["bus"], "voltage", "bus_id", "voltage_pu_oel", "voltage_pu_oer"), row(out["branch"], "current", "branch_id", "current_a_oel", "current_a_oer"), row(out["thermal"], "temperature", "branch_id", "delta_theta_TO", "theta_HS"), row(out["violations"], "violation", "id", "value", "limit")]
+    return rs.union_all(parts)
 
 
 @query
@@ -582,40 +664,41 @@ def series_stats(spark, d):
     return rs.series_stats(tx_series(spark, d))
 
 
-def roster(spark):
-    return sy.customer_roster(spark, 40, 0.3, {"bus_a": 0.33, "bus_b": 0.33, "bus_c": 0.34})
+def roster(spark, d):
+    """A synthetic customer for each customer."""
+    n = dr.table(spark, d, "customer").count()
+    return sy.customer_roster(spark, n, 0.3, {"bus_a": 0.33, "bus_b": 0.33, "bus_c": 0.34})
 
 
 @query
 def customer_roster(spark, d):
-    n = dr.table(spark, d, "customer").count()
-    return sy.customer_roster(spark, n, 0.3, {"bus_a": 0.33, "bus_b": 0.33, "bus_c": 0.34})
+    return roster(spark, d)
 
 
 @query
 def customer_weights(spark, d):
-    return sy.customer_weights(roster(spark), tx_series(spark, d), 0.4, 0.15, 42).select("load_id", "t", "weight")
+    return sy.customer_weights(roster(spark, d), tx_series(spark, d), 0.4, 0.15, 42).select("load_id", "t", "weight")
 
 
 @query
 def make_profiles(spark, d):
-    return sy.make_profiles(roster(spark), tx_series(spark, d), 0.4, 0.15, 42).select("load_id", "t", "kw")
+    return sy.make_profiles(roster(spark, d), tx_series(spark, d), 0.4, 0.15, 42).select("load_id", "t", "kw")
 
 
 @query
 def disaggregate(spark, d):
-    return sy.disaggregate(tx_series(spark, d), roster(spark))
+    return sy.disaggregate(tx_series(spark, d), roster(spark, d))
 
 
 @query
 def sum_check(spark, d):
     s = tx_series(spark, d)
-    return sy.sum_check(sy.disaggregate(s, roster(spark)), s).select("ok")
+    return sy.sum_check(sy.disaggregate(s, roster(spark, d)), s).select("ok")
 
 
 @query
 def customer_summary(spark, d):
-    return sy.customer_summary(sy.disaggregate(tx_series(spark, d), roster(spark)), roster(spark))
+    return sy.customer_summary(sy.disaggregate(tx_series(spark, d), roster(spark, d)), roster(spark, d))
 
 
 @query

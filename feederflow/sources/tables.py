@@ -24,7 +24,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares (``spark.checkpoint.dir``)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -91,16 +91,19 @@ def read_forecast_ts(spark: SparkSession, path: str, anchor_date: str | None = N
 
 
 def read_tx_params(spark: SparkSession, path: str) -> DataFrame:
+    """Sets of parameters, a JSON document each; documents in folders ``tx_id=...`` have that column."""
     return spark.read.json(path, multiLine=True, schema=TX_PARAMS)
 
 
 def read_wide_meter(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", header=True, inferSchema=False)
+    """A tab-separated meter file: ids and suffixes as text, the day as a date, the intervals as numbers."""
+    raw = spark.read.csv(path, sep="\t", header=True)
+    return raw.select(*[F.col(f"`{c}`").cast("date" if c == "IntervalDay" else "double" if c.startswith("Data_") else "string").alias(c) for c in raw.columns])
 
 
 def read_tx_series(spark: SparkSession, path: str, measured: bool = True) -> DataFrame:
     """A transformer's series: padded headers, day-first dates with or without seconds."""
-    raw = spark.read.csv(path, header=True)
+    raw = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     raw = raw.toDF(*[c.strip().lstrip("﻿") for c in raw.columns])
     kinds = ("d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "yyyy-MM-dd HH:mm:ss")
     t = F.coalesce(*[F.try_to_timestamp(F.trim("date"), F.lit(k)) for k in kinds]).cast("timestamp_ntz")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,12 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 OUT = "tx_id string, t timestamp, delta_theta_TO double, delta_theta_HS double"
 
 
+def follow(x: float, ends: np.ndarray, decay: float) -> tuple[float, list[float]]:
+    """A rise that goes (1 - decay) of the way to each end in turn: the last one, and all."""
+    out = list(accumulate(ends.tolist(), lambda x, end: x + (end - x) * (1 - decay), initial=x))[1:]
+    return out[-1], out
+
+
 class Steps(StatefulProcessor):
     """Applies closed intervals in time order; the two rises are the transformer's state."""
 
@@ -26,14 +34,13 @@ class Steps(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         p = self.p
         to, hs = self.state.get() if self.state.exists() else (0.0, 0.0)
-        out = []
-        for _, r in pd.concat(list(rows)).sort_values("t").iterrows():
-            k2 = (r["current_a"] / p["I_rated"]) ** 2
-            to += (p["delta_theta_TO_R"] * ((k2 * p["R"] + 1) / (p["R"] + 1)) ** p["n"] - to) * (1 - math.exp(-p["dt"] / p["tau_TO"]))
-            hs += (p["delta_theta_HS_R"] * k2 ** p["m"] - hs) * (1 - math.exp(-p["dt"] / p["tau_W"]))
-            out.append((key[0], r["t"], to, hs))
+        steps = pd.concat(list(rows)).sort_values("t")
+        k2 = (steps["current_a"].to_numpy(float) / p["I_rated"]) ** 2
+        ends = (p["delta_theta_TO_R"] * ((k2 * p["R"] + 1) / (p["R"] + 1)) ** p["n"], p["delta_theta_HS_R"] * k2 ** p["m"])
+        to, to_all = follow(to, ends[0], math.exp(-p["dt"] / p["tau_TO"]))
+        hs, hs_all = follow(hs, ends[1], math.exp(-p["dt"] / p["tau_W"]))
         self.state.update((to, hs))
-        yield pd.DataFrame(out, columns=["tx_id", "t", "delta_theta_TO", "delta_theta_HS"])
+        yield pd.DataFrame({"tx_id": key[0], "t": steps["t"].to_numpy(), "delta_theta_TO": to_all, "delta_theta_HS": hs_all})
 
     def close(self) -> None:
         pass

@@ -58,7 +58,7 @@ def test_uniform_envelope_is_the_largest_feasible(net, readings):
     def bad(kw):
         e = matching.index_product(people).withColumn("t", F.lit("2026-06-29 07:00:00").cast("timestamp_ntz")).where("oe = 'oer'").withColumn("kw", F.lit(kw))
         nodal = matching.nodal_allocation(load, readings, e).where("oe = 'oer'")
-        f, v, _ = flow.power_flow(closure, branch, bus, nodal, 10)
+        f, v, _ = flow.power_flow(closure, branch, bus, nodal)
         return flow.limit_violations(f, v, branch, bus).count()
 
     assert bad(got[0].ub_kw) == 0 and bad(got[0].ub_kw + 50 / 16**2 + 1e-6) > 0
@@ -69,7 +69,7 @@ def test_reservations_come_first(spark, net, readings):
     bus, load, branch, closure = net
     bids = "array<array<double>>"
     offers = spark.createDataFrame([("1002", [[5.0, 0.08]], [[2.0, 0.05]], -5.0, 5.0), ("1003", [[4.0, 0.10]], [], -5.0, 4.0)], f"load_id string, injection {bids}, consumption {bids}, reservation_l double, reservation_u double")
-    rows = envelope.envelope_reserved(closure, branch, bus, load, readings, offers, grid=64, rounds=2, passes=9).collect()
+    rows = envelope.envelope_reserved(closure, branch, bus, load, readings, offers, grid=64, rounds=2).collect()
     got = {r.load_id: r for r in rows}
     # a total is known to its search's last cell; the export of 1002 also loses what 1003's dispatch is too large, twice as sensitive
     near = {"abs": 100 / 64**2 + 2e-3}
