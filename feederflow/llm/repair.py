@@ -22,8 +22,8 @@ STRIDE, TABLE = 1024, 22
 def compress(ids: np.ndarray, first: int, rounds: int | None = None, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """The symbols left, and the rules (left, right) of nonterminals ``first``, ``first + 1``, ...
 
-    Neighbouring pairs are replaced in classes of frequency, each half of the one before: a round counts the
-    pairs of its class exactly and replaces them all; where two overlap, the more frequent one
+    Neighbouring pairs are replaced in classes of frequency, each half of the one before (and joined with the next
+    while it holds less than a 64th of all places): a round counts the pairs of its class exactly and replaces them all; where two overlap, the more frequent one
     is replaced. The rounds end when no pair occurs ``least`` times without overlap, or after ``rounds`` if that is given.
 
     Every place has a bound of its pair's count, first from a hash table. A pair gains no occurrence after
@@ -35,12 +35,11 @@ def compress(ids: np.ndarray, first: int, rounds: int | None = None, least: int
     floor = max(least, int(bound.max(initial=0)))
     while len(seq) > 1 and (rounds is None or len(rules) < rounds):
         at = np.flatnonzero(bound >= floor)
-        if not len(at):
-            if floor == least:
-                break
-            # the next class that has places
-            floor = max(least, min(floor // 2, int(bound.max())))
+        if 64 * len(at) < len(seq) and floor > least:
+            floor = max(least, floor // 2)
             continue
+        if not len(at):
+            break
         code = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
         counted = alternating(at, code)
         codes, own, seen = np.unique(code[counted], return_inverse=True, return_counts=True)
