@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from feederflow.functions.keys import shared_keys
 from feederflow.functions.units import INTERVAL_H, VIOLATION_WEIGHT, WIDTH_WEIGHT, amps, volts_pu, w_of_pu
+from feederflow.operators.network import tree_closure
 from feederflow.sources.tables import stored
 
 
@@ -42,7 +43,7 @@ def path_voltage(closure: DataFrame, branch: DataFrame, bus: DataFrame, flow: Da
     return along.join(sets, "n").join(rho, ["n", "bus_id"]).select(*keys, "bus_id", ((F.col("v0") - F.col("drop")) / F.col("rho")).alias("v2_pu"))
 
 
-def power_flow(closure: DataFrame, branch: DataFrame, bus: DataFrame, nodal: DataFrame, passes: int = 60, keys: tuple[str, ...] = ("n", "t", "oe"), within: float = 1e-12, most_branches: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def power_flow(closure: DataFrame | None, branch: DataFrame, bus: DataFrame, nodal: DataFrame, passes: int = 60, keys: tuple[str, ...] = ("n", "t", "oe"), within: float = 1e-12, most_branches: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Flows (p_pu, q_pu at the sending end, squared current l_pu), squared voltages, and (keys, converged, passes).
 
     A pass adds the losses of all branches at or below to the loads below, takes currents from the
@@ -50,7 +51,7 @@ def power_flow(closure: DataFrame, branch: DataFrame, bus: DataFrame, nodal: Dat
     it has not converged if a voltage falls to 0 or ``passes`` do not suffice.
 
     Networks of at most ``most_branches`` branches are swept by level, some cases of one network in
-    a task; larger ones by joins with the closure, whose lineage is cut at every third pass.
+    a task; larger ones by joins with the closure (built here if None), whose lineage is cut at every third pass.
     """
     sizes = branch.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
     cases = nodal.select(*keys).distinct().groupBy("n").agg(F.count(F.lit(1)).alias("cases"))
@@ -62,6 +63,7 @@ def power_flow(closure: DataFrame, branch: DataFrame, bus: DataFrame, nodal: Dat
         out = stored(_swept(branch, bus, some, passes, keys, within, max(1, -(-(cells or 1) // CELLS))), "flow")
     if large:
         big = sizes.where(F.col("m") > most_branches).select("n")
+        closure = tree_closure(branch.join(big, "n", "left_semi")) if closure is None else closure
         joined = stored(_joined(*(x.join(big, "n", "left_semi") for x in (closure, branch, bus, nodal)), passes, keys, within), "flow")
         out = joined if out is None else out.unionByName(joined)
     flow = out.select(*keys, "branch_id", "p_pu", "q_pu", "l_pu")

@@ -363,8 +363,8 @@ def path_voltage(spark, d):
 
 
 def flow_case(spark, d):
-    bus, load, branch, closure = grid(spark, d)
-    flow, volt, done = fl.power_flow(closure, branch, bus, nodal_of(spark, d, load))
+    bus, load, branch = nw.tables(dr.components(spark, d))
+    flow, volt, done = fl.power_flow(None, branch, bus, nodal_of(spark, d, load))
     return bus, load, branch, flow, volt, done
 
 
