@@ -102,8 +102,8 @@ def alternating(at: np.ndarray, code: np.ndarray) -> np.ndarray:
     return counted
 
 
-def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of every nonterminal in a row, and their bounds; a level at a time, those of finished parts."""
+def rule_lengths(rules: np.ndarray, first: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """How many ids every nonterminal stands for, and the nonterminals by level: a level's parts are in earlier ones."""
     n = len(rules)
     part = rules.astype(np.int64) - first
     lengths, levels, left = np.zeros(n, np.int64), [], np.arange(n)
@@ -113,6 +113,13 @@ def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
         lengths[left[done]] = size[done].sum(1)
         levels.append(left[done])
         left = left[~done]
+    return lengths, levels
+
+
+def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of every nonterminal in a row, and their bounds; a level at a time, those of finished parts."""
+    lengths, levels = rule_lengths(rules, first)
+    part = rules.astype(np.int64) - first
     bounds = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
     out = np.zeros(int(bounds[-1]), np.uint32)
     for level in levels:
@@ -131,13 +138,13 @@ def write_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray,
     """A shard: header, document ids and lengths, rules and their expansion lengths, noted positions, symbols."""
     first = int(ids.max()) + 1
     seq, rules = compress(ids, first, rounds)
-    _, bounds = expansions(rules, first)
-    spans = symbol_lengths(seq, first, np.diff(bounds))
+    stands_for, _ = rule_lengths(rules, first)
+    spans = symbol_lengths(seq, first, stands_for)
     noted = np.concatenate(([0], np.cumsum(spans)))[:-1:STRIDE]
-    width, wide = (first + len(rules) - 1).bit_length(), int(np.diff(bounds).max(initial=0)).bit_length()
+    width, wide = (first + len(rules) - 1).bit_length(), int(stands_for.max(initial=0)).bit_length()
     null = np.array([d is None for d in doc_ids], np.uint8)
     own = np.array([d or 0 for d in doc_ids], "<i8")
-    parts = (own, null, lengths.astype("<u4"), packed(rules.ravel(), width), packed(np.diff(bounds), wide), noted.astype("<u8"), packed(seq, width))
+    parts = (own, null, lengths.astype("<u4"), packed(rules.ravel(), width), packed(stands_for, wide), noted.astype("<u8"), packed(seq, width))
     return struct.pack(HEADER, MAGIC, first, len(ids), len(own), len(rules), len(seq), width, wide) + b"".join(x.tobytes() for x in parts)
 
 
