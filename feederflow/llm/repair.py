@@ -16,7 +16,7 @@ from feederflow.llm.tokens import crc, encoder, gather
 
 MAGIC, HEADER = b"RPG2", "<4sIQIIQII"  # magic, first nonterminal, ids, documents, rules, symbols, bits a symbol, bits a length
 #: Symbols between the noted positions of a shard; bits of the table that sets rare pairs aside.
-STRIDE, TABLE = 1024, 22
+STRIDE, TABLE = 1024, 18
 
 
 def compress(ids: np.ndarray, first: int, rounds: int | None = None, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -30,8 +30,8 @@ def compress(ids: np.ndarray, first: int, rounds: int | None = None, least: int
     the round that made its newer symbol, so bounds hold, and a round looks at the places in its class alone.
     """
     seq, rules, n_rules = ids.astype(np.uint32), [], 0
-    bound = bounded(seq, np.arange(max(0, len(seq) - 1)))
-    bound = np.append(bound, np.zeros(len(seq) - len(bound), np.int32))
+    bound = np.zeros(len(seq), np.int32)
+    bound[:-1] = bounded(seq[:-1], seq[1:])
     floor = max(least, int(bound.max(initial=0)))
     while len(seq) > 1 and (rounds is None or len(rules) < rounds):
         at = np.flatnonzero(bound >= floor)
@@ -76,15 +76,14 @@ def compress(ids: np.ndarray, first: int, rounds: int | None = None, least: int
         at -= np.arange(len(at))
         new = np.concatenate((at, at[(at > 0) & np.append(True, at[1:] != at[:-1] + 1)] - 1))
         new = new[new < len(seq) - 1]
-        bound[new] = bounded(seq, new)
+        bound[new] = bounded(seq[new], seq[new + 1])
         bound[-1] = 0
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
-def bounded(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Bounds of how often the pairs at the places occur there: the places in their slot of a hash table."""
-    a, b = seq[at], seq[at + 1]
-    bits = min(TABLE, max(10, (2 * len(at)).bit_length()))
+def bounded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bounds of how often each of the pairs occurs among them: the pairs in its slot of a hash table."""
+    bits = min(TABLE, max(10, (2 * len(a)).bit_length()))
     h = (a * np.uint32(0x9E3779B1) ^ (b * np.uint32(0x85EBCA77) + (a >> np.uint32(7)))) >> np.uint32(32 - bits)
     return np.bincount(h, minlength=1 << bits).astype(np.int32)[h]
 
