@@ -6,10 +6,11 @@ from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from feederflow.llm import line_crf, line_dedup, mixing, packing, quality, repair, simhash
+from feederflow.llm import line_crf, line_dedup, mixing, packing, quality, repair, simhash, tokens
 from feederflow.llm.shared import shared_path
 from tests.llm import brute
 
@@ -144,6 +145,20 @@ def test_several_parts(spark, texts):
         at += len(ids) + 1
 
 
+def test_encoder_equals_the_tokenizer(monkeypatch):
+    """Letters that change when lower-cased or normalised, words beside punctuation, and pieces forgotten in between."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 300)
+    rng = random.Random(3)
+    odd = ["ΑΣ Σσς ΟΔΟΣ. ΟΔΟΣ, ΐ ᾳ", "Öl É É İ ı ǅ ﬁ ß ẞ ſ Å K", "가 각 豈 漢字 ひらがな", "Ⅷ ª ʰ don't I'll x's a.b,c 10% naïve!", "", " \t ", "Ꮳ ꭰ Ა Ⴀ Ⱟ 𝒜𝒷"]
+    encode = tokens.Encoder(VOCABULARY)
+    for _ in range(12):
+        docs = [" ".join("".join(rng.choice("abcdeéÑß") for _ in range(rng.randint(1, 9))) + rng.choice(["", "", ".", "!!", "1"]) for _ in range(40)) for _ in range(5)]
+        docs += ["the same old words", *rng.sample(odd, 4)]
+        ids, bounds = encode(pa.array(docs))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == brute.tokens(docs)
+        assert encode.pieces <= 300 + 400
+
+
 def test_stages_on_edges(spark):
     """Nulls, ties, repeated rows, clashing names and empty tables in every stage of the pipeline."""
     import corpus_pipeline as cp
