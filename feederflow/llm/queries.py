@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feederflow.llm import chat, line_crf, line_dedup, minhash, mixing, packing, quality, repair, simhash, warc
+from feederflow.llm import chat, fim, line_crf, line_dedup, minhash, mixing, packing, quality, repair, simhash, warc
 from feederflow.llm.shared import shared_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -73,6 +73,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(_table(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_vector_packing, op3_source_mix, op4_quality_rules, op5_minhash, op6_line_crf, op7_repair_tokens, op8_chat_format, op9_simhash, op10_warc, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_vector_packing, op3_source_mix, op4_quality_rules, op5_minhash, op6_line_crf, op7_repair_tokens, op8_chat_format, op9_simhash, op10_warc, op11_fill_in_middle, pipeline)}
 
 
 LINE_DEDUP_SQL = r"""
@@ -151,5 +157,32 @@ FROM p LEFT JOIN f ON p.html = f.html
 """
 
 
+FIM_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS x,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents),
+h AS (
+  SELECT doc_id, text, u, len(u) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2,
+         CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4
+  FROM d),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+p AS (
+  SELECT doc_id, n, form, text, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle,
+         array_to_string(u[b + 1:n], '') AS suffix
+  FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP_SQL, "op5_minhash": NEAR_SQL, "op8_chat_format": CHAT_SQL, "op10_warc": WARC_SQL}
+    return {"op1_line_dedup": LINE_DEDUP_SQL, "op5_minhash": NEAR_SQL, "op8_chat_format": CHAT_SQL, "op10_warc": WARC_SQL, "op11_fill_in_middle": FIM_SQL}
