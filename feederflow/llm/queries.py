@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feederflow.llm import chat, fim, line_crf, line_dedup, minhash, mixing, packing, quality, repair, simhash, warc
+from feederflow.llm import chat, fim, line_crf, line_dedup, minhash, mixing, packing, quality, repair, simhash, warc, whitening
 from feederflow.llm.shared import shared_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -79,6 +79,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    out = whitening.by_component(*whitening.whiten(vectors), vectors)
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_vector_packing, op3_source_mix, op4_quality_rules, op5_minhash, op6_line_crf, op7_repair_tokens, op8_chat_format, op9_simhash, op10_warc, op11_fill_in_middle, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_vector_packing, op3_source_mix, op4_quality_rules, op5_minhash, op6_line_crf, op7_repair_tokens, op8_chat_format, op9_simhash, op10_warc, op11_fill_in_middle, op12_whitening, pipeline)}
 
 
 LINE_DEDUP_SQL = r"""
