@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feederflow.llm import chat, fim, line_crf, line_dedup, minhash, mixing, packing, quality, repair, simhash, warc, whitening
+from feederflow.llm import chat, decontaminate, fim, line_crf, line_dedup, minhash, mixing, packing, quality, repair, simhash, warc, whitening
 from feederflow.llm.shared import shared_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -85,6 +85,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_vector_packing, op3_source_mix, op4_quality_rules, op5_minhash, op6_line_crf, op7_repair_tokens, op8_chat_format, op9_simhash, op10_warc, op11_fill_in_middle, op12_whitening, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_vector_packing, op3_source_mix, op4_quality_rules, op5_minhash, op6_line_crf, op7_repair_tokens, op8_chat_format, op9_simhash, op10_warc, op11_fill_in_middle, op12_whitening, op13_decontaminate, pipeline)}
 
 
 LINE_DEDUP_SQL = r"""
@@ -190,5 +195,33 @@ FROM p
 """
 
 
+LEAK_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+bw AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL),
+v AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS m,
+         unnest(list_transform(range(1, greatest(len(w) - 10, 0) + 2), lambda i: array_to_string(w[i:i + 9], ' '))) AS g
+  FROM bw WHERE len(w) > 0),
+s AS (
+  SELECT doc_id, m, unnest(range(1, len(w) - m + 2)) AS k,
+         unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS g
+  FROM dw, (SELECT DISTINCT m FROM v) WHERE len(w) >= m),
+f AS (SELECT doc_id, k, s.m, item_id FROM s JOIN v ON s.g = v.g AND s.m = v.m),
+h AS (
+  SELECT doc_id, count(*) AS n_hit
+  FROM (SELECT DISTINCT doc_id, unnest(range(k, k + m)) AS p FROM (SELECT DISTINCT doc_id, k, m FROM f)) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM f) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM dw d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP_SQL, "op5_minhash": NEAR_SQL, "op8_chat_format": CHAT_SQL, "op10_warc": WARC_SQL, "op11_fill_in_middle": FIM_SQL}
+    return {"op1_line_dedup": LINE_DEDUP_SQL, "op5_minhash": NEAR_SQL, "op8_chat_format": CHAT_SQL, "op10_warc": WARC_SQL, "op11_fill_in_middle": FIM_SQL, "op13_decontaminate": LEAK_SQL}
