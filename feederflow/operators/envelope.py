@@ -6,27 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feederflow.functions.keys import shared_keys
+from feederflow.functions.running import dealt_in_order, sums_before
 from feederflow.functions.units import ENVELOPE_CAP_KW, INTERVAL_H, WIDTH_WEIGHT
 from feederflow.operators import matching
 from feederflow.operators import thermal as th
-from feederflow.operators.flow import first_tier, limit_violations, power_flow, voltage_current_results
+from feederflow.operators.flow import RANGE, along_path, below_and_own, first_tier, limit_violations, power_flow, voltage_current_results
 from feederflow.sources.tables import stored
 
 
-def envelope_linear(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, people: DataFrame, cap_kw: float = ENVELOPE_CAP_KW) -> DataFrame:
+def envelope_linear(tree: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, people: DataFrame, cap_kw: float = ENVELOPE_CAP_KW) -> DataFrame:
     """A lossless estimate, the same kW for each participant of a network and time: (n, t, lb_kw, ub_kw).
 
     Each limit's headroom is divided by what one kW of every participant takes of it; the least
     quotient is the envelope. Readings of participants are replaced, the others stay. Sensitivities
-    are sums over paths, so nothing is paired bus by bus.
+    are running sums over the trees' order, and a bus counts from its own tree's infeeder.
     """
+    keys = ("n", "t")
     r = load.select("n", "load_id", "bus_id").join(readings, shared_keys(load, readings)).join(people.select("n", "load_id", F.lit(1.0).alias("_in")), ["n", "load_id"], "left")
     by_bus = r.groupBy("n", "t", "bus_id").agg(F.sum(F.when(F.col("_in").isNull(), F.col("real_power_w")).otherwise(0.0) / 1e6).alias("p"), F.sum(F.col("reactive_power_var") / 1e6).alias("q"), F.sum(F.coalesce("_in", F.lit(0.0))).alias("k"))
-    flow = closure.select("n", "branch_id", "bus_id").join(by_bus, ["n", "bus_id"]).groupBy("n", "t", "branch_id").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum("k").alias("k"))
-    drop = flow.join(branch.select("n", "branch_id", "r_pu", "x_pu"), ["n", "branch_id"]).withColumns({"d": 2 * (F.col("r_pu") * F.col("p") + F.col("x_pu") * F.col("q")), "s": 2 * F.col("r_pu") * F.col("k") / 1e3})
-    v = closure.select("n", "branch_id", "bus_id").join(drop, ["n", "branch_id"]).groupBy("n", "t", "bus_id").agg(F.sum("d").alias("d"), F.sum("s").alias("s"))
-    sets = bus.where("v_set_pu is not null").select("n", (F.col("v_set_pu") ** 2).alias("v0"))
-    v = v.join(sets, "n").join(bus.select("n", "bus_id", "v_min_pu", "v_max_pu"), ["n", "bus_id"]).where("s > 0")
+    at = by_bus.join(tree.select("n", "bus_id", "enter"), ["n", "bus_id"])
+    flow = below_and_own(tree, at, {"p": "p", "q": "q", "k": "k"}, keys, RANGE)
+    sets = bus.where("v_set_pu is not null").select("n", F.col("bus_id").alias("root"), (F.col("v_set_pu") ** 2).alias("v0"))
+    place = tree.select("n", "branch_id", "bus_id", "root", "enter", "leave").join(branch.select("n", "branch_id", "r_pu", "x_pu"), ["n", "branch_id"]).join(sets, ["n", "root"])
+    drop = flow.join(place, ["n", "branch_id"]).withColumns({"_d": 2 * (F.col("r_pu") * F.col("p") + F.col("x_pu") * F.col("q")), "_s": 2 * F.col("r_pu") * F.col("k") / 1e3})
+    v = along_path(drop, {"d": "_d", "s": "_s"}, keys, RANGE, "bus_id", "v0")
+    v = v.join(bus.select("n", "bus_id", "v_min_pu", "v_max_pu"), ["n", "bus_id"]).where("s > 1e-15")
     down = (F.col("v0") - F.col("d") - F.col("v_min_pu") ** 2) / F.col("s")
     up = (F.col("v_max_pu") ** 2 - F.col("v0") + F.col("d")) / F.col("s")
     clip = lambda c: F.greatest(F.lit(0.0), F.least(F.min(c), F.lit(cap_kw)))
@@ -39,23 +43,24 @@ def _filled(total: Column) -> Column:
     return F.when(F.col("group_kw") > 0, group * F.col("size_kw") / F.col("group_kw")).otherwise(0.0)
 
 
-def _sensitivity(closure: DataFrame, branch: DataFrame) -> DataFrame:
-    """(n, bus_id, s): resistance of each bus's path to the infeeder."""
-    on = closure.select("n", "branch_id", "bus_id").join(branch.select("n", "branch_id", "r_pu"), ["n", "branch_id"])
+def _sensitivity(tree: DataFrame) -> DataFrame:
+    """(n, bus_id, s): resistance of each bus's path to its infeeder."""
     # rounded, so that paths of equal resistance rank as equals
-    return on.groupBy("n", "bus_id").agg(F.greatest(F.round(F.sum("r_pu"), 12), F.lit(1e-12)).alias("s"))
+    return tree.select("n", "bus_id", F.greatest(F.round("path_r", 12), F.lit(1e-12)).alias("s"))
 
 
 def _ordered(segments: DataFrame, by: list[str]) -> DataFrame:
-    """Segments (``by``, bus_id, load_id, rank, size_kw) with their group's size and the kW filled before it: lowest rank first, then by bus."""
+    """Segments (``by``, bus_id, load_id, rank, size_kw) with their group's size and the kW filled before it: lowest rank first, then by bus.
+
+    A network's groups may fill several tasks: they are dealt out in their order.
+    """
     same = [*by, "rank", "bus_id"]
-    groups = segments.groupBy(*same).agg(F.sum("size_kw").alias("group_kw"))
-    order = Window.partitionBy(*by).orderBy("rank", "bus_id").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn("before", F.coalesce(F.sum("group_kw").over(order), F.lit(0.0)))
+    groups = dealt_in_order(segments.groupBy(*same).agg(F.sum("size_kw").alias("group_kw")), by, ["rank", "bus_id"])
+    groups = sums_before(groups, by, "_part", ["rank", "bus_id"], {"before": "group_kw"}).drop("_part")
     return segments.join(groups, same).select(*by, "bus_id", "load_id", "size_kw", "group_kw", "before")
 
 
-def _fill_search(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, segments: DataFrame, by: list[str], limits: DataFrame | None, grid: int, rounds: int, passes: int) -> DataFrame:
+def _fill_search(tree: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, segments: DataFrame, by: list[str], limits: DataFrame | None, grid: int, rounds: int, passes: int) -> DataFrame:
     """Largest feasible total of each network, time and side, filled into ordered segments: (n, t, load_id, lb_kw, ub_kw, feasible).
 
     ``by`` holds n and oe, and t where segments differ by time. Loads with segments give up their
@@ -77,7 +82,7 @@ def _fill_search(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: Da
         given = p.join(tried, by).select(*keys, "bus_id", (sign * _filled(F.col("total")) / 1e3).alias("p_pu"), F.lit(0.0).alias("q_pu"))
         base = r.join(tried.select(*keys), ["n", "t"]).select(*keys, "bus_id", "p_pu", "q_pu")
         nodal = base.unionByName(given).groupBy(*keys, "bus_id").agg(F.sum("p_pu").alias("p_pu"), F.sum("q_pu").alias("q_pu"))
-        flow, volt, done = power_flow(closure, branch, bus, nodal, passes, keys)
+        flow, volt, done = power_flow(tree, branch, bus, nodal, passes, keys)
         bad = limit_violations(flow, volt, branch, bus, keys).select(*keys)
         if limits is not None:
             over = flow.join(limits, ["n", "t", "branch_id"]).where("l_pu > i_max_pu * i_max_pu").select(*keys)
@@ -92,7 +97,7 @@ def _fill_search(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: Da
     return best.groupBy("n", "t", "load_id").agg((-side("oel")).alias("lb_kw"), side("oer").alias("ub_kw"), F.min("ok").alias("feasible"))
 
 
-def envelope_search(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, people: DataFrame, rule: str = "uniform", prices: DataFrame | None = None, limits: DataFrame | None = None, cap_kw: float = ENVELOPE_CAP_KW, grid: int = 16, rounds: int = 3, passes: int = 60) -> DataFrame:
+def envelope_search(tree: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, people: DataFrame, rule: str = "uniform", prices: DataFrame | None = None, limits: DataFrame | None = None, cap_kw: float = ENVELOPE_CAP_KW, grid: int = 16, rounds: int = 3, passes: int = 60) -> DataFrame:
     """Largest feasible import (lb, negative) and export (ub) of each participant: (n, t, load_id, lb_kw, ub_kw, feasible).
 
     A round evaluates ``grid`` totals in the cell left for each network, time and side, all as rows
@@ -103,7 +108,7 @@ def envelope_search(closure: DataFrame, branch: DataFrame, bus: DataFrame, load:
     If 0 kW is infeasible the envelope is 0 and ``feasible`` false.
     """
     p = load.select("n", "load_id", "bus_id").join(people.select("n", "load_id"), ["n", "load_id"])
-    p = matching.index_product(p.join(_sensitivity(closure, branch), ["n", "bus_id"])).withColumn("size_kw", F.lit(float(cap_kw)))
+    p = matching.index_product(p.join(_sensitivity(tree), ["n", "bus_id"])).withColumn("size_kw", F.lit(float(cap_kw)))
     if rule == "uniform":
         groups = p.groupBy("n", "oe").agg(F.sum("size_kw").alias("group_kw"))
         p = p.join(groups, ["n", "oe"]).select("n", "oe", "bus_id", "load_id", "size_kw", "group_kw", F.lit(0.0).alias("before"))
@@ -111,7 +116,7 @@ def envelope_search(closure: DataFrame, branch: DataFrame, bus: DataFrame, load:
         on = shared_keys(p, prices) if prices is not None else []
         p = p.join(prices.select(*on, "export_price_kwh"), on, "left") if on else p.withColumn("export_price_kwh", F.lit(0.0))
         p = _ordered(p.withColumn("rank", F.struct((-_width_value(F.col("export_price_kwh"))).alias("less_value"))), ["n", "oe"])
-    return _fill_search(closure, branch, bus, load, readings, p, ["n", "oe"], limits, grid, rounds, passes)
+    return _fill_search(tree, branch, bus, load, readings, p, ["n", "oe"], limits, grid, rounds, passes)
 
 
 def _width_value(price: Column) -> Column:
@@ -120,7 +125,7 @@ def _width_value(price: Column) -> Column:
     return (paid * INTERVAL_H + WIDTH_WEIGHT) / F.col("s")
 
 
-def envelope_reserved(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, offers: DataFrame, cap_kw: float = ENVELOPE_CAP_KW, grid: int = 16, rounds: int = 3, passes: int = 60) -> DataFrame:
+def envelope_reserved(tree: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, offers: DataFrame, cap_kw: float = ENVELOPE_CAP_KW, grid: int = 16, rounds: int = 3, passes: int = 60) -> DataFrame:
     """Shared envelopes of the loads with offers: (n, t, load_id, lb_kw, ub_kw, feasible, dispatch_kw, payment_dlr, shortfall_kw).
 
     On each side a load has three segments, filled in this order: the part of its reservation that
@@ -131,7 +136,7 @@ def envelope_reserved(closure: DataFrame, branch: DataFrame, bus: DataFrame, loa
     """
     on = shared_keys(load, offers)
     o = offers.select(*on, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("reservation_l", "reservation_u")], "injection", "consumption")
-    p = load.select("n", "load_id", "bus_id").join(o, on).join(_sensitivity(closure, branch), ["n", "bus_id"])
+    p = load.select("n", "load_id", "bus_id").join(o, on).join(_sensitivity(tree), ["n", "bus_id"])
 
     def search(p: DataFrame, by: list[str]) -> DataFrame:
         """``d`` is the net dispatch settled so far."""
@@ -145,7 +150,7 @@ def envelope_reserved(closure: DataFrame, branch: DataFrame, bus: DataFrame, loa
         dear, wide = price * INTERVAL_H / F.col("s"), _width_value(F.lit(0.0))
         parts = F.array(part(0, dear, F.col("held") - F.col("free")), part(1, dear, F.col("free")), part(2, wide, F.lit(float(cap_kw)) - F.col("held")))
         segments = p.select(*by, "bus_id", "load_id", F.explode(parts).alias("s")).select(*by, "bus_id", "load_id", "s.*")
-        return stored(_fill_search(closure, branch, bus, load, readings, _ordered(segments, by), by, None, grid, rounds, passes), "reserved-envelope")
+        return stored(_fill_search(tree, branch, bus, load, readings, _ordered(segments, by), by, None, grid, rounds, passes), "reserved-envelope")
 
     first = search(p.withColumn("d", F.lit(0.0)), ["n", "oe"])
     settled = reservation_dispatch(first, o).select("n", "t", "load_id", F.col("dispatch_kw").alias("d"))
@@ -153,62 +158,113 @@ def envelope_reserved(closure: DataFrame, branch: DataFrame, bus: DataFrame, loa
     return second.join(reservation_dispatch(second, o), ["n", "t", "load_id"])
 
 
-def multistep_envelopes(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, people: DataFrame, ambient: DataFrame, params: DataFrame | None = None, rule: str = "uniform", prices: DataFrame | None = None, cap_kw: float = ENVELOPE_CAP_KW, grid: int = 16, rounds: int = 3, passes: int = 60) -> dict[str, DataFrame]:
+def multistep_envelopes(tree: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, people: DataFrame, ambient: DataFrame, params: DataFrame | None = None, rule: str = "uniform", prices: DataFrame | None = None, cap_kw: float = ENVELOPE_CAP_KW, grid: int = 16, rounds: int = 3, passes: int = 60, state_from: str = "oel", within: float = 1e-6) -> dict[str, DataFrame]:
     """Envelopes of all networks and times, and what follows from them: ``envelope``, ``bus``, ``branch``, ``violations``, ``thermal``.
 
-    With ``params`` the transformers' hot spots limit the envelopes. Temperatures follow the import
-    side, so they are worked out in two passes, both over all times at once: envelopes without
-    the limit give import currents, and these the temperatures that each step starts from; the
-    current that they allow then limits the envelopes of the second pass. The first pass's import
-    is no less than the second's, so where import heats the transformer the start is at least as
-    warm as the true one, and the limit on the safe side. ``thermal`` holds the temperatures at the
-    final envelopes' import currents, or no rows without ``params``. ``ambient`` has a row for each time.
+    With ``params`` the transformers' hot spots limit the envelopes, and a step starts from the temperatures
+    that the final envelopes of the steps before it lead to. Both are found together, all times at once:
+    envelopes without the limit are searched once; temperatures follow from the last envelopes' currents, the current
+    that they allow follows for each step, and only steps whose limit binds and has moved by more than ``within`` (relative) are
+    searched again. A step depends on earlier ones alone, so after k rounds at least k steps are final, and as
+    the influence of a step fades most series settle in a few.
+
+    ``state_from`` says whose currents heat the transformers: import (``oel``), export (``oer``) or the larger (``max``).
+    A step without a feasible point, of either side, does not heat: temperatures stay, and ``thermal`` says ``solved`` false.
+    ``thermal`` holds the temperatures at the envelopes' currents, or no rows without ``params``. ``ambient`` has a row for each time.
     """
+    if state_from not in ("oel", "oer", "max"):
+        raise ValueError(f"state_from is oel, oer or max, not {state_from}")
 
-    def search(limits: DataFrame | None) -> DataFrame:
-        return stored(envelope_search(closure, branch, bus, load, readings, people, rule, prices, limits, cap_kw, grid, rounds, passes), "multistep-envelope")
+    def search(given: DataFrame, limits: DataFrame | None) -> DataFrame:
+        found = envelope_search(tree, branch, bus, load, given, people, rule, prices, limits, cap_kw, grid, rounds, passes)
+        return stored(found, "multistep-envelope")
 
-    def flows(envelope: DataFrame):
+    def flows(envelope: DataFrame, given: DataFrame):
         sides = F.explode(F.array(F.struct(F.lit("oel").alias("oe"), F.col("lb_kw").alias("kw")), F.struct(F.lit("oer").alias("oe"), F.col("ub_kw").alias("kw"))))
         e = envelope.select("n", "t", "load_id", sides.alias("s")).select("n", "t", "load_id", "s.*")
-        f, v, _ = power_flow(closure, branch, bus, matching.nodal_allocation(load, readings, e), passes)
-        return stored(f, "multistep-flow"), stored(v, "multistep-voltage")
-
-    def temperatures(flow: DataFrame) -> DataFrame:
-        amps = flow.where("oe = 'oel'").join(tx, ["n", "branch_id"]).select("tx_id", "t", (F.sqrt("l_pu") * F.col("i_base_a")).alias("current_a"))
-        return stored(th.thermal_series(th.ultimate_rise(th.load_factor(amps, params), params), ambient, params), "multistep-thermal")
+        f, v, _ = power_flow(tree, branch, bus, matching.nodal_allocation(load, given, e), passes)
+        return f, v
 
     # branch ids need only be unique in their network
     tx = branch.where("kind = 'transformer'").select("n", "branch_id", "i_base_a", F.to_json(F.struct("n", "branch_id")).alias("tx_id"))
-    envelope = search(None)
-    flow, volt = flows(envelope)
+    side = lambda s: F.max(F.when(F.col("oe") == s, F.sqrt("l_pu") * F.col("i_base_a")))
+
+    def currents(envelope: DataFrame, flow: DataFrame) -> DataFrame:
+        """(n, t, tx_id, branch_id, oel, oer, solved) in A."""
+        solved = envelope.groupBy("n", "t").agg(F.min("feasible").alias("solved"))
+        amps = flow.join(tx, ["n", "branch_id"]).groupBy("n", "t", "tx_id", "branch_id").agg(side("oel").alias("oel"), side("oer").alias("oer"))
+        return stored(amps.join(solved, ["n", "t"]), "multistep-currents")
+
+    def temperatures(amps: DataFrame) -> DataFrame:
+        heat = F.greatest("oel", "oer") if state_from == "max" else F.col(state_from)
+        given = amps.select("tx_id", "t", F.when(F.col("solved"), heat).alias("current_a"))
+        return stored(th.thermal_series(th.ultimate_rise(th.load_factor(given, params), params), ambient, params), "multistep-thermal")
+
+    envelope = search(readings, None)
+    flow, volt = flows(envelope, readings)
     if params is None:
-        warm = tx.select("n", F.lit(None).cast("timestamp_ntz").alias("t"), "branch_id", *[F.lit(None).cast("double").alias(c) for c in ("delta_theta_TO", "delta_theta_HS", "theta_HS")]).where(F.lit(False))
+        warm = tx.select("n", F.lit(None).cast("timestamp_ntz").alias("t"), "branch_id", *[F.lit(None).cast("double").alias(c) for c in ("delta_theta_TO", "delta_theta_HS", "theta_HS")], F.lit(None).cast("boolean").alias("solved")).where(F.lit(False))
     else:
-        before = Window.partitionBy("tx_id").orderBy("t")
-        start = temperatures(flow).select("tx_id", "t", *[F.coalesce(F.lag(c).over(before), F.lit(0.0)).alias(c) for c in ("delta_theta_TO", "delta_theta_HS")])
-        allowed = th.max_current_for_hotspot(start, ambient, params)
-        limits = stored(allowed.join(tx, "tx_id").select("n", "t", "branch_id", (F.col("i_max_a") / F.col("i_base_a")).alias("i_max_pu")), "multistep-limits")
-        envelope = search(limits)
-        flow, volt = flows(envelope)
-        warm = temperatures(flow).join(tx, "tx_id").select("n", "t", "branch_id", "delta_theta_TO", "delta_theta_HS", "theta_HS")
+        free = amps = currents(envelope, flow)
+        used = None
+        while True:
+            heated = temperatures(amps)
+            before = Window.partitionBy("tx_id").orderBy("t")
+            start = heated.select("tx_id", "t", *[F.coalesce(F.lag(c).over(before), F.lit(0.0)).alias(c) for c in ("delta_theta_TO", "delta_theta_HS")])
+            allowed = th.max_current_for_hotspot(start, ambient, params).select("tx_id", "t", "i_max_a")
+            # steps at which some transformer's limit binds; a step takes the limits of all its transformers
+            near = free.join(allowed, ["tx_id", "t"]).withColumn("_binds", F.greatest("oel", "oer") > F.col("i_max_a"))
+            limits = stored(near.withColumn("_some", F.max("_binds").over(Window.partitionBy("n", "t"))).where("_some").join(tx.select("tx_id", "i_base_a"), "tx_id").select("n", "t", "branch_id", (F.col("i_max_a") / F.col("i_base_a")).alias("i_max_pu")), "multistep-limits")
+            if used is None:
+                moved = limits.select("n", "t").distinct()
+                dropped = moved.limit(0)
+            else:
+                both = limits.join(used.withColumnRenamed("i_max_pu", "_last"), ["n", "t", "branch_id"], "full")
+                shift = F.abs(F.col("i_max_pu") - F.col("_last")) > within * F.abs(F.col("_last"))
+                both = both.groupBy("n", "t").agg(F.max(F.coalesce(shift, F.lit(True))).alias("moved"), F.count("i_max_pu").alias("binds")).where("moved")
+                both = stored(both, "multistep-moved")
+                moved, dropped = both.where("binds > 0").select("n", "t"), both.where("binds = 0").select("n", "t")
+            moved = stored(moved, "multistep-moved")
+            if moved.isEmpty() and dropped.isEmpty():
+                break
+            if used is None:
+                unlimited = envelope
+            given = stored(load.select("n", "load_id").join(readings, shared_keys(load, readings)).join(moved, ["n", "t"], "left_semi"), "multistep-steps")
+            again = search(given, limits.join(moved, ["n", "t"], "left_semi"))
+            again_amps = currents(again, flows(again, given)[0])
+            change = stored(moved.unionByName(dropped), "multistep-moved")
+            keep = lambda old, new, base: old.join(change, ["n", "t"], "left_anti").unionByName(new).unionByName(base.join(dropped, ["n", "t"], "left_semi"))  # noqa: B023, E731
+            envelope = stored(keep(envelope, again, unlimited), "multistep-envelope")
+            amps = stored(keep(amps, again_amps, free), "multistep-currents")
+            # the limits that the kept envelopes were searched with
+            new = limits.join(moved, ["n", "t"], "left_semi")
+            used = stored(new if used is None else used.join(change, ["n", "t"], "left_anti").unionByName(new), "multistep-limits")
+        flow, volt = flows(envelope, readings)
+        warm = heated.join(amps.select("tx_id", "n", "branch_id", "t", "solved"), ["tx_id", "t"]).select("n", "t", "branch_id", "delta_theta_TO", "delta_theta_HS", "theta_HS", "solved")
     buses, branches = voltage_current_results(flow, volt, branch)
     return {"envelope": envelope, "bus": buses, "branch": branches, "violations": limit_violations(flow, volt, branch, bus), "thermal": warm}
 
 
+def _of_time(df: DataFrame, *others: DataFrame) -> list[str]:
+    """``t`` where all tables have it."""
+    return [c for c in ("t",) if all(c in x.columns for x in (df, *others))]
+
+
 def offer_cap_check(dispatch: DataFrame, offers: DataFrame) -> DataFrame:
-    """(load_id, ci, dispatch_kw, cap_kw, ok) for (load_id, ci, kw)."""
+    """(n and t if given, load_id, ci, dispatch_kw, cap_kw, ok) for (load_id, ci, kw); offers hold for all times unless they have a ``t``."""
     cap = F.when(F.col("ci") == "inj", first_tier("injection", 0)).otherwise(first_tier("consumption", 0))
-    on = shared_keys(dispatch, offers)
-    return dispatch.join(offers.select(*on, "injection", "consumption"), on, "left").select(*on, "ci", F.col("kw").alias("dispatch_kw"), cap.alias("cap_kw"), (F.col("kw") <= cap).alias("ok"))
+    on = [*shared_keys(dispatch, offers), *_of_time(dispatch, offers)]
+    keys = [c for c in ("n", "t") if c in dispatch.columns]
+    return dispatch.join(offers.select(*on, "injection", "consumption"), on, "left").select(*keys, "load_id", "ci", F.col("kw").alias("dispatch_kw"), cap.alias("cap_kw"), (F.col("kw") <= cap).alias("ok"))
 
 
 def reservation_check(envelope: DataFrame, offers: DataFrame, dispatch: DataFrame) -> DataFrame:
-    """(n, load_id, short_l_kw, short_u_kw): what the envelope lacks of the reservation around the net dispatch."""
-    on, to = shared_keys(envelope, offers), shared_keys(envelope, dispatch)
+    """(n, t if given, load_id, short_l_kw, short_u_kw): what the envelope lacks of the reservation around the net dispatch of its time."""
+    on = [*shared_keys(envelope, offers), *_of_time(envelope, offers)]
+    to = [*shared_keys(envelope, dispatch), *_of_time(envelope, dispatch)]
     j = envelope.join(offers.select(*on, "reservation_l", "reservation_u"), on).join(dispatch.select(*to, F.col("dispatch_kw").alias("_d")), to, "left")
     d = F.coalesce("_d", F.lit(0.0))
-    return j.select("n", "load_id", F.greatest(F.lit(0.0), F.col("lb_kw") - (F.col("reservation_l") + d)).alias("short_l_kw"), F.greatest(F.lit(0.0), F.col("reservation_u") + d - F.col("ub_kw")).alias("short_u_kw"))
+    return j.select("n", *_of_time(envelope), "load_id", F.greatest(F.lit(0.0), F.col("lb_kw") - (F.col("reservation_l") + d)).alias("short_l_kw"), F.greatest(F.lit(0.0), F.col("reservation_u") + d - F.col("ub_kw")).alias("short_u_kw"))
 
 
 def reservation_dispatch(envelope: DataFrame, offers: DataFrame, hours: float = INTERVAL_H) -> DataFrame:
@@ -227,13 +283,13 @@ def reservation_dispatch(envelope: DataFrame, offers: DataFrame, hours: float =
     return j.select(*keys, "load_id", F.round(got, 9).alias("dispatch_kw"), F.round(F.abs(got) * price * hours, 9).alias("payment_dlr"), F.round(short, 9).alias("shortfall_kw"))
 
 
-def required_shed(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, passes: int = 60, grid: int = 16, rounds: int = 3) -> DataFrame:
+def required_shed(tree: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, passes: int = 60, grid: int = 16, rounds: int = 3) -> DataFrame:
     """(n, t, bus_id, shed_kw, restored): the least relief at each network's most sensitive load bus that restores the limits.
 
     Networks and times within their limits have 0. The relief is searched like an envelope, up to all
     loads' summed size; where no relief of that bus helps, ``shed_kw`` is null and ``restored`` false.
     """
-    near = _sensitivity(closure, branch)
+    near = _sensitivity(tree)
     worst = load.select("n", "bus_id").distinct().join(near, ["n", "bus_id"]).groupBy("n").agg(F.max_by("bus_id", F.struct("s", "bus_id")).alias("bus_id"))
     nodal = stored(matching.nodal_allocation(load, readings, None).where("oe = 'oel'"), "shed-nodal")
     keys = ("n", "t", "c")
@@ -243,7 +299,7 @@ def required_shed(closure: DataFrame, branch: DataFrame, bus: DataFrame, load: D
         tried = stored(cell.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(grid)))).withColumn("kw", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("c") / grid).select(*keys, "kw"), "shed-tried")
         relief = tried.join(worst, "n").select(*keys, "bus_id", (-F.col("kw")).alias("p_pu"), F.lit(0.0).alias("q_pu"))
         all_nodes = nodal.join(tried.select(*keys), ["n", "t"]).select(*keys, "bus_id", "p_pu", "q_pu").unionByName(relief).groupBy(*keys, "bus_id").agg(F.sum("p_pu").alias("p_pu"), F.sum("q_pu").alias("q_pu"))
-        flow, volt, done = power_flow(closure, branch, bus, all_nodes, passes, keys)
+        flow, volt, done = power_flow(tree, branch, bus, all_nodes, passes, keys)
         bad = limit_violations(flow, volt, branch, bus, keys).select(*keys).unionByName(done.where("not converged").select(*keys)).distinct().withColumn("bad", F.lit(True))
         good = tried.join(bad, list(keys), "left").where("bad is null").groupBy("n", "t").agg(F.min("c").alias("k"))
         step = (F.col("hi") - F.col("lo")) / grid

@@ -10,40 +10,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feederflow.functions.keys import shared_keys
+from feederflow.functions.running import sums_before
 from feederflow.functions.units import INTERVAL_H, VIOLATION_WEIGHT, WIDTH_WEIGHT, amps, volts_pu, w_of_pu
-from feederflow.operators.network import tree_closure
+from feederflow.operators.network import tree_labels
 from feederflow.sources.tables import stored
 
 
-def subtree_flow(closure: DataFrame, nodal: DataFrame, keys: tuple[str, ...] = ("n", "t", "oe")) -> DataFrame:
-    """Lossless branch flows: the sum of all loads below."""
-    below = closure.select("n", "branch_id", "bus_id").join(nodal, ["n", "bus_id"])
-    return below.groupBy(*keys, "branch_id").agg(F.sum("p_pu").alias("p_pu"), F.sum("q_pu").alias("q_pu"))
+#: Places of the tree's order in a range, the most that a task sorts for one case.
+RANGE = 1 << 18
 
 
-def path_factors(closure: DataFrame, branch: DataFrame) -> DataFrame:
-    """(n, bus_id, rho): squared transformer ratios multiplied along the path from the infeeder."""
-    sq = branch.select("n", "branch_id", (F.coalesce("ratio_pu", F.lit(1.0)) ** 2).alias("r2"))
-    return closure.select("n", "branch_id", "bus_id").join(sq, ["n", "branch_id"]).groupBy("n", "bus_id").agg(F.product("r2").alias("rho"))
+def below_and_own(tree: DataFrame, df: DataFrame, values: dict[str, str], keys: tuple[str, ...], width: int) -> DataFrame:
+    """(keys, branch_id, sums): for each branch the sums over its own row of ``df`` and those below it, and ``_rows``, how many there are.
 
-
-def path_voltage(closure: DataFrame, branch: DataFrame, bus: DataFrame, flow: DataFrame, keys: tuple[str, ...] = ("n", "t", "oe"), rho: DataFrame | None = None) -> DataFrame:
+    ``df`` has the keys, ``enter`` (a place in the tree) and the columns of ``values`` {name: column}; every case has a row for each branch.
+    A branch's sum is the running sum where it leaves the order less the one where it enters.
+    """
+    cases = df.select(*keys).distinct()
+    place = cases.join(tree.select("n", "branch_id", "enter", "leave"), "n")
+    sides = F.explode(F.array(F.struct(F.col("enter").alias("pos"), F.lit(-1.0).alias("sign")), F.struct(F.col("leave").alias("pos"), F.lit(1.0).alias("sign"))))
+    asked = place.select(*keys, "branch_id", sides.alias("e")).select(*keys, "branch_id", "e.pos", "e.sign", F.lit(0).alias("at"), *[F.lit(0.0).alias(n) for n in values], F.lit(0.0).alias("_rows"))
+    given = df.select(*keys, F.lit(None).cast("string").alias("branch_id"), F.col("enter").alias("pos"), F.lit(None).cast("double").alias("sign"), F.lit(1).alias("at"), *[F.col(c).cast("double").alias(n) for n, c in values.items()], F.lit(1.0).alias("_rows"))
+    # what is asked at a place comes before what is given there
+    rows = asked.unionByName(given).withColumn("_part", F.floor(F.col("pos") / width))
+    told = sums_before(rows, list(keys), "_part", ["pos", "at"], {f"_sum_{n}": n for n in (*values, "_rows")})
+    return told.where("branch_id is not null").groupBy(*keys, "branch_id").agg(*[F.sum(F.col("sign") * F.col(f"_sum_{n}")).alias(n) for n in (*values, "_rows")])
+
+
+def along_path(df: DataFrame, values: dict[str, str], keys: tuple[str, ...], width: int, *carried: str) -> DataFrame:
+    """(keys, branch_id, carried, sums): for each row of ``df``, a branch of a case with its ``enter`` and ``leave``, the sums over its path, its own included."""
+    sides = F.explode(F.array(F.struct(F.col("leave").alias("pos"), F.lit(0).alias("at"), F.lit(-1.0).alias("sign")), F.struct(F.col("enter").alias("pos"), F.lit(1).alias("at"), F.lit(1.0).alias("sign"))))
+    rows = df.select(*keys, "branch_id", *carried, *[F.col(c).alias(f"_own_{n}") for n, c in values.items()], sides.alias("e")).select("*", "e.pos", "e.at", "e.sign").drop("e")
+    rows = rows.select("*", *[(F.col("sign") * F.col(f"_own_{n}")).alias(f"_signed_{n}") for n in values]).withColumn("_part", F.floor(F.col("pos") / width))
+    told = sums_before(rows, list(keys), "_part", ["pos", "at"], {f"_sum_{n}": f"_signed_{n}" for n in values})
+    return told.where("at = 1").select(*keys, "branch_id", *carried, *[(F.col(f"_sum_{n}") + F.col(f"_own_{n}")).alias(n) for n in values])
+
+
+def subtree_flow(tree: DataFrame, nodal: DataFrame, keys: tuple[str, ...] = ("n", "t", "oe"), width: int = RANGE) -> DataFrame:
+    """Lossless branch flows: the sum of all loads below, for branches that have some."""
+    at = nodal.join(tree.select("n", "bus_id", "enter"), ["n", "bus_id"])
+    out = below_and_own(tree, at, {"p_pu": "p_pu", "q_pu": "q_pu"}, keys, width)
+    return out.where("_rows > 0").drop("_rows")
+
+
+def path_voltage(tree: DataFrame, branch: DataFrame, bus: DataFrame, flow: DataFrame, keys: tuple[str, ...] = ("n", "t", "oe"), width: int = RANGE) -> DataFrame:
     """Squared voltages: (setpoint squared less all drops along the path, each times the ratios above it) / the path's ratios.
 
+    The setpoint is that of the path's own infeeder; buses on the path of none have null.
     ``flow`` may hold the squared current ``l_pu``; without it the drop is the lossless one.
-    Buses on no path (infeeders) are not listed.
+    Branches without a flow drop nothing; buses on a path without any flow, and infeeders, are not listed.
     """
-    rho = path_factors(closure, branch) if rho is None else rho
-    sets = bus.where("v_set_pu is not null").select("n", (F.col("v_set_pu") ** 2).alias("v0"))
-    b = branch.select("n", "branch_id", "from_bus", "r_pu", "x_pu").join(rho.withColumnsRenamed({"bus_id": "from_bus", "rho": "rho_from"}), ["n", "from_bus"], "left")
+    sets = bus.where("v_set_pu is not null").select("n", F.col("bus_id").alias("root"), (F.col("v_set_pu") ** 2).alias("v0"))
+    at = tree.join(branch.select("n", "branch_id", "r_pu", "x_pu", F.coalesce("ratio_pu", F.lit(1.0)).alias("_ratio")), ["n", "branch_id"]).join(sets, ["n", "root"], "left")
     loss = (F.col("r_pu") ** 2 + F.col("x_pu") ** 2) * F.col("l_pu") if "l_pu" in flow.columns else F.lit(0.0)
-    drop = F.coalesce("rho_from", F.lit(1.0)) * (2 * (F.col("r_pu") * F.col("p_pu") + F.col("x_pu") * F.col("q_pu")) - loss)
-    drops = flow.join(b, ["n", "branch_id"]).select(*keys, "branch_id", drop.alias("drop"))
-    along = closure.select("n", "branch_id", "bus_id").join(drops, ["n", "branch_id"]).groupBy(*keys, "bus_id").agg(F.sum("drop").alias("drop"))
-    return along.join(sets, "n").join(rho, ["n", "bus_id"]).select(*keys, "bus_id", ((F.col("v0") - F.col("drop")) / F.col("rho")).alias("v2_pu"))
+    drop = F.col("rho") / F.col("_ratio") ** 2 * (2 * (F.col("r_pu") * F.col("p_pu") + F.col("x_pu") * F.col("q_pu")) - loss)
+    every = flow.select(*keys).distinct().join(at, "n")
+    drops = every.join(flow.withColumn("_flows", F.lit(1.0)), [*keys, "branch_id"], "left").withColumns({"drop": F.when(F.col("_flows").isNull(), 0.0).otherwise(drop), "_flows": F.coalesce("_flows", F.lit(0.0))})
+    out = along_path(drops, {"drop": "drop", "flows": "_flows"}, keys, width, "bus_id", "v0", "rho")
+    return out.where("flows > 0").select(*keys, "bus_id", ((F.col("v0") - F.col("drop")) / F.col("rho")).alias("v2_pu"))
 
 
-def power_flow(closure: DataFrame | None, branch: DataFrame, bus: DataFrame, nodal: DataFrame, passes: int = 60, keys: tuple[str, ...] = ("n", "t", "oe"), within: float = 1e-12, most_branches: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def power_flow(tree: DataFrame | None, branch: DataFrame, bus: DataFrame, nodal: DataFrame, passes: int = 60, keys: tuple[str, ...] = ("n", "t", "oe"), within: float = 1e-12, most_branches: int = 200_000, width: int = RANGE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Flows (p_pu, q_pu at the sending end, squared current l_pu), squared voltages, and (keys, converged, passes).
 
     A pass adds the losses of all branches at or below to the loads below, takes currents from the
@@ -51,8 +78,10 @@ def power_flow(closure: DataFrame | None, branch: DataFrame, bus: DataFrame, nod
     it has not converged if a voltage falls to 0 or ``passes`` do not suffice.
 
     Networks of at most ``most_branches`` branches are swept by level, some cases of one network in
-    a task; larger ones by joins with the closure (built here if None), whose lineage is cut at every third pass.
+    a task; larger ones by running sums over their trees' order, in ranges of ``width`` places of a case, with ``tree``
+    (``tree_labels``, built here if None). Both give the same; a network may have several infeeders, each with its own tree.
     """
+    nodal = stored(nodal.select(*keys, "bus_id", "p_pu", "q_pu"), "flow-nodal")
     sizes = branch.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
     cases = nodal.select(*keys).distinct().groupBy("n").agg(F.count(F.lit(1)).alias("cases"))
     # one row: what decides the form of the job
@@ -63,9 +92,10 @@ def power_flow(closure: DataFrame | None, branch: DataFrame, bus: DataFrame, nod
         out = stored(_swept(branch, bus, some, passes, keys, within, max(1, -(-(cells or 1) // CELLS))), "flow")
     if large:
         big = sizes.where(F.col("m") > most_branches).select("n")
-        closure = tree_closure(branch.join(big, "n", "left_semi")) if closure is None else closure
-        joined = stored(_joined(*(x.join(big, "n", "left_semi") for x in (closure, branch, bus, nodal)), passes, keys, within), "flow")
-        out = joined if out is None else out.unionByName(joined)
+        own, bus, nodal = (x.join(big, "n", "left_semi") for x in (branch, bus, nodal))
+        tree = tree_labels(own) if tree is None else tree.join(big, "n", "left_semi")
+        ranged = _ranged(tree, own, bus, nodal, passes, keys, within, width)
+        out = ranged if out is None else out.unionByName(ranged)
     flow = out.select(*keys, "branch_id", "p_pu", "q_pu", "l_pu")
     return flow, out.select(*keys, "bus_id", "v2_pu"), out.groupBy(*keys).agg(F.min("converged").alias("converged"), F.max("passes").alias("passes"))
 
@@ -182,41 +212,45 @@ def sweep(load: np.ndarray, levels: list[tuple[slice, np.ndarray, np.ndarray]],
     return *out, converged, used
 
 
-def _joined(closure: DataFrame, branch: DataFrame, bus: DataFrame, nodal: DataFrame, passes: int, keys: tuple[str, ...], within: float, cut: int = 3) -> DataFrame:
-    """The same by sums over the closure."""
-    loads = stored(subtree_flow(closure, nodal, keys).withColumnsRenamed({"p_pu": "p0", "q_pu": "q0"}), "flow-loads")
-    # branches without a load below carry nothing
-    every = loads.select(*keys).distinct().join(branch.select("n", "branch_id"), "n")
-    loads = stored(every.join(loads, [*keys, "branch_id"], "left").fillna(0.0, ["p0", "q0"]), "flow-loads")
-    ends = branch.select("n", "branch_id", "from_bus", "r_pu", "x_pu", F.col("to_bus").alias("bus_id"))
-    sets = bus.where("v_set_pu is not null").select("n", F.col("bus_id").alias("from_bus"), (F.col("v_set_pu") ** 2).alias("v0"))
-    rho = stored(path_factors(closure, branch), "flow-factors")
-    # losses of the branch that ends in a bus count for all branches above it and itself
-    own = closure.select("n", F.col("branch_id").alias("above"), "bus_id").join(ends.select("n", "bus_id", "branch_id", "r_pu", "x_pu"), ["n", "bus_id"]).select("n", "above", "branch_id", "r_pu", "x_pu")
-    own = stored(own, "flow-own")
-    flow, volt = loads.select(*keys, "branch_id", F.col("p0").alias("p_pu"), F.col("q0").alias("q_pu")), None
+def _ranged(tree: DataFrame, branch: DataFrame, bus: DataFrame, nodal: DataFrame, passes: int, keys: tuple[str, ...], within: float, width: int) -> DataFrame:
+    """The same by running sums, a row for each case and branch: pieces of the order meet only through their totals.
+
+    A pass is written down; cases that are done, or lost, leave it.
+    """
+    sets = bus.where("v_set_pu is not null").select("n", F.col("bus_id").alias("root"), (F.col("v_set_pu") ** 2).alias("v0"))
+    at = tree.select("n", "branch_id", "bus_id", "root", "depth", "enter", "leave", "rho").join(branch.select("n", "branch_id", "r_pu", "x_pu", F.coalesce("ratio_pu", F.lit(1.0)).alias("_ratio")), ["n", "branch_id"])
+    at = stored(at.join(sets, ["n", "root"], "left").withColumn("rho_from", F.col("rho") / F.col("_ratio") ** 2).drop("_ratio", "root"), "flow-branches")
+    given = nodal.groupBy(*keys, "bus_id").agg(F.sum("p_pu").alias("p0"), F.sum("q_pu").alias("q0"))
+    state = nodal.select(*keys).distinct().join(at, "n").join(given, [*keys, "bus_id"], "left").fillna(0.0, ["p0", "q0"])
+    # the first currents are those of voltage 1, or an infeeder's setpoint, and no losses
+    state = state.withColumns({"l_pu": F.lit(0.0), "v2_pu": F.lit(1.0), "v_from": F.when(F.col("depth") == 0, F.col("v0")).otherwise(1.0)})
+    fixed = ("bus_id", "enter", "leave", "rho", "rho_from", "r_pu", "x_pu", "v0", "p0", "q0")
+
+    def flows(rows: DataFrame) -> DataFrame:
+        sent = rows.withColumns({"_p": F.col("p0") + F.col("r_pu") * F.col("l_pu"), "_q": F.col("q0") + F.col("x_pu") * F.col("l_pu")})
+        return below_and_own(at, sent, {"p_pu": "_p", "q_pu": "_q"}, keys, width).drop("_rows")
+
+    state = stored(state.join(flows(state), [*keys, "branch_id"]), "flow-pass")
+    ended = []
     for k in range(1, passes + 1):
-        f = flow.join(ends.select("n", "branch_id", "from_bus"), ["n", "branch_id"]).join(sets, ["n", "from_bus"], "left")
-        if volt is not None:
-            f = f.join(volt.withColumnsRenamed({"bus_id": "from_bus"}), [*keys, "from_bus"], "left")
-        v_from = F.coalesce("v0", "v2_pu") if volt is not None else F.coalesce("v0", F.lit(1.0))
-        current = f.withColumn("_l", F.when(v_from > 0, (F.col("p_pu") ** 2 + F.col("q_pu") ** 2) / v_from)).select(*keys, "branch_id", F.col("_l").alias("l_pu"))
-        lost = own.join(current, ["n", "branch_id"]).groupBy(*keys, F.col("above").alias("branch_id")).agg(F.sum(F.col("r_pu") * F.col("l_pu")).alias("dp"), F.sum(F.col("x_pu") * F.col("l_pu")).alias("dq"))
-        flow = loads.join(lost, [*keys, "branch_id"]).join(current, [*keys, "branch_id"]).select(*keys, "branch_id", (F.col("p0") + F.col("dp")).alias("p_pu"), (F.col("q0") + F.col("dq")).alias("q_pu"), "l_pu")
-        look = k % cut == 0 or k == passes
-        if look:
-            flow = stored(flow, "flow-pass")
-        last, volt = volt, path_voltage(closure, branch, bus, flow, keys, rho)
-        if look:
-            volt = stored(volt, "flow-volt")
-            change = F.max(F.abs(F.col("v2_pu") - F.col("before")))
-            sound = (F.min("v2_pu") > 0) & (F.count("v2_pu") == F.count(F.lit(1)))
-            before = last.withColumnRenamed("v2_pu", "before") if last is not None else volt.withColumn("before", F.lit(None).cast("double")).drop("v2_pu")
-            done = stored(volt.join(before, [*keys, "bus_id"]).groupBy(*keys).agg(F.coalesce((change <= within) & sound, F.lit(False)).alias("converged"), F.coalesce(~sound, F.lit(True)).alias("lost")), "flow-done")
-            if k == passes or done.where("not converged and not lost").isEmpty():
-                break
-    out = flow.join(ends.select("n", "branch_id", "bus_id"), ["n", "branch_id"]).join(volt, [*keys, "bus_id"], "left").join(done.drop("lost"), list(keys))
-    return out.select(*keys, "branch_id", "bus_id", "p_pu", "q_pu", "l_pu", "v2_pu", "converged", F.lit(k).cast("int").alias("passes"))
+        state = state.withColumn("l_pu", F.when(F.col("v_from") > 0, (F.col("p_pu") ** 2 + F.col("q_pu") ** 2) / F.col("v_from"))).drop("p_pu", "q_pu")
+        state = stored(state.join(flows(state), [*keys, "branch_id"]), "flow-pass")
+        drop = F.col("rho_from") * (2 * (F.col("r_pu") * F.col("p_pu") + F.col("x_pu") * F.col("q_pu")) - (F.col("r_pu") ** 2 + F.col("x_pu") ** 2) * F.col("l_pu"))
+        path = along_path(state.withColumns({"_drop": drop, "_void": drop.isNull().cast("double")}).withColumn("_drop", F.coalesce("_drop", F.lit(0.0))), {"drop": "_drop", "void": "_void"}, keys, width, *fixed, "l_pu", "p_pu", "q_pu", "v2_pu", "_drop")
+        v2 = F.when(F.col("void") == 0, (F.col("v0") - F.col("drop")) / F.col("rho"))
+        path = path.withColumns({"after": v2, "v_from": F.when(F.col("void") == 0, (F.col("v0") - F.col("drop") + F.col("_drop")) / F.col("rho_from"))})
+        state = stored(path, "flow-pass")
+        sound = (F.min("after") > 0) & (F.count("after") == F.count(F.lit(1))) & (F.count("l_pu") == F.count(F.lit(1)))
+        verdict = state.groupBy(*keys).agg(F.coalesce(sound & (F.max(F.abs(F.col("after") - F.col("v2_pu"))) <= within), F.lit(False)).alias("converged"), F.coalesce(~sound, F.lit(True)).alias("lost"))
+        verdict = stored(verdict, "flow-done")
+        state = state.withColumn("v2_pu", F.col("after")).drop("after", "drop", "void", "_drop")
+        leave = verdict.where("converged or lost") if k < passes else verdict
+        done = state.join(leave.drop("lost"), list(keys)).select(*keys, "branch_id", "bus_id", "p_pu", "q_pu", "l_pu", "v2_pu", "converged", F.lit(k).cast("int").alias("passes"))
+        ended.append(done)
+        if k == passes or verdict.where("not converged and not lost").isEmpty():
+            break
+        state = state.join(leave, list(keys), "left_anti")
+    return stored(reduce(DataFrame.unionByName, ended), "flow")
 
 
 def limit_violations(flow: DataFrame, volt: DataFrame, branch: DataFrame, bus: DataFrame, keys: tuple[str, ...] = ("n", "t", "oe")) -> DataFrame:
@@ -240,7 +274,7 @@ def first_tier(tiers: str, k: int):
 
 
 def dispatch_payment(dispatch: DataFrame, offers: DataFrame, hours: float = INTERVAL_H) -> DataFrame:
-    """Payment for (load_id, inj_kw, con_kw): each direction's kW at its first tier's price for the interval."""
+    """Payment for (load_id, inj_kw, con_kw), by network and time if they are given: each direction's kW at its first tier's price for the interval."""
     on = shared_keys(dispatch, offers)
     o = offers.select(*on, first_tier("injection", 1).alias("_pi"), first_tier("consumption", 1).alias("_pc"))
     d = dispatch.join(o, on, "left")
@@ -249,12 +283,18 @@ def dispatch_payment(dispatch: DataFrame, offers: DataFrame, hours: float = INTE
 
 
 def objective_value(payments: DataFrame, prices: DataFrame, envelope: DataFrame, slack: DataFrame, hours: float = INTERVAL_H) -> DataFrame:
-    """(n, cost, benefit, width, penalty, total) from payments (n, load_id, payment_dlr), envelopes (n, load_id, lb_kw, ub_kw) and slack (n, kw)."""
-    cost = payments.groupBy("n").agg(F.sum("payment_dlr").alias("cost"))
-    on = shared_keys(envelope, prices)
-    e = envelope.join(prices.select(*on, "export_price_kwh"), on, "left").groupBy("n").agg(F.sum(F.coalesce("export_price_kwh", F.lit(0.0)) * F.col("ub_kw") * hours).alias("benefit"), F.sum(WIDTH_WEIGHT * (F.col("ub_kw") - F.col("lb_kw"))).alias("width"))
-    v = slack.groupBy("n").agg(F.sum(VIOLATION_WEIGHT * F.abs("kw")).alias("penalty"))
-    out = e.join(cost, "n", "left").join(v, "n", "left").fillna(0.0)
+    """(n, t, cost, benefit, width, penalty, total) from payments (n, t, load_id, payment_dlr), envelopes (n, t, load_id, lb_kw, ub_kw) and slack (n, t, kw).
+
+    Each time has its own objective; envelopes without ``t`` are one snapshot, and the others are summed over what they have. Prices hold for
+    all times unless they have a ``t``.
+    """
+    keys = [c for c in ("n", "t") if c in envelope.columns]
+    cost = payments.groupBy(*keys).agg(F.sum("payment_dlr").alias("cost"))
+    on = [*shared_keys(envelope, prices), *(c for c in ("t",) if c in prices.columns and c in envelope.columns)]
+    e = envelope.join(prices.select(*on, "export_price_kwh"), on, "left").groupBy(*keys).agg(F.sum(F.coalesce("export_price_kwh", F.lit(0.0)) * F.col("ub_kw") * hours).alias("benefit"), F.sum(WIDTH_WEIGHT * (F.col("ub_kw") - F.col("lb_kw"))).alias("width"))
+    v = slack.groupBy(*keys).agg(F.sum(VIOLATION_WEIGHT * F.abs("kw")).alias("penalty"))
+    out = e.join(cost, keys, "left").join(v, keys, "left")
+    out = out.select(*keys, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("cost", "benefit", "width", "penalty")])
     return out.withColumn("total", F.col("cost") - F.col("benefit") - F.col("width") + F.col("penalty"))
 
 

@@ -52,23 +52,41 @@ def index_product(df: DataFrame, directions: bool = False) -> DataFrame:
     return out.withColumn("ci", F.explode(F.array(*map(F.lit, DIRECTIONS)))) if directions else out
 
 
-def ambient_at(times: DataFrame, ambient: DataFrame) -> DataFrame:
-    """(t, theta_a, extrapolated): hourly temperatures read linearly between hours, flat outside.
+def known_around(times: DataFrame, series: DataFrame, keys: tuple[str, ...] = (), bucket: str = "day") -> DataFrame:
+    """Distinct times (``keys``, t) with the points of their key's series (``keys``, t, theta_a) around them.
 
-    Times meet their hour by an equality join. Hours that are missing are bridged from the
-    hour before.
+    ``before`` is the last point at or before the time, ``after`` the first one behind it, structs (t, theta_a) or null. Both sides
+    are sorted within a key's ``bucket`` of time only; buckets, one row each, hand their last and first points to the others.
     """
-    order = Window.orderBy("t")  # of the hourly series alone, not of the readings
-    hours = ambient.select("t", "theta_a", F.lead("t").over(order).alias("t2"), F.lead("theta_a").over(order).alias("th2"), F.lag("t").over(order).isNull().alias("first"))
-    last_hour = F.coalesce(F.date_trunc("hour", F.col("t2")) - F.expr("interval 1 hour"), F.date_trunc("hour", F.col("t")))
-    slots = hours.withColumn("hour", F.explode(F.sequence(F.date_trunc("hour", F.col("t")), F.greatest(last_hour, F.date_trunc("hour", F.col("t"))), F.expr("interval 1 hour"))))
-    edge = ambient.agg(F.min("t").alias("t_min"), F.max("t").alias("t_max"), F.min_by("theta_a", "t").alias("th_min"), F.max_by("theta_a", "t").alias("th_max"))
-    s = slots.select(F.col("hour").cast("timestamp_ntz").alias("hour"), F.col("t").alias("t1"), F.col("theta_a").alias("th1"), "t2", "th2")
-    j = times.select("t").distinct().withColumn("hour", F.date_trunc("hour", F.col("t")).cast("timestamp_ntz")).join(s, "hour", "left").join(F.broadcast(edge), F.lit(True))  # one row
+    by = [*keys, "_bucket"]
+    point = F.when(F.col("_known"), F.struct("t", "theta_a"))
+    rows = times.select(*keys, "t").distinct().withColumns({"theta_a": F.lit(None).cast("double"), "_known": F.lit(False)})
+    rows = rows.unionByName(series.select(*keys, "t", "theta_a").withColumn("_known", F.lit(True)))
+    rows = rows.withColumns({"_bucket": F.date_trunc(bucket, F.col("t")), "_point": point})
+    edges = rows.groupBy(*by).agg(F.min("_point").alias("_first"), F.max("_point").alias("_last"))
+    order = Window.partitionBy(*keys).orderBy("_bucket")
+    edges = edges.select(*by, F.last("_last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"), F.first("_first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    # a point at the very time counts as before it
+    here = Window.partitionBy(*by).orderBy("t", F.desc("_known"))
+    near = rows.select("*", F.last("_point", True).over(here.rowsBetween(Window.unboundedPreceding, 0)).alias("before"), F.first("_point", True).over(here.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    joined = near.where("not _known").join(edges, by)
+    return joined.select(*keys, "t", F.coalesce("before", "_earlier").alias("before"), F.coalesce("after", "_later").alias("after"))
+
+
+def ambient_at(times: DataFrame, ambient: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, t, theta_a, extrapolated): temperatures read linearly between points, flat outside them.
+
+    ``keys`` name the series that a time reads, such as a network or a station; a key without a series has no rows.
+    Points of one key at one time are averaged.
+    """
+    points = ambient.groupBy(*keys, "t").agg(F.avg("theta_a").alias("theta_a"))
+    near = known_around(times, points, keys).where("before is not null or after is not null")
     sec = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    line = F.when(F.col("t2").isNull(), F.col("th1")).otherwise(F.col("th1") + (F.col("th2") - F.col("th1")) * (sec("t") - sec("t1")) / (sec("t2") - sec("t1")))
-    theta = F.when(F.col("t") <= F.col("t_min"), F.col("th_min")).when(F.col("t") >= F.col("t_max"), F.col("th_max")).otherwise(line)
-    return j.select("t", theta.alias("theta_a"), ((F.col("t") < F.col("t_min")) | (F.col("t") > F.col("t_max"))).alias("extrapolated"))
+    a, b = F.col("before.theta_a"), F.col("after.theta_a")
+    line = a + (b - a) * (sec("t") - sec("before.t")) / (sec("after.t") - sec("before.t"))
+    theta = F.when(F.col("before").isNull(), b).when(F.col("after").isNull() | (F.col("before.t") == F.col("t")), a).otherwise(line)
+    outside = F.col("before").isNull() | (F.col("after").isNull() & (F.col("before.t") < F.col("t")))
+    return near.select(*keys, "t", theta.alias("theta_a"), outside.alias("extrapolated"))
 
 
 def nodal_allocation(load: DataFrame, readings: DataFrame, envelope: DataFrame | None) -> DataFrame:
@@ -83,11 +101,17 @@ def nodal_allocation(load: DataFrame, readings: DataFrame, envelope: DataFrame |
 
 
 def bus_background_load(bus: DataFrame, load: DataFrame, readings: DataFrame, people: DataFrame, mode: str = "soe") -> DataFrame:
-    """(n, bus_id, p_kw, q_kw): active power of non-participants and reactive power of all; buses without loads have 0."""
+    """(n, t, bus_id, p_kw, q_kw): active power of non-participants and reactive power of all, at each time that the network has readings.
+
+    Buses without loads have 0. Readings without ``t`` are one snapshot, and the result has no ``t``; then networks without readings are there too.
+    """
+    keys = ["n", *(c for c in ("t",) if c in readings.columns)]
     r = load.select("n", "load_id", "bus_id").join(readings, shared_keys(load, readings)).join(people.select("n", "load_id", F.lit(True).alias("_in")), ["n", "load_id"], "left")
     p = F.when(F.col("_in").isNull(), F.col("real_power_w")).otherwise(0.0) if mode == "soe" else F.lit(0.0)
-    by_bus = r.groupBy("n", "bus_id").agg((F.sum(p) / 1e3).alias("p_kw"), (F.sum("reactive_power_var") / 1e3).alias("q_kw"))
-    return bus.select("n", "bus_id").join(by_bus, ["n", "bus_id"], "left").fillna(0.0, ["p_kw", "q_kw"])
+    by_bus = r.groupBy(*keys, "bus_id").agg((F.sum(p) / 1e3).alias("p_kw"), (F.sum("reactive_power_var") / 1e3).alias("q_kw"))
+    every = bus.select("n", "bus_id")
+    every = every.join(by_bus.select(*keys).distinct(), "n") if len(keys) > 1 else every
+    return every.join(by_bus, [*keys, "bus_id"], "left").select(*keys, "bus_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("p_kw", "q_kw")])
 
 
 def scale_loads(readings: DataFrame, factors: list[float]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feederflow.functions.units import BASE_VA, LINE_RATING_A, TRANSFORMER_RATING_W
-from feederflow.sources.tables import stored
+from feederflow.sources.tables import stored, unreadable
 
 
 def components_of_type(components: DataFrame, ctype: str) -> DataFrame:
@@ -85,8 +85,11 @@ def split_lines_transformers(branch: DataFrame) -> tuple[DataFrame, DataFrame]:
     return branch.where("ratio_pu is null"), branch.where("ratio_pu is not null")
 
 
-def network_quality(components: DataFrame) -> DataFrame:
-    """Failed rules as (n, rule, cid, detail): unequal vector groups, ends at unknown nodes, buses with several feeds, with none, and with no path to an infeeder."""
+def network_quality(components: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Failed rules as (n, rule, cid, detail): unequal vector groups, ends at unknown nodes, buses with several feeds, with none, and with no path to an infeeder.
+
+    With the ``documents`` (n, doc) that the components come from, also those that do not parse, or in part only (``unreadable``).
+    """
     ends = components.where("ctype <> 'Node'").select("n", "cid", "ctype", F.posexplode("body.cons").alias("k", "con")).select("n", "cid", "ctype", "k", F.col("con.node").alias("bus_id"))
     nodes = components_of_type(components, "Node").select("n", F.col("cid").alias("bus_id"))
     vector = components_of_type(components, "Transformer").where(~F.get("body.vector_group", F.lit(0)).eqNullSafe(F.get("body.vector_group", F.lit(1)))).select("n", F.lit("vector_group").alias("rule"), "cid", F.array_join("body.vector_group", "/").alias("detail"))
@@ -95,11 +98,13 @@ def network_quality(components: DataFrame) -> DataFrame:
     fed = ends.where("(ctype in ('Line', 'Transformer') and k = 1) or ctype = 'Infeeder'").select("n", "bus_id").distinct()
     unfed = nodes.join(fed, ["n", "bus_id"], "left_anti").select("n", F.lit("not_fed").alias("rule"), F.col("bus_id").alias("cid"), F.lit("").alias("detail"))
     lost = no_path_to_infeeder(components).select("n", F.lit("no_path").alias("rule"), F.col("bus_id").alias("cid"), F.lit("").alias("detail"))
-    return vector.unionByName(dangling).unionByName(feeds).unionByName(unfed).unionByName(lost)
+    found = vector.unionByName(dangling).unionByName(feeds).unionByName(unfed).unionByName(lost)
+    return found if documents is None else found.unionByName(unreadable(documents))
 
 
 def tables(components: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(bus with setpoint and transformer flag, load, per-unit branch) of all networks, stored once."""
+    components = stored(components, "components")
     bus = bus_setpoint(bus_table(components), components)
     tx = transformer_table(components, bus)
     bus = stored(transformer_buses(bus, tx), "bus")
@@ -133,6 +138,49 @@ def tree_closure(branch: DataFrame) -> DataFrame:
         jump = paths.where(F.col("depth") == step - 1).select("n", "bus_id", "up")
 
 
+def tree_labels(branch: DataFrame) -> DataFrame:
+    """Each branch's place in its tree: (n, branch_id, bus_id, from_bus, root, depth, enter, leave, rho, path_r), linear in branches.
+
+    ``bus_id`` is the branch's end, ``root`` the bus that no branch leads to at the top of its path. A network's branches
+    are numbered in preorder, trees one after the other: those below a branch, and itself, have ``enter``
+    in [enter, leave). ``rho`` is the product of squared ratios along the path, ``path_r`` the sum of resistances, both with the
+    branch's own. Pointers to the branch above double in length each round, so a tree of depth d takes
+    about log2(d) joins of one row a branch. A cycle, or a bus that several branches lead to, is an error.
+    """
+    r2 = F.coalesce(F.col("ratio_pu") if "ratio_pu" in branch.columns else F.lit(None).cast("double"), F.lit(1.0)) ** 2
+    r_pu = F.col("r_pu") if "r_pu" in branch.columns else F.lit(0.0)
+    own = branch.select("n", "branch_id", F.col("to_bus").alias("bus_id"), "from_bus", r2.alias("rho"), r_pu.alias("path_r"))
+    above = branch.select("n", F.col("to_bus").alias("from_bus"), F.lit(True).alias("fed"))
+    at = own.join(above.distinct(), ["n", "from_bus"], "left").select("*", F.when(F.col("fed"), F.col("from_bus")).alias("up"), F.lit(1).cast("long").alias("size"), F.lit(0).alias("depth")).withColumn("root", F.when(F.col("up").isNull(), F.col("from_bus"))).drop("fed")
+    at = stored(at, "labels")
+    shape = at.groupBy("n").agg(F.count(F.lit(1)).alias("m"), F.count_distinct("bus_id").alias("ends"))
+    most, several = shape.agg(F.max("m"), F.max(F.when(F.col("m") > F.col("ends"), F.struct("n")))).head()  # one row
+    if several is not None:
+        raise ValueError(f"several branches lead to one bus in network {several[0]}")
+    ends, length = at, 1
+    # pointers reach 1, 2, 4 ... branches up; sizes count what lies below within that reach
+    while not at.where("up is not null").isEmpty():
+        if length > most:
+            raise ValueError(f"networks with a cycle: {[r.n for r in at.where('up is not null').select('n').distinct().orderBy('n').limit(10).collect()]}")
+        far = at.select("n", F.col("bus_id").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("rho").alias("_rho"), F.col("path_r").alias("_path_r"))
+        below = at.where("up is not null").groupBy("n", F.col("up").alias("bus_id")).agg(F.sum("size").alias("_size"))
+        # up, depth, rho and path_r of the path to the pointer, exclusive of its end, joined with the end's own
+        jumped = at.join(far, ["n", "up"], "left").join(below, ["n", "bus_id"], "left")
+        own_or = lambda c, x: F.when(F.col("up").isNull(), F.col(c)).otherwise(x).alias(c)
+        at = stored(jumped.select("n", "branch_id", "bus_id", "from_bus", own_or("rho", F.col("rho") * F.col("_rho")), own_or("path_r", F.col("path_r") + F.col("_path_r")), F.col("_up").alias("up"), (F.col("size") + F.coalesce("_size", F.lit(0))).alias("size"), own_or("depth", F.col("depth") + F.col("_depth") + 1), F.coalesce("root", "_root").alias("root")), "labels")
+        length *= 2
+    # a branch enters after the one above it and all that its earlier siblings hold
+    first = Window.partitionBy("n", "_top", "_over").orderBy("from_bus", "branch_id").rowsBetween(Window.unboundedPreceding, -1)
+    kin = ends.select("n", "bus_id", F.col("up").alias("_above")).join(at.drop("up"), ["n", "bus_id"])
+    kin = kin.withColumns({"_top": F.col("_above").isNull(), "_over": F.col("_above")})
+    place = kin.withColumn("enter", F.coalesce(F.sum("size").over(first), F.lit(0)) + F.when(F.col("_top"), 0).otherwise(1)).drop("_top", "_over").withColumnRenamed("_above", "up")
+    place, length = stored(place, "labels"), 1
+    while not place.where("up is not null").isEmpty():
+        far = place.select("n", F.col("bus_id").alias("up"), F.col("up").alias("_up"), F.col("enter").alias("_enter"))
+        place = stored(place.join(far, ["n", "up"], "left").withColumns({"enter": F.col("enter") + F.coalesce("_enter", F.lit(0)), "up": F.col("_up")}).drop("_up", "_enter").select(*place.columns), "labels")
+    return place.select("n", "branch_id", "bus_id", "from_bus", "root", "depth", "enter", (F.col("enter") + F.col("size")).alias("leave"), "rho", "path_r")
+
+
 def no_path_to_infeeder(components: DataFrame) -> DataFrame:
     """(n, bus_id): buses that a branch feeds, but over no path from an infeeder: below an unfed bus, or on or below a cycle.
 

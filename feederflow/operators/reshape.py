@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from feederflow.functions.running import dealt_in_order, sums_before
+from feederflow.functions.units import INTERVAL_H
+
 
 def register_filter(wide: DataFrame, suffix: str = "E1") -> DataFrame:
     return wide.where(F.col("NmiSuffix") == suffix)
@@ -55,14 +58,14 @@ def share_of_total(df: DataFrame, t: str, value: str, total: str) -> DataFrame:
     return df.join(sums, t).withColumn("share", F.when(F.col(total) > 0, F.col(value) / F.col("_sum") * F.col(total)).otherwise(0.0)).drop("_sum")
 
 
-def resample_interpolate(ambient: DataFrame, minutes: int = 5) -> DataFrame:
-    """An hourly series on a finer grid, linear between its points."""
-    w = Window.orderBy("t")  # of the ambient series alone
-    a = ambient.select("t", "theta_a", F.lead("t").over(w).alias("t2"), F.lead("theta_a").over(w).alias("th2"))
+def resample_interpolate(ambient: DataFrame, minutes: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Hourly series, one of each key (such as a station), on a finer grid, linear between their points."""
+    w = Window.partitionBy(*keys).orderBy("t")  # of the ambient series alone, not of the readings
+    a = ambient.select(*keys, "t", "theta_a", F.lead("t").over(w).alias("t2"), F.lead("theta_a").over(w).alias("th2"))
     step = F.expr(f"interval {minutes} minutes")
     grid = a.withColumn("g", F.explode(F.when(F.col("t2").isNull(), F.array("t")).otherwise(F.sequence("t", F.col("t2") - step, step))))
     sec = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    return grid.select(F.col("g").alias("t"), F.when(F.col("t2").isNull(), F.col("theta_a")).otherwise(F.col("theta_a") + (F.col("th2") - F.col("theta_a")) * (sec("g") - sec("t")) / (sec("t2") - sec("t"))).alias("theta_a"))
+    return grid.select(*keys, F.col("g").alias("t"), F.when(F.col("t2").isNull(), F.col("theta_a")).otherwise(F.col("theta_a") + (F.col("th2") - F.col("theta_a")) * (sec("g") - sec("t")) / (sec("t2") - sec("t"))).alias("theta_a"))
 
 
 def step_number(readings: DataFrame, key: str = "n") -> DataFrame:
@@ -72,25 +75,32 @@ def step_number(readings: DataFrame, key: str = "n") -> DataFrame:
 
 
 def interval_check(readings: DataFrame, dt_min: float) -> DataFrame:
-    """(load_id, t, gap_min, kind): readings whose distance from the one before is not ``dt_min``."""
-    w = Window.partitionBy("load_id").orderBy("t")
+    """(n if given, load_id, t, gap_min, kind): readings whose distance from the load's one before is not ``dt_min``."""
+    keys = [c for c in ("n", "load_id") if c in readings.columns]
+    w = Window.partitionBy(*keys).orderBy("t")
     sec = lambda c: F.unix_seconds(F.date_trunc("second", c).cast("timestamp"))
     gap = (sec(F.col("t")) - sec(F.lag("t").over(w))) / 60.0
-    out = readings.select("load_id", "t", gap.alias("gap_min"))
+    out = readings.select(*keys, "t", gap.alias("gap_min"))
     kind = F.when(F.col("gap_min") == 0, "duplicate").when(F.col("gap_min") > dt_min, "gap").otherwise("short")
     return out.where(F.col("gap_min").isNotNull() & (F.col("gap_min") != dt_min)).withColumn("kind", kind)
 
 
 def merit_order(tiers: DataFrame, required: DataFrame, keys: tuple[str, ...] = ("n",)) -> DataFrame:
-    """Tiers (keys, load_id, tier, kw, price) taken by price until the required kW are met: ``taken_kw``, ``cost_dlr``."""
-    w = Window.partitionBy(*keys).orderBy("price", "load_id", "tier").rowsBetween(Window.unboundedPreceding, -1)
-    j = tiers.withColumn("_before", F.coalesce(F.sum("kw").over(w), F.lit(0.0))).join(required, list(keys))
+    """Tiers (keys, load_id, tier, kw, price) taken by price until the required kW are met: ``taken_kw``, ``cost_dlr``.
+
+    A key's tiers may fill several tasks: they are dealt out in their order.
+    """
+    order = ["price", "load_id", "tier"]
+    dealt = sums_before(dealt_in_order(tiers, list(keys), order), list(keys), "_part", order, {"_before": "kw"})
+    j = dealt.join(required, list(keys))
     taken = F.greatest(F.lit(0.0), F.least(F.col("kw"), F.col("required_kw") - F.col("_before")))
-    return j.select(*keys, "load_id", "tier", taken.alias("taken_kw"), (taken * F.col("price") * 5 / 60).alias("cost_dlr")).where("taken_kw > 0")
+    return j.select(*keys, "load_id", "tier", taken.alias("taken_kw"), (taken * F.col("price") * INTERVAL_H).alias("cost_dlr")).where("taken_kw > 0")
 
 
 def tiers_of(offers: DataFrame, column: str) -> DataFrame:
-    return offers.select("load_id", F.posexplode(column).alias("tier", "pair")).select("load_id", "tier", F.get("pair", F.lit(0)).alias("kw"), F.get("pair", F.lit(1)).alias("price"))
+    """(n and t if given, load_id, tier, kw, price) of the bids of one direction."""
+    keys = [c for c in ("n", "t", "load_id") if c in offers.columns]
+    return offers.select(*keys, F.posexplode(column).alias("tier", "pair")).select(*keys, "tier", F.get("pair", F.lit(0)).alias("kw"), F.get("pair", F.lit(1)).alias("price"))
 
 
 def series_stats(series: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def _normal(x: Column, seed: int) -> Column:
 
 
 def customer_weights(roster: DataFrame, times: DataFrame, size_sigma: float, noise_sigma: float, seed: int, parts: int = 64) -> DataFrame:
-    """(idx, load_id, t, weight): log-normal size times normal noise, both functions of keys alone.
+    """(idx, load_id, t, noise, weight): log-normal size times normal noise, both functions of keys alone.
 
     Every customer meets every time by definition: times are dealt to ``parts`` parts, and each part has all customers.
     """
@@ -50,7 +50,7 @@ def customer_weights(roster: DataFrame, times: DataFrame, size_sigma: float, noi
     minute = F.floor(F.unix_seconds(F.col("t").cast("timestamp")) / 60)
     size = F.exp(size_sigma * _normal(F.col("idx") * 1009, seed))
     noise = 1 + noise_sigma * _normal(F.pmod(F.col("idx") * 65537 + minute * 31, F.lit(LCG_M)), seed + 1)
-    return each.withColumn("weight", size * noise)
+    return each.withColumn("noise", noise).withColumn("weight", size * F.col("noise"))
 
 
 def make_profiles(roster: DataFrame, totals: DataFrame, size_sigma: float, noise_sigma: float, seed: int) -> DataFrame:
@@ -80,7 +80,16 @@ def reactive_from_pf(profiles: DataFrame, pf: float) -> DataFrame:
     return profiles.select("t", "load_id", F.round(p, 2).alias("real_power_w"), F.round(p * F.tan(F.acos(F.lit(pf))), 2).alias("reactive_power_var"))
 
 
+def customer_rows(profiles: DataFrame, roster: DataFrame) -> DataFrame:
+    """(load_id, bus_id, is_solar, mean_kw, min_kw, max_kw, export_share) of each customer."""
+    x = F.col("net_kw")
+    per = profiles.groupBy("load_id").agg(F.avg(x).alias("mean_kw"), F.min(x).alias("min_kw"), F.max(x).alias("max_kw"), F.avg((x < 0).cast("double")).alias("export_share"))
+    return roster.select("load_id", "bus_id", "is_solar").join(per, "load_id")
+
+
 def customer_summary(profiles: DataFrame, roster: DataFrame) -> DataFrame:
-    """(bus_id, customers, mean_kw, min_mean_kw, max_mean_kw, export_share): by bus over customers' means."""
-    per = profiles.groupBy("load_id").agg(F.avg("net_kw").alias("m"), F.avg((F.col("net_kw") < 0).cast("double")).alias("e"))
-    return roster.select("load_id", "bus_id").join(per, "load_id").groupBy("bus_id").agg(F.count(F.lit(1)).alias("customers"), F.avg("m").alias("mean_kw"), F.min("m").alias("min_mean_kw"), F.max("m").alias("max_mean_kw"), F.avg("e").alias("export_share"))
+    """(bus_id, customers, mean_kw, min_mean_kw, max_mean_kw, export_share): over customers' means, by bus, and of all with a null bus."""
+    per = customer_rows(profiles, roster)
+    m = F.col("mean_kw")
+    out = per.rollup("bus_id").agg(F.count(F.lit(1)).alias("customers"), F.avg(m).alias("mean_kw"), F.min(m).alias("min_mean_kw"), F.max(m).alias("max_mean_kw"), F.avg("export_share").alias("export_share"))
+    return out.where("customers > 0")

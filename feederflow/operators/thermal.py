@@ -94,6 +94,12 @@ def hotspot_check(thermal: DataFrame, params: DataFrame) -> DataFrame:
     return j.groupBy("tx_id").agg(F.max("theta_HS").alias("peak"), (F.sum((F.col("theta_HS") > F.col("theta_HS_max")).cast("int")) * F.first("dt") / 60).alias("hours_over"))
 
 
+def hotspots_over(thermal: DataFrame, params: DataFrame) -> DataFrame:
+    """(n if given, tx_id, t, theta_HS, over): the rows above the limit, and by how much."""
+    j = with_params(thermal, params).where("theta_HS > theta_HS_max")
+    return j.select(*[c for c in ("n",) if c in thermal.columns], "tx_id", "t", "theta_HS", (F.col("theta_HS") - F.col("theta_HS_max")).alias("over"))
+
+
 def max_current_for_hotspot(state: DataFrame, ambient: DataFrame, params: DataFrame, steps: int = 50) -> DataFrame:
     """(tx_id, t, k2_max, i_max_a): the largest squared load factor that keeps the coming step within the limit.
 

@@ -27,7 +27,11 @@ reading AS (SELECT event_id, user_id, ts AS t, 'D' || user_id AS load_id, CASE W
 ambient AS (SELECT date_trunc('hour', ts) AS t, avg(value) / 10 AS theta_a FROM events GROUP BY 1),
 current AS (SELECT 'T' || c_nationkey AS tx_id, date_trunc('hour', ts) AS t, sum(value) AS current_a FROM events JOIN customer ON user_id = c_custkey GROUP BY 1, 2),
 series AS (SELECT date_trunc('hour', t) AS t, sum(p) / 1000 - 60 AS total_kw FROM reading GROUP BY 1),
-price AS (SELECT 'D' || c_custkey AS load_id, c_custkey % 10 / 100.0 AS export_price_kwh FROM customer WHERE c_custkey % 4 = 0),
+price AS (SELECT 'D' || o_custkey AS load_id, o_orderkey % 10 / 100.0 AS export_price_kwh FROM o),
+daily AS (SELECT n, r.load_id, bus_id, date_trunc('day', t) AS t, sum(p) AS p FROM reading r JOIN load USING (load_id) GROUP BY 1, 2, 3, 4),
+envd AS (SELECT n, t, load_id, -abs(p) / 1000 AS lb, abs(p) / 500 AS ub FROM daily),
+dispd AS (SELECT n, t, load_id, greatest(p / 1e4, 0) AS inj, greatest(-p / 1e4, 0) AS con FROM daily),
+air AS (SELECT n, date_trunc('hour', t) AS t, avg(value) / 10 AS theta_a FROM (SELECT 'D' || user_id AS load_id, ts AS t, value FROM events) JOIN load USING (load_id) GROUP BY 1, 2),
 disp AS (SELECT 'D' || c_custkey AS load_id, greatest(c_acctbal / 1000, 0) AS inj, greatest(-c_acctbal / 1000, 0) AS con FROM customer),
 env AS (SELECT n, load_id, -abs(bal) / 1000 AS lb, abs(bal) / 500 AS ub FROM load),
 wide AS (SELECT 'D' || user_id AS "Nmi", CASE event_type WHEN 'view' THEN 'E1' ELSE 'B1' END AS suffix, ts::DATE AS "IntervalDay", hour(ts) AS h, round(sum(value), 6) AS energy FROM events GROUP BY 1, 2, 3, 4),
@@ -147,7 +151,7 @@ def profile(name: str, seed: int, total: str, where: str) -> tuple[str, str, str
     minute = "floor(epoch(t) / 60)::BIGINT"
     size, noise = normal("idx * 1009", seed), normal(f"(idx * 65537 + {minute} * 31) % 2147483648", seed + 1)
     return (
-        f"{name}_w AS (SELECT idx, load_id, t, total_kw, exp(0.4 * {size}) * (1 + 0.15 * {noise}) AS weight FROM roster, series WHERE {where})",
+        f"{name}_w AS (SELECT idx, load_id, t, total_kw, 1 + 0.15 * {noise} AS noise, exp(0.4 * {size}) * (1 + 0.15 * {noise}) AS weight FROM roster, series WHERE {where})",
         f"{name}_s AS (SELECT *, greatest(avg(weight) OVER (PARTITION BY load_id ORDER BY t ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 1e-6) AS w FROM {name}_w)",
         f"{name} AS (SELECT load_id, t, total_kw, CASE WHEN {total} > 0 THEN w / sum(w) OVER (PARTITION BY t) * {total} ELSE 0 END AS kw FROM {name}_s)",
     )
@@ -196,11 +200,12 @@ _ORACLES: dict[str, str] = {
     "read_forecast": sql("SELECT load_id, bal AS real_power_w, round(0.4 * bal, 6) AS reactive_power_var FROM load"),
     "read_forecast_ts": sql("SELECT t, load_id, round(p, 6) AS real_power_w, round(0.4 * p, 6) AS reactive_power_var FROM reading"),
     "read_tx_params": f"SELECT 'T' || n_nationkey AS tx_id, 180.0::DOUBLE + n_nationkey AS \"tau_TO\", {', '.join(f'{v}::DOUBLE AS "{c}"' for c, v in TX.items() if c not in ('tau_TO', 'I_rated'))}, 150.0::DOUBLE + 5 * n_nationkey AS \"I_rated\" FROM nation",
-    "read_wide_meter": sql("SELECT \"Nmi\", suffix AS \"NmiSuffix\", \"IntervalDay\", max(energy) FILTER (WHERE h = 7) AS \"Data_07_00\", max(energy) FILTER (WHERE h = 23) AS \"Data_23_00\" FROM wide GROUP BY 1, 2, 3"),
+    "read_wide_meter": sql("SELECT \"Nmi\", suffix, \"IntervalDay\", " + ", ".join(f'max(energy) FILTER (WHERE h = {h}) AS "Data_{h:02d}_00"' for h in range(24)) + " FROM wide GROUP BY 1, 2, 3"),
     "read_tx_series": sql("SELECT t, round(total_kw, 6) AS total_kw, round(total_kw / 2, 6) AS estimated_kw FROM series"),
     "read_ambient": sql("SELECT t, round(theta_a, 6) AS theta_a FROM ambient"),
     "read_prices": sql("SELECT load_id, export_price_kwh::DOUBLE AS export_price_kwh FROM price"),
-    "write_results": sql("SELECT n, load_id, round(lb, 6) AS lb_kw, round(ub, 6) AS ub_kw, round(inj - con, 6) AS dispatch_kw FROM env JOIN disp USING (load_id)"),
+    "write_results": sql("SELECT n, t, load_id, round(lb * w, 6) AS lb_kw, round(ub * w, 6) AS ub_kw, round(inj - con, 6) AS dispatch_kw FROM (SELECT *, CASE WHEN t = TIMESTAMP '2024-01-05' THEN 2 ELSE 1 END AS w FROM envd) JOIN disp USING (load_id)"),
+    "unreadable": sql("SELECT r_regionkey AS n, CASE r_regionkey WHEN 2 THEN 'no_components' ELSE 'not_json' END AS rule, '' AS cid FROM region WHERE r_regionkey <> 1 UNION ALL SELECT n, 'bad_value', bus_id FROM bus WHERE n = 1"),
     "components_of_type": sql("SELECT n, branch_id AS cid FROM line"),
     "ordinal_ids": sql("SELECT n, load_id AS cid, i FROM load"),
     "scale_loads": sql("SELECT load_id, factor::DOUBLE AS factor, round(bal * factor::DOUBLE, 6) AS real_power_w, round(0.4 * bal * factor::DOUBLE, 6) AS reactive_power_var FROM load, (VALUES (1.0), (2.2), (2.5)) f(factor)"),
@@ -213,7 +218,7 @@ _ORACLES: dict[str, str] = {
     "transformer_buses": sql("SELECT n, bus_id, bus_id LIKE 'N%' AS is_transformer FROM bus"),
     "branch_table": sql("SELECT n, branch_id, from_bus, to_bus, kind, CASE kind WHEN 'line' THEN round(r_pu, 6) ELSE 0.003 END AS r_ohm, CASE kind WHEN 'line' THEN NULL ELSE 1.0::DOUBLE END AS ratio_pu FROM branch"),
     "per_unit": sql("SELECT n, branch_id, 1.0::DOUBLE AS z_base_ohm, 1000.0::DOUBLE AS i_base_a, round(r_pu, 6) AS r_pu, round(x_pu, 6) AS x_pu, i_max_pu::DOUBLE AS i_max_pu FROM branch"),
-    "split_lines_transformers": sql("SELECT (SELECT count(*) FROM line) AS n_lines, (SELECT count(*) FROM tx) AS n_transformers"),
+    "split_lines_transformers": sql("SELECT n, branch_id, from_bus, to_bus, round(CASE kind WHEN 'line' THEN r_pu ELSE 0.003 END, 6) AS r_ohm, CASE kind WHEN 'line' THEN CASE WHEN i_max_pu < 1 THEN 40.0 ELSE 100000.0 END ELSE 300.0 END::DOUBLE AS i_max_a, kind AS side FROM branch"),
     "snapshot_at": sql("SELECT load_id, round(p, 6) AS real_power_w, round(0.4 * p, 6) AS reactive_power_var FROM reading WHERE date_trunc('day', t) = TIMESTAMP '2024-01-05'"),
     "network_quality": sql("""SELECT n, 'vector_group' AS rule, branch_id AS cid, 'Yd11/Dyn11' AS detail FROM tx WHERE nation % 7 = 3
       UNION ALL SELECT n, 'dangling_node', branch_id, from_bus FROM line WHERE from_bus IN (SELECT bus_id FROM gone)
@@ -229,19 +234,22 @@ _ORACLES: dict[str, str] = {
     "index_product": sql("SELECT n, load_id, oe, ci FROM load, (VALUES ('oel'), ('oer')) a(oe), (VALUES ('con'), ('inj')) b(ci)"),
     "ambient_at": sql("""SELECT e.t, CASE WHEN e.t <= lo THEN th_lo WHEN e.t >= hi THEN th_hi ELSE round(a.theta_a + (a.th2 - a.theta_a) * (epoch_us(e.t) - epoch_us(a.t))::DOUBLE / (epoch_us(a.t2) - epoch_us(a.t)), 9) END AS theta_a, e.t < lo OR e.t > hi AS extrapolated
       FROM (SELECT DISTINCT ts AS t FROM events) e LEFT JOIN a ON e.t >= a.t AND e.t < a.t2, (SELECT min(t) AS lo, max(t) AS hi, round(arg_min(theta_a, t), 9) AS th_lo, round(arg_max(theta_a, t), 9) AS th_hi FROM ambient WHERE hour(t) <> 5)""", "a AS (SELECT t, theta_a, lead(t) OVER (ORDER BY t) AS t2, lead(theta_a) OVER (ORDER BY t) AS th2 FROM ambient WHERE hour(t) <> 5)"),
-    "bus_background_load": sql("SELECT b.n, b.bus_id, round(coalesce(sum(CASE WHEN load_id NOT IN (SELECT load_id FROM reading) THEN bal ELSE 0 END), 0) / 1000, 6) AS p_kw, round(coalesce(sum(0.4 * bal), 0) / 1000, 6) AS q_kw FROM bus b LEFT JOIN load USING (n, bus_id) GROUP BY 1, 2"),
+    "bus_background_load": sql("SELECT b.n, x.t, b.bus_id, round(coalesce(sum(CASE WHEN load_id NOT IN (SELECT load_id FROM offer) THEN p ELSE 0 END), 0) / 1000, 6) AS p_kw, round(coalesce(sum(0.4 * p), 0) / 1000, 6) AS q_kw FROM bus b JOIN (SELECT DISTINCT n, t FROM daily) x USING (n) LEFT JOIN daily y ON y.n = b.n AND y.t = x.t AND y.bus_id = b.bus_id GROUP BY 1, 2, 3"),
+    "ambient_by_network": sql("""SELECT n, t, round(CASE WHEN at IS NULL THEN (SELECT arg_min(theta_a, t) FROM a WHERE a.n = x.n) WHEN t2 IS NULL THEN theta_a ELSE theta_a + (th2 - theta_a) * (epoch_us(t) - epoch_us(at))::DOUBLE / (epoch_us(t2) - epoch_us(at)) END, 9) AS theta_a, at IS NULL OR (t2 IS NULL AND t > at) AS extrapolated
+      FROM (SELECT e.n, e.t, a.t AS at, a.theta_a, a.t2, a.th2 FROM (SELECT DISTINCT n, r.t FROM reading r JOIN load USING (load_id)) e ASOF LEFT JOIN a ON e.n = a.n AND e.t >= a.t) x""", "a AS (SELECT n, t, theta_a, lead(t) OVER (PARTITION BY n ORDER BY t) AS t2, lead(theta_a) OVER (PARTITION BY n ORDER BY t) AS th2 FROM air WHERE hour(t) <> 5)"),
+    "resample_by_network": sql("SELECT n, g AS t, round(CASE WHEN t2 IS NULL THEN theta_a ELSE theta_a + (th2 - theta_a) * (epoch(g) - epoch(t)) / (epoch(t2) - epoch(t)) END, 9) AS theta_a FROM (SELECT *, unnest(CASE WHEN t2 IS NULL THEN [t] ELSE generate_series(t, t2 - INTERVAL 15 MINUTE, INTERVAL 15 MINUTE) END) AS g FROM (SELECT n, t, theta_a, lead(t) OVER (PARTITION BY n ORDER BY t) AS t2, lead(theta_a) OVER (PARTITION BY n ORDER BY t) AS th2 FROM air))"),
     "nodal_allocation": sql("SELECT n, oe, bus_id, round(CASE WHEN load_id IN (SELECT load_id FROM reading) THEN CASE oe WHEN 'oel' THEN 0.002 ELSE -0.002 END ELSE bal / 1e6 END * 1e3, 6) AS p_pu, round(0.4 * bal / 1e6 * 1e3, 6) AS q_pu FROM load, (VALUES ('oel'), ('oer')) s(oe)"),
-    "subtree_flow": sql("SELECT n, branch_id, round(p0, 9) AS p_pu, round(q0, 9) AS q_pu FROM f0 WHERE k = 'oel'", *FLOW[:2]),
-    "path_voltage": sql("SELECT u.n, u.bus_id, round(1 - sum(2 * (r_pu * p0 + x_pu * q0)), 6) AS v2_pu FROM closure u JOIN f0 USING (n, branch_id) JOIN branch USING (n, branch_id) WHERE k = 'oel' GROUP BY 1, 2", *FLOW[:2]),
+    "subtree_flow": sql("SELECT n, k AS oe, branch_id, round(p0, 9) AS p_pu, round(q0, 9) AS q_pu FROM f0", *FLOW[:2]),
+    "path_voltage": sql("SELECT u.n, k AS oe, u.bus_id, round(1 - sum(2 * (r_pu * p0 + x_pu * q0)), 6) AS v2_pu FROM closure u JOIN f0 USING (n, branch_id) JOIN branch USING (n, branch_id) GROUP BY 1, 2, 3", *FLOW[:2]),
     "power_flow": sql("SELECT n, oe, branch_id, round(p, 6) AS p_pu, round(q, 6) AS q_pu, round(l, 6) AS l_pu, round(v, 6) AS v2_pu, true AS converged FROM flow", *FLOW, OUT),
     "unit_conversions": sql("SELECT n, oe, branch_id, round(sqrt(abs(l)) * 1000, 4) AS current_a, round(p * 1e6, 3) AS p_w, round(sqrt(abs(v)), 6) AS voltage_pu FROM flow", *FLOW, OUT),
     "limit_violations": sql("SELECT n, oe, 'v_min' AS kind, bus_id AS id, round(sqrt(abs(v)), 6) AS value, 0.94::DOUBLE AS \"limit\", round(0.94 - sqrt(abs(v)), 6) AS excess FROM flow WHERE sqrt(abs(v)) < 0.94 UNION ALL SELECT n, oe, 'v_max', bus_id, round(sqrt(abs(v)), 6), 1.06, round(sqrt(abs(v)) - 1.06, 6) FROM flow WHERE sqrt(abs(v)) > 1.06 UNION ALL SELECT n, oe, 'i_max', branch_id, round(sqrt(l), 6), i_max_pu, round(sqrt(l) - i_max_pu, 6) FROM flow WHERE sqrt(l) > i_max_pu", *FLOW, OUT),
-    "voltage_current_results": sql("SELECT n, bus_id, round(sqrt(abs(v)), 6) AS voltage_pu_oel, round(sqrt(abs(v)), 6) AS voltage_pu_oer, branch_id, round(sqrt(abs(l)) * 1000, 3) AS current_a_oel, round(p * 1e6, 3) AS p_w_oel, round(q * 1e6, 3) AS q_va_oer FROM flow WHERE oe = 'oel'", *FLOW, OUT),
+    "voltage_current_results": sql("SELECT n, bus_id, branch_id, " + ", ".join(f"max({x}) FILTER (WHERE oe = '{s}') AS {c}_{s}" for c, x in (("voltage_pu", "round(sqrt(abs(v)), 6)"), ("current_a", "round(sqrt(abs(l)) * 1000, 3)"), ("p_w", "round(p * 1e6, 3)"), ("q_va", "round(q * 1e6, 3)")) for s in ("oel", "oer")) + " FROM flow GROUP BY 1, 2, 3", *FLOW, OUT),
     "viol_report": sql("SELECT n, t, bus_id, round(coalesce(sum(kw) FILTER (WHERE load), 0), 6) AS viol_a_kw_oel, round(coalesce(sum(kw) FILTER (WHERE NOT load), 0), 6) AS viol_a_kw_oer, 0.0::DOUBLE AS viol_r_kw_oel, 0.0::DOUBLE AS viol_r_kw_oer FROM slack GROUP BY 1, 2, 3", SLACK),
     "dispatch_payment": sql("SELECT load_id, round(inj - con, 9) AS dispatch_kw, round((inj * coalesce(inj_price, 0) + con * coalesce(con_price, 0)) * 5 / 60, 9) AS payment_dlr FROM disp LEFT JOIN offer USING (load_id)"),
-    "objective_value": sql("SELECT n, round(cost, 3) AS cost, round(benefit, 3) AS benefit, round(width, 3) AS width, round(coalesce(penalty, 0), 3) AS penalty, round(cost - benefit - width + coalesce(penalty, 0), 3) AS total FROM pay JOIN ben USING (n) LEFT JOIN pen USING (n)", SLACK, "pay AS (SELECT n, sum(round((inj * coalesce(inj_price, 0) + con * coalesce(con_price, 0)) * 5 / 60, 9)) AS cost FROM disp JOIN load USING (load_id) LEFT JOIN offer USING (load_id) GROUP BY 1)", "ben AS (SELECT n, sum(coalesce(export_price_kwh, 0) * ub * 5 / 60) AS benefit, sum(0.001 * (ub - lb)) AS width FROM env LEFT JOIN price USING (load_id) GROUP BY 1)", "pen AS (SELECT n, sum(1000 * abs(kw)) AS penalty FROM slack GROUP BY 1)"),
-    "offer_cap_check": sql("SELECT load_id, 'inj' AS ci, round(inj, 6) AS dispatch_kw, coalesce(inj_kw, 0)::DOUBLE AS cap_kw, inj <= coalesce(inj_kw, 0) AS ok FROM disp LEFT JOIN offer USING (load_id) UNION ALL SELECT load_id, 'con', round(con, 6), coalesce(con_kw, 0), con <= coalesce(con_kw, 0) FROM disp LEFT JOIN offer USING (load_id)"),
-    "reservation_check": sql("SELECT n, load_id, round(greatest(0, lb - (-5 + inj - con)), 6) AS short_l_kw, round(greatest(0, 5 + inj - con - ub), 6) AS short_u_kw FROM env JOIN offer USING (load_id) JOIN disp USING (load_id)"),
+    "objective_value": sql("SELECT n, t, round(cost, 3) AS cost, round(benefit, 3) AS benefit, round(width, 3) AS width, round(coalesce(penalty, 0), 3) AS penalty, round(cost - benefit - width + coalesce(penalty, 0), 3) AS total FROM pay JOIN ben USING (n, t) LEFT JOIN pen USING (n, t)", SLACK, "pay AS (SELECT n, t, sum(round((inj * coalesce(inj_price, 0) + con * coalesce(con_price, 0)) * 5 / 60, 9)) AS cost FROM dispd LEFT JOIN offer USING (load_id) GROUP BY 1, 2)", "ben AS (SELECT n, t, sum(coalesce(export_price_kwh, 0) * ub * 5 / 60) AS benefit, sum(0.001 * (ub - lb)) AS width FROM envd LEFT JOIN price USING (load_id) GROUP BY 1, 2)", "pen AS (SELECT n, t, sum(1000 * abs(kw)) AS penalty FROM slack GROUP BY 1, 2)"),
+    "offer_cap_check": sql("SELECT load_id, t, 'inj' AS ci, round(inj, 6) AS dispatch_kw, coalesce(inj_kw, 0)::DOUBLE AS cap_kw, inj <= coalesce(inj_kw, 0) AS ok FROM dispd LEFT JOIN offer USING (load_id) UNION ALL SELECT load_id, t, 'con', round(con, 6), coalesce(con_kw, 0), con <= coalesce(con_kw, 0) FROM dispd LEFT JOIN offer USING (load_id)"),
+    "reservation_check": sql("SELECT n, t, load_id, round(greatest(0, lb - (-5 + inj - con)), 6) AS short_l_kw, round(greatest(0, 5 + inj - con - ub), 6) AS short_u_kw FROM envd JOIN offer USING (load_id) JOIN dispd USING (n, t, load_id)"),
     "reservation_dispatch": sql("SELECT n, load_id, round(got, 9) AS dispatch_kw, round(abs(got) * CASE WHEN got >= 0 THEN inj_price ELSE con_price END * 5 / 60, 9) AS payment_dlr, round(greatest(0, lb + 5 - got) + greatest(0, got - (ub - 5)), 9) AS shortfall_kw FROM g", "g AS (SELECT *, greatest(-con_kw, least(inj_kw, greatest(lb + 5, least(0, ub - 5)))) AS got FROM env JOIN offer USING (load_id))"),
     "load_factor": sql("SELECT tx_id, t, round(current_a, 6) AS current_a, round(power(current_a / (150 + 5 * nation), 2), 6) AS k2 FROM current JOIN tx ON tx_id = branch_id"),
     "max_current_for_hotspot": sql(f"SELECT tx_id, t, round(k2_max, 6) AS k2_max, round(sqrt(k2_max) * {TX['I_rated']}, 6) AS i_max_a FROM allowed", "state AS (SELECT branch_id AS tx_id, t, theta_a, (nation + 10)::DOUBLE AS x1, nation / 2.0::DOUBLE AS x2 FROM tx, ambient)", *allowed("state")),
@@ -255,26 +263,28 @@ _ORACLES: dict[str, str] = {
     "thermal_step": sql(f"SELECT tx_id, t, round(x1, 6) AS \"delta_theta_TO\", round(x2, 6) AS \"delta_theta_HS\", round(theta_a + x1 + x2, 6) AS \"theta_HS\" FROM s JOIN ambient USING (t)", f"s AS (SELECT tx_id, t, ({TO_U} - (nation + 10)) * (1 - {D1}) + nation + 10 AS x1, ({HS_U} - nation / 2.0) * (1 - {D2}) + nation / 2.0 AS x2 FROM current JOIN tx ON tx_id = branch_id)"),
     "thermal_series": sql('SELECT tx_id, t, round(x1, 6) AS "delta_theta_TO", round(x2, 6) AS "delta_theta_HS", round(theta, 6) AS "theta_HS" FROM hot', *STEPS, HOT),
     "hotspot_check": sql(f"SELECT tx_id, round(max(theta), 6) AS peak, round(count(*) FILTER (WHERE theta > {TX['theta_HS_max']}) * {TX['dt']} / 60, 6) AS hours_over FROM hot GROUP BY 1", *STEPS, HOT),
+    "hotspots_over": sql(f"SELECT tx_id, t, round(theta, 6) AS \"theta_HS\", round(theta - {TX['theta_HS_max']}, 6) AS over FROM hot WHERE theta > {TX['theta_HS_max']}", *STEPS, HOT),
     "register_filter": sql("SELECT \"Nmi\", \"IntervalDay\", max(energy) FILTER (WHERE h = 7) AS \"Data_07_00\" FROM meter GROUP BY 1, 2"),
     "wide_to_long": sql("SELECT \"Nmi\", \"IntervalDay\", printf('Data_%02d_00', h) AS \"interval\", energy FROM meter"),
     "interval_timestamp": sql("SELECT \"Nmi\", \"IntervalDay\"::TIMESTAMP + to_hours(h) AS t, energy FROM meter"),
     "to_power": sql("SELECT \"IntervalDay\"::TIMESTAMP + to_hours(h) AS t, \"Nmi\" AS load_id, round_even(energy * 1000, 0)::BIGINT AS real_power_w, round_even(energy * 1000 * 0.4, 0)::BIGINT AS reactive_power_var FROM meter"),
     "sorted_export": sql("SELECT t, load_id, round(p, 6) AS real_power_w FROM reading ORDER BY t, load_id"),
-    "drop_missing": sql("SELECT count(*) FILTER (WHERE hour(t) <> 3) AS kept, round(sum(total_kw) FILTER (WHERE hour(t) <> 3), 6) AS kw, count(*) FILTER (WHERE hour(t) = 3) AS dropped FROM series"),
+    "drop_missing": sql("SELECT t, round(total_kw, 6) AS total_kw, NULL::BIGINT AS dropped FROM series WHERE hour(t) <> 3 UNION ALL SELECT NULL, NULL, count(*) FROM series WHERE hour(t) = 3"),
     "split_net_load": sql("SELECT t, round(greatest(total_kw, 0), 6) AS base_kw, round(greatest(-total_kw, 0), 6) AS solar_kw FROM series"),
     "smooth_centered": "SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 6) AS smoothed FROM events",
     "share_of_total": "SELECT event_id, round(CASE WHEN day(ts) % 5 = 0 THEN 0 ELSE value / sum(value) OVER (PARTITION BY date_trunc('day', ts)) * 100 END, 6) AS share FROM events",
     "resample_interpolate": sql("SELECT g AS t, round(CASE WHEN t2 IS NULL THEN theta_a ELSE theta_a + (th2 - theta_a) * (epoch(g) - epoch(t)) / (epoch(t2) - epoch(t)) END, 9) AS theta_a FROM (SELECT *, unnest(CASE WHEN t2 IS NULL THEN [t] ELSE generate_series(t, t2 - INTERVAL 5 MINUTE, INTERVAL 5 MINUTE) END) AS g FROM (SELECT t, theta_a, lead(t) OVER (ORDER BY t) AS t2, lead(theta_a) OVER (ORDER BY t) AS th2 FROM ambient))"),
     "step_number": sql("SELECT n, load_id, t, dense_rank() OVER (PARTITION BY n ORDER BY t) AS step FROM reading JOIN load USING (load_id)"),
-    "interval_check": sql("SELECT load_id, t, gap AS gap_min, CASE WHEN gap = 0 THEN 'duplicate' WHEN gap > 60 THEN 'gap' ELSE 'short' END AS kind FROM (SELECT load_id, h AS t, (epoch(h) - epoch(lag(h) OVER (PARTITION BY load_id ORDER BY h))) / 60.0 AS gap FROM (SELECT load_id, date_trunc('hour', t) AS h FROM reading)) WHERE gap IS NOT NULL AND gap <> 60"),
-    "merit_order": sql("SELECT n, load_id, tier, round(taken, 6) AS taken_kw, round(taken * price * 5 / 60, 6) AS cost_dlr FROM (SELECT n, load_id, tier, price, greatest(0, least(kw, need - before)) AS taken FROM (SELECT t.*, l.n, coalesce(sum(kw) OVER (PARTITION BY l.n ORDER BY price, t.load_id, tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tier t JOIN load l USING (load_id) WHERE odd = 1) JOIN (SELECT n, count(*) * 3.0 AS need FROM load GROUP BY 1) USING (n)) WHERE taken > 0"),
+    "interval_check": sql("SELECT n, load_id, t, gap AS gap_min, CASE WHEN gap = 0 THEN 'duplicate' WHEN gap > 60 THEN 'gap' ELSE 'short' END AS kind FROM (SELECT n, load_id, h AS t, (epoch(h) - epoch(lag(h) OVER (PARTITION BY n, load_id ORDER BY h))) / 60.0 AS gap FROM (SELECT n, load_id, date_trunc('hour', t) AS h FROM reading JOIN load USING (load_id))) WHERE gap IS NOT NULL AND gap <> 60"),
+    "merit_order": sql("SELECT n, CASE odd WHEN 1 THEN 'inj' ELSE 'con' END AS ci, load_id, tier, round(taken, 6) AS taken_kw, round(taken * price * 5 / 60, 6) AS cost_dlr FROM (SELECT n, odd, load_id, tier, price, greatest(0, least(kw, need - before)) AS taken FROM (SELECT t.*, l.n, coalesce(sum(kw) OVER (PARTITION BY l.n, odd ORDER BY price, t.load_id, tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tier t JOIN load l USING (load_id)) JOIN (SELECT n, count(*) * 3.0 AS need FROM load GROUP BY 1) USING (n)) WHERE taken > 0"),
     "series_stats": sql("SELECT count(*) AS n_rows, min(t) AS t_min, max(t) AS t_max, round(min(total_kw), 6) AS kw_min, round(max(total_kw), 6) AS kw_max, round(avg(total_kw), 6) AS kw_mean, round(avg((total_kw < 0)::INT), 6) AS neg_share FROM series"),
     "customer_roster": "SELECT idx, printf('NMI_%03d', idx + 1) AS load_id, CASE WHEN idx < round_even(nn * 0.33, 0) THEN 'bus_a' WHEN idx < 2 * round_even(nn * 0.33, 0) THEN 'bus_b' ELSE 'bus_c' END AS bus_id, idx < round_even(nn * 0.3, 0) AS is_solar FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS idx, count(*) OVER () AS nn FROM customer)",
-    "customer_weights": sql("SELECT load_id, t, round(weight, 6) AS weight FROM pb_w", ROSTER, profile("pb", 42, "total_kw", "true")[0]),
+    "customer_weights": sql("SELECT load_id, t, round(noise, 6) AS noise, round(weight, 6) AS weight FROM pb_w", ROSTER, profile("pb", 42, "total_kw", "true")[0]),
     "make_profiles": sql("SELECT load_id, t, round(kw, 6) AS kw FROM pb", ROSTER, *profile("pb", 42, "total_kw", "true")),
     "disaggregate": sql("SELECT load_id, t, round(net_kw, 6) AS net_kw FROM net", *NET),
     "sum_check": sql("SELECT max(abs(s - total_kw)) <= 1e-6 AS ok FROM (SELECT t, sum(net_kw) AS s FROM net GROUP BY 1) JOIN series USING (t)", *NET),
-    "customer_summary": sql("SELECT bus_id, count(*) AS customers, round(avg(m), 6) AS mean_kw, round(min(m), 6) AS min_mean_kw, round(max(m), 6) AS max_mean_kw, round(avg(e), 6) AS export_share FROM (SELECT load_id, avg(net_kw) AS m, avg((net_kw < 0)::INT) AS e FROM net GROUP BY 1) JOIN roster USING (load_id) GROUP BY 1", *NET),
+    "customer_summary": sql("SELECT bus_id, count(*) AS customers, round(avg(m), 6) AS mean_kw, round(min(m), 6) AS min_mean_kw, round(max(m), 6) AS max_mean_kw, round(avg(e), 6) AS export_share FROM (SELECT load_id, avg(net_kw) AS m, avg((net_kw < 0)::INT) AS e FROM net GROUP BY 1) JOIN roster USING (load_id) GROUP BY ROLLUP (bus_id)", *NET),
+    "customer_rows": sql("SELECT load_id, bus_id, is_solar, round(avg(net_kw), 6) AS mean_kw, round(min(net_kw), 6) AS min_kw, round(max(net_kw), 6) AS max_kw, round(avg((net_kw < 0)::INT), 6) AS export_share FROM net JOIN roster USING (load_id) GROUP BY 1, 2, 3", *NET),
     "reactive_from_pf": sql("SELECT t, load_id, round(p, 2) AS real_power_w, round(p * tan(acos(0.95)), 2) AS reactive_power_var FROM reading"),
     "envelope_linear": sql("""SELECT n, round(-greatest(0, least(50, min((1 - d - 0.94 * 0.94) / s))), 6) AS lb_kw, round(greatest(0, least(50, min((1.06 * 1.06 - 1 + d) / s))), 6) AS ub_kw
       FROM (SELECT u.n, u.bus_id, sum(2 * (r_pu * p + x_pu * q)) AS d, sum(2 * r_pu * k / 1000) AS s FROM closure u JOIN fl USING (n, branch_id) JOIN branch USING (n, branch_id) GROUP BY 1, 2) WHERE s > 0 GROUP BY 1""", "fl AS (SELECT u.n, branch_id, sum(CASE WHEN load_id IN (SELECT load_id FROM reading) THEN 0 ELSE bal * 0.1 / 1e6 END) AS p, sum(0.4 * bal * 0.1 / 1e6) AS q, sum(CASE WHEN load_id IN (SELECT load_id FROM reading) THEN 1.0 ELSE 0 END) AS k FROM closure u JOIN load USING (n, bus_id) GROUP BY 1, 2)"),

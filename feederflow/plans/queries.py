@@ -24,7 +24,7 @@ QUERIES: dict[str, Query] = {}
 TX = {"tau_TO": 180.0, "tau_W": 10.0, "delta_theta_TO_R": 55.0, "delta_theta_HS_R": 23.0, "R": 6.0, "n": 0.8, "m": 0.8, "I_rated": 150.0, "theta_HS_max": 120.0, "dt": 60.0}
 SNAPSHOT = "2024-01-01 00:00:00"
 #: Digits that a query's doubles are rounded to, where 6 would often end on a tie.
-DIGITS = {"ambient_at": 9, "resample_interpolate": 9, "subtree_flow": 9, "dispatch_payment": 9, "reservation_dispatch": 9}
+DIGITS = {"ambient_at": 9, "resample_interpolate": 9, "ambient_by_network": 9, "resample_by_network": 9, "subtree_flow": 9, "dispatch_payment": 9, "reservation_dispatch": 9}
 
 
 def query(f: Query) -> Query:
@@ -46,10 +46,21 @@ def snapshot(spark, d) -> DataFrame:
     return dr.forecast(spark, d).withColumn("t", F.lit(SNAPSHOT).cast("timestamp_ntz"))
 
 
+def by_day(spark, d) -> DataFrame:
+    """(load_id, t, real_power_w, reactive_power_var): each load's readings summed by the day."""
+    r = dr.readings(spark, d).withColumn("t", F.date_trunc("day", F.col("t")).cast("timestamp_ntz"))
+    return r.groupBy("load_id", "t").agg(*[F.sum(c).alias(c) for c in ("real_power_w", "reactive_power_var")])
+
+
+def networks_of(spark, d, readings: DataFrame) -> DataFrame:
+    """Readings with the network of their load."""
+    return nw.load_table(dr.components(spark, d)).select("n", "load_id").join(readings, "load_id")
+
+
 def grid(spark, d):
-    """(bus, load, branch, closure) of the driver's networks."""
+    """(bus, load, branch, tree) of the driver's networks."""
     bus, load, branch = nw.tables(dr.components(spark, d))
-    return bus, load, branch, tb.stored(nw.tree_closure(branch), "closure")
+    return bus, load, branch, nw.tree_labels(branch)
 
 
 def hourly_ambient(spark, d) -> DataFrame:
@@ -140,7 +151,7 @@ def read_tx_params(spark, d):
 
 @query
 def read_wide_meter(spark, d):
-    return tb.read_wide_meter(spark, written(wide_meter(spark, d), "csv", sep="\t", header=True)).select("Nmi", "NmiSuffix", "IntervalDay", "Data_07_00", "Data_23_00")
+    return tb.read_wide_meter(spark, written(wide_meter(spark, d), "csv", sep="\t", header=True)).withColumnRenamed("NmiSuffix", "suffix")
 
 
 @query
@@ -165,12 +176,25 @@ def read_prices(spark, d):
 
 @query
 def write_results(spark, d):
-    """Two result tables written, by network and as text, and read back."""
+    """Two result tables written, by network and day and as text; one day is written again, twice as wide; both are read back."""
     path = tb.shared_path(spark, "results")
-    tb.write_results({"envelope": envelopes(spark, d)}, path)
+    wide = networks_of(spark, d, by_day(spark, d)).select("n", "t", "load_id", (-F.abs("real_power_w") / 1000).alias("lb_kw"), (F.abs("real_power_w") / 500).alias("ub_kw"))
+    tb.write_results({"envelope": wide}, path)
+    again = wide.where("t = timestamp_ntz'2024-01-05 00:00:00'").withColumns({c: 2 * F.col(c) for c in ("lb_kw", "ub_kw")})
+    tb.write_results({"envelope": again}, path)
     tb.write_results({"dispatch": fl.dispatch_payment(dispatches(spark, d), dr.offers(spark, d))}, path, "csv")
     paid = spark.read.csv(f"{path}/dispatch", header=True, schema="load_id string, dispatch_kw double, payment_dlr double")
-    return spark.read.parquet(f"{path}/envelope").select(F.col("n").cast("int").alias("n"), "load_id", "lb_kw", "ub_kw").join(paid.select("load_id", "dispatch_kw"), "load_id")
+    return spark.read.parquet(f"{path}/envelope").select(F.col("n").cast("int").alias("n"), "t", "load_id", "lb_kw", "ub_kw").join(paid.select("load_id", "dispatch_kw"), "load_id")
+
+
+@query
+def unreadable(spark, d):
+    """Network documents of which one is cut short, one has words for voltages, one is empty and one is null."""
+    docs, n = tb.network_documents(dr.components(spark, d)), F.col("n")
+    half = F.substr("doc", F.lit(1), (F.length("doc") / 2).cast("int"))
+    words = F.regexp_replace("doc", '"v_base":1.0', '"v_base":"high"')
+    damaged = docs.withColumn("doc", F.when(n == 0, half).when(n == 1, words).when(n == 2, F.lit("{}")).when(n != 3, F.col("doc")))
+    return tb.unreadable(tb.stored(damaged, "documents")).select("n", "rule", "cid")
 
 
 # ---- network tables
@@ -248,7 +272,8 @@ def per_unit(spark, d):
 @query
 def split_lines_transformers(spark, d):
     lines, txs = nw.split_lines_transformers(branches(spark, d)[0])
-    return lines.agg(F.count(F.lit(1)).alias("n_lines")).join(txs.agg(F.count(F.lit(1)).alias("n_transformers")), F.lit(True))
+    side = lambda df, name: df.select("n", "branch_id", "from_bus", "to_bus", "r_ohm", "i_max_a", F.lit(name).alias("side"))
+    return side(lines, "line").unionByName(side(txs, "transformer"))
 
 
 @query
@@ -299,8 +324,9 @@ def participants(spark, d):
 
 
 def prices(spark, d) -> DataFrame:
-    p = dr.table(spark, d, "customer").where("c_custkey % 4 = 0")
-    return p.select(F.concat(F.lit("D"), "c_custkey").alias("load_id"), (F.col("c_custkey") % 10 / 100.0).alias("export_price_kwh"))
+    """Prices of customers with orders; the others have none."""
+    p = dr.table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("k"))
+    return p.select(F.concat(F.lit("D"), "o_custkey").alias("load_id"), (F.col("k") % 10 / 100.0).alias("export_price_kwh"))
 
 
 @query
@@ -319,12 +345,29 @@ def ambient_at(spark, d):
     return mt.ambient_at(times, hourly_ambient(spark, d).where("hour(t) <> 5"))
 
 
+def network_ambient(spark, d) -> DataFrame:
+    """(n, t, theta_a): the mean event value of each network's loads by the hour, a tenth of it."""
+    e = dr.table(spark, d, "events").select(F.concat(F.lit("D"), "user_id").alias("load_id"), F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("t"), "value")
+    return networks_of(spark, d, e).groupBy("n", "t").agg((F.avg("value") / 10).alias("theta_a"))
+
+
+@query
+def ambient_by_network(spark, d):
+    """Each network's readings read its own series."""
+    return mt.ambient_at(networks_of(spark, d, dr.readings(spark, d)), network_ambient(spark, d).where("hour(t) <> 5"), ("n",))
+
+
+@query
+def resample_by_network(spark, d):
+    return rs.resample_interpolate(network_ambient(spark, d), 15, ("n",))
+
+
 @query
 def bus_background_load(spark, d):
+    """By the day; customers with offers take part."""
     c = dr.components(spark, d)
-    load = nw.load_table(c)
-    people = metered(spark, d, load)
-    return mt.bus_background_load(nw.bus_table(c), load, dr.forecast(spark, d), people)
+    load, r = nw.load_table(c), by_day(spark, d)
+    return mt.bus_background_load(nw.bus_table(c), load, r, mt.participants(load, r, dr.offers(spark, d), "soe"))
 
 
 def metered(spark, d, load):
@@ -352,14 +395,14 @@ def nodal_of(spark, d, load):
 
 @query
 def subtree_flow(spark, d):
-    _, load, _, closure = grid(spark, d)
-    return fl.subtree_flow(closure, nodal_of(spark, d, load)).where("oe = 'oel'").select("n", "branch_id", "p_pu", "q_pu")
+    _, load, _, tree = grid(spark, d)
+    return fl.subtree_flow(tree, nodal_of(spark, d, load)).drop("t")
 
 
 @query
 def path_voltage(spark, d):
-    bus, load, branch, closure = grid(spark, d)
-    return fl.path_voltage(closure, branch, bus, fl.subtree_flow(closure, nodal_of(spark, d, load))).where("oe = 'oel'").select("n", "bus_id", "v2_pu")
+    bus, load, branch, tree = grid(spark, d)
+    return fl.path_voltage(tree, branch, bus, fl.subtree_flow(tree, nodal_of(spark, d, load))).drop("t")
 
 
 def flow_case(spark, d):
@@ -393,8 +436,7 @@ def voltage_current_results(spark, d):
     _, _, branch, flow, volt, _ = flow_case(spark, d)
     buses, branches = fl.voltage_current_results(flow, volt, branch, digits=3)
     ends = branch.select("n", "branch_id", F.col("to_bus").alias("bus_id"))
-    out = buses.drop("t").join(branches.drop("t").join(ends, ["n", "branch_id"]), ["n", "bus_id"])
-    return out.select("n", "bus_id", "voltage_pu_oel", "voltage_pu_oer", "branch_id", "current_a_oel", "p_w_oel", "q_va_oer")
+    return buses.drop("t").join(branches.drop("t").join(ends, ["n", "branch_id"]), ["n", "bus_id"])
 
 
 def slack_of(spark, d):
@@ -424,25 +466,35 @@ def envelopes(spark, d):
     return load.join(f, "load_id").select("n", "load_id", (-F.abs(F.col("real_power_w")) / 1000).alias("lb_kw"), (F.abs(F.col("real_power_w")) / 500).alias("ub_kw"))
 
 
+def envelopes_by_day(spark, d):
+    r = networks_of(spark, d, by_day(spark, d))
+    return r.select("n", "t", "load_id", (-F.abs(F.col("real_power_w")) / 1000).alias("lb_kw"), (F.abs(F.col("real_power_w")) / 500).alias("ub_kw"))
+
+
+def dispatches_by_day(spark, d):
+    kw = F.col("real_power_w") / 1e4
+    return by_day(spark, d).select("load_id", "t", F.greatest(kw, F.lit(0.0)).alias("inj_kw"), F.greatest(-kw, F.lit(0.0)).alias("con_kw"))
+
+
 @query
 def objective_value(spark, d):
-    load = nw.load_table(dr.components(spark, d)).select("n", "load_id")
-    pay = fl.dispatch_payment(dispatches(spark, d), dr.offers(spark, d)).join(load, "load_id").select("n", "payment_dlr")
-    slack = slack_of(spark, d).select("n", F.col("a_kw").alias("kw"))
-    return fl.objective_value(pay, prices(spark, d), envelopes(spark, d), slack).select("n", *[F.round(c, 3).alias(c) for c in ("cost", "benefit", "width", "penalty", "total")])
+    """An objective for each network and day."""
+    pay = networks_of(spark, d, fl.dispatch_payment(dispatches_by_day(spark, d), dr.offers(spark, d)))
+    slack = slack_of(spark, d).select("n", "t", F.col("a_kw").alias("kw"))
+    return fl.objective_value(pay, prices(spark, d), envelopes_by_day(spark, d), slack).select("n", "t", *[F.round(c, 3).alias(c) for c in ("cost", "benefit", "width", "penalty", "total")])
 
 
 @query
 def offer_cap_check(spark, d):
-    x = dispatches(spark, d)
-    both = x.select("load_id", F.lit("inj").alias("ci"), F.col("inj_kw").alias("kw")).unionByName(x.select("load_id", F.lit("con").alias("ci"), F.col("con_kw").alias("kw")))
+    x = dispatches_by_day(spark, d)
+    both = x.select("load_id", "t", F.lit("inj").alias("ci"), F.col("inj_kw").alias("kw")).unionByName(x.select("load_id", "t", F.lit("con").alias("ci"), F.col("con_kw").alias("kw")))
     return env.offer_cap_check(both, dr.offers(spark, d))
 
 
 @query
 def reservation_check(spark, d):
-    dispatch = dispatches(spark, d).select("load_id", (F.col("inj_kw") - F.col("con_kw")).alias("dispatch_kw"))
-    return env.reservation_check(envelopes(spark, d), dr.offers(spark, d), dispatch)
+    dispatch = dispatches_by_day(spark, d).select("load_id", "t", (F.col("inj_kw") - F.col("con_kw")).alias("dispatch_kw"))
+    return env.reservation_check(envelopes_by_day(spark, d), dr.offers(spark, d), dispatch)
 
 
 @query
@@ -484,10 +536,16 @@ def hotspot_check(spark, d):
     return th.hotspot_check(th.thermal_series(rise, hourly_ambient(spark, d), params(spark)), params(spark))
 
 
+@query
+def hotspots_over(spark, d):
+    rise = th.ultimate_rise(th.load_factor(tx_currents(spark, d), params(spark)), params(spark))
+    return th.hotspots_over(th.thermal_series(rise, hourly_ambient(spark, d), params(spark)), params(spark))
+
+
 @query
 def max_current_for_hotspot(spark, d):
     at = hourly_ambient(spark, d)
-    s = states(spark, d).withColumn("_k", F.lit(1)).join(at.select("t", F.lit(1).alias("_k")), "_k").drop("_k")
+    s = at.select("t").join(F.broadcast(states(spark, d)), F.lit(True))  # the 25 nations
     return th.max_current_for_hotspot(s, at, params(spark))
 
 
@@ -512,41 +570,41 @@ def small(spark, d):
 
 @query
 def envelope_linear(spark, d):
-    bus, load, branch, closure = grid(spark, d)
-    return env.envelope_linear(closure, branch, bus, load, small(spark, d), metered(spark, d, load)).drop("t")
+    bus, load, branch, tree = grid(spark, d)
+    return env.envelope_linear(tree, branch, bus, load, small(spark, d), metered(spark, d, load)).drop("t")
 
 
 @query
 def envelope_uniform(spark, d):
-    bus, load, branch, closure = grid(spark, d)
-    return env.envelope_search(closure, branch, bus, load, small(spark, d), everyone(load)).drop("t")
+    bus, load, branch, tree = grid(spark, d)
+    return env.envelope_search(tree, branch, bus, load, small(spark, d), everyone(load)).drop("t")
 
 
 @query
 def envelope_nearest_first(spark, d):
-    bus, load, branch, closure = grid(spark, d)
-    return env.envelope_search(closure, branch, bus, load, small(spark, d), everyone(load), "nearest", prices(spark, d)).drop("t")
+    bus, load, branch, tree = grid(spark, d)
+    return env.envelope_search(tree, branch, bus, load, small(spark, d), everyone(load), "nearest", prices(spark, d)).drop("t")
 
 
 @query
 def envelope_thermal(spark, d):
     """With the current that the hot-spot limit allows as a further limit of each transformer."""
-    bus, load, branch, closure = grid(spark, d)
+    bus, load, branch, tree = grid(spark, d)
     hot = states(spark, d).withColumn("t", F.lit(SNAPSHOT).cast("timestamp_ntz"))
     calm = spark.range(1).select(F.lit(SNAPSHOT).cast("timestamp_ntz").alias("t"), F.lit(20.0).alias("theta_a"))
     allowed = th.max_current_for_hotspot(hot, calm, params(spark)).withColumnRenamed("tx_id", "branch_id")
     limits = allowed.join(branch.select("n", "branch_id", "i_base_a"), "branch_id").select("n", "t", "branch_id", (F.col("i_max_a") / F.col("i_base_a")).alias("i_max_pu"))
-    return env.envelope_search(closure, branch, bus, load, small(spark, d), everyone(load), limits=limits).drop("t")
+    return env.envelope_search(tree, branch, bus, load, small(spark, d), everyone(load), limits=limits).drop("t")
 
 
 def multistep(spark, d) -> dict[str, DataFrame]:
     """All days of the readings (a thousandth of each day's sum), temperatures carried from one to the next."""
-    bus, load, branch, closure = grid(spark, d)
+    bus, load, branch, tree = grid(spark, d)
     day = lambda df: df.withColumn("t", F.date_trunc("day", F.col("t")).cast("timestamp_ntz")).groupBy("t")
     r = dr.readings(spark, d).withColumn("t", F.date_trunc("day", F.col("t")).cast("timestamp_ntz"))
     steps = r.groupBy("load_id", "t").agg(*[(F.sum(c) / 1e3).alias(c) for c in ("real_power_w", "reactive_power_var")])
     air = day(hourly_ambient(spark, d)).agg(F.avg("theta_a").alias("theta_a"))
-    return env.multistep_envelopes(closure, branch, bus, load, tb.stored(steps, "steps"), everyone(load), tb.stored(air, "air"), params(spark), rounds=2)
+    return env.multistep_envelopes(tree, branch, bus, load, tb.stored(steps, "steps"), everyone(load), tb.stored(air, "air"), params(spark))
 
 
 @query
@@ -565,14 +623,14 @@ def multistep_results(spark, d):
 
 @query
 def envelope_reserved(spark, d):
-    bus, load, branch, closure = grid(spark, d)
-    return env.envelope_reserved(closure, branch, bus, load, small(spark, d), dr.offers(spark, d)).drop("t")
+    bus, load, branch, tree = grid(spark, d)
+    return env.envelope_reserved(tree, branch, bus, load, small(spark, d), dr.offers(spark, d)).drop("t")
 
 
 @query
 def required_shed(spark, d):
-    bus, load, branch, closure = grid(spark, d)
-    return env.required_shed(closure, branch, bus, load, snapshot(spark, d)).drop("t")
+    bus, load, branch, tree = grid(spark, d)
+    return env.required_shed(tree, branch, bus, load, snapshot(spark, d)).drop("t")
 
 
 # ---- reshaping and synthesis
@@ -612,8 +670,9 @@ def gappy(spark, d):
 
 @query
 def drop_missing(spark, d):
+    """The rows kept, and one that counts those dropped."""
     kept, dropped = rs.drop_missing(gappy(spark, d))
-    return kept.agg(F.count(F.lit(1)).alias("kept"), F.sum("total_kw").alias("kw")).join(dropped, F.lit(True))
+    return kept.unionByName(dropped, allowMissingColumns=True)
 
 
 @query
@@ -647,16 +706,18 @@ def step_number(spark, d):
 
 @query
 def interval_check(spark, d):
-    r = dr.readings(spark, d).select("load_id", F.date_trunc("hour", F.col("t")).cast("timestamp_ntz").alias("t"))
+    r = networks_of(spark, d, dr.readings(spark, d)).select("n", "load_id", F.date_trunc("hour", F.col("t")).cast("timestamp_ntz").alias("t"))
     return rs.interval_check(r, 60)
 
 
 @query
 def merit_order(spark, d):
-    load = nw.load_table(dr.components(spark, d)).select("n", "load_id")
-    tiers = rs.tiers_of(dr.offers(spark, d), "injection").join(load, "load_id")
-    required = load.groupBy("n").agg((F.count(F.lit(1)) * 3.0).alias("required_kw"))
-    return rs.merit_order(tiers, required)
+    """Both directions of each network, 3 kW a load each."""
+    load, bids = nw.load_table(dr.components(spark, d)).select("n", "load_id"), dr.offers(spark, d)
+    ci = {"inj": "injection", "con": "consumption"}
+    tiers = rs.union_all([rs.tiers_of(bids, c).withColumn("ci", F.lit(k)) for k, c in ci.items()]).join(load, "load_id")
+    required = mt.index_product(load, True).where("oe = 'oel'").groupBy("n", "ci").agg((F.count(F.lit(1)) * 3.0).alias("required_kw"))
+    return rs.merit_order(tiers, required, ("n", "ci"))
 
 
 @query
@@ -677,7 +738,7 @@ def customer_roster(spark, d):
 
 @query
 def customer_weights(spark, d):
-    return sy.customer_weights(roster(spark, d), tx_series(spark, d), 0.4, 0.15, 42).select("load_id", "t", "weight")
+    return sy.customer_weights(roster(spark, d), tx_series(spark, d), 0.4, 0.15, 42).select("load_id", "t", "noise", "weight")
 
 
 @query
@@ -701,6 +762,11 @@ def customer_summary(spark, d):
     return sy.customer_summary(sy.disaggregate(tx_series(spark, d), roster(spark, d)), roster(spark, d))
 
 
+@query
+def customer_rows(spark, d):
+    return sy.customer_rows(sy.disaggregate(tx_series(spark, d), roster(spark, d)), roster(spark, d))
+
+
 @query
 def reactive_from_pf(spark, d):
     r = dr.readings(spark, d).select("t", "load_id", (F.col("real_power_w") / 1000).alias("net_kw"))

@@ -40,16 +40,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def components_of(documents: DataFrame) -> DataFrame:
-    """(n, doc) network documents as JSON to (n, cid, ctype, body, units) component rows."""
+    """(n, doc) network documents as JSON to (n, cid, ctype, body, units) component rows; see ``unreadable`` for those that do not parse."""
     parsed = documents.select("n", F.from_json("doc", DOCUMENT).alias("d"))
     each = parsed.select("n", "d.units", F.explode("d.components").alias("cid", "kinds"))
     return each.select("n", "cid", F.explode("kinds").alias("ctype", "body"), "units")
 
 
+def unreadable(documents: DataFrame) -> DataFrame:
+    """(n, rule, cid, detail) of documents and components that give no or damaged rows, as ``network_quality`` reports failed rules.
+
+    ``not_json``: the text is null or no JSON document; ``no_components``: it has none; ``bad_value``: a component has a value
+    of another type than its kind should, which reads as null.
+    """
+    told = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    whole = documents.select("n", "doc", F.from_json("doc", "struct<components: map<string, string>, _corrupt: string>", told).alias("d"))
+    rule = F.when(F.col("d").isNull() | F.col("d._corrupt").isNotNull(), "not_json").when(F.coalesce(F.size("d.components"), F.lit(0)) < 1, "no_components")
+    lost = whole.select("n", rule.alias("rule"), F.lit("").alias("cid"), F.substr(F.coalesce("doc", F.lit("")), F.lit(1), F.lit(80)).alias("detail")).where("rule is not null")
+    each = whole.where("d is not null and d._corrupt is null").select("n", F.explode("d.components").alias("cid", "text"))
+    loose = F.from_json("text", "map<string, string>")
+    kinds = each.select("n", "cid", F.explode(loose).alias("ctype", "body")).withColumn("d", F.from_json("body", BODY.removesuffix(">") + ", _corrupt: string>", told))
+    bad = kinds.where("d is null or d._corrupt is not null").select("n", F.lit("bad_value").alias("rule"), "cid", F.col("ctype").alias("detail"))
+    none = each.where(F.coalesce(F.size(loose), F.lit(0)) < 1).select("n", F.lit("bad_value").alias("rule"), "cid", F.lit("").alias("detail"))
+    return lost.unionByName(bad).unionByName(none)
+
+
+def net_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(n, doc): network document files, named by their path."""
+    return spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("n"), F.col("value").alias("doc"))
+
+
 def net_components(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Network document files, one network each, named by their path."""
-    docs = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("n"), F.col("value").alias("doc"))
-    return components_of(docs)
+    return components_of(net_documents(spark, paths))
 
 
 def network_documents(components: DataFrame) -> DataFrame:
@@ -119,9 +141,14 @@ def read_prices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_results(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
-    """Each result table in its own folder, by network where it has one."""
+    """Each result table in its own folder, by network and day where it has them.
+
+    A run replaces the networks and days that it holds rows of, and leaves all others: steps can be run again one by one.
+    A table without both is replaced whole.
+    """
     for name, df in tables.items():
-        out = df.write.mode("overwrite")
-        if "n" in df.columns:
-            out = out.partitionBy("n")
+        by = [c for c in ("n",) if c in df.columns]
+        if "t" in df.columns:
+            df, by = df.withColumn("day", F.to_date("t")), [*by, "day"]
+        out = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
         out.format(fmt).options(**({"header": True} if fmt == "csv" else {})).save(f"{path}/{name}")

@@ -26,9 +26,9 @@ def test_cycles_are_reported(spark):
 
 
 def test_large_networks_by_joins_agree(net, readings):  # noqa: F811
-    bus, load, branch, closure = net
+    bus, load, branch, tree = net
     nodal = matching.nodal_allocation(load, readings, None)
-    swept, joined = (flow.power_flow(closure, branch, bus, nodal, most_branches=m) for m in (200_000, 0))
+    swept, joined = (flow.power_flow(tree, branch, bus, nodal, most_branches=m) for m in (200_000, 0))
     for a, b, key in zip(swept[:2], joined[:2], ("branch_id", "bus_id"), strict=True):
         x, y = ({(r.oe, r[key]): r for r in df.collect()} for df in (a, b))
         assert x.keys() == y.keys()
@@ -40,25 +40,25 @@ def test_large_networks_by_joins_agree(net, readings):  # noqa: F811
 
 
 def test_more_passes_change_nothing(net, readings):  # noqa: F811
-    bus, load, branch, closure = net
+    bus, load, branch, tree = net
     nodal = matching.nodal_allocation(load, readings, None)
-    few, many = ({(r.oe, r.bus_id): r.v2_pu for r in flow.power_flow(closure, branch, bus, nodal, passes=p)[1].collect()} for p in (20, 60))
+    few, many = ({(r.oe, r.bus_id): r.v2_pu for r in flow.power_flow(tree, branch, bus, nodal, passes=p)[1].collect()} for p in (20, 60))
     assert few == many
 
 
 def test_relief_restores_the_limits_or_is_null(net, readings):  # noqa: F811
-    bus, load, branch, closure = net
+    bus, load, branch, tree = net
     heavy = matching.scale_loads(readings, [2.5]).drop("factor")
-    row = envelope.required_shed(closure, branch, bus, load, heavy, rounds=3).head()
+    row = envelope.required_shed(tree, branch, bus, load, heavy, rounds=3).head()
     assert row.restored and row.shed_kw > 0
     nodal = matching.nodal_allocation(load, heavy, None).where("oe = 'oel'")
     for kw, fine in ((row.shed_kw, True), (row.shed_kw - 27.5 / 16**3 - 1e-6, False)):
         less = nodal.withColumn("p_pu", F.col("p_pu") - F.when(F.col("bus_id") == row.bus_id, kw / 1e3).otherwise(0.0))
-        f, v, _ = flow.power_flow(closure, branch, bus, less)
+        f, v, _ = flow.power_flow(tree, branch, bus, less)
         assert (flow.limit_violations(f, v, branch, bus).count() == 0) == fine
     # reactive power alone breaks the limits: no active relief helps
     worse = readings.withColumns({"real_power_w": F.lit(0.0), "reactive_power_var": F.lit(150_000.0)})
-    lost = envelope.required_shed(closure, branch, bus, load, worse, rounds=1).head()
+    lost = envelope.required_shed(tree, branch, bus, load, worse, rounds=1).head()
     assert lost.shed_kw is None and not lost.restored
 
 

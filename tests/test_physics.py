@@ -28,7 +28,7 @@ def net(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("net") / "network.json"
     path.write_text(json.dumps(NET))
     bus, load, branch = network.tables(tables.net_components(spark, str(path)))
-    return bus, load, branch, tables.stored(network.tree_closure(branch), "closure")
+    return bus, load, branch, network.tree_labels(branch)
 
 
 @pytest.fixture(scope="module")
@@ -38,8 +38,8 @@ def readings(spark):
 
 
 def test_power_flow_prints_the_published_digits(net, readings):
-    bus, load, branch, closure = net
-    f, v, done = flow.power_flow(closure, branch, bus, matching.nodal_allocation(load, readings, None))
+    bus, load, branch, tree = net
+    f, v, done = flow.power_flow(tree, branch, bus, matching.nodal_allocation(load, readings, None))
     buses, branches = flow.voltage_current_results(f, v, branch)
     got = {r.bus_id: r.voltage_pu_oel for r in buses.collect()}
     assert got == {"bus_lv": 0.999139, "bus_a": 0.968533, "bus_b": 0.951644}
@@ -50,15 +50,15 @@ def test_power_flow_prints_the_published_digits(net, readings):
 
 
 def test_uniform_envelope_is_the_largest_feasible(net, readings):
-    bus, load, branch, closure = net
+    bus, load, branch, tree = net
     people = load.select("n", "load_id")
-    got = envelope.envelope_search(closure, branch, bus, load, readings, people, rounds=2, grid=16).collect()
+    got = envelope.envelope_search(tree, branch, bus, load, readings, people, rounds=2, grid=16).collect()
     assert len(got) == 4 and all(r.feasible and r.lb_kw < 0 < r.ub_kw for r in got)
 
     def bad(kw):
         e = matching.index_product(people).withColumn("t", F.lit("2026-06-29 07:00:00").cast("timestamp_ntz")).where("oe = 'oer'").withColumn("kw", F.lit(kw))
         nodal = matching.nodal_allocation(load, readings, e).where("oe = 'oer'")
-        f, v, _ = flow.power_flow(closure, branch, bus, nodal)
+        f, v, _ = flow.power_flow(tree, branch, bus, nodal)
         return flow.limit_violations(f, v, branch, bus).count()
 
     assert bad(got[0].ub_kw) == 0 and bad(got[0].ub_kw + 50 / 16**2 + 1e-6) > 0
@@ -66,10 +66,10 @@ def test_uniform_envelope_is_the_largest_feasible(net, readings):
 
 def test_reservations_come_first(spark, net, readings):
     """The published shared envelopes: import of 1003 falls short, is dispatched, and moves its export bound."""
-    bus, load, branch, closure = net
+    bus, load, branch, tree = net
     bids = "array<array<double>>"
     offers = spark.createDataFrame([("1002", [[5.0, 0.08]], [[2.0, 0.05]], -5.0, 5.0), ("1003", [[4.0, 0.10]], [], -5.0, 4.0)], f"load_id string, injection {bids}, consumption {bids}, reservation_l double, reservation_u double")
-    rows = envelope.envelope_reserved(closure, branch, bus, load, readings, offers, grid=64, rounds=2).collect()
+    rows = envelope.envelope_reserved(tree, branch, bus, load, readings, offers, grid=64, rounds=2).collect()
     got = {r.load_id: r for r in rows}
     # a total is known to its search's last cell; the export of 1002 also loses what 1003's dispatch is too large, twice as sensitive
     near = {"abs": 100 / 64**2 + 2e-3}
@@ -103,14 +103,14 @@ def test_published_temperatures(spark):
 
 
 def test_multistep_envelopes_keep_hot_spots_below_the_limit(spark, net, readings):
-    bus, load, branch, closure = net
+    bus, load, branch, tree = net
     hours = F.explode(F.array(*[F.lit(f"2026-06-29 0{h}:00:00").cast("timestamp_ntz") for h in (7, 8)]))
     steps = readings.withColumn("t", hours)
     air = steps.select("t", F.lit(30.0).alias("theta_a")).distinct()
     params = spark.createDataFrame([(60.0, 7.0, 55.0, 23.0, 6.0, 0.8, 0.8, 20.0, 90.0, 60.0)], tables.TX_PARAMS)
     people = load.select("n", "load_id")
-    out = envelope.multistep_envelopes(closure, branch, bus, load, steps, people, air, params, rounds=1)
-    free = envelope.envelope_search(closure, branch, bus, load, steps, people, rounds=1)
+    out = envelope.multistep_envelopes(tree, branch, bus, load, steps, people, air, params, rounds=1)
+    free = envelope.envelope_search(tree, branch, bus, load, steps, people, rounds=1)
     got, without = ({(r.t, r.load_id): (r.lb_kw, r.ub_kw) for r in x.collect()} for x in (out["envelope"], free))
     assert got.keys() == without.keys() and len(got) == 8
     loose = {k: (v, without[k]) for k, v in got.items() if not without[k][0] <= v[0] <= 0 <= v[1] <= without[k][1]}
