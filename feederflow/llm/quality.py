@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feederflow.llm.shared import SPACE, Words, shingles, slices, stored
@@ -19,13 +19,13 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 @dataclass(frozen=True)
 class Rule:
-    """A measure, ``count / per``, and where a group's fences lie.
+    """A measure, ``(count + half) / per``, and where a group's fences lie.
 
-    The upper fence is ``reach`` spreads above the quantile ``at``. The spread is that quantile's
-    distance from the median, or, for a two-sided rule, half the distance between the quantiles
-    1 - ``at`` and ``at``, with fences ``reach`` spreads to both sides of the median. ``at`` says
-    how large a share of a group may be junk: beyond it junk sets the fence. ``unit`` counts are allowed
-    beyond the fence, so that a group without spread does not reject a text for one symbol.
+    Measures are compared as ratios. The upper fence is the median times the ``reach``-th power of the ratio of the
+    quantile ``at`` to it, or, for a two-sided rule, the fences are the median times and divided by the
+    ``reach``-th power of the root of the ratio of the quantiles ``at`` and 1 - ``at``. ``at`` says how large a share of a
+    group may be junk: beyond it junk sets the fence. ``half`` a count is added where most texts have none: a text
+    without any then counts the more the shorter it is, so that the lengths of a group's texts spread its fence.
     """
 
     name: str
@@ -33,24 +33,25 @@ class Rule:
     per: str
     at: float
     reach: float
-    unit: int = 0
+    half: float = 0.5
     two_sided: bool = False
 
     @property
     def quantiles(self) -> tuple[float, ...]:
         return (1 - self.at, 0.5, self.at) if self.two_sided else (0.5, self.at)
 
-    @property
-    def measure(self) -> str:
-        return f"cast({self.count} as double) / {self.per}"
+    def log_measure(self, of: str = "") -> str:
+        return f"ln((cast({of}{self.count} as double) + {self.half}) / {of}{self.per})"
 
 
 RULES = (
-    Rule("symbols", "n_symbols", "n_words", at=0.75, reach=1.0, unit=1),
-    Rule("repeats", "n_repeat_words", "n_words", at=0.99, reach=2.0, unit=1),
-    Rule("dup_lines", "n_dup_lines", "n_lines", at=0.99, reach=1.5, unit=1),
-    Rule("word_length", "word_chars", "n_words", at=0.9, reach=6.0, two_sided=True),
+    Rule("symbols", "n_symbols", "n_words", at=0.8, reach=3.0),
+    Rule("repeats", "n_repeat_words", "n_words", at=0.99, reach=1.5),
+    Rule("dup_lines", "n_dup_lines", "n_lines", at=0.99, reach=1.5),
+    Rule("word_length", "word_chars", "n_words", at=0.9, reach=5.0, half=0.0, two_sided=True),
 )
+#: Buckets of a sketch for a factor of e: values of one bucket differ by 1 % at most.
+BUCKETS = 100
 
 
 def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,26 +94,40 @@ def repeated(words: Words, width: int = 3) -> np.ndarray:
     return total[words.offsets[1:]] - total[words.offsets[:-1]]
 
 
+def sketches(measured: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(lang, source, rule, bucket, n): a histogram of each measure by group, with buckets of equal ratio.
+
+    Counts of buckets add up, so sketches merge exactly, in any order, and the same rows always give the same sketch.
+    """
+    each = F.array(*[F.struct(F.lit(k).alias("rule"), F.floor(F.expr(r.log_measure()) * BUCKETS).cast("int").alias("bucket")) for k, r in enumerate(rules)])
+    rows = measured.where("not base_failed").select("lang", "source", F.explode(each).alias("r"))
+    return rows.groupBy("lang", "source", "r.rule", "r.bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quantiles(sketch: DataFrame, rules: tuple[Rule, ...], *keys: str) -> DataFrame:
+    """(keys, n, q): the rules' quantiles in logarithms, one after the other, from sketches merged by ``keys``."""
+    merged = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
+    # a sketch has as many buckets as its values' range in logarithms asks for, however many rows it counts
+    same = Window.partitionBy(*keys, "rule")
+    up_to = merged.select("*", F.sum("n").over(same.orderBy("bucket")).alias("below"), F.sum("n").over(same).alias("all"))
+    wanted = [(k, q) for k, r in enumerate(rules) for q in r.quantiles]
+    picked = [F.min(F.when((F.col("rule") == k) & (F.col("below") >= q * F.col("all")), F.col("bucket"))) for k, q in wanted]
+    return up_to.groupBy(*keys).agg(F.max("all").alias("n"), F.array(*[(x + 0.5) / BUCKETS for x in picked]).alias("q"))
+
+
 def fences(measured: DataFrame, rules: tuple[Rule, ...], prior_rows: float) -> DataFrame:
-    """(lang, source, n, fence): bounds of each group, from KLL sketches of the rows that pass the base rules.
+    """(lang, source, n, fence): bounds of each group, in logarithms, from sketches of the rows that pass the base rules.
 
-    Sketches merge: a language's and that of all rows are merged from the groups', without reading
+    A language's sketch and that of all rows are merged from the groups', without reading
     rows again. A group's quantiles are averaged with its language's, which counts like ``prior_rows``
     rows, and a language's likewise with all rows': a small group follows the wider sketch, a large one its own.
+    Null languages and sources are groups of their own; without rows that pass there are no fences.
     """
-    names = [r.name for r in rules]
-    sketch = [F.kll_sketch_agg_double(F.expr(r.measure)).alias(r.name) for r in rules]
-    own = stored(measured.where("not base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *sketch), "quality-sketches")
-    merged = [F.kll_merge_agg_double(x).alias(x) for x in names]
-
-    def at(df: DataFrame, *keys: str) -> DataFrame:
-        quantiles = [F.kll_sketch_get_quantile_double(r.name, F.lit(q)) for r in rules for q in r.quantiles]
-        return df.where("n > 0").select(*keys, "n", F.array(*quantiles).alias("q"))
-
-    every = at(own.agg(F.sum("n").alias("n"), *merged)).select(F.col("q").alias("all_q"))
-    langs = at(own.groupBy("lang").agg(F.sum("n").alias("n"), *merged), "lang").select(F.col("lang").alias("_lang"), F.col("n").alias("lang_n"), F.col("q").alias("lang_q"))
+    own = stored(sketches(measured, rules), "quality-sketches")
+    every = quantiles(own, rules).where("n > 0").select(F.col("q").alias("all_q"))
+    langs = quantiles(own, rules, "lang").select(F.col("lang").alias("_lang"), F.col("n").alias("lang_n"), F.col("q").alias("lang_q"))
     near = lambda n, q, wide: F.zip_with(q, wide, lambda x, y: (F.col(n) * x + prior_rows * y) / (F.col(n) + prior_rows))
-    joined = at(own, "lang", "source").join(langs, F.col("lang").eqNullSafe(F.col("_lang"))).join(F.broadcast(every), F.lit(True))  # one row
+    joined = quantiles(own, rules, "lang", "source").join(langs, F.col("lang").eqNullSafe(F.col("_lang"))).join(F.broadcast(every), F.lit(True))  # one row
     shrunk = joined.select("lang", "source", "n", near("n", F.col("q"), near("lang_n", F.col("lang_q"), F.col("all_q"))).alias("q"))
     bounds, k = [], 0
     for r in rules:
@@ -122,7 +137,7 @@ def fences(measured: DataFrame, rules: tuple[Rule, ...], prior_rows: float) -> D
             spread = r.reach * (q[2] - q[0]) / 2
             bounds += [(q[1] + spread).alias(f"{r.name}_max"), (q[1] - spread).alias(f"{r.name}_min")]
         else:
-            bounds.append((q[1] + r.reach * (q[1] - q[0])).alias(f"{r.name}_max"))
+            bounds.append((q[0] + r.reach * (q[1] - q[0])).alias(f"{r.name}_max"))
     return shrunk.select("lang", "source", "n", F.struct(*bounds).alias("fence"))
 
 
@@ -146,10 +161,11 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = measured.alias("m").join(bounds.alias("f"), F.col("m.lang").eqNullSafe(F.col("f.lang")) & F.col("m.source").eqNullSafe(F.col("f.source")), "left")
     broken = []
     for r in rules:
-        count, per = F.col(f"m.{r.count}"), F.col(f"m.{r.per}")
-        out = count > F.col(f"f.fence.{r.name}_max") * per + r.unit
+        # a value counts as its bucket, so that the very values which a fence comes from lie within it
+        value = (F.floor(F.expr(r.log_measure("m.")) * BUCKETS) + 0.5) / BUCKETS
+        out = value > F.col(f"f.fence.{r.name}_max") + 1e-9
         if r.two_sided:
-            out = out | (count < F.col(f"f.fence.{r.name}_min") * per - r.unit)
+            out = out | (value < F.col(f"f.fence.{r.name}_min") - 1e-9)
         broken.append(F.when(out & ~F.col("base_failed"), F.lit(r.name)))
     found = joined.withColumn("broken", F.array_compact(F.array(*broken)))
     return found.select(F.col("m.id").alias(id_col), *[F.col(f"m.{c}") for c in COUNTS[:-1]], "base_failed", (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"), "broken")

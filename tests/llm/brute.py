@@ -53,8 +53,8 @@ def quality_counts(text):
     seen, dup = set(), 0
     for line in (text or "").split("\n"):
         if WORD.search(line):
-            dup += line.strip("\x20\x09\x0a\x0b\x0c\x0d") in seen
-            seen.add(line.strip("\x20\x09\x0a\x0b\x0c\x0d"))
+            dup += line in seen
+            seen.add(line)
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(inside)
 
 

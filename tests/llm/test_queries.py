@@ -1,5 +1,6 @@
 """The registered queries over the small tables, against plain versions."""
 
+import math
 import os
 import random
 from collections import Counter, defaultdict
@@ -9,6 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from feederflow.llm import quality
 from tests.llm import brute
 
 DIR = "/root/testdata/sf0.001"
@@ -91,6 +93,39 @@ def test_quality_rules(spark, docs):
             assert r.kept == bool(good[r.doc_id]), r.doc_id
 
 
+def test_quality_verdicts(spark):
+    """The verdicts from exact quantiles; texts within the sketches' error of a fence may differ."""
+    table = duckdb.sql(f"SELECT doc_id, lang, source, text FROM '{DIR}/documents.parquet'").fetchall()
+    counts = {d: brute.quality_counts(t) for d, _, _, t in table}
+    lines = {d: sum(bool(brute.WORD.search(x)) for x in (t or "").split("\n")) for d, _, _, t in table}
+    passed = [(d, lang, source) for d, lang, source, _ in table if counts[d][0] >= 50 and 2 * counts[d][4] <= counts[d][0]]
+    near, out = set(), {d: [] for d, _, _ in passed}
+    for rule in quality.RULES:
+        of = {"n_words": 0, "word_chars": 1, "n_symbols": 2, "n_dup_lines": 3, "n_repeat_words": 4}
+        value = {d: math.log((counts[d][of[rule.count]] + rule.half) / (lines[d] if rule.per == "n_lines" else counts[d][0])) for d, _, _ in passed}
+
+        def quantiles(keep, value=value, rule=rule):
+            own = sorted(value[d] for d, lang, source in passed if keep(lang, source))
+            return len(own), [own[max(0, math.ceil(q * len(own) - 1e-9) - 1)] for q in rule.quantiles]
+
+        mixed = lambda n, q, wide: [(n * x + 200 * y) / (n + 200) for x, y in zip(q, wide, strict=True)]
+        _, every = quantiles(lambda *_: True)
+        for d, lang, source in passed:
+            n, q = quantiles(lambda a, b, lang=lang, source=source: (a, b) == (lang, source))
+            q = mixed(n, q, mixed(*quantiles(lambda a, _, lang=lang: a == lang), every))
+            spread = rule.reach * ((q[2] - q[0]) / 2 if rule.two_sided else q[1] - q[0])
+            above = value[d] - (q[0 if not rule.two_sided else 1] + spread)
+            below = (q[1] - spread) - value[d] if rule.two_sided else -9.0
+            if max(above, below) > 0:
+                out[d].append(rule.name)
+            if min(abs(above), abs(below)) < (2 * rule.reach + 2) / quality.BUCKETS:
+                near.add(d)
+    got = {r.doc_id: r for r in rows(spark, "op4_quality_rules")}
+    assert len(near) < 0.1 * len(passed) and any(out.values())
+    for d in out.keys() - near:
+        assert got[d]["broken"] == out[d] and got[d].kept == (not out[d])
+
+
 def test_minhash(spark, docs):
     want = brute.near_duplicates(docs, 2)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in rows(spark, "op5_minhash")}
