@@ -139,17 +139,18 @@ def tree_closure(branch: DataFrame) -> DataFrame:
 
 
 def tree_labels(branch: DataFrame) -> DataFrame:
-    """Each branch's place in its tree: (n, branch_id, bus_id, from_bus, root, depth, enter, leave, rho, path_r), linear in branches.
+    """Each branch's place in its tree: (n, branch_id, bus_id, from_bus, root, depth, enter, leave, rho, path_r, tx), linear in branches.
 
     ``bus_id`` is the branch's end, ``root`` the bus that no branch leads to at the top of its path. A network's branches
     are numbered in preorder, trees one after the other: those below a branch, and itself, have ``enter``
     in [enter, leave). ``rho`` is the product of squared ratios along the path, ``path_r`` the sum of resistances, both with the
-    branch's own. Pointers to the branch above double in length each round, so a tree of depth d takes
+    branch's own; ``tx`` is the nearest transformer at or above. Pointers to the branch above double in length each round, so a tree of depth d takes
     about log2(d) joins of one row a branch. A cycle, or a bus that several branches lead to, is an error.
     """
     r2 = F.coalesce(F.col("ratio_pu") if "ratio_pu" in branch.columns else F.lit(None).cast("double"), F.lit(1.0)) ** 2
     r_pu = F.col("r_pu") if "r_pu" in branch.columns else F.lit(0.0)
-    own = branch.select("n", "branch_id", F.col("to_bus").alias("bus_id"), "from_bus", r2.alias("rho"), r_pu.alias("path_r"))
+    tx = F.when(F.col("ratio_pu").isNotNull(), F.col("branch_id")) if "ratio_pu" in branch.columns else F.lit(None).cast("string")
+    own = branch.select("n", "branch_id", F.col("to_bus").alias("bus_id"), "from_bus", r2.alias("rho"), r_pu.alias("path_r"), tx.alias("tx"))
     above = branch.select("n", F.col("to_bus").alias("from_bus"), F.lit(True).alias("fed"))
     at = own.join(above.distinct(), ["n", "from_bus"], "left").select("*", F.when(F.col("fed"), F.col("from_bus")).alias("up"), F.lit(1).cast("long").alias("size"), F.lit(0).alias("depth")).withColumn("root", F.when(F.col("up").isNull(), F.col("from_bus"))).drop("fed")
     at = stored(at, "labels")
@@ -162,12 +163,12 @@ def tree_labels(branch: DataFrame) -> DataFrame:
     while not at.where("up is not null").isEmpty():
         if length > most:
             raise ValueError(f"networks with a cycle: {[r.n for r in at.where('up is not null').select('n').distinct().orderBy('n').limit(10).collect()]}")
-        far = at.select("n", F.col("bus_id").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("rho").alias("_rho"), F.col("path_r").alias("_path_r"))
+        far = at.select("n", F.col("bus_id").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("rho").alias("_rho"), F.col("path_r").alias("_path_r"), F.col("tx").alias("_tx"))
         below = at.where("up is not null").groupBy("n", F.col("up").alias("bus_id")).agg(F.sum("size").alias("_size"))
         # up, depth, rho and path_r of the path to the pointer, exclusive of its end, joined with the end's own
         jumped = at.join(far, ["n", "up"], "left").join(below, ["n", "bus_id"], "left")
         own_or = lambda c, x: F.when(F.col("up").isNull(), F.col(c)).otherwise(x).alias(c)
-        at = stored(jumped.select("n", "branch_id", "bus_id", "from_bus", own_or("rho", F.col("rho") * F.col("_rho")), own_or("path_r", F.col("path_r") + F.col("_path_r")), F.col("_up").alias("up"), (F.col("size") + F.coalesce("_size", F.lit(0))).alias("size"), own_or("depth", F.col("depth") + F.col("_depth") + 1), F.coalesce("root", "_root").alias("root")), "labels")
+        at = stored(jumped.select("n", "branch_id", "bus_id", "from_bus", own_or("rho", F.col("rho") * F.col("_rho")), own_or("path_r", F.col("path_r") + F.col("_path_r")), F.coalesce("tx", "_tx").alias("tx"), F.col("_up").alias("up"), (F.col("size") + F.coalesce("_size", F.lit(0))).alias("size"), own_or("depth", F.col("depth") + F.col("_depth") + 1), F.coalesce("root", "_root").alias("root")), "labels")
         length *= 2
     # a branch enters after the one above it and all that its earlier siblings hold
     first = Window.partitionBy("n", "_top", "_over").orderBy("from_bus", "branch_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -178,7 +179,18 @@ def tree_labels(branch: DataFrame) -> DataFrame:
     while not place.where("up is not null").isEmpty():
         far = place.select("n", F.col("bus_id").alias("up"), F.col("up").alias("_up"), F.col("enter").alias("_enter"))
         place = stored(place.join(far, ["n", "up"], "left").withColumns({"enter": F.col("enter") + F.coalesce("_enter", F.lit(0)), "up": F.col("_up")}).drop("_up", "_enter").select(*place.columns), "labels")
-    return place.select("n", "branch_id", "bus_id", "from_bus", "root", "depth", "enter", (F.col("enter") + F.col("size")).alias("leave"), "rho", "path_r")
+    return place.select("n", "branch_id", "bus_id", "from_bus", "root", "depth", "enter", (F.col("enter") + F.col("size")).alias("leave"), "rho", "path_r", "tx")
+
+
+def transformer_loads(tree: DataFrame, branch: DataFrame, load: DataFrame) -> DataFrame:
+    """(n, load_id, tx_id, i_base_a): each load with all transformers on its path, whose loads include those of transformers below."""
+    near = tree.select("n", "bus_id", F.col("tx").alias("near"))
+    tx = branch.where("ratio_pu is not null").select("n", "branch_id", "from_bus", "i_base_a")
+    above = tx.join(near.withColumnsRenamed({"bus_id": "from_bus", "near": "over"}), ["n", "from_bus"], "left")
+    # transformers alone are closed: few, and few deep
+    nested = tree_closure(above.select("n", "branch_id", F.coalesce("over", F.concat(F.lit("above "), "branch_id")).alias("from_bus"), F.col("branch_id").alias("to_bus")))
+    every = nested.select("n", F.col("branch_id").alias("tx_id"), F.col("bus_id").alias("near")).join(tx.select("n", F.col("branch_id").alias("tx_id"), "i_base_a"), ["n", "tx_id"])
+    return load.select("n", "load_id", "bus_id").join(near.where("near is not null"), ["n", "bus_id"]).join(every, ["n", "near"]).select("n", "load_id", "tx_id", "i_base_a")
 
 
 def no_path_to_infeeder(components: DataFrame) -> DataFrame:

@@ -205,7 +205,7 @@ _ORACLES: dict[str, str] = {
     "read_ambient": sql("SELECT t, round(theta_a, 6) AS theta_a FROM ambient"),
     "read_prices": sql("SELECT load_id, export_price_kwh::DOUBLE AS export_price_kwh FROM price"),
     "write_results": sql("SELECT n, t, load_id, round(lb * w, 6) AS lb_kw, round(ub * w, 6) AS ub_kw, round(inj - con, 6) AS dispatch_kw FROM (SELECT *, CASE WHEN t = TIMESTAMP '2024-01-05' THEN 2 ELSE 1 END AS w FROM envd) JOIN disp USING (load_id)"),
-    "unreadable": sql("SELECT r_regionkey AS n, CASE r_regionkey WHEN 2 THEN 'no_components' ELSE 'not_json' END AS rule, '' AS cid FROM region WHERE r_regionkey <> 1 UNION ALL SELECT n, 'bad_value', bus_id FROM bus WHERE n = 1"),
+    "unreadable": sql("SELECT r_regionkey AS n, CASE r_regionkey WHEN 2 THEN 'no_components' ELSE 'not_json' END AS rule, '' AS cid FROM region WHERE r_regionkey IN (0, 2, 3) UNION ALL SELECT n, 'bad_value', bus_id FROM bus WHERE n = 1"),
     "components_of_type": sql("SELECT n, branch_id AS cid FROM line"),
     "ordinal_ids": sql("SELECT n, load_id AS cid, i FROM load"),
     "scale_loads": sql("SELECT load_id, factor::DOUBLE AS factor, round(bal * factor::DOUBLE, 6) AS real_power_w, round(0.4 * bal * factor::DOUBLE, 6) AS reactive_power_var FROM load, (VALUES (1.0), (2.2), (2.5)) f(factor)"),
@@ -235,8 +235,8 @@ _ORACLES: dict[str, str] = {
     "ambient_at": sql("""SELECT e.t, CASE WHEN e.t <= lo THEN th_lo WHEN e.t >= hi THEN th_hi ELSE round(a.theta_a + (a.th2 - a.theta_a) * (epoch_us(e.t) - epoch_us(a.t))::DOUBLE / (epoch_us(a.t2) - epoch_us(a.t)), 9) END AS theta_a, e.t < lo OR e.t > hi AS extrapolated
       FROM (SELECT DISTINCT ts AS t FROM events) e LEFT JOIN a ON e.t >= a.t AND e.t < a.t2, (SELECT min(t) AS lo, max(t) AS hi, round(arg_min(theta_a, t), 9) AS th_lo, round(arg_max(theta_a, t), 9) AS th_hi FROM ambient WHERE hour(t) <> 5)""", "a AS (SELECT t, theta_a, lead(t) OVER (ORDER BY t) AS t2, lead(theta_a) OVER (ORDER BY t) AS th2 FROM ambient WHERE hour(t) <> 5)"),
     "bus_background_load": sql("SELECT b.n, x.t, b.bus_id, round(coalesce(sum(CASE WHEN load_id NOT IN (SELECT load_id FROM offer) THEN p ELSE 0 END), 0) / 1000, 6) AS p_kw, round(coalesce(sum(0.4 * p), 0) / 1000, 6) AS q_kw FROM bus b JOIN (SELECT DISTINCT n, t FROM daily) x USING (n) LEFT JOIN daily y ON y.n = b.n AND y.t = x.t AND y.bus_id = b.bus_id GROUP BY 1, 2, 3"),
-    "ambient_by_network": sql("""SELECT n, t, round(CASE WHEN at IS NULL THEN (SELECT arg_min(theta_a, t) FROM a WHERE a.n = x.n) WHEN t2 IS NULL THEN theta_a ELSE theta_a + (th2 - theta_a) * (epoch_us(t) - epoch_us(at))::DOUBLE / (epoch_us(t2) - epoch_us(at)) END, 9) AS theta_a, at IS NULL OR (t2 IS NULL AND t > at) AS extrapolated
-      FROM (SELECT e.n, e.t, a.t AS at, a.theta_a, a.t2, a.th2 FROM (SELECT DISTINCT n, r.t FROM reading r JOIN load USING (load_id)) e ASOF LEFT JOIN a ON e.n = a.n AND e.t >= a.t) x""", "a AS (SELECT n, t, theta_a, lead(t) OVER (PARTITION BY n ORDER BY t) AS t2, lead(theta_a) OVER (PARTITION BY n ORDER BY t) AS th2 FROM air WHERE hour(t) <> 5)"),
+    "ambient_by_network": sql("""SELECT n, t, round(CASE WHEN t1 IS NULL THEN (SELECT arg_min(theta_a, t) FROM a WHERE a.n = x.n) WHEN t2 IS NULL THEN theta_a ELSE theta_a + (th2 - theta_a) * (epoch_us(t) - epoch_us(t1))::DOUBLE / (epoch_us(t2) - epoch_us(t1)) END, 9) AS theta_a, t1 IS NULL OR (t2 IS NULL AND t > t1) AS extrapolated
+      FROM (SELECT e.n, e.t, a.t AS t1, a.theta_a, a.t2, a.th2 FROM (SELECT DISTINCT n, r.t FROM reading r JOIN load USING (load_id)) e ASOF LEFT JOIN a ON e.n = a.n AND e.t >= a.t) x""", "a AS (SELECT n, t, theta_a, lead(t) OVER (PARTITION BY n ORDER BY t) AS t2, lead(theta_a) OVER (PARTITION BY n ORDER BY t) AS th2 FROM air WHERE hour(t) <> 5)"),
     "resample_by_network": sql("SELECT n, g AS t, round(CASE WHEN t2 IS NULL THEN theta_a ELSE theta_a + (th2 - theta_a) * (epoch(g) - epoch(t)) / (epoch(t2) - epoch(t)) END, 9) AS theta_a FROM (SELECT *, unnest(CASE WHEN t2 IS NULL THEN [t] ELSE generate_series(t, t2 - INTERVAL 15 MINUTE, INTERVAL 15 MINUTE) END) AS g FROM (SELECT n, t, theta_a, lead(t) OVER (PARTITION BY n ORDER BY t) AS t2, lead(theta_a) OVER (PARTITION BY n ORDER BY t) AS th2 FROM air))"),
     "nodal_allocation": sql("SELECT n, oe, bus_id, round(CASE WHEN load_id IN (SELECT load_id FROM reading) THEN CASE oe WHEN 'oel' THEN 0.002 ELSE -0.002 END ELSE bal / 1e6 END * 1e3, 6) AS p_pu, round(0.4 * bal / 1e6 * 1e3, 6) AS q_pu FROM load, (VALUES ('oel'), ('oer')) s(oe)"),
     "subtree_flow": sql("SELECT n, k AS oe, branch_id, round(p0, 9) AS p_pu, round(q0, 9) AS q_pu FROM f0", *FLOW[:2]),
@@ -254,6 +254,14 @@ _ORACLES: dict[str, str] = {
     "load_factor": sql("SELECT tx_id, t, round(current_a, 6) AS current_a, round(power(current_a / (150 + 5 * nation), 2), 6) AS k2 FROM current JOIN tx ON tx_id = branch_id"),
     "max_current_for_hotspot": sql(f"SELECT tx_id, t, round(k2_max, 6) AS k2_max, round(sqrt(k2_max) * {TX['I_rated']}, 6) AS i_max_a FROM allowed", "state AS (SELECT branch_id AS tx_id, t, theta_a, (nation + 10)::DOUBLE AS x1, nation / 2.0::DOUBLE AS x2 FROM tx, ambient)", *allowed("state")),
     "thermal_stream": sql('SELECT tx_id, t, round(x1, 6) AS "delta_theta_TO", round(x2, 6) AS "delta_theta_HS" FROM temp WHERE t + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events JOIN customer ON user_id = c_custkey) - INTERVAL 1 HOUR', *STEPS),
+    "network_thermal_stream": sql(
+        'SELECT n, tx_id, t, round(a, 6) AS current_a, round(x1, 6) AS "delta_theta_TO", round(x2, 6) AS "delta_theta_HS" FROM run',
+        "amp AS (SELECT x.n, branch_id AS tx_id, nation, date_trunc('hour', t) AS t, sqrt(power(sum(p), 2) + power(sum(0.4 * p), 2)) / 1000 AS a FROM reading r JOIN load l USING (load_id) JOIN c USING (n, cust) JOIN tx x USING (n, nation) GROUP BY 1, 2, 3, 4)",
+        "hours AS (SELECT n, tx_id, nation, unnest(generate_series(lo, date_trunc('hour', hi) - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS t, lo FROM (SELECT n, tx_id, nation, min(t) AS lo FROM amp GROUP BY 1, 2, 3), (SELECT max(ts) - INTERVAL 1 HOUR AS hi FROM events))",
+        "step AS (SELECT h.n, h.tx_id, h.nation, h.t, coalesce(a, 0) AS a, row_number() OVER (PARTITION BY h.n, h.tx_id ORDER BY h.t) AS k FROM hours h LEFT JOIN amp USING (n, tx_id, t))",
+        f"goal AS (SELECT *, {TX['delta_theta_TO_R']} * power((power(a / (150 + 5 * nation), 2) * {TX['R']} + 1) / ({TX['R']} + 1), {TX['n']}) AS u1, {TX['delta_theta_HS_R']} * power(power(a / (150 + 5 * nation), 2), {TX['m']}) AS u2, exp(-60.0 / (180 + nation)) AS d1 FROM step)",
+        f"run AS (SELECT n, tx_id, t, a, k, u1 * (1 - d1) AS x1, u2 * (1 - {D2}) AS x2 FROM goal WHERE k = 1 UNION ALL SELECT g.n, g.tx_id, g.t, g.a, g.k, x1 + (u1 - x1) * (1 - d1), x2 + (u2 - x2) * (1 - {D2}) FROM run r JOIN goal g ON g.n = r.n AND g.tx_id = r.tx_id AND g.k = r.k + 1)",
+    ),
     "envelope_uniform": sql(ENVELOPE.format("u"), SMALL, UNIFORM, *search("u", "seg", "small")),
     "envelope_nearest_first": sql(ENVELOPE.format("u"), SMALL, *NEAREST, *search("u", "seg", "small")),
     "envelope_thermal": sql(ENVELOPE.format("u"), SMALL, UNIFORM, f"state AS (SELECT branch_id AS tx_id, TIMESTAMP '{SNAPSHOT}' AS t, 20.0::DOUBLE AS theta_a, (nation + 10)::DOUBLE AS x1, nation / 2.0::DOUBLE AS x2 FROM tx)", *allowed("state"), f"cool AS (SELECT n, branch_id, sqrt(k2_max) * {TX['I_rated']} / 1000 AS most FROM allowed JOIN tx ON tx_id = branch_id)", *search("u", "seg", "small", limits="cool")),

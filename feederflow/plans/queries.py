@@ -557,6 +557,16 @@ def thermal_stream(spark, d):
     return run_over_events(spark, d, TX)
 
 
+@query
+def network_thermal_stream(spark, d):
+    """The readings as a stream over the networks' transformers, each with its own parameters; hours without readings cool them."""
+    from feederflow.streaming.thermal import run_over_readings
+
+    _, load, branch, tree = grid(spark, d)
+    loads = nw.transformer_loads(tree, branch, load)
+    return run_over_readings(spark, dr.readings(spark, d), loads, params_of(spark, d).withColumnsRenamed({"n": "n_exp", "m": "m_exp"}))
+
+
 # ---- envelopes
 
 def everyone(load):
