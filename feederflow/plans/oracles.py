@@ -193,7 +193,38 @@ def reserved() -> str:
     return sql(select, PATH, given, zero, *parts("a", "zero"), *search("a", "aseg", "stay"), got("a", "g1"), settled, *parts("b", "settled"), *search("b", "bseg", "stay"), got("b", "g2"))
 
 
+#: Networks with two infeeders, ratios and taps: a path's voltage is that of its own root, divided by its squared ratios.
+RICH = (
+    """rbranch AS (SELECT b.n, branch_id, CASE WHEN kind = 'transformer' AND nation % 2 = 1 THEN 'S' || b.n ELSE from_bus END AS from_bus, to_bus, r_pu, x_pu, kind,
+      CASE WHEN kind = 'line' THEN 1 ELSE CASE WHEN nation % 4 = 0 THEN 1.02 ELSE 1 END * CASE WHEN nation % 2 = 0 THEN tap ELSE 1 / tap END END::DOUBLE AS ratio
+      FROM (SELECT branch.*, nation, 1 + 0.025 * CASE nation % 3 WHEN 1 THEN 2 WHEN 2 THEN -1 ELSE 0 END AS tap FROM branch LEFT JOIN tx USING (n, branch_id)) b)""",
+    "rtop AS (SELECT n, to_bus AS bus_id, from_bus AS root, CASE WHEN from_bus LIKE 'S%' THEN 1.03 ELSE 1 END::DOUBLE AS set, ratio * ratio AS rho, 1.0::DOUBLE AS rho_from, branch_id, 0 AS depth, r_pu AS path_r, branch_id AS tx FROM rbranch WHERE from_bus LIKE 'R%' OR from_bus LIKE 'S%' UNION ALL SELECT b.n, b.to_bus, root, set, rho * ratio * ratio, rho, b.branch_id, depth + 1, path_r + b.r_pu, tx FROM rtop JOIN rbranch b ON b.n = rtop.n AND b.from_bus = rtop.bus_id)",
+    f"rnodal AS MATERIALIZED (SELECT oe AS k, n, bus_id, bal / 1e6 AS p, 0.4 * bal / 1e6 AS q FROM load, {SIDES})",
+    "rf0 AS MATERIALIZED (SELECT k, u.n, branch_id, sum(p) AS p0, sum(q) AS q0 FROM closure u JOIN rnodal USING (n, bus_id) GROUP BY 1, 2, 3)",
+)
+
+
+def rich_passes(n: int = PASSES) -> list[str]:
+    """The sweep unrolled for the rich networks, whose branches are those of the others."""
+    out = ["rw0 AS (SELECT k, n, branch_id, p0 AS p, q0 AS q, 0.0::DOUBLE AS l FROM rf0)", "rv0 AS (SELECT DISTINCT k, n, bus_id, 1.0::DOUBLE AS v FROM (SELECT DISTINCT k, n FROM rf0) JOIN rtop USING (n))"]
+    for j in range(1, n + 1):
+        out += [
+            f"ri{j} AS MATERIALIZED (SELECT w.k, w.n, w.branch_id, b.to_bus, r_pu, x_pu, (p * p + q * q) / coalesce(v, set * set) AS l FROM rw{j - 1} w JOIN rbranch b USING (n, branch_id) JOIN rtop t USING (n, branch_id) LEFT JOIN rv{j - 1} v ON v.k = w.k AND v.n = b.n AND v.bus_id = b.from_bus)",
+            f"rw{j} AS MATERIALIZED (SELECT k, n, branch_id, p0 + dp AS p, q0 + dq AS q, l FROM rf0 JOIN (SELECT k, u.n, u.branch_id, sum(r_pu * l) AS dp, sum(x_pu * l) AS dq FROM closure u JOIN ri{j} i ON i.n = u.n AND i.to_bus = u.bus_id GROUP BY 1, 2, 3) USING (k, n, branch_id) JOIN (SELECT k, n, branch_id, l FROM ri{j}) USING (k, n, branch_id))",
+            f"rv{j} AS MATERIALIZED (SELECT k, u.n, u.bus_id, (any_value(e.set) * any_value(e.set) - sum(t.rho_from * (2 * (r_pu * p + x_pu * q) - (r_pu * r_pu + x_pu * x_pu) * l))) / any_value(e.rho) AS v FROM closure u JOIN rw{j} USING (n, branch_id) JOIN rbranch b USING (n, branch_id) JOIN rtop t USING (n, branch_id) JOIN rtop e ON e.n = u.n AND e.bus_id = u.bus_id GROUP BY 1, 2, 3)",
+        ]
+    return out
+
+
+RICH_FLOW = sql(f"SELECT w.n, w.k AS oe, w.branch_id, round(p, 6) AS p_pu, round(q, 6) AS q_pu, round(l, 6) AS l_pu, round(v, 6) AS v2_pu, true AS converged FROM rw{PASSES} w JOIN rbranch b USING (n, branch_id) JOIN rv{PASSES} v ON v.k = w.k AND v.n = b.n AND v.bus_id = b.to_bus", *RICH, *rich_passes())
+
 _ORACLES: dict[str, str] = {
+    "rich_transformers": sql("SELECT n, branch_id, from_bus, to_bus, round(ratio, 6) AS ratio_pu FROM rbranch WHERE kind = 'transformer'", RICH[0]),
+    "rich_labels": sql("SELECT n, branch_id, bus_id, root, depth, round(rho, 9) AS rho, round(path_r, 9) AS path_r, tx, size FROM rtop JOIN (SELECT n, branch_id, count(*) AS size FROM closure GROUP BY 1, 2) USING (n, branch_id)", *RICH[:2]),
+    "rich_path_voltage": sql("SELECT u.n, k AS oe, u.bus_id, round((any_value(e.set) * any_value(e.set) - sum(t.rho_from * 2 * (r_pu * p0 + x_pu * q0))) / any_value(e.rho), 6) AS v2_pu FROM closure u JOIN rf0 USING (n, branch_id) JOIN rbranch b USING (n, branch_id) JOIN rtop t USING (n, branch_id) JOIN rtop e ON e.n = u.n AND e.bus_id = u.bus_id GROUP BY 1, 2, 3", *RICH),
+    "rich_flow": RICH_FLOW,
+    "rich_flow_by_ranges": RICH_FLOW,
+    "rich_envelope_linear": sql("SELECT n, round(-greatest(0, least(50, min((set * set - d - 0.94 * 0.94) / s))), 6) AS lb_kw, round(greatest(0, least(50, min((1.06 * 1.06 - set * set + d) / s))), 6) AS ub_kw FROM (SELECT u.n, u.bus_id, any_value(e.set) AS set, sum(2 * x_pu * q) AS d, sum(2 * r_pu * k / 1000) AS s FROM closure u JOIN (SELECT u.n, branch_id, sum(0.04 * bal / 1e6) AS q, count(*) AS k FROM closure u JOIN load USING (n, bus_id) GROUP BY 1, 2) USING (n, branch_id) JOIN rbranch USING (n, branch_id) JOIN rtop e ON e.n = u.n AND e.bus_id = u.bus_id GROUP BY 1, 2) GROUP BY 1", *RICH[:2]),
     "net_components": sql("SELECT n, 'I' || r_regionkey AS cid, 'Infeeder' AS ctype, 'R' || r_regionkey AS node FROM (SELECT r_regionkey AS n, r_regionkey FROM region) UNION ALL SELECT n, bus_id, 'Node', NULL FROM bus UNION ALL SELECT n, branch_id, CASE kind WHEN 'line' THEN 'Line' ELSE 'Transformer' END, from_bus FROM branch UNION ALL SELECT n, load_id, 'Load', bus_id FROM load"),
     "write_network": sql("SELECT 'I' || r_regionkey AS cid, 'Infeeder' AS ctype, 'R' || r_regionkey AS node, NULL::DOUBLE AS v_base, NULL::DOUBLE AS i_max FROM region UNION ALL SELECT bus_id, 'Node', NULL, 1.0, NULL FROM bus UNION ALL SELECT branch_id, CASE kind WHEN 'line' THEN 'Line' ELSE 'Transformer' END, from_bus, NULL, CASE WHEN kind = 'line' AND i_max_pu < 1 THEN 40.0 END FROM branch UNION ALL SELECT 'S' || load_id, 'Load', bus_id, NULL, NULL FROM load"),
     "read_offers": sql("SELECT load_id, inj_kw, inj_price, con_kw, n_inj, -5.0::DOUBLE AS reservation_l, 5.0::DOUBLE AS reservation_u FROM offer"),

@@ -24,7 +24,7 @@ QUERIES: dict[str, Query] = {}
 TX = {"tau_TO": 180.0, "tau_W": 10.0, "delta_theta_TO_R": 55.0, "delta_theta_HS_R": 23.0, "R": 6.0, "n": 0.8, "m": 0.8, "I_rated": 150.0, "theta_HS_max": 120.0, "dt": 60.0}
 SNAPSHOT = "2024-01-01 00:00:00"
 #: Digits that a query's doubles are rounded to, where 6 would often end on a tie.
-DIGITS = {"ambient_at": 9, "resample_interpolate": 9, "ambient_by_network": 9, "resample_by_network": 9, "subtree_flow": 9, "dispatch_payment": 9, "reservation_dispatch": 9}
+DIGITS = {"rich_labels": 9, "ambient_at": 9, "resample_interpolate": 9, "ambient_by_network": 9, "resample_by_network": 9, "subtree_flow": 9, "dispatch_payment": 9, "reservation_dispatch": 9}
 
 
 def query(f: Query) -> Query:
@@ -418,6 +418,58 @@ def power_flow(spark, d):
     return flow.join(ends, ["n", "branch_id"]).join(volt, ["n", "t", "oe", "bus_id"]).join(done, ["n", "t", "oe"]).select("n", "oe", "branch_id", "p_pu", "q_pu", "l_pu", "v2_pu", "converged")
 
 
+def rich_case(spark, d):
+    """(bus, load, branch, readings, nodal) of networks with two infeeders, taps, ratios and repeated load ids."""
+    bus, load, branch = nw.tables(dr.components(spark, d, rich=True))
+    r = dr.local_forecast(spark, d).withColumn("t", F.lit(SNAPSHOT).cast("timestamp_ntz"))
+    return bus, load, branch, r, mt.nodal_allocation(load, r, None)
+
+
+@query
+def rich_transformers(spark, d):
+    c = dr.components(spark, d, rich=True)
+    return nw.transformer_table(c, nw.bus_table(c)).select("n", "branch_id", "from_bus", "to_bus", "ratio_pu")
+
+
+@query
+def rich_labels(spark, d):
+    """The root, depth and factors of each branch, and how many it has at or below it."""
+    tree = nw.tree_labels(rich_case(spark, d)[2])
+    return tree.select("n", "branch_id", "bus_id", "root", "depth", "rho", "path_r", "tx", (F.col("leave") - F.col("enter")).alias("size"))
+
+
+@query
+def rich_path_voltage(spark, d):
+    bus, _, branch, _, nodal = rich_case(spark, d)
+    tree = nw.tree_labels(branch)
+    return fl.path_voltage(tree, branch, bus, fl.subtree_flow(tree, nodal)).drop("t")
+
+
+def rich_results(case, most_branches: int):
+    bus, _, branch, _, nodal = case
+    flow, volt, done = fl.power_flow(None, branch, bus, nodal, most_branches=most_branches)
+    ends = branch.select("n", "branch_id", F.col("to_bus").alias("bus_id"))
+    return flow.join(ends, ["n", "branch_id"]).join(volt, ["n", "t", "oe", "bus_id"]).join(done, ["n", "t", "oe"]).select("n", "oe", "branch_id", "p_pu", "q_pu", "l_pu", "v2_pu", "converged")
+
+
+@query
+def rich_flow(spark, d):
+    return rich_results(rich_case(spark, d), 200_000)
+
+
+@query
+def rich_flow_by_ranges(spark, d):
+    """The same in the form for networks that no task holds."""
+    return rich_results(rich_case(spark, d), 0)
+
+
+@query
+def rich_envelope_linear(spark, d):
+    bus, load, branch, r, _ = rich_case(spark, d)
+    less = r.withColumns({c: F.col(c) * 0.1 for c in ("real_power_w", "reactive_power_var")})
+    return env.envelope_linear(nw.tree_labels(branch), branch, bus, load, less, everyone(load)).drop("t")
+
+
 @query
 def unit_conversions(spark, d):
     _, _, branch, flow, volt, _ = flow_case(spark, d)

@@ -20,8 +20,12 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("n", F.col("c_nationkey").cast("int").alias("nation"), F.col("c_custkey").cast("long").alias("cust"), F.col("c_acctbal").cast("double").alias("bal"), F.row_number().over(w.orderBy("c_custkey")).alias("k"), F.count(F.lit(1)).over(w).alias("nn")).withColumn("parent_k", F.when(F.col("k") > 1, F.floor((F.col("k") - 2) / 3) + 1))
 
 
-def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Component rows of all networks: 1 kV bases, so an ohm is a per-unit impedance."""
+def components(spark: SparkSession, sf_dir: str, rich: bool = False) -> DataFrame:
+    """Component rows of all networks: 1 kV bases, so an ohm is a per-unit impedance.
+
+    ``rich`` networks have a second infeeder, at 1.03, that feeds the odd nations' transformers, ratios and taps other than
+    1 and 0 on either side, and load ids that are unique in their network only.
+    """
     c = customers(spark, sf_dir)
     parents = c.select(F.col("nation").alias("pn"), F.col("k").alias("pk"), F.concat(F.lit("C"), "cust").alias("pbus"))
     c = c.join(parents, (F.col("nation") == F.col("pn")) & (F.col("parent_k") == F.col("pk")), "left").withColumn("from_bus", F.coalesce("pbus", F.concat(F.lit("N"), "nation")))
@@ -36,6 +40,12 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
         body = F.from_json(F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])), BODY)
         return df.select("n", cid.alias("cid"), F.lit(ctype).alias("ctype"), body.alias("body"))
 
+    k = F.col("nation")
+    feed = F.when(k % 2 == 1, name("S", "n")).otherwise(name("R", "n")) if rich else name("R", "n")
+    turns = F.when(k % 4 == 0, 1.02).otherwise(1.0) if rich else F.lit(1.0)
+    taps = F.when(k % 3 == 1, 2.0).when(k % 3 == 2, -1.0).otherwise(0.0) if rich else F.lit(0.0)
+    tap_side = F.when(k % 2 == 0, "primary").otherwise("secondary") if rich else F.lit("primary")
+    loads = local_ids(c) if rich else c.withColumn("load_id", name("D", "cust"))
     r = F.lit(1.2) / F.col("nn") * (1 + F.col("cust") % 7)
     z = F.array(r, 0.4 * r)
     parts = [
@@ -43,10 +53,12 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows(region, name("R", "n"), "Node", v_base=F.lit(1.0), user_data=limits),
         rows(nation, name("N", "nation"), "Node", v_base=F.lit(1.0), user_data=limits),
         rows(c, name("C", "cust"), "Node", v_base=F.lit(1.0), user_data=limits),
-        rows(nation, name("T", "nation"), "Transformer", cons=cons(name("R", "n"), name("N", "nation")), z=F.lit("[[0,0],[0.003,0.0012]]"), nom_turns_ratio=F.array(F.lit(1.0)), taps=F.array(F.lit(0.0)), tap_factor=F.lit(0.025), tap_side=F.lit("primary"), vector_group=F.when(F.col("nation") % 7 == 3, F.array(F.lit("Yd11"), F.lit("Dyn11"))).otherwise(F.array(F.lit("Dyn11"), F.lit("Dyn11"))), s_max=F.lit(300.0), v_winding_base=F.array(F.lit(1.0), F.lit(1.0))),
+        rows(nation, name("T", "nation"), "Transformer", cons=cons(feed, name("N", "nation")), z=F.lit("[[0,0],[0.003,0.0012]]"), nom_turns_ratio=F.array(turns), taps=F.array(taps), tap_factor=F.lit(0.025), tap_side=tap_side, vector_group=F.when(F.col("nation") % 7 == 3, F.array(F.lit("Yd11"), F.lit("Dyn11"))).otherwise(F.array(F.lit("Dyn11"), F.lit("Dyn11"))), s_max=F.lit(300.0), v_winding_base=F.array(F.lit(1.0), F.lit(1.0))),
         rows(c, name("L", "cust"), "Line", cons=cons(F.col("from_bus"), name("C", "cust")), length=F.lit(1.0), z=F.to_json(z), z0=z, i_max=F.when(F.col("cust") % 5 == 0, F.lit(40.0))),
-        rows(c, name("D", "cust"), "Load", cons=cons(name("C", "cust"))),
+        rows(loads, F.col("load_id"), "Load", cons=cons(name("C", "cust"))),
     ]
+    if rich:
+        parts += [rows(region, name("J", "n"), "Infeeder", v_setpoint=F.lit(1.03), cons=cons(name("S", "n"))), rows(region, name("S", "n"), "Node", v_base=F.lit(1.0), user_data=limits)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -54,6 +66,16 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("units", units)
 
 
+def local_ids(c: DataFrame) -> DataFrame:
+    """Customers with a ``load_id`` by their order in the network."""
+    return c.withColumn("load_id", F.concat(F.lit("D"), F.row_number().over(Window.partitionBy("n").orderBy("cust"))))
+
+
+def local_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n, load_id, real_power_w, reactive_power_var) of the rich networks' loads."""
+    return local_ids(customers(spark, sf_dir)).select("n", "load_id", F.col("bal").alias("real_power_w"), (0.4 * F.col("bal")).alias("reactive_power_var"))
+
+
 def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(load_id, real_power_w, reactive_power_var): a customer's balance as watts."""
     p = F.col("c_acctbal").cast("double")
