@@ -79,14 +79,15 @@ def records(page_id: int | None, url: str, payload: bytes, digest: str, kind: st
     return out
 
 
-def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, segment: int = 16_384, chunk: int = 4_096, file_bytes: int = 64 << 20) -> None:
+def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, segment: int = 16_384, chunk: int = 4_096, file_bytes: int = 64 << 20, max_copies: int = 1 << 18) -> None:
     """A record for each page, in gzip-compressed WARC files in the folder ``path``.
 
     The payload is the html in UTF-8. Of the records with equal payloads of ``least`` bytes or
     more, the one with the smallest id is a response and the others are revisits; smaller ones are
     all responses. Responses have chunked framing and are cut into segments of about ``segment``
     bytes; the records of a page follow each other in a file. Files end after as many records as
-    hold ``file_bytes`` at the table's mean page size.
+    hold ``file_bytes`` at the table's mean page size. Up to ``max_copies`` digests that several pages have are sent to all
+    tasks (about 100 bytes each), so that no html is shuffled; beyond it pages and digests are joined, with equal results.
 
     Null html or url is empty. A null id is written without its field: such a page is never the one
     that others refer to, unless it alone holds the payload. Repeated rows are written each:
@@ -100,11 +101,16 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     n, total = marks.agg(F.count(F.lit(1)), F.sum("size")).head()
     records_per_file = max(1, file_bytes * n // max(1, total or 0)) if n else 1
     copies = marks.where(F.col("size") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1").select("digest", "first")
-    # pages of one digest are dealt to several tasks
-    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pages = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    copies = stored(copies, "warc-copies")
+    if copies.count() <= max_copies:
+        joined = pages.join(F.broadcast(copies), "digest", "left")
+    else:
+        # pages of one digest are dealt to several tasks
+        copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        joined = pages.withColumn("salt", salt).join(copies, ["digest", "salt"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    rows = pages.join(copies, ["digest", "salt"], "left").select("page_id", "url", "html", "digest", revisit.alias("again"), F.when(revisit, F.col("first")).alias("refers"))
+    rows = joined.select("page_id", "url", "html", "digest", revisit.alias("again"), F.when(revisit, F.col("first")).alias("refers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
