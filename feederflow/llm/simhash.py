@@ -135,14 +135,22 @@ def halves(fingerprint: Column) -> list[Column]:
     return [F.conv(F.substring(fingerprint, 16 * k + 1, 16), 16, -10).cast("long") for k in range(WORDS)]
 
 
-def within_radius(queries: DataFrame, fingerprints: DataFrame, radius: int = 15, blocks: int = 8) -> DataFrame:
+#: Distinct fingerprints from which on four wide blocks cost less than eight: what a block lets through grows with
+#: the table, 1 of 2**16 or 1 of 2**32, while the blocks looked up (136 or 21,956 for 15 bits) do not.
+MANY = 10_000_000
+
+
+def within_radius(queries: DataFrame, fingerprints: DataFrame, radius: int = 15, blocks: int | None = None) -> DataFrame:
     """All (query, fingerprint, distance) of distinct fingerprints at most ``radius`` bits apart, equal ones too.
 
     Both sides have a column ``fingerprint``. Its bits are cut into ``blocks`` blocks; table k puts
     block k in front. Two fingerprints within the radius have a block with at most radius // blocks
     different bits, so looking up each query's blocks with up to so many bits flipped finds every
-    such pair; the first table that holds a pair reports it. Nulls match nothing.
+    such pair; the first table that holds a pair reports it. Every number of blocks gives the same pairs;
+    None takes four or eight by the number of distinct fingerprints. Nulls match nothing, empty tables give none.
     """
+    if blocks is None:
+        blocks = 4 if fingerprints.select("fingerprint").distinct().count() > MANY else 8
     if blocks not in (4, 8, 16, 32) or radius < 0:
         raise ValueError("blocks: 4, 8, 16 or 32; radius: 0 or more")
     width, flips = 64 * WORDS // blocks, radius // blocks

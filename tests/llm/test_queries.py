@@ -205,7 +205,7 @@ def test_warc(spark):
 
 def test_sql_agrees(spark):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     from feederflow.llm import queries
 
