@@ -11,7 +11,7 @@ from feederflow.functions.units import ENVELOPE_CAP_KW, INTERVAL_H, WIDTH_WEIGHT
 from feederflow.operators import matching
 from feederflow.operators import thermal as th
 from feederflow.operators.flow import RANGE, along_path, below_and_own, first_tier, limit_violations, power_flow, voltage_current_results
-from feederflow.sources.tables import stored
+from feederflow.sources.tables import discard, stored
 
 
 def envelope_linear(tree: DataFrame, branch: DataFrame, bus: DataFrame, load: DataFrame, readings: DataFrame, people: DataFrame, cap_kw: float = ENVELOPE_CAP_KW) -> DataFrame:
@@ -74,8 +74,10 @@ def _fill_search(tree: DataFrame, branch: DataFrame, bus: DataFrame, load: DataF
     most = p.groupBy(*by).agg(F.sum("size_kw").cast("double").alias("hi"))
     cell = r.select("n", "t").distinct().join(most, [c for c in by if c != "oe"]).select("n", "t", "oe", F.lit(0.0).alias("lo"), "hi", F.lit(True).alias("ok"))
     keys = ("n", "t", "oe", "c")
+    spent: list[DataFrame] = []
     for _ in range(rounds):
         cell = stored(cell, "envelope-cell")
+        discard(*spent)
         tried = cell.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(grid)))).withColumn("total", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("c") / grid)
         tried = stored(tried.select(*keys, "total"), "envelope-tried")
         sign = F.when(F.col("oe") == "oel", 1.0).otherwise(-1.0)
@@ -83,6 +85,7 @@ def _fill_search(tree: DataFrame, branch: DataFrame, bus: DataFrame, load: DataF
         base = r.join(tried.select(*keys), ["n", "t"]).select(*keys, "bus_id", "p_pu", "q_pu")
         nodal = base.unionByName(given).groupBy(*keys, "bus_id").agg(F.sum("p_pu").alias("p_pu"), F.sum("q_pu").alias("q_pu"))
         flow, volt, done = power_flow(tree, branch, bus, nodal, passes, keys)
+        spent = [cell, tried, flow]
         bad = limit_violations(flow, volt, branch, bus, keys).select(*keys)
         if limits is not None:
             over = flow.join(limits, ["n", "t", "branch_id"]).where("l_pu > i_max_pu * i_max_pu").select(*keys)

@@ -13,7 +13,7 @@ from feederflow.functions.keys import shared_keys
 from feederflow.functions.running import sums_before
 from feederflow.functions.units import INTERVAL_H, VIOLATION_WEIGHT, WIDTH_WEIGHT, amps, volts_pu, w_of_pu
 from feederflow.operators.network import tree_labels
-from feederflow.sources.tables import stored
+from feederflow.sources.tables import discard, stored
 
 
 #: Places of the tree's order in a range, the most that a task sorts for one case.
@@ -81,7 +81,7 @@ def power_flow(tree: DataFrame | None, branch: DataFrame, bus: DataFrame, nodal:
     a task; larger ones by running sums over their trees' order, in ranges of ``width`` places of a case, with ``tree``
     (``tree_labels``, built here if None). Both give the same; a network may have several infeeders, each with its own tree.
     """
-    nodal = stored(nodal.select(*keys, "bus_id", "p_pu", "q_pu"), "flow-nodal")
+    given = nodal = stored(nodal.select(*keys, "bus_id", "p_pu", "q_pu"), "flow-nodal")
     sizes = branch.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
     cases = nodal.select(*keys).distinct().groupBy("n").agg(F.count(F.lit(1)).alias("cases"))
     # one row: what decides the form of the job
@@ -96,6 +96,7 @@ def power_flow(tree: DataFrame | None, branch: DataFrame, bus: DataFrame, nodal:
         tree = tree_labels(own) if tree is None else tree.join(big, "n", "left_semi")
         ranged = _ranged(tree, own, bus, nodal, passes, keys, within, width)
         out = ranged if out is None else out.unionByName(ranged)
+    discard(given)
     flow = out.select(*keys, "branch_id", "p_pu", "q_pu", "l_pu")
     return flow, out.select(*keys, "bus_id", "v2_pu"), out.groupBy(*keys).agg(F.min("converged").alias("converged"), F.max("passes").alias("passes"))
 
@@ -231,18 +232,22 @@ def _ranged(tree: DataFrame, branch: DataFrame, bus: DataFrame, nodal: DataFrame
         return below_and_own(at, sent, {"p_pu": "_p", "q_pu": "_q"}, keys, width).drop("_rows")
 
     state = stored(state.join(flows(state), [*keys, "branch_id"]), "flow-pass")
-    ended = []
+    ended, spent = [], [at]
     for k in range(1, passes + 1):
+        spent.append(state)
         state = state.withColumn("l_pu", F.when(F.col("v_from") > 0, (F.col("p_pu") ** 2 + F.col("q_pu") ** 2) / F.col("v_from"))).drop("p_pu", "q_pu")
         state = stored(state.join(flows(state), [*keys, "branch_id"]), "flow-pass")
+        spent.append(state)
         drop = F.col("rho_from") * (2 * (F.col("r_pu") * F.col("p_pu") + F.col("x_pu") * F.col("q_pu")) - (F.col("r_pu") ** 2 + F.col("x_pu") ** 2) * F.col("l_pu"))
         path = along_path(state.withColumns({"_drop": drop, "_void": drop.isNull().cast("double")}).withColumn("_drop", F.coalesce("_drop", F.lit(0.0))), {"drop": "_drop", "void": "_void"}, keys, width, *fixed, "l_pu", "p_pu", "q_pu", "v2_pu", "_drop")
         v2 = F.when(F.col("void") == 0, (F.col("v0") - F.col("drop")) / F.col("rho"))
         path = path.withColumns({"after": v2, "v_from": F.when(F.col("void") == 0, (F.col("v0") - F.col("drop") + F.col("_drop")) / F.col("rho_from"))})
         state = stored(path, "flow-pass")
+        spent.append(state)
         sound = (F.min("after") > 0) & (F.count("after") == F.count(F.lit(1))) & (F.count("l_pu") == F.count(F.lit(1)))
         verdict = state.groupBy(*keys).agg(F.coalesce(sound & (F.max(F.abs(F.col("after") - F.col("v2_pu"))) <= within), F.lit(False)).alias("converged"), F.coalesce(~sound, F.lit(True)).alias("lost"))
         verdict = stored(verdict, "flow-done")
+        spent.append(verdict)
         state = state.withColumn("v2_pu", F.col("after")).drop("after", "drop", "void", "_drop")
         leave = verdict.where("converged or lost") if k < passes else verdict
         done = state.join(leave.drop("lost"), list(keys)).select(*keys, "branch_id", "bus_id", "p_pu", "q_pu", "l_pu", "v2_pu", "converged", F.lit(k).cast("int").alias("passes"))
@@ -250,7 +255,9 @@ def _ranged(tree: DataFrame, branch: DataFrame, bus: DataFrame, nodal: DataFrame
         if k == passes or verdict.where("not converged and not lost").isEmpty():
             break
         state = state.join(leave, list(keys), "left_anti")
-    return stored(reduce(DataFrame.unionByName, ended), "flow")
+    out = stored(reduce(DataFrame.unionByName, ended), "flow")
+    discard(*spent)
+    return out
 
 
 def limit_violations(flow: DataFrame, volt: DataFrame, branch: DataFrame, bus: DataFrame, keys: tuple[str, ...] = ("n", "t", "oe")) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feederflow.functions.units import BASE_VA, LINE_RATING_A, TRANSFORMER_RATING_W
-from feederflow.sources.tables import stored, unreadable
+from feederflow.sources.tables import discard, stored, unreadable
 
 
 def components_of_type(components: DataFrame, ctype: str) -> DataFrame:
@@ -168,17 +168,21 @@ def tree_labels(branch: DataFrame) -> DataFrame:
         # up, depth, rho and path_r of the path to the pointer, exclusive of its end, joined with the end's own
         jumped = at.join(far, ["n", "up"], "left").join(below, ["n", "bus_id"], "left")
         own_or = lambda c, x: F.when(F.col("up").isNull(), F.col(c)).otherwise(x).alias(c)
-        at = stored(jumped.select("n", "branch_id", "bus_id", "from_bus", own_or("rho", F.col("rho") * F.col("_rho")), own_or("path_r", F.col("path_r") + F.col("_path_r")), F.coalesce("tx", "_tx").alias("tx"), F.col("_up").alias("up"), (F.col("size") + F.coalesce("_size", F.lit(0))).alias("size"), own_or("depth", F.col("depth") + F.col("_depth") + 1), F.coalesce("root", "_root").alias("root")), "labels")
+        spent, at = at, stored(jumped.select("n", "branch_id", "bus_id", "from_bus", own_or("rho", F.col("rho") * F.col("_rho")), own_or("path_r", F.col("path_r") + F.col("_path_r")), F.coalesce("tx", "_tx").alias("tx"), F.col("_up").alias("up"), (F.col("size") + F.coalesce("_size", F.lit(0))).alias("size"), own_or("depth", F.col("depth") + F.col("_depth") + 1), F.coalesce("root", "_root").alias("root")), "labels")
+        if spent is not ends:
+            discard(spent)
         length *= 2
     # a branch enters after the one above it and all that its earlier siblings hold
     first = Window.partitionBy("n", "_top", "_over").orderBy("from_bus", "branch_id").rowsBetween(Window.unboundedPreceding, -1)
     kin = ends.select("n", "bus_id", F.col("up").alias("_above")).join(at.drop("up"), ["n", "bus_id"])
     kin = kin.withColumns({"_top": F.col("_above").isNull(), "_over": F.col("_above")})
     place = kin.withColumn("enter", F.coalesce(F.sum("size").over(first), F.lit(0)) + F.when(F.col("_top"), 0).otherwise(1)).drop("_top", "_over").withColumnRenamed("_above", "up")
-    place, length = stored(place, "labels"), 1
+    place = stored(place, "labels")
+    discard(*{id(x): x for x in (ends, at)}.values())
     while not place.where("up is not null").isEmpty():
         far = place.select("n", F.col("bus_id").alias("up"), F.col("up").alias("_up"), F.col("enter").alias("_enter"))
-        place = stored(place.join(far, ["n", "up"], "left").withColumns({"enter": F.col("enter") + F.coalesce("_enter", F.lit(0)), "up": F.col("_up")}).drop("_up", "_enter").select(*place.columns), "labels")
+        spent, place = place, stored(place.join(far, ["n", "up"], "left").withColumns({"enter": F.col("enter") + F.coalesce("_enter", F.lit(0)), "up": F.col("_up")}).drop("_up", "_enter").select(*place.columns), "labels")
+        discard(spent)
     return place.select("n", "branch_id", "bus_id", "from_bus", "root", "depth", "enter", (F.col("enter") + F.col("size")).alias("leave"), "rho", "path_r", "tx")
 
 

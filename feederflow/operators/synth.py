@@ -40,17 +40,24 @@ def _normal(x: Column, seed: int) -> Column:
     return F.sqrt(-2 * F.log(_uniform(x, seed))) * F.cos(2 * math.pi * _uniform(x, seed + 7919))
 
 
-def customer_weights(roster: DataFrame, times: DataFrame, size_sigma: float, noise_sigma: float, seed: int, parts: int = 64) -> DataFrame:
-    """(idx, load_id, t, noise, weight): log-normal size times normal noise, both functions of keys alone.
-
-    Every customer meets every time by definition: times are dealt to ``parts`` parts, and each part has all customers.
-    """
+def customer_times(roster: DataFrame, times: DataFrame, parts: int = 64) -> DataFrame:
+    """Every customer at every time, which is what is asked for: times are dealt to ``parts`` parts, and each part has all customers."""
     slots = times.select("t").distinct().withColumn("_part", F.pmod(F.xxhash64("t"), F.lit(parts)).cast("int"))
-    each = roster.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(slots, "_part").drop("_part")
+    return roster.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(slots, "_part").drop("_part")
+
+
+def _noise(sigma: float, seed: int) -> Column:
     minute = F.floor(F.unix_seconds(F.col("t").cast("timestamp")) / 60)
-    size = F.exp(size_sigma * _normal(F.col("idx") * 1009, seed))
-    noise = 1 + noise_sigma * _normal(F.pmod(F.col("idx") * 65537 + minute * 31, F.lit(LCG_M)), seed + 1)
-    return each.withColumn("noise", noise).withColumn("weight", size * F.col("noise"))
+    return 1 + sigma * _normal(F.pmod(F.col("idx") * 65537 + minute * 31, F.lit(LCG_M)), seed + 1)
+
+
+def _weight(size_sigma: float, noise_sigma: float, seed: int) -> Column:
+    return F.exp(size_sigma * _normal(F.col("idx") * 1009, seed)) * _noise(noise_sigma, seed)
+
+
+def customer_weights(roster: DataFrame, times: DataFrame, size_sigma: float, noise_sigma: float, seed: int, parts: int = 64) -> DataFrame:
+    """(idx, load_id, t, noise, weight): log-normal size times normal noise, both functions of keys alone."""
+    return customer_times(roster, times, parts).withColumns({"noise": _noise(noise_sigma, seed), "weight": _weight(size_sigma, noise_sigma, seed)})
 
 
 def make_profiles(roster: DataFrame, totals: DataFrame, size_sigma: float, noise_sigma: float, seed: int) -> DataFrame:
@@ -61,11 +68,14 @@ def make_profiles(roster: DataFrame, totals: DataFrame, size_sigma: float, noise
 
 
 def disaggregate(series: DataFrame, roster: DataFrame, size_sigma: float = 0.4, noise_sigma: float = 0.15, seed: int = 42) -> DataFrame:
-    """(load_id, t, net_kw): base load over all customers less solar over the solar ones."""
-    parts = split_net_load(series)
-    base = make_profiles(roster, parts.select("t", F.col("base_kw").alias("total_kw")), size_sigma, noise_sigma, seed)
-    solar = make_profiles(roster.where("is_solar"), parts.select("t", F.col("solar_kw").alias("total_kw")), size_sigma, noise_sigma, seed + 100)
-    return base.join(solar.select("load_id", "t", F.col("kw").alias("_s")), ["load_id", "t"], "left").select("load_id", "t", (F.col("kw") - F.coalesce("_s", F.lit(0.0))).alias("net_kw"))
+    """(load_id, t, net_kw): base load over all customers less solar over the solar ones, both profiles made in one pass."""
+    each = customer_times(roster, series).withColumns({"base": _weight(size_sigma, noise_sigma, seed), "solar": F.when(F.col("is_solar"), _weight(size_sigma, noise_sigma, seed + 100))})
+    kinds = ("base", "solar")
+    for k in kinds:
+        each = smooth_centered(each, "load_id", "t", k).drop(k).withColumn(k, F.when(F.col("smoothed").isNotNull(), F.greatest("smoothed", F.lit(1e-6)))).drop("smoothed")
+    sums = each.groupBy("t").agg(*[F.sum(k).alias(f"_{k}") for k in kinds]).join(split_net_load(series), "t")
+    share = lambda k: F.when(F.col(f"{k}_kw") > 0, F.col(k) / F.col(f"_{k}") * F.col(f"{k}_kw"))
+    return each.join(sums, "t").select("load_id", "t", (F.coalesce(share("base"), F.lit(0.0)) - F.coalesce(share("solar"), F.lit(0.0))).alias("net_kw"))
 
 
 def sum_check(profiles: DataFrame, series: DataFrame, most: float = 1e-6) -> DataFrame:

@@ -54,37 +54,42 @@ def thermal_step(rise: DataFrame, state: DataFrame, ambient: DataFrame, params:
     return j.select("tx_id", "t", "delta_theta_TO", "delta_theta_HS", (F.col("theta_a") + F.col("delta_theta_TO") + F.col("delta_theta_HS")).alias("theta_HS"))
 
 
+#: Steps of a chunk and chunks of a span of a thermal series.
+CHUNK, SPAN = 64, 64
+
+
 def thermal_series(rise: DataFrame, ambient: DataFrame, params: DataFrame, init: DataFrame | None = None) -> DataFrame:
     """The step chained over time for each transformer; rows with null rises keep the state.
 
-    A step is an affine map x -> a x + b, so the steps of a transformer's day fold to one map, the days of
-    a span of 32 to another, spans chain by a window, days within their span, and each day then unfolds from its
-    first state. Arrays hold a day's steps, a span's days, or a transformer's spans, never its whole series.
+    A step is an affine map x -> a x + b, so the steps of a chunk of time (``CHUNK`` steps of ``dt``) fold to one map, ``SPAN`` chunks
+    to another, spans chain by a window, chunks within their span, and each chunk then unfolds from its
+    first state. Arrays hold a chunk's steps, a span's chunks, or a transformer's spans, never its whole series, and
+    what is copied in a chunk does not grow with the series or the steps of a day.
     """
-    r = with_params(rise, params).withColumn("day", F.to_date("t"))
-    maps = r.select("tx_id", "t", "day", F.when(F.col("to_u").isNull(), 1.0).otherwise(decay("tau_TO")).alias("a1"), F.when(F.col("to_u").isNull(), 0.0).otherwise((1 - decay("tau_TO")) * F.col("to_u")).alias("b1"), F.when(F.col("hs_u").isNull(), 1.0).otherwise(decay("tau_W")).alias("a2"), F.when(F.col("hs_u").isNull(), 0.0).otherwise((1 - decay("tau_W")) * F.col("hs_u")).alias("b2"))
-    days = maps.groupBy("tx_id", "day").agg(F.array_sort(F.collect_list(F.struct("t", "a1", "b1", "a2", "b2"))).alias("steps"))
+    r = with_params(rise, params).withColumn("chunk", F.floor(F.unix_seconds(F.col("t").cast("timestamp")) / (60 * CHUNK * F.col("dt"))))
+    maps = r.select("tx_id", "t", "chunk", F.when(F.col("to_u").isNull(), 1.0).otherwise(decay("tau_TO")).alias("a1"), F.when(F.col("to_u").isNull(), 0.0).otherwise((1 - decay("tau_TO")) * F.col("to_u")).alias("b1"), F.when(F.col("hs_u").isNull(), 1.0).otherwise(decay("tau_W")).alias("a2"), F.when(F.col("hs_u").isNull(), 0.0).otherwise((1 - decay("tau_W")) * F.col("hs_u")).alias("b2"))
+    chunks = maps.groupBy("tx_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("t", "a1", "b1", "a2", "b2"))).alias("steps"))
     one = lambda a1, b1, a2, b2: F.struct(a1.alias("a1"), b1.alias("b1"), a2.alias("a2"), b2.alias("b2"))
     then = lambda m, s: one(s["a1"] * m["a1"], s["a1"] * m["b1"] + s["b1"], s["a2"] * m["a2"], s["a2"] * m["b2"] + s["b2"])
     same = one(F.lit(1.0), F.lit(0.0), F.lit(1.0), F.lit(0.0))
-    days = days.withColumn("whole", F.aggregate("steps", same, then))
-    days = days.withColumn("span", F.floor(F.unix_date("day") / 32))
-    spans = days.groupBy("tx_id", "span").agg(F.array_sort(F.collect_list(F.struct("day", "whole"))).alias("days"))
-    spans = spans.select("tx_id", "span", F.aggregate("days", same, lambda m, d: then(m, d["whole"])).alias("whole"))
+    chunks = chunks.withColumn("whole", F.aggregate("steps", same, then))
+    chunks = chunks.withColumn("span", F.floor(F.col("chunk") / SPAN))
+    spans = chunks.groupBy("tx_id", "span").agg(F.array_sort(F.collect_list(F.struct("chunk", "whole"))).alias("chunks"))
+    spans = spans.select("tx_id", "span", F.aggregate("chunks", same, lambda m, d: then(m, d["whole"])).alias("whole"))
     chained = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select("tx_id", "span", F.collect_list("whole").over(chained("tx_id", "span")).alias("earlier"))
-    within = days.select("*", F.collect_list("whole").over(chained("tx_id", "span", "day")).alias("before"))
-    days = within.join(spans, ["tx_id", "span"]).withColumn("start", F.aggregate("before", F.aggregate("earlier", same, then), then))
+    within = chunks.select("*", F.collect_list("whole").over(chained("tx_id", "span", "chunk")).alias("before"))
+    chunks = within.join(spans, ["tx_id", "span"]).withColumn("start", F.aggregate("before", F.aggregate("earlier", same, then), then))
     if init is not None:
-        days = days.join(init.select("tx_id", F.col("delta_theta_TO").alias("i1"), F.col("delta_theta_HS").alias("i2")), "tx_id", "left")
+        chunks = chunks.join(init.select("tx_id", F.col("delta_theta_TO").alias("i1"), F.col("delta_theta_HS").alias("i2")), "tx_id", "left")
     else:
-        days = days.withColumns({"i1": F.lit(0.0), "i2": F.lit(0.0)})
+        chunks = chunks.withColumns({"i1": F.lit(0.0), "i2": F.lit(0.0)})
     x1 = F.col("start.a1") * F.coalesce("i1", F.lit(0.0)) + F.col("start.b1")
     x2 = F.col("start.a2") * F.coalesce("i2", F.lit(0.0)) + F.col("start.b2")
     state = lambda t, a, b: F.struct(t.alias("t"), a.alias("x1"), b.alias("x2"))
     seed = F.array(state(F.get("steps", F.lit(0))["t"], x1, x2))
     unfold = F.aggregate("steps", seed, lambda acc, s: F.concat(acc, F.array(state(s["t"], s["a1"] * F.element_at(acc, -1)["x1"] + s["b1"], s["a2"] * F.element_at(acc, -1)["x2"] + s["b2"]))))
-    out = days.select("tx_id", F.explode(F.slice(unfold, 2, F.size("steps"))).alias("s")).select("tx_id", "s.t", F.col("s.x1").alias("delta_theta_TO"), F.col("s.x2").alias("delta_theta_HS"))
+    out = chunks.select("tx_id", F.explode(F.slice(unfold, 2, F.size("steps"))).alias("s")).select("tx_id", "s.t", F.col("s.x1").alias("delta_theta_TO"), F.col("s.x2").alias("delta_theta_HS"))
     return out.join(ambient.select("t", "theta_a"), "t").withColumn("theta_HS", F.col("theta_a") + F.col("delta_theta_TO") + F.col("delta_theta_HS")).drop("theta_a")
 
 

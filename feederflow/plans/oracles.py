@@ -231,6 +231,8 @@ _ORACLES: dict[str, str] = {
     "read_forecast": sql("SELECT load_id, bal AS real_power_w, round(0.4 * bal, 6) AS reactive_power_var FROM load"),
     "read_forecast_ts": sql("SELECT t, load_id, round(p, 6) AS real_power_w, round(0.4 * p, 6) AS reactive_power_var FROM reading"),
     "read_tx_params": f"SELECT 'T' || n_nationkey AS tx_id, 180.0::DOUBLE + n_nationkey AS \"tau_TO\", {', '.join(f'{v}::DOUBLE AS "{c}"' for c, v in TX.items() if c not in ('tau_TO', 'I_rated'))}, 150.0::DOUBLE + 5 * n_nationkey AS \"I_rated\" FROM nation",
+    "read_forecast_clock": sql("SELECT TIMESTAMP '2026-06-29' + to_minutes(hour(t) * 60 + minute(t)) AS t, load_id, round(sum(p), 6) AS real_power_w, round(sum(0.4 * p), 6) AS reactive_power_var FROM reading GROUP BY 1, 2"),
+    "damaged_rows": sql("SELECT load_id, NULL::DOUBLE AS real_power_w, round(0.4 * bal, 6) AS reactive_power_var FROM load WHERE bal < 0"),
     "read_wide_meter": sql("SELECT \"Nmi\", suffix, \"IntervalDay\", " + ", ".join(f'max(energy) FILTER (WHERE h = {h}) AS "Data_{h:02d}_00"' for h in range(24)) + " FROM wide GROUP BY 1, 2, 3"),
     "read_tx_series": sql("SELECT t, round(total_kw, 6) AS total_kw, round(total_kw / 2, 6) AS estimated_kw FROM series"),
     "read_ambient": sql("SELECT t, round(theta_a, 6) AS theta_a FROM ambient"),

@@ -128,6 +128,21 @@ def read_forecast_ts(spark, d):
     return tb.read_forecast_ts(spark, written(text, "csv", header=True))
 
 
+@query
+def read_forecast_clock(spark, d):
+    """Times of day alone, which an anchor date completes."""
+    r = dr.readings(spark, d).groupBy(F.date_format("t", "HH:mm").alias("timestamp"), "load_id").agg(F.sum("real_power_w").alias("real_power_w"), F.sum("reactive_power_var").alias("reactive_power_var"))
+    return tb.read_forecast_ts(spark, written(r, "csv", header=True), anchor_date="2026-06-29")
+
+
+@query
+def damaged_rows(spark, d):
+    """A forecast file in which negative powers are words."""
+    bad = F.when(F.col("real_power_w") < 0, F.concat(F.lit("minus "), -F.col("real_power_w"))).otherwise(F.col("real_power_w").cast("string"))
+    path = written(dr.forecast(spark, d).withColumn("real_power_w", bad), "csv", header=True)
+    return tb.damaged_rows(spark, path, tb.FORECAST).select("load_id", "real_power_w", "reactive_power_var")
+
+
 @query
 def read_offers(spark, d):
     """Offers with bids as JSON text."""
@@ -156,9 +171,9 @@ def read_wide_meter(spark, d):
 
 @query
 def read_tx_series(spark, d):
-    """Day-first dates under padded headers."""
+    """Day-first dates under padded headers, after a byte order mark."""
     s = tx_series(spark, d)
-    text = s.select(F.date_format("t", "d/M/yyyy H:mm:ss").alias("date "), F.col("total_kw").alias(" METER_SUMMATION (kW) "), (F.col("total_kw") / 2).alias("ESTIMATION (kW)"))
+    text = s.select(F.date_format("t", "d/M/yyyy H:mm:ss").alias("\ufeffdate "), F.col("total_kw").alias(" METER_SUMMATION (kW) "), (F.col("total_kw") / 2).alias("ESTIMATION (kW)"))
     path = written(text, "csv", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     half = tb.read_tx_series(spark, path, measured=False).withColumnRenamed("total_kw", "estimated_kw")
     return tb.read_tx_series(spark, path).join(half, "t")

@@ -39,6 +39,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components_of(documents: DataFrame) -> DataFrame:
     """(n, doc) network documents as JSON to (n, cid, ctype, body, units) component rows; see ``unreadable`` for those that do not parse."""
     parsed = documents.select("n", F.from_json("doc", DOCUMENT).alias("d"))
@@ -89,12 +98,29 @@ def write_network(components: DataFrame, roster: DataFrame, path: str) -> None:
     network_documents(kept).select("doc").write.text(path)
 
 
+#: Columns of the text files, in order.
+FORECAST = "load_id string, real_power_w double, reactive_power_var double"
+OFFERS = "load_id string, injection string, consumption string, reservation_l double, reservation_u double"
+FORECAST_TS = "timestamp string, load_id string, real_power_w double, reactive_power_var double"
+AMBIENT = "t timestamp_ntz, theta_a double"
+PRICES = "load_id string, export_price_kwh double"
+
+
+def damaged_rows(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
+    """Rows of a text file with a value that its column's type cannot hold, or too few or many: the readers read such values as null.
+
+    ``_corrupt`` has the row's text.
+    """
+    given = {"header": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", **options}
+    return spark.read.options(**given).schema(f"{schema}, _corrupt string").csv(path).where("_corrupt is not null")
+
+
 def read_forecast(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema="load_id string, real_power_w double, reactive_power_var double")
+    return spark.read.csv(path, header=True, schema=FORECAST)
 
 
 def read_offers(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.csv(path, header=True, escape='"', schema="load_id string, injection string, consumption string, reservation_l double, reservation_u double")
+    raw = spark.read.csv(path, header=True, escape='"', schema=OFFERS)
     return raw.withColumns({c: F.from_json(c, "array<array<double>>") for c in ("injection", "consumption")})
 
 
@@ -108,7 +134,7 @@ def timestamp_of(text, anchor_date: str | None):
 
 
 def read_forecast_ts(spark: SparkSession, path: str, anchor_date: str | None = None) -> DataFrame:
-    raw = spark.read.csv(path, header=True, schema="timestamp string, load_id string, real_power_w double, reactive_power_var double")
+    raw = spark.read.csv(path, header=True, schema=FORECAST_TS)
     return raw.select(timestamp_of(F.col("timestamp"), anchor_date).alias("t"), "load_id", "real_power_w", "reactive_power_var")
 
 
@@ -133,11 +159,11 @@ def read_tx_series(spark: SparkSession, path: str, measured: bool = True) -> Dat
 
 
 def read_ambient(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema="t timestamp_ntz, theta_a double")
+    return spark.read.csv(path, header=True, schema=AMBIENT)
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema="load_id string, export_price_kwh double")
+    return spark.read.csv(path, header=True, schema=PRICES)
 
 
 def write_results(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
