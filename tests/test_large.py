@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from feederflow.operators import flow, matching
+from feederflow.operators import flow, matching, synth
 from feederflow.plans.queries import QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -59,3 +59,12 @@ def test_dispatch_on_its_cap_and_readings_of_unknown_loads(spark, tmp_path):
     spark.createDataFrame([(1, 1, 3.0, 0.1)], "l_orderkey long, l_linenumber int, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {(r.load_id, r.ci): r.ok for r in QUERIES["offer_cap_check"](spark, str(tmp_path)).collect()}
     assert got == {("D1", "inj"): True, ("D1", "con"): True}
+
+
+def test_customers_times_are_not_sorted_to_be_smoothed(spark):
+    """The product of customers and times meets no window; sums over customers are the totals."""
+    series = spark.createDataFrame([(f"2024-01-01 {h:02d}:00:00", 5.0 - h) for h in range(9)], "t string, total_kw double").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    each = synth.disaggregate(series, synth.customer_roster(spark, 20, 0.3, {"a": 0.5, "b": 0.5}))
+    plan = each._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(load_id" not in plan and "windowspecdefinition(t" in plan
+    assert each.count() == 180 and synth.sum_check(each, series).head().ok
