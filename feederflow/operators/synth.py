@@ -122,7 +122,7 @@ def make_profiles(roster: DataFrame, totals: DataFrame, size_sigma: float, noise
 
 
 def disaggregate(series: DataFrame, roster: DataFrame, size_sigma: float = 0.4, noise_sigma: float = 0.15, seed: int = 42) -> DataFrame:
-    """(load_id, t, net_kw): base load over all customers less solar over the solar ones, both profiles made in one pass."""
+    """(load_id, t, net_kw): base load over all customers less solar over the solar ones, both profiles made together."""
     kinds = {"base": (seed, F.lit(True)), "solar": (seed + 100, F.col("is_solar"))}
     each = _shares(roster, split_net_load(series), kinds, size_sigma, noise_sigma)
     return each.select("load_id", "t", (F.col("base") - F.col("solar")).alias("net_kw"))
