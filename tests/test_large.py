@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from feederflow.operators import flow, matching, synth
+from feederflow.operators import flow, matching, network, synth
 from feederflow.plans.queries import QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -68,3 +68,11 @@ def test_customers_times_are_not_sorted_to_be_smoothed(spark):
     plan = each._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(load_id" not in plan and "windowspecdefinition(t" in plan
     assert each.count() == 180 and synth.sum_check(each, series).head().ok
+
+
+def test_labels_broadcast_no_branches(spark, monkeypatch):
+    plans, real = [], network.stored
+    monkeypatch.setattr(network, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    branch = spark.createDataFrame([(0, f"b{k}", f"x{(k - 1) // 2}", f"x{k}") for k in range(1, 30)], "n int, branch_id string, from_bus string, to_bus string")
+    assert network.tree_labels(branch).count() == 29
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
