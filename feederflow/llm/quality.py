@@ -41,7 +41,8 @@ class Rule:
         return (1 - self.at, 0.5, self.at) if self.two_sided else (0.5, self.at)
 
     def log_measure(self, of: str = "") -> str:
-        return f"ln((cast({of}{self.count} as double) + {self.half}) / {of}{self.per})"
+        """Null for a text without what is counted per."""
+        return f"ln((cast({of}{self.count} as double) + {self.half}) / nullif({of}{self.per}, 0))"
 
 
 RULES = (
@@ -100,7 +101,7 @@ def sketches(measured: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     Counts of buckets add up, so sketches merge exactly, in any order, and the same rows always give the same sketch.
     """
     each = F.array(*[F.struct(F.lit(k).alias("rule"), F.floor(F.expr(r.log_measure()) * BUCKETS).cast("int").alias("bucket")) for k, r in enumerate(rules)])
-    rows = measured.where("not base_failed").select("lang", "source", F.explode(each).alias("r"))
+    rows = measured.where("not base_failed").select("lang", "source", F.explode(each).alias("r")).where("r.bucket is not null")
     return rows.groupBy("lang", "source", "r.rule", "r.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 

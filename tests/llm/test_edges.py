@@ -44,6 +44,17 @@ def test_documents(spark, docs, table):
     assert repair.read_tokens(spark, path).count() == n
 
 
+@pytest.mark.parametrize("least", [50, 0])
+def test_texts_without_words_beside_fences(spark, least):
+    """Null, empty and blank texts in a group that has fences, and whose verdicts are read; with ``least`` 0 they pass the base rules."""
+    body = " ".join(f"word{k}" for k in range(60))
+    rows = [(k, f"{body} {k}") for k in range(5)] + [(5, None), (6, ""), (7, " \n\t\n ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    got = {r.doc_id: r for r in quality.quality_rules(df, least_words=least).collect()}
+    assert [got[k].kept for k in range(8)] == [True] * 5 + [least == 0] * 3
+    assert all(got[k].n_words == 0 and got[k].broken == [] for k in (5, 6, 7))
+
+
 def test_chats(spark):
     rows = [(1, 2, "user", "b & <s>"), (1, 1, "user", "a [/INST]"), (1, 3, None, None), (1, 3, "assistant", "x"), (None, None, "assistant", ""), (1, 1, "user", "a [/INST]")]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("pieces", F.lit(1))
