@@ -174,7 +174,8 @@ def within_radius(queries: DataFrame, fingerprints: DataFrame, radius: int = 15,
     for k, x in enumerate(cut(apart)[:-1]):
         met = met & ((F.col("q.table") <= k) | (F.bit_count(x) > flips))
     text = lambda side: F.concat(*[F.lower(F.lpad(F.hex(f"{side}.h{k}"), 16, "0")) for k in range(WORDS)])
-    return q.join(f, met).select(text("q").alias("query"), text("f").alias("fingerprint"), distance.alias("distance"))
+    # a fingerprint is many rows here, which Spark's sizes don't count: neither side is small enough to be broadcast
+    return q.hint("merge").join(f.hint("merge"), met).select(text("q").alias("query"), text("f").alias("fingerprint"), distance.alias("distance"))
 
 
 def _probes(k: int, block: Column, masks: Column) -> Column:

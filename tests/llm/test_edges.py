@@ -126,6 +126,17 @@ def test_numbers_of_blocks_agree(spark):
         assert sorted(map(tuple, simhash.within_radius(asked, all_of, 15, blocks).collect())) == want
 
 
+def test_probes_of_fingerprints_are_not_broadcast(spark):
+    """A fingerprint is 136 rows of the join, more than the sizes that Spark goes by say."""
+    prints = spark.range(400).select(F.md5(F.col("id").cast("string")).alias("fingerprint"))
+    found = simhash.within_radius(prints.where("fingerprint < '4'"), prints, 15, 8)
+    assert found.where("distance = 0").count() == prints.where("fingerprint < '4'").count()
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+
 def test_fingerprints_by_plain_votes():
     """Each bit of each term's 128 votes for or against it, windows of two words four times as much as words."""
     import numpy as np
