@@ -45,6 +45,36 @@ def test_first_candidate_is_that_of_the_rows(case, by_time, broken):
     assert small == rows and len(small) > 4 and (not broken or len(set(small.values())) > 2)
 
 
+@pytest.mark.parametrize("by_time, broken", [(True, True), (False, False)])
+def test_large_networks_are_judged_by_pieces(case, by_time, broken, monkeypatch):
+    """Feeders don't depend on each other, so no candidate of a network above ``most_branches`` is a row."""
+    tree, branch, bus, base, segments, tried, limits = case
+    if not by_time:
+        segments = segments.where(F.col("t") == F.lit(TIMES[0]).cast("timestamp_ntz")).drop("t")
+    monkeypatch.setattr(envelope, "power_flow", None)
+    want, got = ({(r.n, r.t, r.oe): r.first for r in envelope._first(tree, branch, bus, base, segments, tried, broken, limits, 60, most).collect()} for most in (200_000, 45))
+    assert got == want and len(got) > 4
+    cut, whole = flow.pieces(tree, 12)
+    assert whole is None and cut.groupBy("of").agg(F.count_distinct("n").alias("k")).where("k > 1").count() > 0
+    assert cut.groupBy("n").agg(F.min("enter").alias("a"), F.max("leave").alias("b"), F.count(F.lit(1)).alias("m")).where("a <> 0 or b <> m").isEmpty()
+    got = {(r.n, r.t, r.oe): r.first for r in envelope._first(tree, branch, bus, base, segments, tried, broken, limits, 60, 12).collect()}
+    assert got == want
+
+
+def test_flow_by_pieces(case, monkeypatch):
+    """The same flows in pieces; a case without loads in a piece is listed there too."""
+    tree, branch, bus, base, *_ = case
+    nodal = base.where("n < 2").withColumn("oe", F.lit("oel")).unionByName(base.where("n = 2").limit(1).withColumn("oe", F.lit("oel")))
+    rows = lambda df: {tuple(r[k] for k in ("n", "t", "oe", "branch_id")): (r.p_pu, r.q_pu, r.l_pu) for r in df.collect()}
+    want = rows(flow.power_flow(tree, branch, bus, nodal)[0])
+    monkeypatch.setattr(flow, "_ranged", None)
+    monkeypatch.setattr(flow, "CELLS", 30)
+    got = rows(flow.power_flow(tree, branch, bus, nodal, most_branches=12)[0])
+    assert got.keys() == want.keys() and len(want) == 2 * (39 + 48) + 59
+    for k, v in want.items():
+        assert v == pytest.approx(got[k], abs=1e-10, nan_ok=True)
+
+
 def test_candidates_are_dealt_to_several_tasks(case, monkeypatch):
     tree, branch, bus, base, segments, tried, limits = case
     want = sorted(flow.first_candidate(tree, branch, bus, base, segments, tried, True, limits).collect(), key=str)
