@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from feederflow.operators import envelope, thermal
+from feederflow.operators import envelope, flow, matching, thermal
 from feederflow.sources import tables
 from tests.test_physics import net  # noqa: F401
 
@@ -49,6 +49,21 @@ def test_twelve_steps_with_temperatures_carried(spark, net):  # noqa: F811
         assert amps[clock] == pytest.approx(binding, abs=5e-3) and amps[clock] <= binding + 1e-3
 
 
+def test_flows_of_all_steps_are_made_once(spark, net, monkeypatch):  # noqa: F811
+    """Later flows are those of changed steps alone, and what is returned is that of each step's last envelope."""
+    bus, load, branch, tree = net
+    r, air = steps(spark)
+    counts, real = [], envelope.power_flow
+    monkeypatch.setattr(envelope, "power_flow", lambda tree, branch, bus, nodal, *a, **b: counts.append(nodal.select("t").distinct().count()) or real(tree, branch, bus, nodal, *a, **b))
+    out = envelope.multistep_envelopes(tree, branch, bus, load, r, load.select("n", "load_id"), air, spark.createDataFrame([(*PARAMS[:8], 95.0, 30.0)], tables.TX_PARAMS), "nearest", grid=64, rounds=2)
+    assert counts[0] == 12 and len(counts) > 1 and max(counts[1:]) < 12
+    sides = F.explode(F.array(F.struct(F.lit("oel").alias("oe"), F.col("lb_kw").alias("kw")), F.struct(F.lit("oer").alias("oe"), F.col("ub_kw").alias("kw"))))
+    e = out["envelope"].select("n", "t", "load_id", sides.alias("s")).select("n", "t", "load_id", "s.*")
+    want = flow.voltage_current_results(*real(tree, branch, bus, matching.nodal_allocation(load, r, e))[:2], branch)
+    for name, df in zip(("bus", "branch"), want, strict=True):
+        assert sorted(map(str, out[name].collect())) == sorted(map(str, df.collect()))
+
+
 def test_steps_without_a_solution_keep_the_temperatures(spark, net):  # noqa: F811
     bus, load, branch, tree = net
     r, air = steps(spark)
